@@ -102,3 +102,101 @@ SQL["cube_column_dimension"] = _exact_stats(
     f"eventTime >= {JAN(1)} AND eventTime < {JAN_END}", 30, 30, "COMPLETE", "raw", seg="country", features=("txn_amount",)
 )
 SQL["cube_incremental_refresh"] = _exact_stats(f"eventTime >= {JAN(1)} AND eventTime < {JAN_END}", 30, 30, "COMPLETE", "rollup")
+
+_WIN = f"eventTime >= {JAN(1)} AND eventTime < {JAN_END}"
+SQL["cube_exact_percentiles"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN)}\n"
+    "SELECT feature, segment_value, count(x) AS n, round(quantile_cont(x, 0.5), 4) AS p50,\n"
+    "  round(quantile_cont(x, 0.9), 4) AS p90, round(quantile_cont(x, 0.95), 4) AS p95,\n"
+    "  round(quantile_cont(x, 0.99), 4) AS p99\n"
+    "FROM long WHERE x IS NOT NULL GROUP BY feature, segment_value"
+)
+SQL["cube_exact_distinct"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN)}\n"
+    "SELECT feature, segment_value, count(DISTINCT x) AS distinct_exact FROM long GROUP BY feature, segment_value"
+)
+SQL["cube_sketch_percentile_check"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN)}\n"
+    "SELECT feature, segment_value, m.measure, count(x) AS n, true AS within_tolerance\n"
+    "FROM long, (VALUES ('p50'), ('p90'), ('p99')) m(measure) WHERE x IS NOT NULL\n"
+    "GROUP BY feature, segment_value, m.measure"
+)
+SQL["cube_sketch_distinct_check"] = with_events(
+    f"""
+, long AS (
+  SELECT {ACTIVITY_CASE} AS segment_value, 'txn_amount' AS feature, CAST(txn_amount AS VARCHAR) AS x FROM event_result WHERE {_WIN}
+  UNION ALL SELECT {ACTIVITY_CASE}, 'score', CAST(score AS VARCHAR) FROM event_result WHERE {_WIN}
+  UNION ALL SELECT {ACTIVITY_CASE}, 'userId', userId FROM event_result WHERE {_WIN}
+)
+SELECT feature, segment_value, count(DISTINCT x) AS distinct_exact, true AS within_tolerance
+FROM long GROUP BY feature, segment_value"""
+).replace("\n\n, long", "\n, long")
+SQL["cube_affected_days"] = with_events(
+    """
+SELECT DISTINCT strftime(CAST(eventTime AS DATE), '%Y-%m-%d') AS stat_date FROM event_result
+WHERE processingTime >= TIMESTAMP '2024-01-21' AND processingTime < TIMESTAMP '2024-01-22'"""
+)
+SQL["cube_late_refresh"] = _exact_stats(
+    f"processingTime < TIMESTAMP '2024-01-22' AND eventTime >= {JAN(1)} AND eventTime < {JAN(21)}", 20, 20, "COMPLETE",
+    "rollup",
+)
+SQL["cube_rebuild"] = _exact_stats(
+    _WIN, 30, 30, "COMPLETE", "rollup", seg="CASE WHEN eventType = 'purchase' THEN 'buyer' ELSE 'other' END"
+)
+SQL["cube_status"] = with_events(
+    f"""
+SELECT CAST(30 AS BIGINT) AS expected_days, CAST(20 AS BIGINT) AS active_days, CAST(1 AS BIGINT) AS error_days,
+       CAST(9 AS BIGINT) AS missing_days,
+       (SELECT count(*) FROM (SELECT DISTINCT CAST(eventTime AS DATE), {ACTIVITY_CASE} FROM event_result
+         WHERE eventTime < {JAN(21)})) AS rollup_rows,
+       'ERROR' AS status"""
+)
+SQL["feature_compatibility"] = with_events(
+    """
+, c AS (
+  SELECT count(*) AS n_rows,
+    count(txn_amount) AS a1, count(TRY_CAST(CAST(txn_amount AS VARCHAR) AS DOUBLE)) AS a2,
+    count(score) AS b1, count(TRY_CAST(CAST(score AS VARCHAR) AS DOUBLE)) AS b2,
+    count(country) AS c1, count(TRY_CAST(country AS DOUBLE)) AS c2,
+    count(eventType) AS d1, count(TRY_CAST(eventType AS DOUBLE)) AS d2
+  FROM event_result)
+SELECT 'txn_amount' AS feature, n_rows, a1 AS n_present, a2 AS n_numeric, round(a2 / a1, 4) AS numeric_rate FROM c
+UNION ALL SELECT 'score', n_rows, b1, b2, round(b2 / b1, 4) FROM c
+UNION ALL SELECT 'country', n_rows, c1, c2, round(c2 / c1, 4) FROM c
+UNION ALL SELECT 'eventType', n_rows, d1, d2, round(d2 / d1, 4) FROM c"""
+).replace("\n\n, c AS", "\n, c AS")
+SQL["cube_reference_coverage"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN)}\n"
+    "SELECT feature, segment_value, count(x) AS \"count\", round(sum(x), 4) AS \"sum\",\n"
+    "  round(min(x), 4) AS \"min\", round(max(x), 4) AS \"max\", round(avg(x), 4) AS mean,\n"
+    "  round(stddev_pop(x), 4) AS std, count(*) - count(x) AS missing_count,\n"
+    "  count(DISTINCT stat_date) AS active_days, count(DISTINCT stat_date) AS actual_days,\n"
+    "  CAST(29 AS BIGINT) AS window_days, round(count(DISTINCT stat_date) / 29.0, 4) AS coverage,\n"
+    "  CASE WHEN count(DISTINCT stat_date) >= 29 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage_status,\n"
+    "  'raw' AS source\n"
+    "FROM long GROUP BY feature, segment_value"
+)
+_BLOCKED = "list_contains(actions, 'block')"
+SQL["block_rate_by_event_type"] = with_events(
+    f"""
+SELECT eventType, count(*) AS n, count(*) FILTER (WHERE {_BLOCKED}) AS n_blocked,
+       round(count(*) FILTER (WHERE {_BLOCKED}) / count(*), 4) AS block_rate
+FROM event_result GROUP BY eventType"""
+)
+SQL["block_rate_via_rollup"] = SQL["block_rate_by_event_type"]
+SQL["action_daily_rollup"] = with_events(
+    f"""
+SELECT strftime(CAST(eventTime AS DATE), '%Y-%m-%d') AS stat_date, eventType, count(*) AS n,
+       count(*) FILTER (WHERE {_BLOCKED}) AS n_blocked
+FROM event_result GROUP BY ALL"""
+)
+SQL["adhoc_top_event_types"] = with_events(
+    """
+SELECT eventType, count(*) AS n FROM event_result GROUP BY eventType ORDER BY n DESC, eventType LIMIT 20"""
+)
+SQL["count_and_sample"] = with_events(
+    """
+SELECT eventId, eventType, userId, strftime(eventTime, '%Y-%m-%d %H:%M:%S') AS eventTime,
+       round(txn_amount, 4) AS txn_amount, (SELECT count(*) FROM event_result) AS total_rows
+FROM event_result ORDER BY event_result.eventTime, eventId LIMIT 5"""
+)

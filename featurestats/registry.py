@@ -116,3 +116,199 @@ def cube_incremental_refresh(spark, sf_dir):
     table.refresh(fact, JAN[:20])
     table.refresh(fact, JAN[14:])
     return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=table.states(), rollup_days=table.active_days())
+
+
+def _feature_long(fact: DataFrame, cube: Cube, days=None) -> DataFrame:
+    """(feature, segment_value, stat_date, x) — one row per fact row and feature."""
+    from .plans.rollup import time_in_days
+
+    if days is not None:
+        fact = fact.where(time_in_days(cube.time_col, days))
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in cube.features])
+    return fact.select(
+        cube.dimension.segment().alias("segment_value"), F.to_date(cube.time_col).alias("stat_date"), F.inline(items)
+    )
+
+
+PCTS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+@query
+def cube_exact_percentiles(spark, sf_dir):
+    """M7 exact companion: exact percentiles per feature and segment over the
+    window, by a distributed prefix sum (no group is gathered in one task)."""
+    from .operators.ordered import exact_percentiles
+
+    long = _feature_long(event_table(spark, sf_dir), ACTIVITY_CUBE, JAN)
+    return exact_percentiles(long, ["feature", "segment_value"], "x", PCTS)
+
+
+@query
+def cube_exact_distinct(spark, sf_dir):
+    """M8 exact companion: distinct values per feature and segment."""
+    long = _feature_long(event_table(spark, sf_dir), ACTIVITY_CUBE, JAN)
+    return long.groupBy("feature", "segment_value").agg(F.count_distinct("x").alias("distinct_exact"))
+
+
+@query
+def cube_sketch_percentile_check(spark, sf_dir):
+    """M7: KLL percentiles from merged daily sketches, checked by rank error
+    (|fraction of values <= estimate - q| <= 0.02) against the raw rows."""
+    fact = event_table(spark, sf_dir)
+    cube = Cube("activity_pct", ACTIVITY, ("txn_amount", "score"), ("count", "p50", "p90", "p99"), tenant="acme")
+    est = window_stats(fact, cube, AS_OF, 30, rollup=build_states(fact, cube), rollup_days=_days(fact))
+    est = est.select("feature", "segment_value", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.lit(PCTS[m]).alias("q"), F.col(m).alias("estimate")) for m in ("p50", "p90", "p99")
+    ])))
+    long = _feature_long(fact, cube, JAN).where(F.col("x").isNotNull())
+    # one row per (feature, segment, measure) on the small side; Spark picks the join
+    ranks = long.join(est, ["feature", "segment_value"]).groupBy("feature", "segment_value", "measure", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") <= F.col("estimate")).alias("n_le")
+    )
+    return ranks.select(
+        "feature", "segment_value", "measure", "n",
+        (F.abs(F.col("n_le") / F.col("n") - F.col("q")) <= 0.02).alias("within_tolerance"),
+    )
+
+
+@query
+def cube_sketch_distinct_check(spark, sf_dir):
+    """M8: HLL distinct counts from merged daily sketches vs the exact count
+    (|est - exact| <= max(2, 5 %))."""
+    fact = event_table(spark, sf_dir)
+    cube = Cube("activity_hll", ACTIVITY, ("txn_amount", "score", "userId"), ("count", "distinct_count"), tenant="acme")
+    est = window_stats(fact, cube, AS_OF, 30, rollup=build_states(fact, cube), rollup_days=_days(fact))
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("x")) for f in cube.features])
+    exact = (
+        fact.where(F.col("eventTime") < F.lit(dt.datetime(2024, 1, 31)))
+        .select(ACTIVITY.segment().alias("segment_value"), F.inline(items))
+        .groupBy("feature", "segment_value")
+        .agg(F.count_distinct("x").alias("distinct_exact"))
+    )
+    j = est.join(exact, ["feature", "segment_value"])
+    tol = F.greatest(F.lit(2.0), F.col("distinct_exact") * 0.05)
+    return j.select(
+        "feature", "segment_value", "distinct_exact",
+        (F.abs(F.col("distinct_count") - F.col("distinct_exact")) <= tol).alias("within_tolerance"),
+    )
+
+
+@query
+def cube_affected_days(spark, sf_dir):
+    """Event days touched by rows that arrived on 2024-01-21."""
+    from .plans.rollup import affected_days
+
+    fact = event_table(spark, sf_dir)
+    return affected_days(fact, dt.datetime(2024, 1, 21), dt.datetime(2024, 1, 22))
+
+
+@query
+def cube_late_refresh(spark, sf_dir):
+    """Rollup built from what had arrived by 2024-01-21, then refreshed
+    for every event day touched by the next processing day (late rows included)."""
+    from .plans.rollup import affected_days
+
+    full = event_table(spark, sf_dir)
+    arrived = lambda cutoff: full.where(F.col("processingTime") < F.lit(cutoff))
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_late"))
+    day1 = arrived(dt.datetime(2024, 1, 21))
+    table.refresh(day1, [d for d in _days(day1) if d < dt.date(2024, 1, 21)])
+    day2 = arrived(dt.datetime(2024, 1, 22))
+    touched = [r[0] for r in affected_days(day2, dt.datetime(2024, 1, 21), dt.datetime(2024, 1, 22)).collect()]
+    table.refresh(day2, [d for d in touched if d < dt.date(2024, 1, 21)])
+    return window_stats(day2, ACTIVITY_CUBE, dt.date(2024, 1, 21), 20, rollup=table.states(),
+                        rollup_days=table.active_days())
+
+
+@query
+def cube_rebuild(spark, sf_dir):
+    """The dimension expression changes → every day is recomputed into a
+    fresh rollup under the new definition."""
+    fact = event_table(spark, sf_dir)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_rebuild"))
+    table.refresh(fact, JAN[:10])
+    new_dim = Dimension("buyer", "CASE WHEN eventType = 'purchase' THEN 'buyer' ELSE 'other' END", tenant="acme")
+    new_cube = Cube("activity_cube", new_dim, ACTIVITY_CUBE.features, EXACT, tenant="acme")
+    fresh = table.rebuild(fact, new_cube)
+    return window_stats(fact, new_cube, AS_OF, 30, rollup=fresh.states(), rollup_days=fresh.active_days())
+
+
+@query
+def cube_status(spark, sf_dir):
+    """Rollup status from the ledger: 20 days refreshed, one failed, rest missing."""
+    from .plans.rollup import rollup_status
+
+    fact = event_table(spark, sf_dir)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_status"))
+    table.refresh(fact, JAN[:20])
+    table.mark_error([JAN[20]], "feature type changed")
+    return rollup_status(table.ledger(), JAN).drop("last_refresh")
+
+
+@query
+def feature_compatibility(spark, sf_dir):
+    """C14 deep check: presence and numeric parse rate per feature, one scan."""
+    from .plans.cube import feature_compatibility as fc
+
+    return fc(event_table(spark, sf_dir), ["txn_amount", "score", "country", "eventType"])
+
+
+@query
+def cube_reference_coverage(spark, sf_dir):
+    """2.5.1: the reference's literal coverage (inclusive BETWEEN, per-segment
+    distinct days / N) — 30 days of data in a 29-day window → coverage > 1."""
+    fact = event_table(spark, sf_dir)
+    return window_stats(fact, ACTIVITY_CUBE, dt.date(2024, 1, 30), 29, reference_mode=True)
+
+
+# ---- Q1 block rate, action rollup, ad-hoc queries (C17-C19) ----------------
+def blocked() -> F.Column:
+    return F.exists("actions", lambda a: a == "block")
+
+
+@query
+def block_rate_by_event_type(spark, sf_dir):
+    """Q1: share of events whose actions contain 'block', per eventType."""
+    fact = event_table(spark, sf_dir)
+    return fact.groupBy("eventType").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(blocked()).alias("n_blocked")
+    ).select("eventType", "n", "n_blocked", (F.col("n_blocked") / F.col("n")).alias("block_rate"))
+
+
+def _action_daily(fact: DataFrame) -> DataFrame:
+    return fact.groupBy(F.to_date("eventTime").alias("stat_date"), "eventType").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(blocked()).alias("n_blocked")
+    )
+
+
+@query
+def action_daily_rollup(spark, sf_dir):
+    """mv_action_daily: (stat_date, eventType) → n, n_blocked."""
+    return _action_daily(event_table(spark, sf_dir))
+
+
+@query
+def block_rate_via_rollup(spark, sf_dir):
+    """Q1 answered from the daily action rollup (re-aggregating day rows)."""
+    daily = _action_daily(event_table(spark, sf_dir))
+    return daily.groupBy("eventType").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked")).select(
+        "eventType", "n", "n_blocked", (F.col("n_blocked") / F.col("n")).alias("block_rate")
+    )
+
+
+@query
+def adhoc_top_event_types(spark, sf_dir):
+    """C17: ad-hoc group count, ordered, top 20 (ties broken by name)."""
+    fact = event_table(spark, sf_dir)
+    return fact.groupBy("eventType").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "eventType").limit(20)
+
+
+@query
+def count_and_sample(spark, sf_dir):
+    """Total row count (scalar subquery) beside a 5-row sample, the first
+    five events by time."""
+    fact = event_table(spark, sf_dir)
+    total = fact.select(F.count(F.lit(1))).scalar()
+    return fact.orderBy("eventTime", "eventId").limit(5).select(
+        "eventId", "eventType", "userId", "eventTime", "txn_amount", total.alias("total_rows")
+    )
