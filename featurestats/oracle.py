@@ -200,3 +200,62 @@ SELECT eventId, eventType, userId, strftime(eventTime, '%Y-%m-%d %H:%M:%S') AS e
        round(txn_amount, 4) AS txn_amount, (SELECT count(*) FROM event_result) AS total_rows
 FROM event_result ORDER BY event_result.eventTime, eventId LIMIT 5"""
 )
+
+# ---- resolution: straight from `events`, independent of the JSON path -----
+RES = """
+r AS (
+  SELECT event_id, ts, user_id, event_type,
+         CASE WHEN event_id % 10 = 3 THEN NULL ELSE value END AS value,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events
+)"""
+SQL["resolve_fixed"] = f"""WITH {RES}
+SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType, CAST(user_id AS VARCHAR) AS userId,
+  CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS event_ms,
+  epoch_us(ts + to_hours(CAST((event_id * 7) % 37 - 1 AS BIGINT))) // 1000 AS proc_ms,
+  to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS rules,
+  to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS actions,
+  (event_id % 11 = 0) AS fromUpdateAPI,
+  CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS originId
+FROM r"""
+SQL["resolve_features"] = f"""WITH {RES}
+SELECT CAST(event_id AS VARCHAR) AS eventId,
+  (['US', 'CN', 'NA', 'DE'])[CAST(user_id % 4 AS INTEGER) + 1] AS country,
+  round(CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END, 4) AS txn_amount,
+  CAST(CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS BIGINT) AS score,
+  CAST(k AS BIGINT) * 1000000000 AS score_big,
+  round(CAST(CASE WHEN event_id % 100 = 14 THEN CAST('NaN' AS FLOAT) ELSE CAST(value AS FLOAT) END AS DOUBLE), 4) AS amount_f,
+  CASE WHEN event_id % 100 = 12 THEN false ELSE event_id % 2 = 0 END AS is_even,
+  '["' || event_type || '",null]' AS tags,
+  event_type AS legacy_note,
+  CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id,
+  event_id AS txn_ref
+FROM r"""
+SQL["resolve_event_fields_override"] = f"""WITH {RES}
+SELECT account_id IS NULL AS account_missing, count(*) AS n, sum(account_id) AS account_sum
+FROM (SELECT CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id FROM r)
+GROUP BY ALL"""
+SQL["resolve_coercions"] = f"""WITH {RES}
+SELECT CAST(event_id AS VARCHAR) AS eventId,
+  round(CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END, 4) AS txn_amount,
+  round(CAST(CASE WHEN event_id % 100 = 14 THEN CAST('NaN' AS FLOAT) ELSE CAST(value AS FLOAT) END AS DOUBLE), 4) AS amount_f,
+  CAST(CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS BIGINT) AS score,
+  CASE WHEN event_id % 100 = 12 THEN false ELSE event_id % 2 = 0 END AS is_even
+FROM r WHERE event_id % 100 IN (11, 12, 13, 14)"""
+SQL["resolve_epoch"] = f"""WITH {RES},
+m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'ms' END AS unit,
+        CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS ms
+      FROM r)
+SELECT unit, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, sum(ms % 1000) AS sum_ms_part FROM m GROUP BY unit"""
+SQL["resolve_arrays"] = f"""WITH {RES}
+SELECT to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS rules,
+  to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS actions, count(*) AS n
+FROM r GROUP BY ALL"""
+SQL["unresolved_features"] = f"""WITH {RES}
+SELECT '30' AS feature_id, count(k) AS n_events FROM r
+UNION ALL SELECT '99', count(*) FROM r"""
+SQL["resolve_quarantine"] = """
+SELECT CASE event_id % 1000 WHEN 1 THEN 'not json ' || event_id WHEN 2 THEN '[' || event_id || ']'
+         WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE '{"eventId":"x' || event_id || '","rules":"nope"}' END AS raw_value,
+       CASE WHEN event_id % 1000 = 5 THEN 'field_type_mismatch' ELSE 'not_an_object' END AS reason
+FROM events WHERE event_id % 1000 IN (1, 2, 3, 5)"""

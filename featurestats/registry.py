@@ -312,3 +312,91 @@ def count_and_sample(spark, sf_dir):
     return fact.orderBy("eventTime", "eventId").limit(5).select(
         "eventId", "eventType", "userId", "eventTime", "txn_amount", total.alias("total_rows")
     )
+
+
+# ---- event resolution (P1) -------------------------------------------------
+def _resolved(spark, sf_dir):
+    from .operators.resolve import parse_messages, plan_from_meta, resolve
+    from .sources.messages import attribute_meta, feature_meta, raw_messages
+
+    plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
+    return resolve(parse_messages(raw_messages(spark, sf_dir)), plan)
+
+
+@query
+def resolve_fixed(spark, sf_dir):
+    """Fixed fields of every resolved message."""
+    r = _resolved(spark, sf_dir)
+    return r.select(
+        "eventId", "eventType", "userId",
+        F.unix_millis("eventTime").alias("event_ms"), F.unix_millis("processingTime").alias("proc_ms"),
+        "rules", "actions", "fromUpdateAPI", "originId",
+    )
+
+
+@query
+def resolve_features(spark, sf_dir):
+    """Integer-keyed features → typed columns per published metadata."""
+    r = _resolved(spark, sf_dir)
+    return r.select(
+        "eventId", "country", "txn_amount", "score", "score_big", "amount_f", "is_even", "tags", "legacy_note",
+        "account_id", "txn_ref",
+    )
+
+
+@query
+def resolve_event_fields_override(spark, sf_dir):
+    """An event attribute overrides the same-named feature when present."""
+    r = _resolved(spark, sf_dir)
+    return r.groupBy(F.col("account_id").isNull().alias("account_missing")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("account_id").alias("account_sum")
+    )
+
+
+@query
+def resolve_coercions(spark, sf_dir):
+    """2.2.1 edge rows: 'NaN' text → NULL double, kept NaN float, 'abc' → NULL int,
+    1 → FALSE boolean."""
+    r = _resolved(spark, sf_dir)
+    edge = (F.col("eventId").cast("bigint") % 100).isin(11, 12, 13, 14)
+    return r.where(edge).select("eventId", "txn_amount", "amount_f", "score", "is_even")
+
+
+@query
+def resolve_epoch(spark, sf_dir):
+    """Epoch seconds vs milliseconds by the 10^12 threshold, per unit."""
+    r = _resolved(spark, sf_dir)
+    unit = F.when(F.col("eventId").cast("bigint") % 3 == 0, "s").otherwise("ms")
+    return r.groupBy(unit.alias("unit")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.unix_millis("eventTime")).alias("min_ms"),
+        F.max(F.unix_millis("eventTime")).alias("max_ms"),
+        F.sum(F.unix_millis("eventTime") % 1000).alias("sum_ms_part"),
+    )
+
+
+@query
+def resolve_arrays(spark, sf_dir):
+    """Int arrays drop NULLs and parse numeric text; string arrays keep NULLs."""
+    r = _resolved(spark, sf_dir)
+    return r.groupBy(F.to_json("rules").alias("rules"), F.to_json("actions").alias("actions")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def unresolved_features(spark, sf_dir):
+    """Feature ids present in messages but not published (dropped from the row)."""
+    from .operators.resolve import parse_messages, unresolved_features as unresolved
+    from .sources.messages import feature_meta, raw_messages
+
+    return unresolved(parse_messages(raw_messages(spark, sf_dir)), feature_meta(spark))
+
+
+@query
+def resolve_quarantine(spark, sf_dir):
+    """Tombstones dropped; non-objects and wrongly typed fields quarantined."""
+    from .operators.resolve import parse_messages, quarantine
+    from .sources.messages import raw_messages
+
+    return quarantine(parse_messages(raw_messages(spark, sf_dir)))
