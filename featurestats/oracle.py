@@ -259,3 +259,13 @@ SELECT CASE event_id % 1000 WHEN 1 THEN 'not json ' || event_id WHEN 2 THEN '['
          WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE '{"eventId":"x' || event_id || '","rules":"nope"}' END AS raw_value,
        CASE WHEN event_id % 1000 = 5 THEN 'field_type_mismatch' ELSE 'not_an_object' END AS reason
 FROM events WHERE event_id % 1000 IN (1, 2, 3, 5)"""
+SQL["stream_resolve"] = f"""WITH {RES}
+SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType,
+  (['US', 'CN', 'NA', 'DE'])[CAST(user_id % 4 AS INTEGER) + 1] AS country,
+  round(CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END, 4) AS txn_amount,
+  CAST(CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS BIGINT) AS score,
+  CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id,
+  strftime(CAST(ts + to_hours(CAST((event_id * 7) % 37 - 1 AS BIGINT)) AS DATE), '%Y-%m-%d') AS processing_day
+FROM r"""
+SQL["stream_dedup"] = """
+SELECT event_type AS eventType, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type"""
