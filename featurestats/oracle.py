@@ -269,3 +269,73 @@ SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType,
 FROM r"""
 SQL["stream_dedup"] = """
 SELECT event_type AS eventType, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type"""
+
+# ---- backfill source (A4) ----------------------------------------------------
+SRC = EVENT_ROWS_DUP + """,
+src AS (
+  SELECT user_id AS pk, CAST(event_id AS VARCHAR) AS eventId, epoch_us(ts) // 1000 AS time, event_type AS eventType,
+         epoch_us(ts + to_hours(CAST((event_id * 7) % 37 - 1 + version AS BIGINT))) // 1000 AS timeInserted,
+         CASE WHEN event_id % 17 = 0 THEN 'user' END AS dv_reevaluate_entity,
+         CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS origin_id,
+         CASE WHEN event_id % 2 = 0 THEN 'api' ELSE 'batch' END AS origin_category,
+         CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END AS dv_isDetection,
+         value AS txn_amount, event_id, version
+  FROM ev
+),
+dedup AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk, eventId, time, eventType ORDER BY timeInserted DESC) AS rn
+                 FROM src) WHERE rn = 1
+)"""
+SQL["dedup_keep_last"] = f"WITH {SRC}\nSELECT pk, eventId, time, eventType, timeInserted, round(txn_amount, 4) AS txn_amount FROM dedup"
+SQL["dedup_then_filter_day"] = f"""WITH {SRC}
+SELECT eventId, timeInserted, round(txn_amount, 4) AS txn_amount FROM dedup
+WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')"""
+SQL["duplicate_profile"] = f"""WITH {SRC}
+SELECT count(*) AS total_rows, count(DISTINCT (pk, eventId, time, eventType)) AS unique_keys,
+       count(*) - count(DISTINCT (pk, eventId, time, eventType)) AS duplicates FROM src"""
+SQL["backfill_rename_types"] = f"""WITH {SRC}
+SELECT eventId, CAST(pk AS VARCHAR) AS userId, eventType, time AS event_ms, timeInserted AS proc_ms,
+       dv_isDetection <> 1 AS fromUpdateAPI, dv_reevaluate_entity AS reEvaluateEntity, origin_id AS originId,
+       origin_category AS originCategory, round(txn_amount, 4) AS txn_amount,
+       strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d') AS processing_day
+FROM dedup"""
+SQL["backfill_invert_flag"] = f"""WITH {SRC}
+SELECT dv_isDetection <> 1 AS fromUpdateAPI, count(*) AS n FROM dedup GROUP BY ALL"""
+_DAY = "strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d')"
+_DAY_COUNTS = f"""WITH {SRC},
+days AS (SELECT DISTINCT {_DAY} AS unit FROM src),
+per_day AS (SELECT {_DAY} AS unit, count(*) AS n FROM dedup GROUP BY ALL)"""
+SQL["backfill_resume"] = f"""{_DAY_COUNTS}
+SELECT unit, 'DONE' AS state, coalesce(n, 0) AS "rows" FROM days LEFT JOIN per_day USING (unit)"""
+SQL["backfill_dry_run"] = f"""{_DAY_COUNTS}
+SELECT unit, coalesce(n, 0) AS "rows", CAST(0 AS BIGINT) AS ledger_rows FROM days LEFT JOIN per_day USING (unit)"""
+SQL["backfill_parse_lists"] = f"""WITH {SRC}
+SELECT eventId, to_json([CAST(event_id % 13 AS INTEGER)]) AS rules,
+       to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END]) AS actions,
+       '[]' AS trialRules, CASE WHEN event_id % 89 = 0 THEN NULL ELSE '[]' END AS trialActions,
+       (['US', 'CN', 'NA', 'DE'])[CAST(pk % 4 AS INTEGER) + 1] AS country,
+       CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS score,
+       CASE WHEN event_id % 97 = 0 THEN 'first line' || chr(10) || 'second, "quoted" line ' || eventId END AS note,
+       strftime(make_timestamp(time * 1000), '%Y-%m-%d %H:%M:%S') AS created,
+       timeInserted AS proc_ms
+FROM src JOIN events e USING (event_id)"""
+SQL["backfill_stitch_slices"] = EVENT_ROWS_DUP.join(["WITH ", ""]) + """,
+w AS (
+  SELECT user_id AS pk, CAST(event_id AS VARCHAR) AS eventId, epoch_us(ts) // 1000 AS time, event_type AS eventType,
+         epoch_us(ts + to_hours(CAST((event_id * 7) % 37 - 1 + version AS BIGINT))) // 1000 AS timeInserted,
+         ((event_id * 3 + version) % 1000) / 10.0 AS f_000,
+         ((event_id * 38 + version) % 1000) / 10.0 AS f_005,
+         ((event_id * 80 + version) % 1000) / 10.0 AS f_011
+  FROM ev
+)
+SELECT eventId, round(f_000, 4) AS f_000, round(f_005, 4) AS f_005, round(f_011, 4) AS f_011 FROM (
+  SELECT *, row_number() OVER (PARTITION BY pk, eventId, time, eventType ORDER BY timeInserted DESC) AS rn FROM w
+) WHERE rn = 1"""
+SQL["prune_correlated"] = f"""WITH {SRC}
+SELECT eventType, count(*) AS n FROM src
+WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')
+GROUP BY eventType"""
+SQL["prune_parity"] = f"""WITH {SRC}
+SELECT count(*) AS pruned_count, count(*) AS full_count, true AS parity FROM src
+WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-17')"""
+SQL["distinct_months"] = "SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period FROM orders"

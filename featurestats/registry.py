@@ -434,3 +434,176 @@ def stream_dedup(spark, sf_dir):
     """D3: redelivered messages dropped within a 36 h watermark."""
     t = _stream_table(spark, sf_dir, duplicates=True)
     return t.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"))
+
+
+# ---- backfill, dedup, pruning (P2) ------------------------------------------
+KEYS = ("pk", "eventId", "time", "eventType")
+
+
+def _src(spark, sf_dir, n_wide=0):
+    from .sources.snapshots import source_table
+
+    return source_table(spark, sf_dir, n_wide=n_wide)
+
+
+def _proc_days(src: DataFrame) -> list[str]:
+    """Distinct insert days of a source (one row per day)."""
+    rows = src.select(F.date_format(F.timestamp_millis("timeInserted"), "yyyy-MM-dd").alias("d")).distinct().collect()
+    return sorted(r.d for r in rows)
+
+
+@query
+def dedup_keep_last(spark, sf_dir):
+    """Keep-last by (pk, eventId, time, eventType), version = timeInserted."""
+    from .operators.dedup import keep_last
+
+    d = keep_last(_src(spark, sf_dir), KEYS, ["timeInserted"])
+    return d.select("pk", "eventId", "time", "eventType", "timeInserted", "txn_amount")
+
+
+@query
+def dedup_then_filter_day(spark, sf_dir):
+    """D1 + F1: dedup first, then the insert-day slice 2024-01-10."""
+    from .operators.backfill import BackfillSpec, day_rows
+
+    d = day_rows(_src(spark, sf_dir), ["2024-01-10"], BackfillSpec())
+    return d.select("eventId", "timeInserted", "txn_amount")
+
+
+@query
+def duplicate_profile(spark, sf_dir):
+    """Total rows, unique keys, duplicates."""
+    from .operators.dedup import duplicate_profile as dp
+
+    return dp(_src(spark, sf_dir), KEYS)
+
+
+def _day_backfill(spark, sf_dir):
+    from .operators.backfill import BackfillSpec, backfill_days
+
+    src = _src(spark, sf_dir)
+    target, ledger = work_path(spark, "bf_days"), work_path(spark, "bf_days_ledger")
+    spec = BackfillSpec(primary_key_to_user="pk")
+    backfill_days(spark, src, _proc_days(src), target, ledger, spec)
+    return spark.read.parquet(target)
+
+
+@query
+def backfill_rename_types(spark, sf_dir):
+    """B2 + R7/R11/R12: day backfill with renames, epoch → timestamp, pk → userId."""
+    t = _day_backfill(spark, sf_dir)
+    return t.select(
+        "eventId", "userId", "eventType", F.unix_millis("eventTime").alias("event_ms"),
+        F.unix_millis("processingTime").alias("proc_ms"), "fromUpdateAPI", "reEvaluateEntity", "originId",
+        "originCategory", "txn_amount", "processing_day",
+    )
+
+
+@query
+def backfill_invert_flag(spark, sf_dir):
+    """fromUpdateAPI = (dv_isDetection <> 1)."""
+    t = _day_backfill(spark, sf_dir)
+    return t.groupBy("fromUpdateAPI").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def backfill_resume(spark, sf_dir):
+    """First run does 10 days; a later failure is recorded for one of
+    them; the second run retries it and does the rest (DONE days skipped).
+    Returns the latest ledger state per day."""
+    from .operators.backfill import BackfillSpec, append_ledger, backfill_days, read_ledger
+    from .operators.prune import latest_state
+
+    src = _src(spark, sf_dir)
+    days = _proc_days(src)
+    target, ledger = work_path(spark, "bf_resume"), work_path(spark, "bf_resume_ledger")
+    backfill_days(spark, src, days[:10], target, ledger, BackfillSpec())
+    stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    failed = spark.createDataFrame([(days[3], "FAILED", 0, stamp)], "unit string, state string, rows long, updated_at timestamp")
+    append_ledger(spark, ledger, failed)
+    backfill_days(spark, src, days, target, ledger, BackfillSpec())
+    return latest_state(read_ledger(spark, ledger)).select("unit", "state", "rows")
+
+
+@query
+def backfill_dry_run(spark, sf_dir):
+    """Counts per day, nothing written, nothing marked."""
+    from .operators.backfill import BackfillSpec, backfill_days, read_ledger
+
+    src = _src(spark, sf_dir)
+    ledger = work_path(spark, "bf_dry_ledger")
+    counts = backfill_days(spark, src, _proc_days(src), work_path(spark, "bf_dry"), ledger, BackfillSpec(), dry_run=True)
+    return counts.select("unit", "rows", read_ledger(spark, ledger).select(F.count(F.lit(1))).scalar().alias("ledger_rows"))
+
+
+@query
+def backfill_parse_lists(spark, sf_dir):
+    """B1 + S3/S4 + R13/R14: gzip CSV exports (all text, quoted newlines) typed
+    from declared types; list literals parsed, bad lists NULL."""
+    from .operators.backfill import backfill_files
+    from .sources.snapshots import SNAPSHOT_TYPES, write_snapshots
+
+    root = write_snapshots(spark, sf_dir, work_path(spark, "snapshots"))
+    target, ledger = work_path(spark, "bf_files"), work_path(spark, "bf_files_ledger")
+    backfill_files(spark, root, dict(SNAPSHOT_TYPES), target, ledger)
+    t = spark.read.parquet(target)
+    return t.select("eventId", "rules", "actions", "trialRules", "trialActions", "country", "score", "note", "created",
+                    F.unix_millis("processingTime").alias("proc_ms"))
+
+
+@query
+def backfill_stitch_slices(spark, sf_dir):
+    """Three column slices (keys + 4 features each), each deduplicated,
+    stitched back by key; equal to deduplicating the wide rows."""
+    from .operators.backfill import stitch_slices
+    from .operators.dedup import keep_last
+
+    wide = _src(spark, sf_dir, n_wide=12)
+    slices = []
+    for part in range(3):
+        cols = [f"f_{i:03d}" for i in range(part * 4, part * 4 + 4)]
+        slices.append(keep_last(wide.select(*KEYS, "timeInserted", *cols), KEYS, ["timeInserted"]).drop("timeInserted"))
+    st = stitch_slices(slices, KEYS)
+    return st.select("eventId", "f_000", "f_005", "f_011")
+
+
+def _event_day_table(spark, sf_dir):
+    src = _src(spark, sf_dir)
+    path = work_path(spark, "src_by_event_day")
+    src.repartition("event_day").write.partitionBy("event_day").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def prune_correlated(spark, sf_dir):
+    """insert-time slice plus the derived event-day partition predicate
+    (slack 2 days) → only a few event-day partitions are read."""
+    from .operators.prune import with_event_partition_bounds
+
+    t = _event_day_table(spark, sf_dir)
+    p = with_event_partition_bounds(t, "2024-01-10", "2024-01-11", proc_col="timeInserted", event_part_col="event_day",
+                                    slack_days=2, period="day", proc_is_epoch_ms=True)
+    return p.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def prune_parity(spark, sf_dir):
+    """pruned count = unpruned count for every insert day."""
+    from .operators.prune import pruning_parity, with_event_partition_bounds
+
+    t = _event_day_table(spark, sf_dir)
+    lo, hi = "2024-01-10", "2024-01-17"
+    pruned = with_event_partition_bounds(t, lo, hi, proc_col="timeInserted", event_part_col="event_day",
+                                         slack_days=2, period="day", proc_is_epoch_ms=True)
+    lo_ms, hi_ms = 1704844800000, 1705449600000
+    full = t.where((F.col("timeInserted") >= lo_ms) & (F.col("timeInserted") < hi_ms))
+    return pruning_parity(pruned, full)
+
+
+@query
+def distinct_months(spark, sf_dir):
+    """distinct year-months of order dates."""
+    from .operators.prune import distinct_periods
+    from .sources.tables import read_table
+
+    return distinct_periods(read_table(spark, sf_dir, "orders"), "o_orderdate")
