@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.coerce import coerce, epoch_to_timestamp, parse_list
 from ..functions.types import source_type
 from .dedup import keep_last
-from .layout import write_events
+from .layout import PARTITION_COLS as PARTITION_KEYS, write_events
 from .prune import latest_state
 
 # Source column → event-table column renames.
@@ -173,9 +173,16 @@ def backfill_files(
     spark: SparkSession, root: str, declared: dict[str, str], target: str, ledger_path: str,
     spec: BackfillSpec | None = None, dry_run: bool = False, null_spellings=None,
 ) -> DataFrame:
-    """B1: every pending export in one job; unit = export (file) name.  An
-    export that yields no rows (unreadable) is recorded FAILED and retried on
-    the next run; the others are DONE."""
+    """B1: every pending export in one job; unit = export (file) name.
+
+    Exports and table partitions do not line up (one export spans several
+    days, one day gets several exports), so a plain overwrite could drop rows
+    of exports done earlier and a plain append duplicates rows when a run is
+    retried.  Each row therefore carries ``_source_file``; the partitions the
+    pending exports touch are rebuilt from (their rows in the table that came
+    from *other* exports) + (the pending rows), staged through a checkpoint,
+    then dynamically overwritten.  Re-running is idempotent.  An export that
+    yields no rows is recorded FAILED and retried next time."""
     spec = spec or BackfillSpec()
     text = read_snapshots(spark, root)
     units_all = [r.snapshot for r in text.select("snapshot").distinct().collect()]  # one row per export
@@ -183,14 +190,25 @@ def backfill_files(
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
     text = text.where(F.col("snapshot").isin(todo))
-    typed = type_snapshot(text, {**declared}, null_spellings)
-    rows = convert_rows(typed, spec)
-    counts = rows.groupBy(F.col("snapshot").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = convert_rows(type_snapshot(text, dict(declared), null_spellings), spec).withColumnRenamed(
+        "snapshot", "_source_file"
+    )
+    counts = rows.groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
     units = spark.createDataFrame([(u,) for u in todo], "unit string")
     counts = units.join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
     if dry_run:
         return counts
-    write_events(rows.drop("snapshot"), target, mode="overwrite")
+    rows = rows.withColumn("processing_day", F.to_date("processingTime"))
+    try:
+        existing = spark.read.option("mergeSchema", "true").parquet(target)
+    except Exception:  # first load
+        existing = None
+    if existing is not None:
+        touched = rows.select(*PARTITION_KEYS).distinct()
+        keep = existing.join(touched, list(PARTITION_KEYS), "left_semi").where(~F.col("_source_file").isin(todo))
+        rows = rows.unionByName(keep, allowMissingColumns=True)
+    staged = rows.checkpoint(eager=True)  # never overwrite a path the plan still reads
+    write_events(staged, target, mode="overwrite")
     counts = counts.checkpoint(eager=True)
     append_ledger(
         spark, ledger_path,

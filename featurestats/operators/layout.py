@@ -24,14 +24,20 @@ def with_layout_columns(df: DataFrame, proc_col: str = "processingTime") -> Data
 
 
 def write_events(df: DataFrame, path: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
-    """Partition-scoped idempotent write.
+    """Partition-scoped write.
 
     ``mode='overwrite'`` uses *dynamic* partition overwrite: only the
-    partitions present in ``df`` are replaced, so re-running a day is safe."""
+    partitions present in ``df`` are replaced, so re-running a unit whose rows
+    are exactly those partitions (a processing day) is safe.  New rows for
+    partitions that already hold other rows must use ``mode='append'``.
+
+    Rows are clustered by the partition columns with a REBALANCE hint: AQE
+    splits a hot (day, eventType) partition across several tasks and merges
+    small ones, so one huge event type never lands in a single writer task."""
     if "processing_day" not in df.columns:
         df = with_layout_columns(df)
     w = (
-        df.repartition(*PARTITION_COLS)
+        df.hint("rebalance", *PARTITION_COLS)
         .sortWithinPartitions(*SORT_COLS)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")

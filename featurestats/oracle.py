@@ -339,3 +339,157 @@ SQL["prune_parity"] = f"""WITH {SRC}
 SELECT count(*) AS pruned_count, count(*) AS full_count, true AS parity FROM src
 WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-17')"""
 SQL["distinct_months"] = "SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period FROM orders"
+
+# ---- layout and profiles ---------------------------------------------------------
+_PDAY = "strftime(CAST(processingTime AS DATE), '%Y-%m-%d')"
+SQL["layout_write_read"] = with_events(f"""
+SELECT {_PDAY} AS processing_day, eventType, count(*) AS n, round(sum(txn_amount), 4) AS amount
+FROM event_result GROUP BY ALL""")
+SQL["schema_evolve"] = with_events("""
+SELECT count(*) AS n, count(score) FILTER (WHERE eventTime >= TIMESTAMP '2024-01-16') AS n_score,
+       count(score) FILTER (WHERE eventTime >= TIMESTAMP '2024-01-16') AS n_risk, 'score,risk' AS added
+FROM event_result""")
+SQL["compact_preserves_rows"] = with_events("""
+SELECT count(*) AS rows_before, count(*) AS rows_after, true AS rows_match, true AS fewer_files, true AS sums_match
+FROM event_result""")
+SQL["retention_expired"] = with_events(f"""
+SELECT {_PDAY} AS processing_day, count(*) AS n_rows FROM event_result
+WHERE CAST(processingTime AS DATE) < DATE '2024-01-11' GROUP BY ALL""")
+SQL["profile_gap"] = with_events("""
+SELECT count(*) AS n, round(avg((epoch_us(processingTime) - epoch_us(eventTime)) / 3.6e9), 4) AS avg_gap_h,
+       round(max((epoch_us(processingTime) - epoch_us(eventTime)) / 3.6e9), 4) AS max_gap_h,
+       round(min((epoch_us(processingTime) - epoch_us(eventTime)) / 3.6e9), 4) AS min_gap_h,
+       count(*) FILTER (WHERE processingTime < eventTime) AS n_negative
+FROM event_result""")
+SQL["profile_hourly"] = with_events("""
+, h AS (SELECT CAST(hour(eventTime) AS BIGINT) AS hour, count(*) AS n FROM event_result GROUP BY ALL)
+SELECT hour, n, n = (SELECT max(n) FROM h) AS is_peak FROM h""").replace("\n\n, h AS", "\n, h AS")
+SQL["profile_partitions"] = with_events(f"""
+SELECT {_PDAY} AS partition, count(*) AS n FROM event_result GROUP BY ALL""")
+SQL["reconcile_counts"] = f"""WITH {SRC},
+per_day AS (SELECT {_DAY} AS day, count(*) AS n FROM dedup GROUP BY ALL)
+SELECT day, n AS source_rows, n AS target_rows, CAST(0 AS BIGINT) AS diff, true AS match FROM per_day"""
+_SRC_TYPES = [("pk", "bigint"), ("eventId", "string"), ("time", "bigint"), ("eventType", "string"),
+              ("timeInserted", "bigint"), ("rules", "array<int>"), ("actions", "array<string>"),
+              ("dv_reevaluate_entity", "string"), ("origin_id", "bigint"), ("origin_category", "string"),
+              ("dv_isDetection", "tinyint"), ("txn_amount", "double"), ("country", "string"), ("score", "int")]
+_TGT_TYPES = [("eventId", "string"), ("eventType", "string"), ("userId", "string"), ("eventTime", "timestamp"),
+              ("processingTime", "timestamp"), ("rules", "array<int>"), ("actions", "array<string>"),
+              ("trialRules", "array<int>"), ("trialActions", "array<string>"), ("reEvaluateEntity", "string"),
+              ("originId", "int"), ("originCategory", "string"), ("fromUpdateAPI", "boolean"),
+              ("txn_amount", "double"), ("country", "string"), ("score", "int")]
+_SRC_FILL = {"dv_reevaluate_entity": "count(*) FILTER (WHERE event_id % 17 = 0)",
+             "origin_id": "count(*) FILTER (WHERE event_id % 2 = 0)", "txn_amount": "count(value)"}
+_TGT_FILL = {"reEvaluateEntity": "0", "originId": "0", "originCategory": "0", "txn_amount": "count(value)"}
+
+
+def _drift_sql() -> str:
+    st, tt = dict(_SRC_TYPES), dict(_TGT_TYPES)
+    rows = []
+    for c in sorted(set(st) | set(tt)):
+        status = ("missing_in_target" if c not in tt else "missing_in_source" if c not in st
+                  else "type_differs" if st[c] != tt[c] else "same")
+        s_src = (f"(SELECT round(CAST({_SRC_FILL.get(c, 'count(*)')} AS DOUBLE) / count(*), 4) FROM ev)"
+                 if c in st else "CAST(NULL AS DOUBLE)")
+        t_src = (f"(SELECT round(CAST({_TGT_FILL.get(c, 'count(*)')} AS DOUBLE) / count(*), 4) FROM ev WHERE version = 0)"
+                 if c in tt else "CAST(NULL AS DOUBLE)")
+        stype = f"'{st[c]}'" if c in st else "CAST(NULL AS VARCHAR)"
+        ttype = f"'{tt[c]}'" if c in tt else "CAST(NULL AS VARCHAR)"
+        rows.append(f"SELECT '{c}' AS \"column\", {stype} AS source_type, {ttype} AS target_type, "
+                    f"{s_src} AS source_fill, {t_src} AS target_fill, '{status}' AS status")
+    return f"WITH {EVENT_ROWS_DUP}\n" + "\nUNION ALL\n".join(rows)
+
+
+SQL["column_drift"] = _drift_sql()
+SQL["file_profile"] = "SELECT count(*) AS n_rows, true AS has_files FROM events"
+SQL["refresh_non_empty"] = f"""WITH {EVENT_ROWS},{EVENT_RESULT}
+SELECT count(*) AS n, count(*) > 0 AS ok FROM (
+  SELECT DISTINCT {ACTIVITY_CASE} FROM event_result
+  WHERE eventTime >= TIMESTAMP '2024-01-30' AND eventTime < TIMESTAMP '2024-01-31')"""
+
+# ---- audit (A7) and execution log (A8) from orders ------------------------------
+AUDIT = """
+audit AS (
+  SELECT 'q' || o_orderkey AS queryId,
+         o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS "timestamp",
+         CASE WHEN o_orderkey % 4 = 0 THEN 'default_catalog' ELSE 'iceberg_catalog' END AS catalog,
+         CASE WHEN o_orderkey % 23 = 0 THEN 'ERR' WHEN o_orderkey % 31 = 0 THEN 'TIMEOUT' ELSE 'EOF' END AS state,
+         CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 31 = 0 THEN 'E' || (o_orderkey % 5) ELSE '' END AS errorCode,
+         (o_orderkey * 37) % 5000 AS queryTime,
+         CAST(trunc(o_totalprice * 1000) AS BIGINT) AS scanBytes,
+         o_orderkey % 100000 AS scanRows,
+         (o_orderkey * 7919) % 1000000000 AS cpuCostNs,
+         (o_orderkey * 104729) % 4294967296 AS memCostBytes,
+         CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS isQuery,
+         'SELECT eventType, count(*) FROM event_result WHERE priority = ''' || o_orderpriority
+           || ''' AND amount > ' || CAST(o_totalprice AS VARCHAR) || ' GROUP BY eventType /* ' || o_custkey || ' */' AS stmt,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'mv_action_daily' ELSE '' END AS candidateMVs,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'mv_action_daily' ELSE '' END AS hitMvs
+  FROM orders
+)"""
+LOG = """
+log0 AS (
+  SELECT o_orderkey AS id, 'q' || o_orderkey AS query_id, 'tenant_' || (o_custkey % 7) AS tenant,
+         (['DAILY_MV_REFRESH', 'DAILY_WINDOW_MERGE', 'ADHOC_QUERY'])[o_orderkey % 3 + 1] AS query_type,
+         (['DAILY_WH', 'ADHOC_WH', 'DAILY_HEAVY', 'ADHOC_HEAVY'])[o_orderkey % 4 + 1] AS routing_path,
+         CAST(trunc(o_totalprice * 1000) AS BIGINT) + 1 AS actual_scan_bytes,
+         CASE WHEN floor(o_orderkey / 8) % 3 = 0 THEN 5.0 ELSE 1.5 END AS factor,
+         (o_orderkey * 13) % 60000 AS actual_duration_ms,
+         o_orderkey % 13 = 0 AS is_retry,
+         CASE WHEN o_orderkey % 13 = 0 THEN (['SPOT_RECLAIMED', 'OOM', 'TIMEOUT'])[o_orderkey % 3 + 1] END AS retry_reason,
+         o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS created_at,
+         o_orderkey % 4 + 1 AS mem_factor
+  FROM orders
+),
+log AS (
+  SELECT *, CAST(trunc(actual_scan_bytes * CAST(factor AS DOUBLE)) AS BIGINT) AS l1_estimate_bytes,
+         actual_scan_bytes * 2 AS l2_estimate_bytes, actual_scan_bytes * mem_factor AS peak_memory_bytes
+  FROM log0
+)"""
+_RES_COLS = """queryTime AS wall_ms, scanBytes AS scan_bytes, scanRows AS scan_rows,
+       round(cpuCostNs / 1e6, 2) AS cpu_ms, round(memCostBytes / 1024 / 1024, 2) AS mem_mb, left(stmt, 80) AS query"""
+SQL["audit_recent"] = f"""WITH {AUDIT}
+SELECT queryId, strftime("timestamp", '%H:%M:%S') AS time, {_RES_COLS}
+FROM audit WHERE isQuery = 1 AND catalog = 'iceberg_catalog' ORDER BY "timestamp" DESC, queryId DESC LIMIT 20"""
+SQL["audit_top_cpu"] = f"""WITH {AUDIT}
+SELECT queryId, {_RES_COLS}
+FROM audit WHERE isQuery = 1 AND catalog = 'iceberg_catalog' ORDER BY cpuCostNs DESC, queryId DESC LIMIT 10"""
+SQL["audit_failed"] = f"""WITH {AUDIT}
+SELECT queryId, strftime("timestamp", '%H:%M:%S') AS time, state, errorCode, left(stmt, 80) AS query
+FROM audit WHERE state <> 'EOF' ORDER BY "timestamp" DESC, queryId DESC LIMIT 10"""
+SQL["audit_calibration"] = f"""WITH {LOG}
+SELECT query_type, round(avg(peak_memory_bytes / actual_scan_bytes), 4) AS memory_ratio,
+       round(avg(actual_scan_bytes / l2_estimate_bytes), 4) AS compression_ratio, count(*) AS n
+FROM log WHERE created_at > (SELECT max(created_at) FROM log) - INTERVAL 30 DAY GROUP BY query_type"""
+SQL["audit_deviation_streaks"] = f"""WITH {LOG},
+d AS (SELECT tenant, id, created_at,
+             coalesce(abs(l1_estimate_bytes - actual_scan_bytes) / actual_scan_bytes > 3, false) AS dev FROM log),
+g AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY created_at, id)
+              - row_number() OVER (PARTITION BY tenant, dev ORDER BY created_at, id) AS grp FROM d)
+SELECT tenant, strftime(first(created_at ORDER BY created_at, id), '%Y-%m-%d %H:%M:%S') AS first_at,
+       first(id ORDER BY created_at, id) AS first_id, first(id ORDER BY created_at DESC, id DESC) AS last_id,
+       count(*) AS run_len
+FROM g WHERE dev GROUP BY tenant, grp HAVING count(*) >= 5"""
+_WEEK = "strftime(make_timestamp(CAST(floor(epoch(created_at) / 604800) * 604800 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
+_DAYW = "strftime(make_timestamp(CAST(floor(epoch(created_at) / 86400) * 86400 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
+SQL["audit_frequency_alerts"] = f"""WITH {LOG}
+SELECT 'retry' AS alert, {_WEEK} AS window_start, retry_reason AS detail, count(*) AS n
+FROM log WHERE is_retry GROUP BY ALL HAVING count(*) > 2
+UNION ALL
+SELECT 'upgrade', {_DAYW}, 'ADHOC_HEAVY', count(*) FROM log WHERE routing_path = 'ADHOC_HEAVY' GROUP BY ALL HAVING count(*) > 5"""
+SQL["audit_estimate_join"] = f"""WITH {AUDIT},{LOG}
+SELECT a.queryId AS query_id, l.query_type, a.scanBytes, l.l1_estimate_bytes,
+       round(l.l1_estimate_bytes / a.scanBytes, 4) AS l1_over_actual
+FROM audit a LEFT JOIN log l ON a.queryId = l.query_id"""
+SQL["audit_tenant_graduation"] = f"""WITH {LOG},
+t AS (SELECT tenant, count(*) AS n_queries, count(DISTINCT CAST(created_at AS DATE)) AS active_days,
+             sum(actual_scan_bytes) AS scan_bytes, quantile_cont(actual_duration_ms, 0.99) AS p99_ms
+      FROM log GROUP BY tenant)
+SELECT tenant, n_queries, active_days, round(n_queries / active_days, 4) AS queries_per_day, round(p99_ms, 4) AS p99_ms,
+       scan_bytes, (n_queries / active_days > 50 OR p99_ms > 55000.0 OR scan_bytes > 1000000000000) AS graduate
+FROM t"""
+SQL["audit_rollup_hit_rate"] = f"""WITH {AUDIT}
+SELECT strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS day, count(*) AS n,
+       round(avg(CAST(hitMvs <> '' AS INTEGER)), 4) AS hit_rate,
+       round(avg(CAST(candidateMVs <> '' AS INTEGER)), 4) AS candidate_rate
+FROM audit WHERE isQuery = 1 GROUP BY ALL"""

@@ -607,3 +607,223 @@ def distinct_months(spark, sf_dir):
     from .sources.tables import read_table
 
     return distinct_periods(read_table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+# ---- layout, maintenance, profiles (P4) ------------------------------------
+def _written_events(spark, sf_dir, files_per_partition: int = 1):
+    from .operators.layout import read_events, write_events
+
+    path = work_path(spark, "events_table")
+    write_events(event_table(spark, sf_dir), path)
+    return path, read_events(spark, path)
+
+
+@query
+def layout_write_read(spark, sf_dir):
+    """Partitioned, sorted, zstd + bloom write; read back per partition."""
+    _, t = _written_events(spark, sf_dir)
+    return t.groupBy("processing_day", "eventType").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("txn_amount").alias("amount")
+    )
+
+
+@query
+def schema_evolve(spark, sf_dir):
+    """A second load adds columns; the table widens by name, old rows read NULL."""
+    from .operators.layout import align, evolve, read_events, write_events
+
+    fact = event_table(spark, sf_dir)
+    path = work_path(spark, "evolve")
+    first = fact.where(F.col("eventTime") < F.lit(dt.datetime(2024, 1, 16))).drop("score")
+    write_events(first, path)
+    second = fact.where(F.col("eventTime") >= F.lit(dt.datetime(2024, 1, 16))).withColumn(
+        "risk", (F.col("score") / 100.0)
+    )
+    existing = read_events(spark, path).drop("processing_day").schema
+    target, added = evolve(existing, second.schema)
+    write_events(align(second, target), path, mode="append")  # new rows: append, never overwrite
+    t = read_events(spark, path)
+    return t.agg(
+        F.count(F.lit(1)).alias("n"), F.count("score").alias("n_score"), F.count("risk").alias("n_risk"),
+        F.lit(",".join(added)).alias("added"),
+    )
+
+
+@query
+def compact_preserves_rows(spark, sf_dir):
+    """Many small files per partition → compacted; rows identical, fewer files."""
+    from .operators.layout import compact, read_events
+
+    fact = event_table(spark, sf_dir).withColumn("processing_day", F.to_date("processingTime"))
+    path = work_path(spark, "compact")
+    # an append-heavy history: 4 small appends
+    for part in range(4):
+        (fact.where(F.abs(F.xxhash64("eventId")) % 4 == part).repartition(3).write.mode("append")
+         .partitionBy("processing_day", "eventType").parquet(path))
+    before_sum = read_events(spark, path).agg(F.sum("txn_amount")).first()[0]
+    rep = compact(spark, path, target_file_bytes=256 << 20)
+    after_sum = read_events(spark, path).agg(F.sum("txn_amount")).first()[0]
+    return rep.select(
+        "rows_before", "rows_after", "rows_match", (F.col("files_after") < F.col("files_before")).alias("fewer_files"),
+        F.lit(abs((before_sum or 0) - (after_sum or 0)) < 1e-6).alias("sums_match"),
+    )
+
+
+@query
+def retention_expired(spark, sf_dir):
+    """Day partitions older than 20 days before 2024-01-31."""
+    from .operators.layout import expired_partitions
+
+    fact = event_table(spark, sf_dir).withColumn("processing_day", F.to_date("processingTime"))
+    return expired_partitions(fact, "2024-01-31", 20)
+
+
+@query
+def profile_gap(spark, sf_dir):
+    """Arrival gap (processing - event) in hours."""
+    from .operators.profile import arrival_gap_profile
+
+    return arrival_gap_profile(event_table(spark, sf_dir))
+
+
+@query
+def profile_hourly(spark, sf_dir):
+    """T4: events per hour of day with the peak flagged."""
+    from .operators.profile import hourly_profile
+
+    return hourly_profile(event_table(spark, sf_dir))
+
+
+@query
+def profile_partitions(spark, sf_dir):
+    """T5: rows per processing-day partition."""
+    from .operators.profile import partition_profile
+
+    return partition_profile(event_table(spark, sf_dir))
+
+
+@query
+def reconcile_counts(spark, sf_dir):
+    """Per-day counts, deduplicated source vs backfilled target."""
+    from .operators.dedup import keep_last
+    from .operators.profile import reconcile_counts as rc
+
+    src = keep_last(_src(spark, sf_dir), KEYS, ["timeInserted"])
+    tgt = _day_backfill(spark, sf_dir)
+    return rc(src, F.to_date(F.timestamp_millis("timeInserted")), tgt, F.col("processing_day"))
+
+
+@query
+def column_drift(spark, sf_dir):
+    """Names, types and fill rates, backfill source vs live event table."""
+    from .operators.profile import column_drift as cd
+
+    return cd(_src(spark, sf_dir).drop("event_day"), event_table(spark, sf_dir))
+
+
+@query
+def file_profile(spark, sf_dir):
+    """Files, average size and rows per file of the written event table."""
+    from .operators.profile import file_profile as fp
+
+    _, t = _written_events(spark, sf_dir)
+    return fp(t).select("n_rows", (F.col("n_files") > 0).alias("has_files"))
+
+
+@query
+def refresh_non_empty(spark, sf_dir):
+    """The end-to-end check after a rollup refresh: rows > 0."""
+    from .operators.profile import non_empty
+
+    fact = event_table(spark, sf_dir)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_check"))
+    table.refresh(fact, JAN[-1:])
+    return non_empty(table.states())
+
+
+# ---- audit analytics (P5) ------------------------------------------------------
+def _audit(spark, sf_dir):
+    from .sources.audit import audit_table
+
+    return audit_table(spark, sf_dir)
+
+
+def _log(spark, sf_dir):
+    from .sources.audit import execution_log
+
+    return execution_log(spark, sf_dir)
+
+
+@query
+def audit_recent(spark, sf_dir):
+    """A1: newest 20 catalog queries with resource use."""
+    from .operators.audit import recent_queries
+
+    return recent_queries(_audit(spark, sf_dir))
+
+
+@query
+def audit_top_cpu(spark, sf_dir):
+    """A2: top 10 catalog queries by CPU."""
+    from .operators.audit import top_cpu
+
+    return top_cpu(_audit(spark, sf_dir))
+
+
+@query
+def audit_failed(spark, sf_dir):
+    """A3: newest 10 failed queries."""
+    from .operators.audit import failed_queries
+
+    return failed_queries(_audit(spark, sf_dir))
+
+
+@query
+def audit_calibration(spark, sf_dir):
+    """A4: memory and compression ratios per query type, last 30 days."""
+    from .operators.audit import calibration
+
+    return calibration(_log(spark, sf_dir))
+
+
+@query
+def audit_deviation_streaks(spark, sf_dir):
+    """A5: 5+ consecutive runs per tenant with estimate error > 3x."""
+    from .operators.audit import deviation_streaks
+
+    return deviation_streaks(_log(spark, sf_dir))
+
+
+@query
+def audit_frequency_alerts(spark, sf_dir):
+    """Retries > 2 per reason per week and heavy-path upgrades > 5 per day."""
+    from .operators.audit import retry_alerts, upgrade_alerts
+
+    log = _log(spark, sf_dir)
+    r = retry_alerts(log).select(F.lit("retry").alias("alert"), "window_start", F.col("retry_reason").alias("detail"), "n")
+    u = upgrade_alerts(log).select(F.lit("upgrade").alias("alert"), "window_start", F.lit("ADHOC_HEAVY").alias("detail"), "n")
+    return r.unionByName(u)
+
+
+@query
+def audit_estimate_join(spark, sf_dir):
+    """Audit actuals beside logged estimates by query id."""
+    from .operators.audit import estimate_join
+
+    return estimate_join(_audit(spark, sf_dir), _log(spark, sf_dir))
+
+
+@query
+def audit_tenant_graduation(spark, sf_dir):
+    """Per-tenant load signals against thresholds (exact p99)."""
+    from .operators.audit import tenant_graduation
+
+    return tenant_graduation(_log(spark, sf_dir))
+
+
+@query
+def audit_rollup_hit_rate(spark, sf_dir):
+    """Daily rollup hit rate of queries."""
+    from .operators.audit import rollup_hit_rate
+
+    return rollup_hit_rate(_audit(spark, sf_dir))
