@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import coerce, epoch_to_timestamp, parse_list
 from ..functions.types import source_type
-from .dedup import keep_last
 from .layout import PARTITION_COLS as PARTITION_KEYS, write_events
 from .prune import latest_state
 
@@ -129,16 +128,39 @@ def _now():
 
 
 # ---- B2: day backfill ----------------------------------------------------------
-def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted") -> DataFrame:
-    """Dedup *before* the day filter (a row superseded on a later day must not
-    be exported on its earlier day), then keep rows inserted on ``days``."""
-    deduped = keep_last(src, spec.keys, spec.version_cols)
+def _insert_day_pred(days, proc_col: str) -> F.Column:
     pred = None
     for d in sorted(days):
         lo = int(dt.datetime.combine(dt.date.fromisoformat(d), dt.time(), dt.timezone.utc).timestamp() * 1000)
         p = (F.col(proc_col) >= lo) & (F.col(proc_col) < lo + 86_400_000)
         pred = p if pred is None else pred | p
-    return deduped.where(pred if pred is not None else F.lit(False))
+    return pred if pred is not None else F.lit(False)
+
+
+def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted", prefilter=None) -> DataFrame:
+    """Rows inserted on ``days`` that are the *latest* version of their key.
+
+    Dedup happens before the day filter semantically (a row superseded on a
+    later day must not be exported on its earlier day) but is executed in two
+    phases so that wide columns are read only for the exported days:
+
+    1. keys of the day rows → every version of those keys, *narrow*
+       (keys + version columns only) → winning version per key;
+    2. the day rows (wide) semi-joined to the winners on key + version.
+
+    ``prefilter(df)`` may add partition predicates (e.g. derived event-day
+    bounds, F2) to the day-row scan."""
+    keys, ver = list(spec.keys), list(spec.version_cols)
+    day = src.where(_insert_day_pred(days, proc_col))
+    if prefilter is not None:
+        day = prefilter(day)
+    day_keys = day.select(*keys).distinct()
+    versions = src.select(*keys, *ver).join(day_keys, [src[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi")
+    winners = versions.groupBy(*keys).agg(F.max(F.struct(*ver)).alias("_v")).select(
+        *keys, *[F.col(f"_v.{c}").alias(c) for c in ver]
+    )
+    cond = [day[c].eqNullSafe(winners[c]) for c in keys + ver]
+    return day.join(winners, cond, "left_semi")
 
 
 def backfill_days(

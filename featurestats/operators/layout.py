@@ -8,7 +8,6 @@ eventId inside each file; zstd; bloom filters on eventId and userId.
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,43 +78,58 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+REPORT_SCHEMA = "files_before long, files_after long, rows_before long, rows_after long, rows_match boolean"
+
+
 def compact(spark: SparkSession, path: str, partition_filter: str | None = None, target_file_bytes: int = 256 << 20) -> DataFrame:
-    """Rewrite small files of the selected partitions into files of about
+    """Rewrite the selected partitions into files of about
     ``target_file_bytes``, sorted, with a row-count check *before* the swap.
 
-    The rewritten rows are first written to a staging table next to the table
-    (lineage is cut there, so the overwrite never reads what it replaces),
-    counts are compared, then the partitions are overwritten from staging.
+    The fragmented input is read once: rows are clustered by the partition
+    columns with a REBALANCE hint (AQE cuts a hot partition into several
+    ~target-size tasks and packs small ones together — no sampling pass),
+    sorted, and written to a staging folder next to the table while the
+    input row count is observed.  The staged count (Parquet footers only)
+    must match; then the staged files — already clustered and sorted — are
+    copied into the table partitions with a dynamic overwrite, no shuffle.
     Returns a one-row report."""
+    from pyspark.sql import Observation
+
     src = read_events(spark, path)
     if partition_filter:
         src = src.where(partition_filter)
-    files = src.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
-    stats = files.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("b")).first()
-    n_before, bytes_before = int(stats["n"] or 0), int(stats["b"] or 0)
-    rows_before = src.count()
-    if rows_before == 0:
-        return spark.createDataFrame([(0, 0, 0, 0, True)], "files_before long, files_after long, rows_before long, rows_after long, rows_match boolean")
-    n_parts = src.select(*PARTITION_COLS).distinct().count()
-    n_out = max(n_parts, math.ceil(bytes_before / target_file_bytes))
+    files_before = len(src.inputFiles())  # from the file listing, no I/O
+    order = [*PARTITION_COLS, *SORT_COLS]
     staging = path.rstrip("/") + f"__compact_{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
-    (
-        src.repartition(n_out, *PARTITION_COLS)
-        .sortWithinPartitions(*SORT_COLS)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .partitionBy(*PARTITION_COLS)
-        .parquet(staging)
-    )
+    obs = Observation("compaction_input")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, str(target_file_bytes))
+    try:
+        (
+            src.observe(obs, F.count(F.lit(1)).alias("rows"))
+            .hint("rebalance", *PARTITION_COLS)
+            .sortWithinPartitions(*order)
+            .write.mode("overwrite")
+            .option("compression", "zstd")
+            .partitionBy(*PARTITION_COLS)
+            .parquet(staging)
+        )
+    finally:
+        if previous is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, previous)
+    rows_before = int(obs.get.get("rows", 0))
     staged = read_events(spark, staging)
     rows_staged = staged.count()
     if rows_staged != rows_before:
         raise RuntimeError(f"compaction row mismatch: {rows_before} vs {rows_staged}; table untouched")
-    write_cols = [c for c in src.columns]
+    if rows_before == 0:
+        return spark.createDataFrame([(files_before, files_before, 0, 0, True)], REPORT_SCHEMA)
     (
-        staged.select(*write_cols)
-        .repartition(n_out, *PARTITION_COLS)
-        .sortWithinPartitions(*SORT_COLS)
+        staged.select(*src.columns)
+        .sortWithinPartitions(*order)  # already in this order: keeps the writer from re-sorting
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -125,12 +139,8 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     after = read_events(spark, path)
     if partition_filter:
         after = after.where(partition_filter)
-    n_after = after.select(F.col("_metadata.file_path")).distinct().count()
-    rows_after = after.count()
-    return spark.createDataFrame(
-        [(n_before, n_after, rows_before, rows_after, rows_before == rows_after)],
-        "files_before long, files_after long, rows_before long, rows_after long, rows_match boolean",
-    )
+    files_after, rows_after = len(after.inputFiles()), after.count()
+    return spark.createDataFrame([(files_before, files_after, rows_before, rows_after, rows_before == rows_after)], REPORT_SCHEMA)
 
 
 def expired_partitions(df: DataFrame, as_of, keep_days: int, day_col: str = "processing_day") -> DataFrame:

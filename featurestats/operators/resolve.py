@@ -107,10 +107,15 @@ def plan_from_meta(feature_meta: DataFrame, attribute_meta: DataFrame, version:
 
 def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Drop tombstones (NULL value); parse JSON objects.  Output keeps the
-    raw text and the parsed struct ``j`` (with ``j._corrupt`` for bad records)."""
+    raw text and the parsed struct ``j`` (with ``j._corrupt`` for bad records).
+
+    The parse sits inside a one-element ``inline`` generator: filters on the
+    parsed fields (quarantine split) cannot be pushed below a generator, so
+    the optimizer cannot inline ``from_json`` into both the filter and the
+    projection — each message is parsed exactly once."""
+    parsed = F.from_json(F.col(value_col), MESSAGE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
     return raw.where(F.col(value_col).isNotNull()).select(
-        F.col(value_col).alias("raw_value"),
-        F.from_json(F.col(value_col), MESSAGE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"),
+        F.inline(F.array(F.struct(F.col(value_col).alias("raw_value"), parsed.alias("j"))))
     )
 
 

@@ -25,10 +25,14 @@ LOCAL_CONF = {
 }
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "featurestats") -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, app: str = "featurestats", checkpoint_dir: str | None = None
+) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("FEATURESTATS_DRIVER_MEM", "16g"))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in LOCAL_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -43,15 +47,19 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="featurestats-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    """The shared folder named by ``spark.checkpoint.dir``.  Only when the
+    session has none (local tests) is a scratch folder created and set."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(root)
+        return root.rstrip("/")
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="featurestats-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
