@@ -493,3 +493,15 @@ SELECT strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS day, count(*) AS n,
        round(avg(CAST(hitMvs <> '' AS INTEGER)), 4) AS hit_rate,
        round(avg(CAST(candidateMVs <> '' AS INTEGER)), 4) AS candidate_rate
 FROM audit WHERE isQuery = 1 GROUP BY ALL"""
+
+SQL["sql_catalog_query"] = with_events("""
+SELECT eventType, count(*) AS n, count(*) FILTER (WHERE list_contains(actions, 'block')) AS n_blocked
+FROM event_result WHERE eventTime >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY eventType""")
+SQL["cube_tenant_filter"] = SQL["cube_window_stats"]
+SQL["cube_feature_rollup"] = with_events(f"""
+SELECT 'mv_acme_activity_txn_amount' AS rollup, 'acme' AS tenant,
+       strftime(CAST(eventTime AS DATE), '%Y-%m-%d') AS stat_date, {ACTIVITY_CASE} AS segment_value,
+       count(txn_amount) AS cnt, round(sum(txn_amount), 4) AS sum_val, round(min(txn_amount), 4) AS min_val,
+       round(max(txn_amount), 4) AS max_val, round(sum(txn_amount * txn_amount), 4) AS sum_sq,
+       count(*) - count(txn_amount) AS missing_cnt
+FROM event_result GROUP BY ALL""")

@@ -79,7 +79,8 @@ def window_stats(
     window, rollup_part, raw_part = plan_days(as_of, window_days, rollup_days, max_raw_days, reference_mode)
     parts = []
     if rollup is not None and rollup_part:
-        parts.append(rollup.where(F.col("stat_date").isin(rollup_part)))
+        # a rollup table may hold several tenants; partition filter on stat_date
+        parts.append(rollup.where((F.col("tenant") == F.lit(cube.tenant)) & F.col("stat_date").isin(rollup_part)))
     if raw_part:
         if fact is None:
             raise ValueError("raw days requested but no fact table given")

@@ -827,3 +827,36 @@ def audit_rollup_hit_rate(spark, sf_dir):
     from .operators.audit import rollup_hit_rate
 
     return rollup_hit_rate(_audit(spark, sf_dir))
+
+
+# ---- catalog SQL, tenants, per-feature rollup view --------------------------
+@query
+def sql_catalog_query(spark, sf_dir):
+    """The event table registered as a view and queried with Spark SQL."""
+    event_table(spark, sf_dir).createOrReplaceTempView("event_result")
+    return spark.sql(
+        "SELECT eventType, count(*) AS n, count_if(array_contains(actions, 'block')) AS n_blocked "
+        "FROM event_result WHERE eventTime >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY eventType"
+    )
+
+
+@query
+def cube_tenant_filter(spark, sf_dir):
+    """one rollup table holding two tenants; stats for one tenant only."""
+    fact = event_table(spark, sf_dir)
+    other = Cube("activity_cube", ACTIVITY, ACTIVITY_CUBE.features, EXACT, tenant="beta")
+    both = build_states(fact, ACTIVITY_CUBE).unionByName(
+        build_states(fact.where(F.col("eventType") == "click"), other)
+    )
+    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=both, rollup_days=_days(fact))
+
+
+@query
+def cube_feature_rollup(spark, sf_dir):
+    """The per-feature rollup view (mv_{tenant}_{dimension}_{feature})
+    projected from the one-pass multi-feature states."""
+    from .plans.rollup import feature_rollup
+
+    states = build_states(event_table(spark, sf_dir), ACTIVITY_CUBE)
+    view = feature_rollup(states, ACTIVITY_CUBE, "txn_amount")
+    return view.select(F.lit(ACTIVITY_CUBE.rollup_name("txn_amount")).alias("rollup"), "*")
