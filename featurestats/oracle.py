@@ -505,3 +505,4 @@ SELECT 'mv_acme_activity_txn_amount' AS rollup, 'acme' AS tenant,
        round(max(txn_amount), 4) AS max_val, round(sum(txn_amount * txn_amount), 4) AS sum_sq,
        count(*) - count(txn_amount) AS missing_cnt
 FROM event_result GROUP BY ALL""")
+SQL["cube_raw_pruned"] = SQL["cube_fallback_clamped"]

@@ -64,12 +64,32 @@ def time_in_days(col: str, days) -> F.Column:
     return pred
 
 
-def build_states(fact: DataFrame, cube: Cube, days=None) -> DataFrame:
+def processing_day_bounds(days, slack_before: int, slack_after: int, col: str = "processing_day") -> F.Column:
+    """Partition predicate on the processing-day column for event ``days``:
+    a row of event day d arrives within [d - slack_before, d + slack_after]."""
+    ranges = day_ranges(days)
+    pred = None
+    for lo, hi in ranges:
+        p = (F.col(col) >= F.lit(lo - dt.timedelta(days=slack_before))) & (
+            F.col(col) < F.lit(hi + dt.timedelta(days=slack_after))
+        )
+        pred = p if pred is None else (pred | p)
+    return pred if pred is not None else F.lit(False)
+
+
+def build_states(fact: DataFrame, cube: Cube, days=None, proc_slack: tuple[int, int] | None = None) -> DataFrame:
     """Daily states for all target features of ``cube`` (C3/C4 one-pass).
 
+    ``proc_slack=(before, after)`` adds a processing-day partition predicate
+    (tables partitioned by ``processing_day``) so that only partitions that
+    can hold the event days are listed and read; it must cover the measured
+    arrival gap (``arrival_gap_profile``), else late rows are missed.
+
     Columns: tenant, stat_date, segment_value, n_rows, <feature>__<state>..."""
     if days is not None:
         fact = fact.where(time_in_days(cube.time_col, days))
+        if proc_slack is not None and "processing_day" in fact.columns:
+            fact = fact.where(processing_day_bounds(days, *proc_slack))
     states = states_for(cube.measures)
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for f in cube.features:
@@ -114,6 +134,7 @@ class RollupTable:
     cube: Cube
     path: str
     files_per_day: int = 1
+    proc_slack: tuple[int, int] | None = None  # see build_states
 
     @property
     def ledger_path(self) -> str:
@@ -124,7 +145,7 @@ class RollupTable:
         days = sorted(set(days))
         if not days:
             return
-        states = build_states(fact, self.cube, days)
+        states = build_states(fact, self.cube, days, self.proc_slack)
         # one or a few files per day partition; the bucket splits very wide days
         bucket = F.pmod(F.xxhash64("segment_value"), F.lit(self.files_per_day))
         (
@@ -182,7 +203,7 @@ class RollupTable:
         """Definition change (C13): dimension or measure change → recompute every
         day into a fresh table; only new features → callers may keep this one."""
         days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
-        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + "__v2", self.files_per_day)
+        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + "__v2", self.files_per_day, self.proc_slack)
         fresh.refresh(fact, days)
         return fresh
 

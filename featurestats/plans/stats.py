@@ -75,6 +75,7 @@ def window_stats(
     max_raw_days: int | None = None,
     reference_mode: bool = False,
     long_form: bool = True,
+    proc_slack: tuple[int, int] | None = None,
 ) -> DataFrame:
     window, rollup_part, raw_part = plan_days(as_of, window_days, rollup_days, max_raw_days, reference_mode)
     parts = []
@@ -84,7 +85,7 @@ def window_stats(
     if raw_part:
         if fact is None:
             raise ValueError("raw days requested but no fact table given")
-        parts.append(build_states(fact, cube, raw_part))
+        parts.append(build_states(fact, cube, raw_part, proc_slack))
     if not parts:
         raise ValueError("empty window")
     states = parts[0]

@@ -860,3 +860,12 @@ def cube_feature_rollup(spark, sf_dir):
     states = build_states(event_table(spark, sf_dir), ACTIVITY_CUBE)
     view = feature_rollup(states, ACTIVITY_CUBE, "txn_amount")
     return view.select(F.lit(ACTIVITY_CUBE.rollup_name("txn_amount")).alias("rollup"), "*")
+
+
+@query
+def cube_raw_pruned(spark, sf_dir):
+    """C11 + F2 on the stored event table: the raw fallback of the last 7 days
+    reads only processing-day partitions that can hold them (slack 1 day
+    before, 2 after: the fixture's arrival gap is -1 h to 35 h)."""
+    _, stored = _written_events(spark, sf_dir)
+    return window_stats(stored, ACTIVITY_CUBE, AS_OF, 90, max_raw_days=7, proc_slack=(1, 2))
