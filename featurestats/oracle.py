@@ -213,8 +213,8 @@ SQL["resolve_fixed"] = f"""WITH {RES}
 SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType, CAST(user_id AS VARCHAR) AS userId,
   CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS event_ms,
   epoch_us(ts + to_hours(CAST((event_id * 7) % 37 - 1 AS BIGINT))) // 1000 AS proc_ms,
-  to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS rules,
-  to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS actions,
+  CAST(to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS VARCHAR) AS rules,
+  CAST(to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS VARCHAR) AS actions,
   (event_id % 11 = 0) AS fromUpdateAPI,
   CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS originId
 FROM r"""
@@ -232,7 +232,7 @@ SELECT CAST(event_id AS VARCHAR) AS eventId,
   event_id AS txn_ref
 FROM r"""
 SQL["resolve_event_fields_override"] = f"""WITH {RES}
-SELECT account_id IS NULL AS account_missing, count(*) AS n, sum(account_id) AS account_sum
+SELECT account_id IS NULL AS account_missing, count(*) AS n, CAST(sum(account_id) AS BIGINT) AS account_sum
 FROM (SELECT CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id FROM r)
 GROUP BY ALL"""
 SQL["resolve_coercions"] = f"""WITH {RES}
@@ -246,10 +246,10 @@ SQL["resolve_epoch"] = f"""WITH {RES},
 m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'ms' END AS unit,
         CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS ms
       FROM r)
-SELECT unit, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, sum(ms % 1000) AS sum_ms_part FROM m GROUP BY unit"""
+SELECT unit, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, CAST(sum(ms % 1000) AS BIGINT) AS sum_ms_part FROM m GROUP BY unit"""
 SQL["resolve_arrays"] = f"""WITH {RES}
-SELECT to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS rules,
-  to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS actions, count(*) AS n
+SELECT CAST(to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS VARCHAR) AS rules,
+  CAST(to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS VARCHAR) AS actions, count(*) AS n
 FROM r GROUP BY ALL"""
 SQL["unresolved_features"] = f"""WITH {RES}
 SELECT '30' AS feature_id, count(k) AS n_events FROM r
@@ -310,8 +310,8 @@ SELECT unit, 'DONE' AS state, coalesce(n, 0) AS "rows" FROM days LEFT JOIN per_d
 SQL["backfill_dry_run"] = f"""{_DAY_COUNTS}
 SELECT unit, coalesce(n, 0) AS "rows", CAST(0 AS BIGINT) AS ledger_rows FROM days LEFT JOIN per_day USING (unit)"""
 SQL["backfill_parse_lists"] = f"""WITH {SRC}
-SELECT eventId, to_json([CAST(event_id % 13 AS INTEGER)]) AS rules,
-       to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END]) AS actions,
+SELECT eventId, CAST(to_json([CAST(event_id % 13 AS INTEGER)]) AS VARCHAR) AS rules,
+       CAST(to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END]) AS VARCHAR) AS actions,
        '[]' AS trialRules, CASE WHEN event_id % 89 = 0 THEN NULL ELSE '[]' END AS trialActions,
        (['US', 'CN', 'NA', 'DE'])[CAST(pk % 4 AS INTEGER) + 1] AS country,
        CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS score,
@@ -483,7 +483,7 @@ SELECT a.queryId AS query_id, l.query_type, a.scanBytes, l.l1_estimate_bytes,
 FROM audit a LEFT JOIN log l ON a.queryId = l.query_id"""
 SQL["audit_tenant_graduation"] = f"""WITH {LOG},
 t AS (SELECT tenant, count(*) AS n_queries, count(DISTINCT CAST(created_at AS DATE)) AS active_days,
-             sum(actual_scan_bytes) AS scan_bytes, quantile_cont(actual_duration_ms, 0.99) AS p99_ms
+             CAST(sum(actual_scan_bytes) AS BIGINT) AS scan_bytes, quantile_cont(actual_duration_ms, 0.99) AS p99_ms
       FROM log GROUP BY tenant)
 SELECT tenant, n_queries, active_days, round(n_queries / active_days, 4) AS queries_per_day, round(p99_ms, 4) AS p99_ms,
        scan_bytes, (n_queries / active_days > 50 OR p99_ms > 55000.0 OR scan_bytes > 1000000000000) AS graduate
