@@ -95,6 +95,7 @@ def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-ev
     task (not splittable), so parallelism = number of files."""
     return (
         spark.read.option("header", "true")
+        .option("ignoreCorruptFiles", "true")  # an unreadable export yields no rows → FAILED, the run goes on
         .option("multiLine", "true")
         .option("escape", '"')
         .option("inferSchema", "false")
@@ -103,6 +104,19 @@ def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-ev
     )
 
 
+def export_names(text: DataFrame) -> list[str]:
+    """Export (unit) names from the file listing alone — no data is read."""
+    import re
+    from urllib.parse import unquote
+
+    names = set()
+    for path in text.inputFiles():
+        m = re.search(r"snapshot=([^/]+)", path)
+        if m:
+            names.add(unquote(m.group(1)))
+    return sorted(names)
+
+
 # ---- ledger (B3) -------------------------------------------------------------
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
@@ -207,8 +221,8 @@ def backfill_files(
     yields no rows is recorded FAILED and retried next time."""
     spec = spec or BackfillSpec()
     text = read_snapshots(spark, root)
-    units_all = [r.snapshot for r in text.select("snapshot").distinct().collect()]  # one row per export
-    todo = pending_units(spark, sorted(units_all), ledger_path)
+    units_all = export_names(text)
+    todo = pending_units(spark, units_all, ledger_path)
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
     text = text.where(F.col("snapshot").isin(todo))

@@ -119,11 +119,12 @@ def affected_days(fact: DataFrame, proc_lo, proc_hi, time_col: str = "eventTime"
 
     Late rows land in earlier event days; refreshing only "yesterday" would miss
     them.  Returns a DataFrame of distinct ``stat_date`` (small: one row per day)."""
-    return (
-        fact.where((F.col(proc_col) >= F.lit(proc_lo)) & (F.col(proc_col) < F.lit(proc_hi)))
-        .select(F.to_date(F.col(time_col)).alias("stat_date"))
-        .distinct()
-    )
+    arrived = fact.where((F.col(proc_col) >= F.lit(proc_lo)) & (F.col(proc_col) < F.lit(proc_hi)))
+    if "processing_day" in fact.columns:  # same bound on the partition column → partition pruning
+        arrived = arrived.where(
+            (F.col("processing_day") >= F.to_date(F.lit(proc_lo))) & (F.col("processing_day") <= F.to_date(F.lit(proc_hi)))
+        )
+    return arrived.select(F.to_date(F.col(time_col)).alias("stat_date")).distinct()
 
 
 @dataclass
@@ -133,7 +134,6 @@ class RollupTable:
     spark: SparkSession
     cube: Cube
     path: str
-    files_per_day: int = 1
     proc_slack: tuple[int, int] | None = None  # see build_states
 
     @property
@@ -146,10 +146,9 @@ class RollupTable:
         if not days:
             return
         states = build_states(fact, self.cube, days, self.proc_slack)
-        # one or a few files per day partition; the bucket splits very wide days
-        bucket = F.pmod(F.xxhash64("segment_value"), F.lit(self.files_per_day))
+        # clustered by day; AQE's rebalance splits a day with very many segments
         (
-            states.repartition("stat_date", bucket)
+            states.hint("rebalance", "stat_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("stat_date")
@@ -203,7 +202,7 @@ class RollupTable:
         """Definition change (C13): dimension or measure change → recompute every
         day into a fresh table; only new features → callers may keep this one."""
         days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
-        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + "__v2", self.files_per_day, self.proc_slack)
+        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + "__v2", self.proc_slack)
         fresh.refresh(fact, days)
         return fresh
 

@@ -94,7 +94,10 @@ def window_stats(
     source = "hybrid" if (rollup_part and raw_part) else ("rollup" if rollup_part else "raw")
     covered = len(rollup_part) + len(raw_part)
     st_names = states_for(cube.measures)
-    aggs = [F.count_distinct("stat_date").alias("active_days")]
+    # states hold one row per (stat_date, segment) and the rollup and raw parts cover
+    # disjoint days, so counting rows counts active days — a single aggregation
+    # instead of a distinct-count (which adds an Expand and a second shuffle)
+    aggs = [F.count(F.lit(1)).alias("active_days")]
     for f in cube.features:
         aggs += merge_exprs(f, st_names)
     merged = states.groupBy("segment_value").agg(*aggs)

@@ -55,16 +55,25 @@ class MetadataCache:
 
 
 def message_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """S1 stand-in: one message per line from files arriving in ``source_dir``.
-
-    Production: ``spark.readStream.format("kafka").option("subscribe",
-    f"velocity-al-{tenant}")...load().select(F.col("value").cast("string"))``."""
+    """S1 stand-in: one message per line from files arriving in ``source_dir``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(source_dir)
 
 
+def kafka_message_stream(spark: SparkSession, bootstrap: str, topic: str, max_offsets_per_trigger: int | None = None):
+    """S1 in production: one topic per tenant, message value as text.  Needs the
+    Kafka connector on the classpath (not present in this container: untested)."""
+    reader = (
+        spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic)
+        .option("startingOffsets", "earliest")
+    )
+    if max_offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
+    return reader.load().select(F.col("value").cast("string").alias("value"))
+
+
 def dedup_stream(parsed: DataFrame, watermark: str = "36 hours") -> DataFrame:
     """D3: drop redelivered events (same eventId) within the watermark; the
     delay bound is the measured arrival gap (max ~36 h)."""
@@ -99,6 +108,12 @@ def start_ingest(
 ):
     """Start the ingest query; ``trigger`` defaults to 10-minute commits."""
     parsed = parse_messages(message_stream(spark, source_dir))
+    if dedup_watermark and not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
+        # dedup state = event ids of the last 36 h: keep it off the JVM heap
+        spark.conf.set(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     if dedup_watermark:
         parsed = dedup_stream(parsed, dedup_watermark)
     ledger_path = table_path.rstrip("/") + "__batches"
