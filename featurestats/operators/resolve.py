@@ -146,14 +146,30 @@ def _feature_expr(col: ResolvedColumn, j: str = "j") -> F.Column:
     return expr.cast(col.dtype).alias(col.name)
 
 
+def _bad_time(c) -> F.Column:
+    return c.isNotNull() & epoch_to_timestamp(c).isNull()
+
+
+def bad_fixed_fields(j: str = "j") -> F.Column:
+    """A present fixed field that does not parse: processing time, originId, or
+    a non-null rule id that is not a number (the reference fails such records)."""
+    c = lambda n: F.col(f"{j}.{n}")
+    bad_rules = lambda a: F.coalesce(
+        F.exists(a, lambda x: x.isNotNull() & to_int(x).isNull()), F.lit(False)
+    )
+    return (
+        _bad_time(F.coalesce(c("processTime"), c("processingTime")))
+        | (c("originId").isNotNull() & to_int(c("originId")).isNull())
+        | bad_rules(c("rules"))
+        | bad_rules(c("trialRules"))
+    )
+
+
 def is_quarantined(j: str = "j") -> F.Column:
     """Records that are not JSON objects, have a field of the wrong JSON type,
-    or whose event time does not parse."""
+    or whose event time or another fixed field does not parse."""
     c = lambda n: F.col(f"{j}.{n}")
-    bad_time = F.coalesce(c("time"), c("eventTime")).isNotNull() & epoch_to_timestamp(
-        F.coalesce(c("time"), c("eventTime"))
-    ).isNull()
-    return c("_corrupt").isNotNull() | bad_time
+    return c("_corrupt").isNotNull() | _bad_time(F.coalesce(c("time"), c("eventTime"))) | bad_fixed_fields(j)
 
 
 def resolve(parsed: DataFrame, plan: SchemaPlan) -> DataFrame:
@@ -173,7 +189,8 @@ def quarantine(parsed: DataFrame) -> DataFrame:
         "raw_value",
         F.when(~present, "not_an_object")
         .when(F.col("j._corrupt").isNotNull(), "field_type_mismatch")
-        .otherwise("bad_event_time")
+        .when(_bad_time(F.coalesce(F.col("j.time"), F.col("j.eventTime"))), "bad_event_time")
+        .otherwise("bad_fixed_field")
         .alias("reason"),
     )
 

@@ -506,3 +506,6 @@ SELECT 'mv_acme_activity_txn_amount' AS rollup, 'acme' AS tenant,
        count(*) - count(txn_amount) AS missing_cnt
 FROM event_result GROUP BY ALL""")
 SQL["cube_raw_pruned"] = SQL["cube_fallback_clamped"]
+SQL["reconcile_keys"] = f"""WITH {SRC}
+SELECT 'source_only' AS side, eventId FROM dedup
+WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')"""

@@ -869,3 +869,18 @@ def cube_raw_pruned(spark, sf_dir):
     before, 2 after: the fixture's arrival gap is -1 h to 35 h)."""
     _, stored = _written_events(spark, sf_dir)
     return window_stats(stored, ACTIVITY_CUBE, AS_OF, 90, max_raw_days=7, proc_slack=(1, 2))
+
+
+@query
+def reconcile_keys(spark, sf_dir):
+    """T6 key level: a backfill that skipped 2024-01-10 → exactly that day's
+    keys are reported as source-only, nothing as target-only."""
+    from .operators.backfill import BackfillSpec, backfill_days
+    from .operators.dedup import keep_last
+    from .operators.profile import reconcile_keys as rk
+
+    src = _src(spark, sf_dir)
+    target, ledger = work_path(spark, "bf_keys"), work_path(spark, "bf_keys_ledger")
+    backfill_days(spark, src, [d for d in _proc_days(src) if d != "2024-01-10"], target, ledger, BackfillSpec())
+    deduped = keep_last(src, KEYS, ["timeInserted"])
+    return rk(deduped.select("eventId"), spark.read.parquet(target).select("eventId"), ["eventId"])

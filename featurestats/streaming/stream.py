@@ -29,6 +29,11 @@ from ..operators.resolve import SchemaPlan, is_quarantined, parse_messages, plan
 log = logging.getLogger(__name__)
 
 
+def _signature(plan: SchemaPlan):
+    """Names, types *and* id mappings: a remapped id is a new version too."""
+    return tuple((c.name, c.dtype.simpleString(), tuple(c.feature_ids), tuple(c.attribute_ids)) for c in plan.columns)
+
+
 @dataclass
 class MetadataCache:
     """The projection plan for the latest good metadata."""
@@ -42,7 +47,7 @@ class MetadataCache:
         try:
             features, attributes = self.loader()
             fresh = plan_from_meta(features, attributes, self.version + 1)
-            if self.plan is None or fresh.struct() != self.plan.struct():
+            if self.plan is None or _signature(fresh) != _signature(self.plan):
                 self.version += 1
                 fresh.version = self.version
                 self.plan = fresh

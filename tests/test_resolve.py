@@ -26,6 +26,9 @@ MSGS = [
     "42",
     '{"eventId":"e4","rules":"nope"}',
     '{"eventId":"e5","time":"soon"}',
+    '{"eventId":"e6","time":1774597200,"originId":"abc"}',
+    '{"eventId":"e7","time":1774597200,"rules":[1,"x"]}',
+    '{"eventId":"e8","time":1774597200,"processTime":"later"}',
     None,
 ]
 
@@ -68,6 +71,9 @@ def test_quarantine_reasons(spark):
         "42": "not_an_object",
         '{"eventId":"e4","rules":"nope"}': "field_type_mismatch",
         '{"eventId":"e5","time":"soon"}': "bad_event_time",
+        '{"eventId":"e6","time":1774597200,"originId":"abc"}': "bad_fixed_field",
+        '{"eventId":"e7","time":1774597200,"rules":[1,"x"]}': "bad_fixed_field",
+        '{"eventId":"e8","time":1774597200,"processTime":"later"}': "bad_fixed_field",
     }
 
 
