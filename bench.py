@@ -63,10 +63,16 @@ def main():
     for part in range(4):
         (staged.where(F.abs(F.xxhash64("eventId")) % 4 == part).coalesce(1).write.mode("append")
          .partitionBy("processing_day", "eventType").parquet(frag))
-    files_before = read_events(spark, frag).select("_metadata.file_path").distinct().count()
+    # cold = fresh DataFrame (file listing + footers); warm = same DataFrame again
+    t_frag = read_events(spark, frag)
+    files_before = len(t_frag.inputFiles())
     q["q1_fragmented"], _ = timed(lambda: q1(read_events(spark, frag)))
+    q["q1_fragmented_warm"], _ = timed(lambda: q1(t_frag))
     q["compaction"], rep = timed(lambda: compact(spark, frag).first())
     q["q1_compacted"], _ = timed(lambda: q1(read_events(spark, frag)))
+    t_comp = read_events(spark, frag)
+    q1(t_comp)
+    q["q1_compacted_warm"], _ = timed(lambda: q1(t_comp))
     extra["files_before_after"] = [files_before, rep["files_after"]]
 
     # Q1 from the daily action rollup
@@ -77,6 +83,9 @@ def main():
         F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("n_blocked")).write.parquet(action_path))
     q["q1_via_rollup"], _ = timed(lambda: spark.read.parquet(action_path).groupBy("eventType").agg(
         (F.sum("n_blocked") / F.sum("n")).alias("block_rate")).collect())
+    t_roll = spark.read.parquet(action_path)
+    q["q1_via_rollup_warm"], _ = timed(lambda: t_roll.groupBy("eventType").agg(
+        (F.sum("n_blocked") / F.sum("n")).alias("block_rate")).collect())
 
     # cube: rollup build, 30-day stats from rollup vs raw
     cube = Cube("bench", ACTIVITY, ("txn_amount", "score"), ALL, tenant="acme")
@@ -118,6 +127,7 @@ def main():
 
     ratios = {
         "q1_fragmented_over_compacted": q["q1_fragmented"] / max(q["q1_compacted"], 1e-9),
+        "q1_fragmented_over_compacted_warm": q["q1_fragmented_warm"] / max(q["q1_compacted_warm"], 1e-9),
         "q1_fragmented_over_rollup": q["q1_fragmented"] / max(q["q1_via_rollup"], 1e-9),
         "stats_raw_over_rollup": q["cube_stats_raw"] / max(q["cube_stats_rollup"], 1e-9),
         "dedup_200_over_10": q["dedup_200_cols"] / max(q["dedup_10_cols"], 1e-9),
