@@ -122,7 +122,7 @@ def main():
 
     # event resolution from JSON
     plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
-    q["resolve_json"], _ = timed(lambda: resolve(parse_messages(raw_messages(spark, sf_dir)), plan)
+    q["resolve_json"], _ = timed(lambda: resolve(parse_messages(raw_messages(spark, sf_dir), plan=plan), plan)
                                  .select(F.count(F.lit(1)), F.sum("txn_amount"), F.count("account_id")).collect())
 
     ratios = {

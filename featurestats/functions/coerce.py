@@ -91,3 +91,26 @@ def parse_list(s: Column, element: T.DataType) -> Column:
         typed = F.transform(arr, lambda x: coerce(x, element))
     kept = F.filter(typed, lambda x: x.isNotNull())
     return F.when(looks_like_list, kept)
+
+
+# ---- typed JSON values (VARIANT) ------------------------------------------------
+# With the JSON type kept, one typed extraction per value reproduces the
+# stream transform's conversions: a number converts by value (3.7 → 3 for an
+# integer), a string is parsed with the target's text syntax (the string
+# "3.7" is not an integer → NULL), and a boolean is TRUE only for JSON true or
+# the text "true" (the number 1 → FALSE).  Known remaining differences: a
+# JSON boolean read as a number gives 1/0 (the reference: NULL) and integer
+# text with surrounding blanks parses (the reference: NULL).
+
+
+def coerce_variant(v: Column, dtype: T.DataType) -> Column:
+    """A JSON value (VARIANT) → ``dtype``; NULL when the value does not convert."""
+    if isinstance(dtype, T.DoubleType):
+        x = F.try_variant_get(v, "$", "double")
+        return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
+    if isinstance(dtype, (T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return F.try_variant_get(v, "$", dtype.simpleString())
+    text = F.try_variant_get(v, "$", "string")  # strings unquoted, other values as JSON text
+    if isinstance(dtype, T.BooleanType):
+        return F.when(text.isNotNull(), F.lower(text) == F.lit("true"))
+    return text

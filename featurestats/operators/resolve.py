@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import coerce, epoch_to_timestamp, int_array, to_boolean, to_int
+from ..functions.coerce import coerce_variant, epoch_to_timestamp, int_array, to_boolean, to_int
 from ..functions.types import stream_type
 
 # The fixed columns of the event table, in order, with types.
@@ -35,23 +35,46 @@ FIXED_COLUMNS = [
     ("fromUpdateAPI", T.BooleanType()),
 ]
 
-# Message schema: every scalar as text (numbers or numeric strings both parse),
-# maps of text values (nested values become JSON text), arrays of text.
+# Fixed part of the message schema: scalars as text (numbers and numeric
+# strings both parse), arrays of text.
+FIXED_MESSAGE_FIELDS = [
+    T.StructField(n, T.StringType())
+    for n in (
+        "eventId", "eventType", "userId", "time", "eventTime", "processTime", "processingTime",
+        "reEvaluateEntity", "originId", "originCategory", "fromUpdateAPI",
+    )
+] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("rules", "actions", "trialRules", "trialActions")]
+
+# Generic schema: maps of text values (nested values become JSON text).  Used
+# where the *set* of ids matters (unresolved-id audit); resolution uses the
+# per-metadata schema of ``message_schema``.
 MESSAGE_SCHEMA = T.StructType(
-    [
-        T.StructField(n, T.StringType())
-        for n in (
-            "eventId", "eventType", "userId", "time", "eventTime", "processTime", "processingTime",
-            "reEvaluateEntity", "originId", "originCategory", "fromUpdateAPI",
-        )
-    ]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("rules", "actions", "trialRules", "trialActions")]
+    FIXED_MESSAGE_FIELDS
     + [T.StructField(n, T.MapType(T.StringType(), T.StringType())) for n in ("featureMap", "eventFields")]
     + [T.StructField("_corrupt", T.StringType())]
 )
 TOP_FIELDS = [f.name for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt"]
 
 
+def message_schema(plan: "SchemaPlan | None") -> T.StructType:
+    """Parse schema for one metadata version: ``featureMap`` and ``eventFields``
+    become structs with one VARIANT field per known id.  The JSON parser
+    matches keys by name while streaming through the object, so resolving N
+    features costs O(N) per message (a map lookup per feature would scan the
+    keys each time: O(N^2)); unknown ids are skipped by the parser; VARIANT
+    keeps each value's JSON type for the conversion rules."""
+    if plan is None:
+        return MESSAGE_SCHEMA
+    f_ids = sorted({i for c in plan.columns for i in c.feature_ids}, key=int)
+    a_ids = sorted({i for c in plan.columns for i in c.attribute_ids}, key=int)
+    as_struct = lambda ids: T.StructType([T.StructField(i, T.VariantType()) for i in ids])
+    return T.StructType(
+        FIXED_MESSAGE_FIELDS
+        + [T.StructField("featureMap", as_struct(f_ids)), T.StructField("eventFields", as_struct(a_ids))]
+        + [T.StructField("_corrupt", T.StringType())]
+    )
+
+
 @dataclass
 class ResolvedColumn:
     name: str
@@ -105,15 +128,17 @@ def plan_from_meta(feature_meta: DataFrame, attribute_meta: DataFrame, version:
     return build_schema(f_rows, a_rows, version)
 
 
-def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_messages(raw: DataFrame, value_col: str = "value", plan: "SchemaPlan | None" = None) -> DataFrame:
     """Drop tombstones (NULL value); parse JSON objects.  Output keeps the
     raw text and the parsed struct ``j`` (with ``j._corrupt`` for bad records).
+    With a ``plan`` the feature maps are parsed by id (``message_schema``).
 
     The parse sits inside a one-element ``inline`` generator: filters on the
     parsed fields (quarantine split) cannot be pushed below a generator, so
     the optimizer cannot inline ``from_json`` into both the filter and the
     projection — each message is parsed exactly once."""
-    parsed = F.from_json(F.col(value_col), MESSAGE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    schema = message_schema(plan)
+    parsed = F.from_json(F.col(value_col), schema, {"columnNameOfCorruptRecord": "_corrupt"})
     return raw.where(F.col(value_col).isNotNull()).select(
         F.inline(F.array(F.struct(F.col(value_col).alias("raw_value"), parsed.alias("j"))))
     )
@@ -141,7 +166,9 @@ def _fixed_exprs(j: str = "j") -> list[F.Column]:
 def _feature_expr(col: ResolvedColumn, j: str = "j") -> F.Column:
     """Attribute values (R3) override feature values (R2) when present."""
     fm, ef = F.col(f"{j}.featureMap"), F.col(f"{j}.eventFields")
-    sources = [coerce(ef[a], col.dtype) for a in col.attribute_ids] + [coerce(fm[f], col.dtype) for f in col.feature_ids]
+    sources = [coerce_variant(ef.getField(a), col.dtype) for a in col.attribute_ids] + [
+        coerce_variant(fm.getField(f), col.dtype) for f in col.feature_ids
+    ]
     expr = sources[0] if len(sources) == 1 else F.coalesce(*sources)
     return expr.cast(col.dtype).alias(col.name)
 
@@ -173,13 +200,14 @@ def is_quarantined(j: str = "j") -> F.Column:
 
 
 def resolve(parsed: DataFrame, plan: SchemaPlan) -> DataFrame:
-    """One projection to the wide typed table (good records only)."""
+    """One projection to the wide typed table (good records only).
+    ``parsed`` must come from ``parse_messages(..., plan=plan)``."""
     good = parsed.where(~is_quarantined())
     return good.select(*_fixed_exprs(), *[_feature_expr(c) for c in plan.columns])
 
 
 def resolve_messages(raw: DataFrame, plan: SchemaPlan, value_col: str = "value") -> DataFrame:
-    return resolve(parse_messages(raw, value_col), plan)
+    return resolve(parse_messages(raw, value_col, plan), plan)
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

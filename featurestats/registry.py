@@ -320,7 +320,7 @@ def _resolved(spark, sf_dir):
     from .sources.messages import attribute_meta, feature_meta, raw_messages
 
     plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
-    return resolve(parse_messages(raw_messages(spark, sf_dir)), plan)
+    return resolve(parse_messages(raw_messages(spark, sf_dir), plan=plan), plan)
 
 
 @query

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.resolve import SchemaPlan, is_quarantined, parse_messages, plan_from_meta, resolve
 
 log = logging.getLogger(__name__)
+FIXED_ONLY = SchemaPlan([], [])  # stream-level parse: fixed fields only (feature maps as empty structs)
 
 
 def _signature(plan: SchemaPlan):
@@ -91,8 +92,11 @@ def dedup_stream(parsed: DataFrame, watermark: str = "36 hours") -> DataFrame:
 
 
 def write_batch(batch: DataFrame, plan: SchemaPlan, table_path: str) -> None:
-    """Resolve one micro-batch and append it in the table layout."""
-    out = resolve(batch, plan).withColumn("processing_day", F.to_date("processingTime"))
+    """Resolve one micro-batch and append it in the table layout (S8).  The
+    stream parsed only the fixed fields; features are parsed here with the
+    schema of the current metadata version."""
+    raw = batch.select(F.col("raw_value").alias("value"))
+    out = resolve(parse_messages(raw, plan=plan), plan).withColumn("processing_day", F.to_date("processingTime"))
     (
         out.repartition("processing_day", "eventType")
         .sortWithinPartitions("eventType", "eventTime", "eventId")
@@ -112,7 +116,7 @@ def start_ingest(
     trigger: dict | None = None,
 ):
     """Start the ingest query; ``trigger`` defaults to 10-minute commits."""
-    parsed = parse_messages(message_stream(spark, source_dir))
+    parsed = parse_messages(message_stream(spark, source_dir), plan=FIXED_ONLY)
     if dedup_watermark and not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
         # dedup state = event ids of the last 36 h: keep it off the JVM heap
         spark.conf.set(

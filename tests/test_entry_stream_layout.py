@@ -48,7 +48,7 @@ def test_stream_equals_batch(spark):
     q.awaitTermination()
     streamed = spark.read.parquet(table).select("eventId", "txn_amount", "account_id")
     plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
-    batch = resolve(parse_messages(raw_messages(spark, SF_SMALL)), plan).select("eventId", "txn_amount", "account_id")
+    batch = resolve(parse_messages(raw_messages(spark, SF_SMALL), plan=plan), plan).select("eventId", "txn_amount", "account_id")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
