@@ -89,7 +89,7 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     columns with a REBALANCE hint (AQE cuts a hot partition into several
     ~target-size tasks and packs small ones together — no sampling pass),
     sorted, and written to a staging folder next to the table while the
-    input row count is observed.  The staged count (Parquet footers only)
+    row count is observed in the writing stage.  The staged count (Parquet footers only)
     must match; then the staged files — already clustered and sorted — are
     copied into the table partitions with a dynamic overwrite, no shuffle.
     Returns a one-row report."""
@@ -107,8 +107,10 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     spark.conf.set(key, str(target_file_bytes))
     try:
         (
-            src.observe(obs, F.count(F.lit(1)).alias("rows"))
-            .hint("rebalance", *PARTITION_COLS)
+            src.hint("rebalance", *PARTITION_COLS)
+            # observed in the writing (result) stage: counted once per partition even
+            # when a lost shuffle makes Spark re-run the map stage
+            .observe(obs, F.count(F.lit(1)).alias("rows"))
             .sortWithinPartitions(*order)
             .write.mode("overwrite")
             .option("compression", "zstd")
