@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import coerce, epoch_to_timestamp, parse_list
 from ..functions.types import source_type
+from ..session import path_exists
 from .layout import PARTITION_COLS as PARTITION_KEYS, write_events
 from .prune import latest_state
 
@@ -119,10 +120,9 @@ def export_names(text: DataFrame) -> list[str]:
 
 # ---- ledger (B3) -------------------------------------------------------------
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except Exception:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
 def append_ledger(spark: SparkSession, path: str, rows: DataFrame) -> None:
@@ -235,10 +235,7 @@ def backfill_files(
     if dry_run:
         return counts
     rows = rows.withColumn("processing_day", F.to_date("processingTime"))
-    try:
-        existing = spark.read.option("mergeSchema", "true").parquet(target)
-    except Exception:  # first load
-        existing = None
+    existing = spark.read.option("mergeSchema", "true").parquet(target) if path_exists(spark, target) else None
     if existing is not None:
         touched = rows.select(*PARTITION_KEYS).distinct()
         keep = existing.join(touched, list(PARTITION_KEYS), "left_semi").where(~F.col("_source_file").isin(todo))

@@ -45,7 +45,10 @@ def write_events(df: DataFrame, path: str, mode: str = "overwrite", max_records_
     )
     for c in BLOOM_COLS:
         if c in df.columns:
-            w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            # adaptive: the filter is sized to the distinct values actually written
+            # (a fixed default costs 1 MB per column per file, even for tiny files)
+            w = (w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+                 .option("parquet.bloom.filter.adaptive.enabled", "true"))
     w.partitionBy(*PARTITION_COLS).parquet(path)
 
 

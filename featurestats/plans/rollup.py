@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.measures import state_exprs, state_name, states_for
+from ..session import path_exists
 from .cube import Cube
 
 LEDGER_SCHEMA = T.StructType(
@@ -182,10 +183,9 @@ class RollupTable:
 
     def ledger(self) -> DataFrame:
         """Latest status per day (later refreshes win)."""
-        try:
-            raw = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger_path)
-        except Exception:  # no ledger yet
+        if not path_exists(self.spark, self.ledger_path):  # no ledger yet
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        raw = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger_path)
         return raw.groupBy("rollup", "stat_date").agg(
             *[
                 F.max_by(F.col(c), F.struct("refreshed_at", "status")).alias(c)

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
 from ..operators.resolve import SchemaPlan, is_quarantined, parse_messages, plan_from_meta, resolve
 
 log = logging.getLogger(__name__)
@@ -128,10 +129,9 @@ def start_ingest(
     ledger_path = table_path.rstrip("/") + "__batches"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.parquet(ledger_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        except Exception:  # no ledger yet
-            done = False
+        done = path_exists(spark, ledger_path) and (
+            spark.read.parquet(ledger_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
+        )
         if done:
             return
         plan = metadata.refresh()
