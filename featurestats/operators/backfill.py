@@ -67,11 +67,19 @@ def convert_rows(df: DataFrame, spec: BackfillSpec) -> DataFrame:
     return df.select(*out)
 
 
-def type_snapshot(df: DataFrame, declared: dict[str, str], null_spellings=None) -> DataFrame:
+def declared_types(declared) -> dict[str, str]:
+    """``(name, type)`` table (DataFrame, small) or dict → dict."""
+    if isinstance(declared, DataFrame):
+        return {r[0]: r[1] for r in declared.select("name", "type").collect()}
+    return dict(declared)
+
+
+def type_snapshot(df: DataFrame, declared, null_spellings=None) -> DataFrame:
     """R13 + R14: typed projection of an all-text table from declared types.
     Arrays parse from list literals, scalars by the coercion rules; columns
     without a declaration stay text.  ``null_spellings`` (e.g. ['NA', 'null'])
     reproduces reader-level NULL spellings; by default only '' is NULL."""
+    declared = declared_types(declared)
     cols = []
     for name in df.columns:
         s = F.col(f"`{name}`")
@@ -206,7 +214,7 @@ def backfill_days(
 
 # ---- B1: file backfill -----------------------------------------------------------
 def backfill_files(
-    spark: SparkSession, root: str, declared: dict[str, str], target: str, ledger_path: str,
+    spark: SparkSession, root: str, declared, target: str, ledger_path: str,
     spec: BackfillSpec | None = None, dry_run: bool = False, null_spellings=None,
 ) -> DataFrame:
     """B1: every pending export in one job; unit = export (file) name.
@@ -226,7 +234,7 @@ def backfill_files(
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
     text = text.where(F.col("snapshot").isin(todo))
-    rows = convert_rows(type_snapshot(text, dict(declared), null_spellings), spec).withColumnRenamed(
+    rows = convert_rows(type_snapshot(text, declared, null_spellings), spec).withColumnRenamed(
         "snapshot", "_source_file"
     )
     counts = rows.groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))

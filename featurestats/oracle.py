@@ -509,3 +509,4 @@ SQL["cube_raw_pruned"] = SQL["cube_fallback_clamped"]
 SQL["reconcile_keys"] = f"""WITH {SRC}
 SELECT 'source_only' AS side, eventId FROM dedup
 WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')"""
+SQL["cube_rebuild_add_feature"] = SQL["cube_window_stats"]

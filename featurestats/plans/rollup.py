@@ -199,14 +199,52 @@ class RollupTable:
         return sorted(r.stat_date for r in rows)
 
     def rebuild(self, fact: DataFrame, new_cube: Cube) -> "RollupTable":
-        """Definition change (C13): dimension or measure change → recompute every
-        day into a fresh table; only new features → callers may keep this one."""
-        days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
-        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + "__v2", self.proc_slack)
-        fresh.refresh(fact, days)
+        """Apply a definition change into a fresh table (the old one keeps
+        serving until callers switch).  Dimension or measure change → every
+        day of every feature is recomputed; added features → only their
+        columns are scanned from the fact table and their states joined onto
+        the stored ones; removed features → a projection of the stored states."""
+        action = plan_rebuild(self.cube, new_cube)
+        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + f"__{action}", self.proc_slack)
+        keys = ["tenant", "stat_date", "segment_value"]
+        if action == "full":
+            days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
+            fresh.refresh(fact, days)
+            return fresh
+        states = self.states()
+        keep = [c for c in states.columns if c in keys or c == "n_rows"
+                or c.split("__", 1)[0] in new_cube.features]
+        out = states.select(*keep)
+        added = [f for f in new_cube.features if f not in self.cube.features]
+        if added:
+            days = self.active_days()
+            extra_cube = Cube(new_cube.name, new_cube.dimension, tuple(added), new_cube.measures, new_cube.tenant,
+                              new_cube.time_col)
+            extra = build_states(fact, extra_cube, days, self.proc_slack).drop("n_rows")
+            out = out.join(extra, keys, "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+        out.hint("rebalance", "stat_date").write.mode("overwrite").partitionBy("stat_date").parquet(fresh.path)
+        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.ledger().where(F.col("status") == "ACTIVE").select(
+            F.lit(new_cube.name).alias("rollup"), "stat_date", "status", "n_rows",
+            F.lit(stamp).cast("timestamp").alias("refreshed_at"), "error_message",
+        ).coalesce(1).write.mode("append").parquet(fresh.ledger_path)
         return fresh
 
 
+def plan_rebuild(old: Cube, new: Cube) -> str:
+    """Which rebuild a definition change needs: 'full', 'add_features',
+    'drop_features' (features only removed) or 'none'."""
+    if old.dimension != new.dimension or set(old.measures) != set(new.measures) or old.time_col != new.time_col:
+        return "full"
+    added = set(new.features) - set(old.features)
+    removed = set(old.features) - set(new.features)
+    if added:
+        return "add_features"
+    if removed:
+        return "drop_features"
+    return "none"
+
+
 def rollup_status(ledger: DataFrame, expected_days) -> DataFrame:
     """Rollup status (C15): ACTIVE when every expected day is refreshed, ERROR when
     any day failed, else CREATING; plus counts of present / missing days."""

@@ -541,11 +541,11 @@ def backfill_parse_lists(spark, sf_dir):
     """B1 + S3/S4 + R13/R14: gzip CSV exports (all text, quoted newlines) typed
     from declared types; list literals parsed, bad lists NULL."""
     from .operators.backfill import backfill_files
-    from .sources.snapshots import SNAPSHOT_TYPES, write_snapshots
+    from .sources.snapshots import snapshot_types, write_snapshots
 
     root = write_snapshots(spark, sf_dir, work_path(spark, "snapshots"))
     target, ledger = work_path(spark, "bf_files"), work_path(spark, "bf_files_ledger")
-    backfill_files(spark, root, dict(SNAPSHOT_TYPES), target, ledger)
+    backfill_files(spark, root, snapshot_types(spark), target, ledger)  # declared types as a (name, type) table
     t = spark.read.parquet(target)
     return t.select("eventId", "rules", "actions", "trialRules", "trialActions", "country", "score", "note", "created",
                     F.unix_millis("processingTime").alias("proc_ms"))
@@ -884,3 +884,15 @@ def reconcile_keys(spark, sf_dir):
     backfill_days(spark, src, [d for d in _proc_days(src) if d != "2024-01-10"], target, ledger, BackfillSpec())
     deduped = keep_last(src, KEYS, ["timeInserted"])
     return rk(deduped.select("eventId"), spark.read.parquet(target).select("eventId"), ["eventId"])
+
+
+@query
+def cube_rebuild_add_feature(spark, sf_dir):
+    """A feature is added to a cube → only that feature's column is
+    aggregated and joined onto the stored rollup; stats equal a full build."""
+    fact = event_table(spark, sf_dir)
+    old = Cube("activity_cube", ACTIVITY, ("txn_amount",), EXACT, tenant="acme")
+    table = RollupTable(spark, old, work_path(spark, "rollup_add"))
+    table.refresh(fact, _days(fact))
+    fresh = table.rebuild(fact, ACTIVITY_CUBE)
+    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=fresh.states(), rollup_days=fresh.active_days())
