@@ -19,7 +19,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from featurestats.operators.backfill import BackfillSpec, day_rows  # noqa: E402
-from featurestats.operators.dedup import keep_last  # noqa: E402
 from featurestats.operators.layout import compact, read_events  # noqa: E402
 from featurestats.operators.prune import with_event_partition_bounds  # noqa: E402
 from featurestats.operators.resolve import parse_messages, plan_from_meta, resolve  # noqa: E402

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from featurestats.operators.backfill import (
-    BackfillSpec, append_ledger, backfill_days, backfill_files, read_ledger, stitch_slices,
+    append_ledger, backfill_days, backfill_files, read_ledger, stitch_slices,
 )
 from featurestats.operators.dedup import duplicate_profile, keep_last, keep_last_two_phase
 from featurestats.operators.prune import latest_state
