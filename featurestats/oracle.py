@@ -235,13 +235,18 @@ SQL["resolve_event_fields_override"] = f"""WITH {RES}
 SELECT account_id IS NULL AS account_missing, count(*) AS n, CAST(sum(account_id) AS BIGINT) AS account_sum
 FROM (SELECT CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id FROM r)
 GROUP BY ALL"""
-SQL["resolve_coercions"] = f"""WITH {RES}
-SELECT CAST(event_id AS VARCHAR) AS eventId,
-  round(CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END, 4) AS txn_amount,
-  round(CAST(CASE WHEN event_id % 100 = 14 THEN CAST('NaN' AS FLOAT) ELSE CAST(value AS FLOAT) END AS DOUBLE), 4) AS amount_f,
-  CAST(CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS BIGINT) AS score,
-  CASE WHEN event_id % 100 = 12 THEN false ELSE event_id % 2 = 0 END AS is_even
-FROM r WHERE event_id % 100 IN (11, 12, 13, 14)"""
+SQL["resolve_coercions"] = f"""WITH {RES},
+c AS (
+  SELECT CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END AS amount,
+         CASE WHEN event_id % 100 = 14 THEN CAST('NaN' AS FLOAT) ELSE CAST(value AS FLOAT) END AS amount_f,
+         CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS score,
+         CASE WHEN event_id % 100 = 12 THEN false ELSE event_id % 2 = 0 END AS is_even
+  FROM r)
+SELECT count(*) AS n, count(amount) AS amount_present, round(sum(amount), 4) AS amount_sum,
+       count(*) FILTER (WHERE isnan(amount_f)) AS amount_f_nan, count(amount_f) AS amount_f_present,
+       count(score) AS score_present, CAST(sum(score) AS BIGINT) AS score_sum,
+       count(*) FILTER (WHERE is_even) AS even_true, count(*) FILTER (WHERE NOT is_even) AS even_false
+FROM c"""
 SQL["resolve_epoch"] = f"""WITH {RES},
 m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'ms' END AS unit,
         CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS ms

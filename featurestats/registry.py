@@ -355,11 +355,20 @@ def resolve_event_fields_override(spark, sf_dir):
 
 @query
 def resolve_coercions(spark, sf_dir):
-    """2.2.1 edge rows: 'NaN' text → NULL double, kept NaN float, 'abc' → NULL int,
-    1 → FALSE boolean."""
+    """2.2.1 over every resolved event: 'NaN' text → NULL double but NaN float,
+    'abc' → NULL int, number 1 → FALSE boolean; counted per outcome."""
     r = _resolved(spark, sf_dir)
-    edge = (F.col("eventId").cast("bigint") % 100).isin(11, 12, 13, 14)
-    return r.where(edge).select("eventId", "txn_amount", "amount_f", "score", "is_even")
+    return r.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("txn_amount").alias("amount_present"),
+        F.sum("txn_amount").alias("amount_sum"),
+        F.count_if(F.isnan("amount_f")).alias("amount_f_nan"),
+        F.count("amount_f").alias("amount_f_present"),
+        F.count("score").alias("score_present"),
+        F.sum("score").alias("score_sum"),
+        F.count_if(F.col("is_even")).alias("even_true"),
+        F.count_if(~F.col("is_even")).alias("even_false"),
+    )
 
 
 @query
