@@ -42,6 +42,35 @@ def local_session(
     return spark
 
 
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the expected shuffle volume
+    of the biggest job (e.g. a multi-day backfill or a full rollup rebuild).
+
+    * shuffle partitions ≈ shuffle bytes / 256 MB, so every reducer task fits
+      in executor memory without spilling much; AQE then coalesces small ones
+      and splits skewed ones (joins and REBALANCE writes);
+    * scans split at 256 MB with a 8 MB open cost, which packs small files
+      (the fragmented-table case) into fewer tasks;
+    * the streaming dedup state lives in RocksDB."""
+    partitions = max(200, shuffle_bytes // target_partition_bytes)
+    return {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.files.openCostInBytes": str(8 << 20),
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Epoch and day arithmetic in this package assumes a UTC session zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
