@@ -76,3 +76,22 @@ def test_compaction_keeps_rows_and_retention(spark):
     assert before == after and rep.rows_match and rep.files_after < rep.files_before
     exp = expired_partitions(read_events(spark, path), dt.date(2024, 1, 31), 20).collect()
     assert all(r.processing_day < dt.date(2024, 1, 11) for r in exp) and sum(r.n_rows for r in exp) > 0
+
+
+def test_stream_replay_after_crash_does_not_duplicate(spark):
+    """Batch 0 was committed to the table but its ledger row was lost: the
+    replayed batch 0 must not be written twice."""
+    from featurestats.operators.resolve import parse_messages as pm
+    from featurestats.streaming.stream import FIXED_ONLY, resolve_batch, write_batch
+
+    src = work_path(spark, "t_replay_src")
+    raw_messages(spark, SF_SMALL).where(F.col("value").isNotNull()).coalesce(1).write.text(src)
+    table, ckpt = work_path(spark, "t_replay"), work_path(spark, "t_replay_ckpt")
+    plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
+    first = pm(spark.read.text(src), plan=FIXED_ONLY)
+    write_batch(resolve_batch(first, plan, 0), table)  # "crash" here: data committed, no ledger row
+    meta = MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
+    q = start_ingest(spark, src, table, ckpt, meta, dedup_watermark=None, trigger={"availableNow": True})
+    q.awaitTermination()
+    t = spark.read.parquet(table)
+    assert t.count() == t.select("eventId").distinct().count() > 0
