@@ -178,8 +178,17 @@ class RollupTable:
         rows = [(self.cube.name, d, "ERROR", 0, stamp, message) for d in sorted(set(days))]
         self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.ledger_path)
 
-    def states(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def states(self) -> DataFrame | None:
+        """Stored daily states; None before the first refresh."""
+        return self.spark.read.parquet(self.path) if path_exists(self.spark, self.path) else None
+
+    def stats(self, fact: DataFrame | None, as_of, window_days: int = 30, **kw) -> DataFrame:
+        """C10 serve choice: refreshed (ACTIVE) days from this rollup, the rest of
+        the window from ``fact`` (see ``plans.stats.window_stats``)."""
+        from .stats import window_stats
+
+        return window_stats(fact, self.cube, as_of, window_days, rollup=self.states(),
+                            rollup_days=self.active_days(), **kw)
 
     def ledger(self) -> DataFrame:
         """Latest status per day (later refreshes win)."""

@@ -115,7 +115,7 @@ def cube_incremental_refresh(spark, sf_dir):
     table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_activity"))
     table.refresh(fact, JAN[:20])
     table.refresh(fact, JAN[14:])
-    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=table.states(), rollup_days=table.active_days())
+    return table.stats(fact, AS_OF, 30)
 
 
 def _feature_long(fact: DataFrame, cube: Cube, days=None) -> DataFrame:

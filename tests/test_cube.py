@@ -100,3 +100,14 @@ def test_validate(spark):
     assert ok.ok
     bad = validate(Cube("v", Dimension("d", "no_such_col + 1"), ("country", "missing"), ("mean", "bogus")), fact)
     assert not bad.ok and len(bad.errors) == 4
+
+
+def test_rollup_table_serves_before_and_after_refresh(spark):
+    fact = event_table(spark, SF_SMALL)
+    t = RollupTable(spark, CUBE, work_path(spark, "t_serve"))
+    before = t.stats(fact, AS_OF, 30)  # no rollup yet → raw
+    assert {r.source for r in before.collect()} == {"raw"}
+    t.refresh(fact, JAN[:10])
+    after = t.stats(fact, AS_OF, 30)
+    assert {r.source for r in after.collect()} == {"hybrid"}
+    assert _rows(before) == _rows(after)
