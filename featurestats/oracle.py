@@ -515,3 +515,24 @@ SQL["reconcile_keys"] = f"""WITH {SRC}
 SELECT 'source_only' AS side, eventId FROM dedup
 WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')"""
 SQL["cube_rebuild_add_feature"] = SQL["cube_window_stats"]
+
+_SHIP_SEG = "l_returnflag || ':' || CASE WHEN l_quantity >= 25 THEN 'bulk' ELSE 'small' END"
+
+
+def _ship_window(n: int) -> str:
+    feats = ("l_extendedprice", "l_discount", "l_quantity", "l_tax")
+    longs = "\n  UNION ALL\n  ".join(
+        f"SELECT '{f}' AS feature, {_SHIP_SEG} AS segment_value, CAST(l_shipdate AS DATE) AS stat_date, "
+        f"CAST({f} AS DOUBLE) AS x FROM lineitem WHERE l_shipdate >= DATE '2001-11-05' - INTERVAL {n} DAY "
+        f"AND l_shipdate < DATE '2001-11-05'" for f in feats)
+    return (
+        f"SELECT feature, segment_value, count(x) AS \"count\", round(sum(x), 4) AS \"sum\", round(min(x), 4) AS \"min\",\n"
+        f"  round(max(x), 4) AS \"max\", round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std,\n"
+        f"  count(*) - count(x) AS missing_count, count(DISTINCT stat_date) AS active_days,\n"
+        f"  CAST({n} AS BIGINT) AS actual_days, CAST({n} AS BIGINT) AS window_days, CAST(1.0 AS DOUBLE) AS coverage,\n"
+        f"  'COMPLETE' AS coverage_status, 'rollup' AS source\n"
+        f"FROM (\n  {longs}\n) GROUP BY feature, segment_value"
+    )
+
+
+SQL["cube_lineitem_windows"] = "\nUNION ALL\n".join(f"({_ship_window(n)})" for n in (30, 90, 180))

@@ -905,3 +905,28 @@ def cube_rebuild_add_feature(spark, sf_dir):
     table.refresh(fact, _days(fact))
     fresh = table.rebuild(fact, ACTIVITY_CUBE)
     return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=fresh.states(), rollup_days=fresh.active_days())
+
+
+# ---- larger cube: lineitem, 30 / 90 / 180-day windows ------------------------
+SHIPPING = Dimension(
+    "shipping", "l_returnflag || ':' || CASE WHEN l_quantity >= 25 THEN 'bulk' ELSE 'small' END", tenant="acme"
+)
+SHIPPING_CUBE = Cube("shipping_cube", SHIPPING, ("l_extendedprice", "l_discount", "l_quantity", "l_tax"), EXACT,
+                     tenant="acme", time_col="l_shipdate")
+SHIP_AS_OF = dt.date(2001, 11, 5)
+
+
+@query
+def cube_lineitem_windows(spark, sf_dir):
+    """C8 at 30, 90 and 180 days over lineitem (4 features, 6 segments): one
+    set of daily states, three window merges."""
+    from .sources.tables import read_table
+
+    li = read_table(spark, sf_dir, "lineitem")
+    days = [SHIP_AS_OF - dt.timedelta(days=i) for i in range(1, 181)]
+    states = build_states(li, SHIPPING_CUBE, days).persist()
+    out = None
+    for n in (30, 90, 180):
+        w = window_stats(li, SHIPPING_CUBE, SHIP_AS_OF, n, rollup=states, rollup_days=days)
+        out = w if out is None else out.unionByName(w)
+    return out
