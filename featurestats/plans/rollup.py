@@ -128,9 +128,30 @@ def affected_days(fact: DataFrame, proc_lo, proc_hi, time_col: str = "eventTime"
     return arrived.select(F.to_date(F.col(time_col)).alias("stat_date")).distinct()
 
 
+def date_in_days(col: str, days) -> F.Column:
+    """Range predicate(s) on a DATE column for a set of days (pushable)."""
+    pred = None
+    for lo, hi in day_ranges(days):
+        p = (F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))
+        pred = p if pred is None else (pred | p)
+    return pred if pred is not None else F.lit(False)
+
+
+def month_of(d: dt.date) -> str:
+    return d.strftime("%Y-%m")
+
+
 @dataclass
 class RollupTable:
-    """A stored rollup (Parquet, partitioned by stat_date) and its status ledger."""
+    """A stored rollup and its status ledger.
+
+    Layout: Parquet partitioned by ``stat_month``, ``stat_date`` a column.  A
+    daily rollup is tiny (one row per segment and day), so one directory per
+    day would make the table all small files: listing and opening them then
+    costs more than re-aggregating raw rows (measured: 2,499 day partitions of
+    lineitem at sf0.1 read slower than the raw scan).  A refresh recomputes
+    its days from the fact table and rewrites only the months they fall in,
+    keeping the other days of those months from the stored states."""
 
     spark: SparkSession
     cube: Cube
@@ -142,24 +163,31 @@ class RollupTable:
         return self.path.rstrip("/") + "__status"
 
     def refresh(self, fact: DataFrame, days) -> None:
-        """Recompute the given event days and overwrite exactly those partitions."""
+        """Recompute the given event days (C5/C7); idempotent."""
         days = sorted(set(days))
         if not days:
             return
-        states = build_states(fact, self.cube, days, self.proc_slack)
-        # clustered by day; AQE's rebalance splits a day with very many segments
+        fresh = build_states(fact, self.cube, days, self.proc_slack)
+        months = sorted({month_of(d) for d in days})
+        if path_exists(self.spark, self.path):
+            kept = (
+                self.spark.read.parquet(self.path)
+                .where(F.col("stat_month").isin(months) & ~date_in_days("stat_date", days))
+                .drop("stat_month")
+            )
+            fresh = fresh.unionByName(kept)
+        # cut lineage: the overwrite below replaces files this plan would read
+        staged = fresh.withColumn("stat_month", F.date_format("stat_date", "yyyy-MM")).checkpoint(eager=True)
         (
-            states.hint("rebalance", "stat_date")
+            staged.hint("rebalance", "stat_month")  # AQE splits a month with very many segments
+            .sortWithinPartitions("stat_date", "segment_value")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("stat_date")
+            .partitionBy("stat_month")
             .parquet(self.path)
         )
-        written = (
-            self.spark.read.parquet(self.path)
-            .where(F.col("stat_date").isin(days))
-            .groupBy("stat_date")
-            .agg(F.count(F.lit(1)).alias("n_rows"))
+        written = staged.where(date_in_days("stat_date", days)).groupBy("stat_date").agg(
+            F.count(F.lit(1)).alias("n_rows")
         )
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         day_df = self.spark.createDataFrame([(d,) for d in days], "stat_date date")
@@ -180,7 +208,9 @@ class RollupTable:
 
     def states(self) -> DataFrame | None:
         """Stored daily states; None before the first refresh."""
-        return self.spark.read.parquet(self.path) if path_exists(self.spark, self.path) else None
+        if not path_exists(self.spark, self.path):
+            return None
+        return self.spark.read.parquet(self.path)
 
     def stats(self, fact: DataFrame | None, as_of, window_days: int = 30, **kw) -> DataFrame:
         """C10 serve choice: refreshed (ACTIVE) days from this rollup, the rest of
@@ -231,7 +261,8 @@ class RollupTable:
                               new_cube.time_col)
             extra = build_states(fact, extra_cube, days, self.proc_slack).drop("n_rows")
             out = out.join(extra, keys, "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-        out.hint("rebalance", "stat_date").write.mode("overwrite").partitionBy("stat_date").parquet(fresh.path)
+        out = out.drop("stat_month").withColumn("stat_month", F.date_format("stat_date", "yyyy-MM"))
+        out.hint("rebalance", "stat_month").write.mode("overwrite").partitionBy("stat_month").parquet(fresh.path)
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         self.ledger().where(F.col("status") == "ACTIVE").select(
             F.lit(new_cube.name).alias("rollup"), "stat_date", "status", "n_rows",

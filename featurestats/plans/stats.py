@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import final_exprs, merge_exprs, states_for
 from .cube import Cube
-from .rollup import build_states
+from .rollup import build_states, date_in_days
 
 LONG_TYPES = {
     "count": "bigint",
@@ -81,7 +81,10 @@ def window_stats(
     parts = []
     if rollup is not None and rollup_part:
         # a rollup table may hold several tenants; partition filter on stat_date
-        parts.append(rollup.where((F.col("tenant") == F.lit(cube.tenant)) & F.col("stat_date").isin(rollup_part)))
+        pred = (F.col("tenant") == F.lit(cube.tenant)) & date_in_days("stat_date", rollup_part)
+        if "stat_month" in rollup.columns:  # partition pruning on the stored layout
+            pred = pred & F.col("stat_month").isin(sorted({d.strftime("%Y-%m") for d in rollup_part}))
+        parts.append(rollup.where(pred).drop("stat_month"))
     if raw_part:
         if fact is None:
             raise ValueError("raw days requested but no fact table given")
