@@ -98,10 +98,21 @@ def type_snapshot(df: DataFrame, declared, null_spellings=None) -> DataFrame:
     return df.select(*cols)
 
 
-def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-event_result") -> DataFrame:
+def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-event_result", names=None) -> DataFrame:
     """Gzip CSV exports, header row, every column as text, quoted
-    newlines allowed; exports selected by name marker.  Each gzip file is one
-    task (not splittable), so parallelism = number of files."""
+    newlines allowed; exports selected by name marker, or by an explicit list
+    of export ``names``.  Each gzip file is one task (not splittable), so
+    parallelism = number of files."""
+    reader = (
+        spark.read.option("header", "true")
+        .option("ignoreCorruptFiles", "true")
+        .option("multiLine", "true")
+        .option("escape", '"')
+        .option("inferSchema", "false")
+        .option("basePath", root)
+    )
+    if names:
+        return reader.csv([f"{root.rstrip('/')}/snapshot={n}" for n in sorted(names)])
     return (
         spark.read.option("header", "true")
         .option("ignoreCorruptFiles", "true")  # an unreadable export yields no rows → FAILED, the run goes on

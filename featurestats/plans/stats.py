@@ -77,6 +77,8 @@ def window_stats(
     long_form: bool = True,
     proc_slack: tuple[int, int] | None = None,
 ) -> DataFrame:
+    if rollup is None:
+        rollup_days = ()  # nothing stored to read: every day of the window is raw
     window, rollup_part, raw_part = plan_days(as_of, window_days, rollup_days, max_raw_days, reference_mode)
     parts = []
     if rollup is not None and rollup_part:

@@ -111,3 +111,10 @@ def test_rollup_table_serves_before_and_after_refresh(spark):
     after = t.stats(fact, AS_OF, 30)
     assert {r.source for r in after.collect()} == {"hybrid"}
     assert _rows(before) == _rows(after)
+
+
+def test_rollup_days_without_rollup_are_raw(spark):
+    fact = event_table(spark, SF_SMALL)
+    a = window_stats(fact, CUBE, AS_OF, 30, rollup=None, rollup_days=JAN)
+    assert {r.source for r in a.collect()} == {"raw"}
+    assert _rows(a) == _direct(fact)
