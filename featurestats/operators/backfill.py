@@ -105,7 +105,7 @@ def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-ev
     parallelism = number of files."""
     reader = (
         spark.read.option("header", "true")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", "true")  # an unreadable export yields no rows → FAILED, the run goes on
         .option("multiLine", "true")
         .option("escape", '"')
         .option("inferSchema", "false")
@@ -113,15 +113,7 @@ def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-ev
     )
     if names:
         return reader.csv([f"{root.rstrip('/')}/snapshot={n}" for n in sorted(names)])
-    return (
-        spark.read.option("header", "true")
-        .option("ignoreCorruptFiles", "true")  # an unreadable export yields no rows → FAILED, the run goes on
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .option("inferSchema", "false")
-        .option("basePath", root)
-        .csv(f"{root.rstrip('/')}/snapshot=*{marker}*")
-    )
+    return reader.csv(f"{root.rstrip('/')}/snapshot=*{marker}*")
 
 
 def export_names(text: DataFrame) -> list[str]:
