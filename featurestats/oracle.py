@@ -536,3 +536,13 @@ def _ship_window(n: int) -> str:
 
 
 SQL["cube_lineitem_windows"] = "\nUNION ALL\n".join(f"({_ship_window(n)})" for n in (30, 90, 180))
+SQL["stream_pending_refresh"] = f"""WITH {RES},
+x AS (SELECT 'txn_amount' AS feature, event_type AS segment_value, CAST(ts AS DATE) AS stat_date,
+             CASE WHEN event_id % 100 = 11 THEN NULL ELSE value END AS x FROM r
+      WHERE ts < TIMESTAMP '2024-01-31')
+SELECT feature, segment_value, count(x) AS "count", round(sum(x), 4) AS "sum", round(min(x), 4) AS "min",
+  round(max(x), 4) AS "max", round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std,
+  count(*) - count(x) AS missing_count, count(DISTINCT stat_date) AS active_days,
+  CAST(30 AS BIGINT) AS actual_days, CAST(30 AS BIGINT) AS window_days, CAST(1.0 AS DOUBLE) AS coverage,
+  'COMPLETE' AS coverage_status, 'rollup' AS source
+FROM x GROUP BY feature, segment_value"""

@@ -201,6 +201,24 @@ class RollupTable:
         )
         ledger_rows.coalesce(1).write.mode("append").parquet(self.ledger_path)
 
+    def pending_days(self, affected: DataFrame) -> list[dt.date]:
+        """Event days with arrivals newer than their last refresh.  ``affected``
+        has (stat_date, arrived_at) rows, e.g. as logged by the stream ingest
+        per micro-batch.  Small: one row per day."""
+        arrivals = affected.groupBy("stat_date").agg(F.max("arrived_at").alias("arrived_at"))
+        done = self.ledger().where(F.col("status") == "ACTIVE").select("stat_date", "refreshed_at")
+        todo = arrivals.join(done, "stat_date", "left").where(
+            F.col("refreshed_at").isNull() | (F.col("arrived_at") > F.col("refreshed_at"))
+        )
+        return sorted(r.stat_date for r in todo.select("stat_date").collect())
+
+    def refresh_pending(self, fact: DataFrame, affected: DataFrame) -> list[dt.date]:
+        """C5 + C6 on a schedule: refresh exactly the days the stream touched
+        since their last refresh (late rows included); returns those days."""
+        days = self.pending_days(affected)
+        self.refresh(fact, days)
+        return days
+
     def mark_error(self, days, message: str) -> None:
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         rows = [(self.cube.name, d, "ERROR", 0, stamp, message) for d in sorted(set(days))]

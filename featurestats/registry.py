@@ -412,7 +412,7 @@ def resolve_quarantine(spark, sf_dir):
 
 
 # ---- streaming (S1, S7, R10, D3) -------------------------------------------
-def _stream_table(spark, sf_dir, duplicates: bool) -> DataFrame:
+def _stream_table(spark, sf_dir, duplicates: bool, return_path: bool = False):
     from .sources.messages import attribute_meta, feature_meta, raw_messages
     from .streaming.stream import MetadataCache, start_ingest
 
@@ -427,6 +427,8 @@ def _stream_table(spark, sf_dir, duplicates: bool) -> DataFrame:
     q = start_ingest(spark, src, table, ckpt, meta, dedup_watermark="36 hours" if duplicates else None,
                      trigger={"availableNow": True})
     q.awaitTermination()
+    if return_path:
+        return table
     return spark.read.option("mergeSchema", "true").parquet(table)
 
 
@@ -930,3 +932,19 @@ def cube_lineitem_windows(spark, sf_dir):
         w = window_stats(li, SHIPPING_CUBE, SHIP_AS_OF, n, rollup=states, rollup_days=days)
         out = w if out is None else out.unionByName(w)
     return out
+
+
+@query
+def stream_pending_refresh(spark, sf_dir):
+    """C5/C6 driven by the stream: the ingest logs the event days each batch
+    touched; a scheduled refresh recomputes exactly those days; 30-day stats
+    by eventType are then served from the rollup."""
+    from .streaming.stream import affected_path
+
+    table = _stream_table(spark, sf_dir, duplicates=False, return_path=True)
+    events = spark.read.parquet(table)
+    cube = Cube("by_type", Dimension("type", "eventType", type="column", tenant="acme"), ("txn_amount",), EXACT,
+                tenant="acme")
+    rollup = RollupTable(spark, cube, work_path(spark, "rollup_stream"))
+    rollup.refresh_pending(events, spark.read.parquet(affected_path(table)))
+    return rollup.stats(events, AS_OF, 30)

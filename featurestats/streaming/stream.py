@@ -123,6 +123,10 @@ def batch_committed(spark: SparkSession, table_path: str, out: DataFrame, batch_
     return probe.limit(1).count() > 0
 
 
+def affected_path(table_path: str) -> str:
+    return table_path.rstrip("/") + "__affected"
+
+
 def write_batch(out: DataFrame, table_path: str) -> None:
     """Append one resolved micro-batch in the table layout."""
     (
@@ -166,6 +170,11 @@ def start_ingest(
         try:
             if not batch_committed(spark, table_path, out, batch_id):
                 write_batch(out, table_path)
+            stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            # Event days this batch touched (late rows included), for refresh_pending
+            out.select(F.to_date("eventTime").alias("stat_date")).distinct().select(
+                F.lit(batch_id).cast("bigint").alias("batch_id"), "stat_date", F.lit(stamp).alias("arrived_at")
+            ).coalesce(1).write.mode("append").parquet(affected_path(table_path))
         finally:
             out.unpersist()
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
