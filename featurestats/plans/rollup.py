@@ -158,6 +158,11 @@ class RollupTable:
     path: str
     proc_slack: tuple[int, int] | None = None  # see build_states
 
+    @property
+    def ledger_key(self) -> str:
+        """Ledger rows are per tenant and cube (several may share one table)."""
+        return f"{self.cube.tenant}:{self.cube.name}"
+
     @property
     def ledger_path(self) -> str:
         return self.path.rstrip("/") + "__status"
@@ -172,7 +177,9 @@ class RollupTable:
         if path_exists(self.spark, self.path):
             kept = (
                 self.spark.read.parquet(self.path)
-                .where(F.col("stat_month").isin(months) & ~date_in_days("stat_date", days))
+                # keep other days, and other tenants' rows of these days (shared table, F4)
+                .where(F.col("stat_month").isin(months)
+                       & ~(date_in_days("stat_date", days) & (F.col("tenant") == F.lit(self.cube.tenant))))
                 .drop("stat_month")
             )
             fresh = fresh.unionByName(kept)
@@ -192,7 +199,7 @@ class RollupTable:
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         day_df = self.spark.createDataFrame([(d,) for d in days], "stat_date date")
         ledger_rows = day_df.join(written, "stat_date", "left").select(
-            F.lit(self.cube.name).alias("rollup"),
+            F.lit(self.ledger_key).alias("rollup"),
             "stat_date",
             F.lit("ACTIVE").alias("status"),
             F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
@@ -221,7 +228,7 @@ class RollupTable:
 
     def mark_error(self, days, message: str) -> None:
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        rows = [(self.cube.name, d, "ERROR", 0, stamp, message) for d in sorted(set(days))]
+        rows = [(self.ledger_key, d, "ERROR", 0, stamp, message) for d in sorted(set(days))]
         self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.ledger_path)
 
     def states(self) -> DataFrame | None:
@@ -242,7 +249,7 @@ class RollupTable:
         """Latest status per day (later refreshes win)."""
         if not path_exists(self.spark, self.ledger_path):  # no ledger yet
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        raw = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger_path)
+        raw = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger_path).where(F.col("rollup") == self.ledger_key)
         return raw.groupBy("rollup", "stat_date").agg(
             *[
                 F.max_by(F.col(c), F.struct("refreshed_at", "status")).alias(c)
@@ -283,7 +290,7 @@ class RollupTable:
         out.hint("rebalance", "stat_month").write.mode("overwrite").partitionBy("stat_month").parquet(fresh.path)
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         self.ledger().where(F.col("status") == "ACTIVE").select(
-            F.lit(new_cube.name).alias("rollup"), "stat_date", "status", "n_rows",
+            F.lit(fresh.ledger_key).alias("rollup"), "stat_date", "status", "n_rows",
             F.lit(stamp).cast("timestamp").alias("refreshed_at"), "error_message",
         ).coalesce(1).write.mode("append").parquet(fresh.ledger_path)
         return fresh
