@@ -42,6 +42,9 @@ class BackfillSpec:
     renames: dict = field(default_factory=lambda: dict(BASE_RENAMES))
     primary_key_to_user: str | None = None  # e.g. "pk" → userId
     invert_flag: bool = True
+    # None = exact: every stored version of a key is considered.  N = later
+    # versions arrive within N days of the exported day (bounds the narrow scan).
+    version_slack_days: int | None = None
 
 
 def invert_flag(c: F.Column) -> F.Column:
@@ -180,7 +183,16 @@ def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInse
     if prefilter is not None:
         day = prefilter(day)
     day_keys = day.select(*keys).distinct()
-    versions = src.select(*keys, *ver).join(day_keys, [src[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi")
+    candidates = src
+    if spec.version_slack_days is not None:
+        first = min(dt.date.fromisoformat(d) for d in days)
+        last = max(dt.date.fromisoformat(d) for d in days) + dt.timedelta(days=1 + spec.version_slack_days)
+        lo = int(dt.datetime.combine(first, dt.time(), dt.timezone.utc).timestamp() * 1000)
+        hi = int(dt.datetime.combine(last, dt.time(), dt.timezone.utc).timestamp() * 1000)
+        candidates = src.where((F.col(proc_col) >= lo) & (F.col(proc_col) < hi))
+    versions = candidates.select(*keys, *ver).join(
+        day_keys, [candidates[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi"
+    )
     winners = versions.groupBy(*keys).agg(F.max(F.struct(*ver)).alias("_v")).select(
         *keys, *[F.col(f"_v.{c}").alias(c) for c in ver]
     )

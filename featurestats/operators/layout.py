@@ -101,7 +101,12 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     src = read_events(spark, path)
     if partition_filter:
         src = src.where(partition_filter)
-    files_before = len(src.inputFiles())  # from the file listing, no I/O
+    def n_files(df: DataFrame) -> int:
+        if partition_filter:  # inputFiles() ignores filters: count the selected partitions' files
+            return df.select(F.col("_metadata.file_path")).distinct().count()
+        return len(df.inputFiles())  # from the file listing, no I/O
+
+    files_before = n_files(src)
     order = [*PARTITION_COLS, *SORT_COLS]
     staging = path.rstrip("/") + f"__compact_{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
     obs = Observation("compaction_input")
@@ -144,7 +149,7 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     after = read_events(spark, path)
     if partition_filter:
         after = after.where(partition_filter)
-    files_after, rows_after = len(after.inputFiles()), after.count()
+    files_after, rows_after = n_files(after), after.count()
     return spark.createDataFrame([(files_before, files_after, rows_before, rows_after, rows_before == rows_after)], REPORT_SCHEMA)
 
 

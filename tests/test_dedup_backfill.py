@@ -80,3 +80,12 @@ def test_stitch_slices_equals_wide(spark):
     st = stitch_slices(slices, keys)
     cols = keys + ["f_000", "f_001", "f_002", "txn_amount", "f_003", "f_004", "f_005"]
     assert _sorted(st, cols) == _sorted(wide, cols)
+
+
+def test_version_slack_matches_exact_when_wide_enough(spark):
+    from featurestats.operators.backfill import BackfillSpec, day_rows
+
+    src = source_table(spark, SF_SMALL)
+    exact = _sorted(day_rows(src, ["2024-01-10"], BackfillSpec()), ["eventId", "timeInserted"])
+    slack = _sorted(day_rows(src, ["2024-01-10"], BackfillSpec(version_slack_days=2)), ["eventId", "timeInserted"])
+    assert exact == slack and len(exact) > 0
