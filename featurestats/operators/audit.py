@@ -23,7 +23,7 @@ def _catalog_queries(audit: DataFrame, catalog: str) -> DataFrame:
     return audit.where((F.col("isQuery") == 1) & (F.col("catalog") == catalog))
 
 
-def recent_queries(audit: DataFrame, catalog: str = "iceberg_catalog", n: int = 20) -> DataFrame:
+def recent_queries(audit: DataFrame, catalog: str = "lake_catalog", n: int = 20) -> DataFrame:
     """A1: newest ``n`` queries on the catalog with resource use (top-k, ties by queryId)."""
     return (
         _catalog_queries(audit, catalog)
@@ -33,7 +33,7 @@ def recent_queries(audit: DataFrame, catalog: str = "iceberg_catalog", n: int =
     )
 
 
-def top_cpu(audit: DataFrame, catalog: str = "iceberg_catalog", n: int = 10) -> DataFrame:
+def top_cpu(audit: DataFrame, catalog: str = "lake_catalog", n: int = 10) -> DataFrame:
     """A2: top ``n`` queries by CPU cost."""
     return (
         _catalog_queries(audit, catalog)

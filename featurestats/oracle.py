@@ -417,7 +417,7 @@ AUDIT = """
 audit AS (
   SELECT 'q' || o_orderkey AS queryId,
          o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS "timestamp",
-         CASE WHEN o_orderkey % 4 = 0 THEN 'default_catalog' ELSE 'iceberg_catalog' END AS catalog,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'default_catalog' ELSE 'lake_catalog' END AS catalog,
          CASE WHEN o_orderkey % 23 = 0 THEN 'ERR' WHEN o_orderkey % 31 = 0 THEN 'TIMEOUT' ELSE 'EOF' END AS state,
          CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 31 = 0 THEN 'E' || (o_orderkey % 5) ELSE '' END AS errorCode,
          (o_orderkey * 37) % 5000 AS queryTime,
@@ -455,10 +455,10 @@ _RES_COLS = """queryTime AS wall_ms, scanBytes AS scan_bytes, scanRows AS scan_r
        round(cpuCostNs / 1e6, 2) AS cpu_ms, round(memCostBytes / 1024 / 1024, 2) AS mem_mb, left(stmt, 80) AS query"""
 SQL["audit_recent"] = f"""WITH {AUDIT}
 SELECT queryId, strftime("timestamp", '%H:%M:%S') AS time, {_RES_COLS}
-FROM audit WHERE isQuery = 1 AND catalog = 'iceberg_catalog' ORDER BY "timestamp" DESC, queryId DESC LIMIT 20"""
+FROM audit WHERE isQuery = 1 AND catalog = 'lake_catalog' ORDER BY "timestamp" DESC, queryId DESC LIMIT 20"""
 SQL["audit_top_cpu"] = f"""WITH {AUDIT}
 SELECT queryId, {_RES_COLS}
-FROM audit WHERE isQuery = 1 AND catalog = 'iceberg_catalog' ORDER BY cpuCostNs DESC, queryId DESC LIMIT 10"""
+FROM audit WHERE isQuery = 1 AND catalog = 'lake_catalog' ORDER BY cpuCostNs DESC, queryId DESC LIMIT 10"""
 SQL["audit_failed"] = f"""WITH {AUDIT}
 SELECT queryId, strftime("timestamp", '%H:%M:%S') AS time, state, errorCode, left(stmt, 80) AS query
 FROM audit WHERE state <> 'EOF' ORDER BY "timestamp" DESC, queryId DESC LIMIT 10"""

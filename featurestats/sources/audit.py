@@ -31,7 +31,7 @@ def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user_"), (F.col("o_custkey") % 10).cast("string")).alias("user"),
         F.concat(F.lit("user_"), (F.col("o_custkey") % 10).cast("string")).alias("authorizedUser"),
         F.lit("default_wg").alias("resourceGroup"),
-        F.when(k % 4 == 0, "default_catalog").otherwise("iceberg_catalog").alias("catalog"),
+        F.when(k % 4 == 0, "default_catalog").otherwise("lake_catalog").alias("catalog"),
         F.lit("tenant_db").alias("db"),
         state.alias("state"),
         F.when(state != "EOF", F.concat(F.lit("E"), (k % 5).cast("string"))).otherwise("").alias("errorCode"),

@@ -37,7 +37,7 @@ def test_retry_alerts_and_graduation(spark):
 
 
 def test_top_and_failed(spark):
-    rows = [(f"q{i}", T0 + dt.timedelta(seconds=i), 1, "iceberg_catalog", "EOF" if i % 3 else "ERR", "E1",
+    rows = [(f"q{i}", T0 + dt.timedelta(seconds=i), 1, "lake_catalog", "EOF" if i % 3 else "ERR", "E1",
              i * 10, i, i, i * 1_000_000, i * 1048576, "SELECT " + "x" * 100) for i in range(30)]
     audit = spark.createDataFrame(rows, "queryId string, timestamp timestamp, isQuery int, catalog string, state string, "
                                         "errorCode string, queryTime long, scanBytes long, scanRows long, cpuCostNs long, "
