@@ -119,3 +119,16 @@ def test_stream_feeds_pending_rollup_refresh(spark):
     got = {r.segment_value: (r["count"], round(r["sum"], 6)) for r in rollup.stats(events, dt.date(2024, 1, 31), 30).collect()}
     direct = events.groupBy("eventType").agg(F.count("txn_amount"), F.sum("txn_amount")).collect()
     assert got == {r[0]: (r[1], round(r[2], 6)) for r in direct}
+
+
+def test_compaction_of_one_partition_only(spark):
+    fact = event_table(spark, SF_SMALL)
+    path = work_path(spark, "t_compact_one")
+    for part in range(3):
+        write_events(fact.where(F.abs(F.xxhash64("eventId")) % 3 == part), path, mode="append")
+    day = "2024-01-05"
+    other_before = sorted(f for f in read_events(spark, path).inputFiles() if f"processing_day={day}" not in f)
+    rep = compact(spark, path, partition_filter=f"processing_day = '{day}'").first()
+    other_after = sorted(f for f in read_events(spark, path).inputFiles() if f"processing_day={day}" not in f)
+    assert rep.rows_match and rep.files_after < rep.files_before
+    assert other_before == other_after  # other partitions untouched
