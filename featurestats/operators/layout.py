@@ -164,3 +164,32 @@ def expired_partitions(df: DataFrame, as_of, keep_days: int, day_col: str = "pro
         .groupBy(day_col)
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
+
+
+def apply_retention(spark: SparkSession, path: str, as_of, keep_days: int, dry_run: bool = True) -> list[str]:
+    """T2 drop: remove the ``processing_day`` partitions older than the
+    retention.  Only directories named ``processing_day=<expired day>``
+    directly under ``path`` are touched, one directory delete each (atomic
+    per partition on HDFS-like stores).  ``dry_run`` (default) only lists
+    them.  Returns the partition directories (to be) removed."""
+    if isinstance(as_of, str):
+        as_of = dt.date.fromisoformat(as_of)
+    cutoff = as_of - dt.timedelta(days=keep_days)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    expired = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not (status.isDirectory() and name.startswith("processing_day=")):
+            continue
+        try:
+            day = dt.date.fromisoformat(name.split("=", 1)[1])
+        except ValueError:
+            continue
+        if day < cutoff:
+            expired.append(status.getPath().toString())
+    if not dry_run:
+        for p in expired:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(p), True)
+    return sorted(expired)

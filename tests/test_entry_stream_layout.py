@@ -132,3 +132,21 @@ def test_compaction_of_one_partition_only(spark):
     other_after = sorted(f for f in read_events(spark, path).inputFiles() if f"processing_day={day}" not in f)
     assert rep.rows_match and rep.files_after < rep.files_before
     assert other_before == other_after  # other partitions untouched
+
+
+def test_apply_retention_drops_only_expired_days(spark):
+    from featurestats.operators.layout import apply_retention
+
+    fact = event_table(spark, SF_SMALL)
+    path = work_path(spark, "t_retention")
+    write_events(fact, path)
+    listed = apply_retention(spark, path, "2024-01-31", 20)  # dry run
+    listed_days = [dt.date.fromisoformat(p.rsplit("processing_day=", 1)[1]) for p in listed]
+    assert listed_days and all(d < dt.date(2024, 1, 11) for d in listed_days)
+    before = read_events(spark, path).count()
+    expired_rows = sum(r.n_rows for r in expired_partitions(read_events(spark, path), dt.date(2024, 1, 31), 20).collect())
+    assert read_events(spark, path).count() == before  # dry run removed nothing
+    apply_retention(spark, path, "2024-01-31", 20, dry_run=False)
+    after = read_events(spark, path)
+    assert after.count() == before - expired_rows
+    assert after.where(F.col("processing_day") < F.lit(dt.date(2024, 1, 11))).count() == 0
