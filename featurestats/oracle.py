@@ -546,3 +546,6 @@ SELECT feature, segment_value, count(x) AS "count", round(sum(x), 4) AS "sum", r
   CAST(30 AS BIGINT) AS actual_days, CAST(30 AS BIGINT) AS window_days, CAST(1.0 AS DOUBLE) AS coverage,
   'COMPLETE' AS coverage_status, 'rollup' AS source
 FROM x GROUP BY feature, segment_value"""
+SQL["retention_apply"] = with_events(f"""
+SELECT {_PDAY} AS processing_day, count(*) AS n_rows FROM event_result
+WHERE CAST(processingTime AS DATE) >= DATE '2024-01-11' GROUP BY ALL""")

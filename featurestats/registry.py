@@ -948,3 +948,14 @@ def stream_pending_refresh(spark, sf_dir):
     rollup = RollupTable(spark, cube, work_path(spark, "rollup_stream"))
     rollup.refresh_pending(events, spark.read.parquet(affected_path(table)))
     return rollup.stats(events, AS_OF, 30)
+
+
+@query
+def retention_apply(spark, sf_dir):
+    """T2 drop: day partitions older than 20 days before 2024-01-31 are
+    deleted; the remaining partitions are read back per day."""
+    from .operators.layout import apply_retention, read_events
+
+    path, _ = _written_events(spark, sf_dir)
+    apply_retention(spark, path, "2024-01-31", 20, dry_run=False)
+    return read_events(spark, path).groupBy("processing_day").agg(F.count(F.lit(1)).alias("n_rows"))
