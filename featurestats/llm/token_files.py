@@ -13,6 +13,7 @@ texts; repeated rows stay.  An empty table gives no rows.  Extra columns are not
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import chunks, scan, shared_folder, texts_of
 from .units import LAST_SURE_LETTER, UnitCache
 
@@ -49,20 +51,23 @@ class LibraryCoder:
         special = next((t.content for t in self.library.get_added_tokens_decoder().values()), None)
         self.words = UnitCache(self.encode_units, self.encode_whole, cache_words, special)
         self.sure = chr(LAST_SURE_LETTER)
+        self.stand_ins = {b: c for c, b in byte_alphabet().items()}
+        self.line_feed = self.encode_whole("\n")
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        out, tokenize = [], self.model.tokenize
+        out, tokenize, stand_ins = [], self.model.tokenize, self.stand_ins
         for u in units:
-            word = u[1:] if u[0] == " " else u
-            if word.isascii() and word.isalpha():  # one piece of the pre-tokenizer; a blank stands as U+0120
-                ids = [t.id for t in tokenize(u.replace(" ", "\u0120"))]
+            head, rest = (self.line_feed, u[1:]) if u[0] == "\n" and len(u) > 1 else (b"", u)
+            word = rest[1:] if rest[0] == " " else rest
+            if word.isalpha() and (word.isascii() or max(word) <= self.sure):  # one piece of the pre-tokenizer
+                piece = rest.encode().decode("latin-1").translate(stand_ins)
+                out.append(head + array("I", [t.id for t in tokenize(piece)]).tobytes())
             else:
-                ids = self.library.encode(u, add_special_tokens=False).ids
-            out.append(np.array(ids, "<u4").tobytes())
+                out.append(array("I", self.library.encode(u, add_special_tokens=False).ids).tobytes())
         return out
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids + self.end for a, b in chunks(texts) for ids in self.words(texts[a:b])]
