@@ -7,16 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, token_files
+from . import bpe, langid, phrases, secrets, simhash, tiling, token_files, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.json"
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
 
 
+def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+def op5_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
 
@@ -26,7 +40,21 @@ def op7_lang_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn_profiles(docs))
 
 
+def op8_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_decontam_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_parquet, op6_bpe_forced, op7_lang_rank)
+    f.__name__: f
+    for f in (op1_toxicity_mil, op2_token_parquet, op4_simhash_gray, op5_warc_revisit, op6_bpe_forced, op7_lang_rank,
+              op8_secret_cnn, op9_decontam_tiling, op10_phrase_fingerprint)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_warc_revisit": warc.SQL}
