@@ -1,12 +1,13 @@
 """Operator 1: toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a logistic score over its words; the document's score is their
-noisy-or, 1 - prod(1 - p), so one bad sentence is enough and the sentences that make it so can be named.  Only document
+A document is a bag of sentences.  Each sentence has a logistic score over its words and their stems (the first
+``STEM`` letters); the document's score is their noisy-or, 1 - prod(1 - p), so one bad sentence is enough and the sentences that make it so can be named.  Only document
 labels are used for training: the gradient of the document's log-likelihood reaches each sentence through the noisy-or.
 
 Training rows are drawn by a hash of the id, at most about ``TRAIN_ROWS`` of each label, among labelled rows that aren't
 held out and have at most ``TRAIN_CHARS`` characters; weights restore the labels' shares in the corpus.  The
-vocabulary is the ``WORDS`` words whose document frequencies differ most between the labels (counted by Spark).
+vocabulary is the ``WORDS`` words and stems whose document frequencies differ most between the labels, by ``MIN_Z`` standard errors
+at least (counted by Spark).
 
 Sentences end at . ! ? or a line feed and after ``SENTENCE`` words.  Results: a text without words (null, empty) scores 0;
 without rows of both labels everything scores 0.  A null doc_id is held in and never learned from.  An id labelled more than once has its
@@ -31,7 +32,10 @@ TRAIN_ROWS = 4000
 TRAIN_CHARS = 20_000
 WORDS = 5000
 MIN_DOCS = 4
+MIN_Z = 3.0
+RIDGE = 0.1
 SENTENCE = 32
+STEM = 4
 TOXIC = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 BREAKS = frozenset(".!?\n")
@@ -40,26 +44,32 @@ OUT = "doc_id bigint, held_out boolean, score double, predicted int, sentences s
 
 @dataclass
 class Model:
-    words: dict[str, int]
-    weights: np.ndarray  # of the words, then 0 for any other word, then 0 for a break
+    words: dict[str, int]  # a stem is written with a star
+    weights: np.ndarray  # of the words and stems, then 0 for any other word, then 0 for a break
     bias: float
 
 
+def stem(word: str) -> str:
+    return word[:STEM] + "*"
+
+
 def bags(texts: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers of all texts, where each sentence begins, text of each sentence).
+    """(numbers of the words and, below them, of their stems; where each sentence begins; text of each sentence).
 
-    A sentence begins with a break (number len(words) + 1); unknown words have number len(words)."""
+    A sentence begins with a break (number len(words) + 1); what is unknown has number len(words)."""
     n = len(words)
     known = words | dict.fromkeys(BREAKS, n + 1)
-    flat, sizes = [], []
+    flat, stems, sizes = [], [], []
     for text in texts:
-        ids = list(map(known.get, TOKEN.findall(text.lower()), repeat(n)))
+        tokens = TOKEN.findall(text.lower())
         flat.append(n + 1)
-        flat.extend(ids)
-        sizes.append(len(ids) + 1)
-    ids = np.array(flat, np.int64)
-    begin = np.flatnonzero(ids == n + 1)
-    at = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
+        flat.extend(map(known.get, tokens, repeat(n)))
+        stems.append(n)
+        stems.extend(map(words.get, map(stem, tokens), repeat(n)))
+        sizes.append(len(tokens) + 1)
+    ids = np.array([flat, stems], np.int64)
+    begin = np.flatnonzero(ids[0] == n + 1)
+    at = np.arange(len(flat)) - np.repeat(begin, np.diff(np.append(begin, len(flat))))
     # Word 1 to SENTENCE after a break, then the next ones; the break itself goes with the first.
     starts = np.flatnonzero((at == 0) | ((at > 1) & (at % SENTENCE == 1)))
     owner = np.searchsorted(np.cumsum(sizes), starts, "right")
@@ -68,9 +78,9 @@ def bags(texts: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarra
 
 def sentence_logits(ids: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
     """The logit of each sentence; -inf for one without words."""
-    size = np.diff(np.append(starts, len(ids)))
-    empty = (size == 1) & (ids[starts] == len(model.words) + 1)
-    return np.where(empty, -np.inf, np.add.reduceat(model.weights[ids], starts) + model.bias)
+    size = np.diff(np.append(starts, ids.shape[1]))
+    empty = (size == 1) & (ids[0, starts] == len(model.words) + 1)
+    return np.where(empty, -np.inf, np.add.reduceat(model.weights[ids].sum(0), starts) + model.bias)
 
 
 def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -78,14 +88,14 @@ def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n))
 
 
-def fit(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray, weights: np.ndarray, words: dict[str, int], steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> Model:
-    """Adam on the weighted log-likelihood of the labels."""
+def fit(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray, weights: np.ndarray, words: dict[str, int], steps: int = 300, rate: float = 0.1, ridge: float = RIDGE) -> Model:
+    """Adam on the weighted mean log-likelihood of the labels, less ridge / rows * weights ** 2 / 2."""
     n, v = len(labels), len(words)
+    ridge = ridge / n
     model = Model(words, np.zeros(v + 2), -5.0)
-    size = np.diff(np.append(starts, len(ids)))
-    sentence = np.repeat(np.arange(len(starts)), size)
+    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, ids.shape[1])))
     own = ids < v
-    word, sentence = ids[own], sentence[own]
+    word, sentence = ids[own], np.stack([sentence, sentence])[own]
     m, s = np.zeros(v + 1), np.zeros(v + 1)
     for t in range(1, steps + 1):
         logits = sentence_logits(ids, starts, model)
@@ -115,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int =
 
     def make():
         def step(batch: pa.RecordBatch):
-            rows = [(y, sorted(set(TOKEN.findall(t.lower())) - BREAKS)) for t, y in zip(texts_of(batch), batch.column(1).to_pylist())]
+            rows = []
+            for text, y in zip(texts_of(batch), batch.column(1).to_pylist()):
+                words = set(TOKEN.findall(text.lower())) - BREAKS
+                rows.append((y, sorted(words | {stem(w) for w in words})))
             return [[y for y, ws in rows for _ in ws], [w for _, ws in rows for w in ws]]
 
         return step
@@ -125,23 +138,23 @@ def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int =
     if not n.get(0) or not n.get(1):
         return None
     p0, p1, p = F.col("c0") / n[0], F.col("c1") / n[1], (F.col("c0") + F.col("c1")) / (n[0] + n[1])
-    apart = F.abs(p1 - p0) / F.sqrt(p * (1 - p) + F.lit(1e-6))
-    top = (spread.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("c0"), F.sum("toxic").alias("c1")).where(F.col("c0") + F.col("c1") >= MIN_DOCS)
-           .orderBy(apart.desc(), "word").limit(WORDS).select("word").collect())
+    apart = F.abs(p1 - p0) / F.sqrt((p * (1 - p) + F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+    top = (spread.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("c0"), F.sum("toxic").alias("c1"))
+           .where(F.col("c0") + F.col("c1") >= MIN_DOCS).where(apart >= MIN_Z).orderBy(apart.desc(), "word").limit(WORDS).select("word").collect())
     words = {r["word"]: k for k, r in enumerate(top)}
 
     def make_bags():
         def step(batch: pa.RecordBatch):
             rows = [bags([t], words) for t in texts_of(batch)]
-            return [batch.column(0), batch.column(1), [r[0] for r in rows], [r[1] for r in rows]]
+            return [batch.column(0), batch.column(1), [r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows]]
 
         return step
 
-    rows = scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, ids array<int>, starts array<int>").collect()
+    rows = scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, ids array<int>, stems array<int>, starts array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])
     offsets = np.cumsum([0, *(len(r["ids"]) for r in rows)])
-    ids = np.concatenate([np.array(r["ids"], np.int64) for r in rows])
+    ids = np.concatenate([np.array([r["ids"], r["stems"]], np.int64) for r in rows], axis=1)
     starts = np.concatenate([np.array(r["starts"], np.int64) + o for r, o in zip(rows, offsets)])
     owner = np.repeat(np.arange(len(rows)), [len(r["starts"]) for r in rows])
     share = counts[1] / (counts[0] + counts[1])
@@ -169,7 +182,7 @@ def spans(text: str, model: Model, least: float) -> str:
         if not stop:
             begin = m.start() if n == 0 else begin
             end, n = m.end(), n + 1
-            z += model.weights[model.words.get(m.group(), len(model.words))]
+            z += sum(model.weights[model.words.get(x, len(model.words))] for x in (m.group(), stem(m.group())))
     close()
     return ",".join(found)
 
