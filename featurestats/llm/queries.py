@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, phrases, secrets, simhash, tiling, token_files, toxicity, warc
+from . import bpe, langid, personal, phrases, secrets, simhash, tiling, token_files, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op2_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
 
 
+def op3_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -54,7 +58,7 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity_mil, op2_token_parquet, op4_simhash_gray, op5_warc_revisit, op6_bpe_forced, op7_lang_rank,
+    for f in (op1_toxicity_mil, op2_token_parquet, op3_pii_weak, op4_simhash_gray, op5_warc_revisit, op6_bpe_forced, op7_lang_rank,
               op8_secret_cnn, op9_decontam_tiling, op10_phrase_fingerprint)
 }
 SQL: dict[str, str] = {"op5_warc_revisit": warc.SQL}
