@@ -2,12 +2,12 @@
 
 Fingerprint: XXH64 (seed 42) of every ``SHINGLE``-word shingle of the text, A-Z lower-cased; a bit is set if it is set
 in over half the hashes.  Equal fingerprints are one node.  Two fingerprints at most ``BITS`` apart agree on one of
-BITS + 1 blocks of bits, so nodes are dealt out once for each block by the block's value.  Within such a bucket they
-stand in Gray order; a hierarchy over the order holds, in each node, the bits all its fingerprints share (mask and
+BITS + 1 blocks of bits, so nodes are dealt out once for each block by the block's value (by two or more blocks of more,
+if there are very many).  Within such a bucket they stand in Gray order; a hierarchy over the order holds, in each node, the bits all its fingerprints share (mask and
 pattern), less those its parent holds.  A query goes down adding the differences met so far and drops a whole group as
-soon as they exceed BITS.  A bucket over ``BUCKET`` nodes is dealt out again by blocks of its remaining bits, so
-no task holds more, whatever the data; 13 remaining bits make at most 8192 nodes.  Each bucket gives a
-spanning forest of its links, not all pairs.
+soon as they exceed BITS.  A bucket over ``BUCKET`` nodes is range-partitioned by Gray rank into chunks, and
+pairs of its chunks are searched wherever their shared bits allow, so no task holds more, whatever the data.  Each
+search gives a spanning forest of its links, not all pairs.
 
 Results: a text without words (null, empty, blanks) has fingerprint zero, linked like any other.  A null doc_id counts
 as larger than any other (component_id is null only if the whole component has none).  Repeated rows stay, each with the
@@ -16,9 +16,12 @@ same result.  An empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,24 +138,60 @@ class GrayIndex:
         return self.fps[linked], self.fps[label[linked]]
 
 
-def blocks(used: int, n: int) -> list[int]:
-    """Masks of the n blocks that the bits outside ``used`` fall into, from the highest on."""
-    free = [b for b in range(63, -1, -1) if not used >> b & 1]
-    cuts = [round(k * len(free) / n) for k in range(n + 1)]
-    return [used | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+def masks(n: int, bits: int) -> list[int]:
+    """Masks such that fingerprints at most ``bits`` apart agree on one of them at least.
+
+    Of bits + k blocks, k are free of differences; k grows with the number of nodes, so that by chance a bucket
+    gets about a thousand."""
+    k = 1
+    while k < 4 and n >> 64 * k // (bits + k) > 1024:
+        k += 1
+    cuts = [round(64 * i / (bits + k)) for i in range(bits + k + 1)]
+    blocks = [(1 << z) - (1 << a) for a, z in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(blocks, k)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _deal(nodes: DataFrame, used: list[int], n: int) -> DataFrame:
-    """Each (fp, used) once for each block of the bits outside its ``used``."""
-    masks = F.create_map(*(c for u in used for c in (F.lit(_signed(u)).cast("bigint"), F.array(*(F.lit(_signed(m)).cast("bigint") for m in blocks(u, n))))))
-    rows = nodes.select("fp", F.explode(masks[F.col("used")]).alias("used"))
+def _deal(nodes: DataFrame, over: list[int]) -> DataFrame:
+    """Each fp once for each mask, in the bucket (used, val) of its bits under the mask."""
+    rows = nodes.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("bigint") for m in over))).alias("used"))
     return rows.withColumn("val", F.expr("fp & used"))
 
 
+def _in_chunks(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """Rows of large buckets cut in Gray order into chunks of at most ``size``: (fp, used, val, chunk)."""
+    rank = F.expr("aggregate(array(1, 2, 4, 8, 16, 32), fp, (x, s) -> x ^ shiftrightunsigned(x, s))")
+    ordered = rows.withColumn("rank", rank).repartitionByRange(max(1, n // size), "used", "val", "rank").sortWithinPartitions("used", "val", "rank")
+
+    def run(batches):
+        part, key, number, held = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            used, val = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            chunk = np.empty(len(used), np.int64)
+            for k, own in enumerate(zip(used.tolist(), val.tolist())):
+                if own != key or held == size:
+                    key, held, number = own, 0, number + 1
+                chunk[k], held = part + number, held + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chunk)], names=["fp", "used", "val", "chunk"])
+
+    return ordered.mapInArrow(run, schema_of("fp bigint, used bigint, val bigint, chunk bigint"))
+
+
+def _chunk_pairs(chunked: DataFrame, bits: int) -> DataFrame:
+    """Rows (fp, used, val) of each pair of chunks of one bucket, ``val`` being the pair.  A pair is left out if the
+    bits that all fingerprints of each chunk share are too many apart already."""
+    nodes = chunked.groupBy("used", "val", "chunk").agg(F.expr("bit_and(fp)").alias("low"), F.expr("bit_or(fp)").alias("high"))
+    nodes = materialize(nodes.select("used", "val", "chunk", "low", F.expr("~(low ^ high)").alias("mask")), "simhash-chunks")
+    left, right = (nodes.select("used", "val", *(F.col(c).alias(f"{c}{k}") for c in ("chunk", "low", "mask"))) for k in (1, 2))
+    pairs = left.join(right, ["used", "val"]).where("chunk1 <= chunk2 AND bit_count((low1 ^ low2) & mask1 & mask2) <= " + str(bits))
+    pairs = pairs.withColumn("pair", F.monotonically_increasing_id())
+    sides = materialize(pairs.select("pair", F.explode(F.array_distinct(F.array("chunk1", "chunk2"))).alias("chunk")), "simhash-pairs")
+    return chunked.join(sides, "chunk").select("fp", F.lit(0).cast("bigint").alias("used"), F.col("pair").alias("val"))
+
+
 def _search(dealt: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) within buckets of equal (used, val), none of them over BUCKET rows."""
 
@@ -186,21 +225,15 @@ def _search(dealt: DataFrame, bits: int) -> DataFrame:
 
 def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect what is at most ``bits`` apart in ``nodes`` (one bigint column fp, distinct)."""
-    found = []
-    rest, used = nodes.select("fp", F.lit(0).cast("bigint").alias("used")), [0]
-    while True:
-        dealt = materialize(_deal(rest, used, bits + 1), "simhash-dealt")
-        large = materialize(dealt.groupBy("used", "val").count().where(F.col("count") > bucket).select("used", "val"), "simhash-large")
-        used = [r["used"] & (1 << 64) - 1 for r in large.select("used").distinct().collect()]  # (bits + 1) ** rounds at most
-        if not used:
-            found.append(_search(dealt, bits))
-            break
-        found.append(_search(dealt.join(large, ["used", "val"], "left_anti").select(*dealt.columns), bits))
-        rest = dealt.join(large, ["used", "val"], "left_semi").select("fp", "used")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    dealt = materialize(_deal(nodes, masks(nodes.count(), bits)), "simhash-dealt")
+    large = materialize(dealt.groupBy("used", "val").count().where(F.col("count") > bucket), "simhash-large")
+    rows = large.agg(F.sum("count")).first()[0]
+    if not rows:
+        return _search(dealt, bits)
+    small = dealt.join(large, ["used", "val"], "left_anti").select("fp", "used", "val")
+    hot = dealt.join(large, ["used", "val"], "left_semi").select("fp", "used", "val")
+    chunked = materialize(_in_chunks(hot, rows, max(1, bucket // 2)), "simhash-chunked")
+    return _search(small.unionByName(_chunk_pairs(chunked, bits)), bits)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
