@@ -217,13 +217,13 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 100) -> Reliabili
     return Reliability(table, prior)
 
 
-def fit_spans(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels (Newton steps)."""
+def fit_spans(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels of rows that stand for ``n`` candidates each (Newton steps)."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (p - target) + ridge * w)
+        hess = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (n * (p - target)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -244,7 +244,7 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
     drawn.sort(key=lambda r: (r["kind"], r["votes"], list(r["x"])))
     x = np.array([r["x"] for r in drawn], float)
     target = np.array([reliability.posterior(r["kind"], unpack_votes(r["votes"])) for r in drawn])
-    return fit_spans(x, target)
+    return fit_spans(x, target, np.array([r["count"] for r in drawn], float))
 
 
 def join_spans(spans: list[tuple[int, int, int]]) -> str:
