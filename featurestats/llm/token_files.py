@@ -42,7 +42,7 @@ PART_BYTES = 32 << 20
 class LibraryCoder:
     """The tokenizers library with a bounded cache of words (exact: see ``units``)."""
 
-    def __init__(self, path: str, end_id: int, cache_words: int = 400_000):
+    def __init__(self, path: str, end_id: int, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

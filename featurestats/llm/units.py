@@ -12,6 +12,8 @@ and the pieces encoded alone give the tokens of the whole.  ``split_units`` make
 
 from __future__ import annotations
 
+import re
+
 MARKS = ("\n", ".", ",")
 #: Pairs around a mark or blank where a cut would not be safe.
 UNSAFE = ("  ", " \n", "\n ", "\n\n", " .", " ,", "\n.", "\n,", "..", ".,", ",.", ",,")
@@ -38,25 +40,25 @@ def unit_text(word: str) -> str:
     return word if word[0] in MARKS else " " + word
 
 
-def ends(word: str) -> int:
-    """0: any cut may follow; 1: no full stop or comma may follow; 2: no cut may follow."""
-    last = word.rstrip(" ")[-1]
-    if last.isspace():
-        return 2
-    return 0 if (last.isalpha() and ord(last) <= LAST_SURE_LETTER) or last in "0123456789" else 1
+def no_sure_cut(last: str) -> bool:
+    """Whether a full stop or comma may not be cut off after this character: it is no sure letter or digit."""
+    return not ((last.isalpha() and ord(last) <= LAST_SURE_LETTER) or last in "0123456789")
 
 
 class UnitCache:
-    """word -> encoded bytes, at most ``limit`` words.
+    """word -> encoded bytes, in two generations of at most ``limit`` words each: when the young one is full it becomes
+    the old one, from which words still in use are taken back.
 
     ``encode_units(list of unit texts) -> list of bytes`` fills it; ``encode_whole(text) -> bytes`` takes the
     texts that can't be cut surely."""
 
-    def __init__(self, encode_units, encode_whole, limit: int = 400_000, special: str | None = None):
+    def __init__(self, encode_units, encode_whole, limit: int = 300_000, special: str | None = None):
         self.encode_units, self.encode_whole, self.limit, self.special = encode_units, encode_whole, limit, special
         self.known: dict[str, bytes] = {}
-        #: Pairs of characters, besides UNSAFE, at which the words seen so far can't be cut surely.
-        self.unsafe: set[str] = set()
+        self.old: dict[str, bytes] = {}
+        #: Last characters of words seen so far that aren't followed by a sure cut, and a pattern of such places.
+        self.no_mark: set[str] = set()
+        self.unsafe: re.Pattern | None = None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Encode a bounded chunk of texts: first all new words of the chunk at once, then text by text."""
@@ -64,16 +66,28 @@ class UnitCache:
         distinct = set().union(*(ws for ws in split if ws))
         missing = list(distinct.difference(self.known))
         if len(self.known) + len(missing) > self.limit:
-            self.known.clear(), self.unsafe.clear()
-            missing = list(distinct)
+            self.old, self.known, missing = self.known, {}, list(distinct)
         if missing:
-            self.known.update(zip(missing, self.encode_units([unit_text(w) for w in missing])))
-            for w in missing:
-                if kind := ends(w):
-                    self.unsafe.update(w.rstrip(" ")[-1] + mark for mark in (".,", " \n.,")[kind - 1])
+            old = self.old
+            kept = [w for w in missing if w in old]
+            self.known.update(zip(kept, map(old.__getitem__, kept)))
+            new = [w for w in missing if w not in old] if kept else missing
+            if new:
+                self.known.update(zip(new, self.encode_units([unit_text(w) for w in new])))
+                self._look_at(new)
         return [self._join(t, ws) for t, ws in zip(texts, split)]
 
+    def _look_at(self, words: list[str]) -> None:
+        last = {w[-2] if w[-1] == " " else w[-1] for w in words}
+        found = {c for c in last if no_sure_cut(c)} - self.no_mark
+        if found:
+            self.no_mark |= found
+            # After white space nothing may be cut off, after other signs no full stop or comma.
+            signs, white = ("".join(re.escape(c) for c in sorted(self.no_mark) if c.isspace() == w) for w in (False, True))
+            parts = [f"[{cs}][{marks}]" for cs, marks in ((signs, ".,"), (white, " \n.,")) if cs]
+            self.unsafe = re.compile("|".join(parts))
+
     def _join(self, text: str, words: list[str] | None) -> bytes:
-        if words is None or any(pair in text for pair in self.unsafe):
+        if words is None or self.unsafe and self.unsafe.search(text):
             return self.encode_whole(text) if text else b""
         return b"".join(map(self.known.__getitem__, words))
