@@ -88,27 +88,36 @@ def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n))
 
 
-def fit(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray, weights: np.ndarray, words: dict[str, int], steps: int = 300, rate: float = 0.1, ridge: float = RIDGE) -> Model:
-    """Adam on the weighted mean log-likelihood of the labels, less ridge / rows * weights ** 2 / 2."""
-    n, v = len(labels), len(words)
+def fit(word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray, weights: np.ndarray, words: dict[str, int], steps: int = 300, rate: float = 0.1, ridge: float = RIDGE) -> Model:
+    """Adam on the weighted mean log-likelihood of the labels, less ridge / rows * weights ** 2 / 2.
+
+    ``word`` and ``sentence`` pair each known word with its sentence, ``owner`` is the document of each sentence."""
+    n, v, m_sentences = len(labels), len(words), len(owner)
     ridge = ridge / n
-    model = Model(words, np.zeros(v + 2), -5.0)
-    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, ids.shape[1])))
-    own = ids < v
-    word, sentence = ids[own], np.stack([sentence, sentence])[own]
+    w, bias = np.zeros(v), -5.0
     m, s = np.zeros(v + 1), np.zeros(v + 1)
     for t in range(1, steps + 1):
-        logits = sentence_logits(ids, starts, model)
+        logits = np.bincount(sentence, weights=w[word], minlength=m_sentences) + bias
         total = np.maximum(np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n), 1e-12)
         # d loss / d total: 1 for label 0; for label 1 the loss is -log(1 - exp(-total)).
         slope = np.where(labels == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0) * weights
         d = slope[owner] / (1 + np.exp(-np.clip(logits, -500, 500)))
-        g = np.concatenate([np.bincount(word, weights=d[sentence], minlength=v) + ridge * model.weights[:v], [d.sum()]])
+        g = np.concatenate([np.bincount(word, weights=d[sentence], minlength=v) + ridge * w, [d.sum()]])
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
-        model.weights[:v] -= step[:-1]
-        model.bias = max(model.bias - step[-1], -14.0)
-    return model
+        w = w - step[:-1]
+        bias = max(bias - step[-1], -14.0)
+    return Model(words, np.concatenate([w, [0.0, 0.0]]), float(bias))
+
+
+def known_words(text: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number, sentence) of each known word or stem of a text, and how many sentences have words at all."""
+    ids, starts, _ = bags([text], words)
+    size = np.diff(np.append(starts, ids.shape[1]))
+    filled = (size > 1) | (ids[0, starts] != len(words) + 1)
+    place = np.repeat(np.cumsum(filled) - 1, size)
+    own = ids < len(words)
+    return ids[own].astype(np.int32), np.stack([place, place])[own].astype(np.int32), int(filled.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int = 1, per_label: int = TRAIN_ROWS) -> Model | None:
@@ -145,21 +154,23 @@ def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int =
 
     def make_bags():
         def step(batch: pa.RecordBatch):
-            rows = [bags([t], words) for t in texts_of(batch)]
-            return [batch.column(0), batch.column(1), [r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows]]
+            rows = [known_words(t, words) for t in texts_of(batch)]
+            return [batch.column(0), batch.column(1), [r[0].tobytes() for r in rows], [r[1].tobytes() for r in rows], [r[2] for r in rows]]
 
         return step
 
-    rows = scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, ids array<int>, stems array<int>, starts array<int>").collect()
+    # The known words alone, 8 bytes each, of a bounded number of bounded texts.
+    rows = scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, words binary, places binary, sentences int").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])
-    offsets = np.cumsum([0, *(len(r["ids"]) for r in rows)])
-    ids = np.concatenate([np.array([r["ids"], r["stems"]], np.int64) for r in rows], axis=1)
-    starts = np.concatenate([np.array(r["starts"], np.int64) + o for r, o in zip(rows, offsets)])
-    owner = np.repeat(np.arange(len(rows)), [len(r["starts"]) for r in rows])
+    n_sentences = np.array([r["sentences"] for r in rows])
+    offsets = np.cumsum(n_sentences) - n_sentences
+    word = np.concatenate([np.frombuffer(r["words"], np.int32) for r in rows])
+    sentence = np.concatenate([np.frombuffer(r["places"], np.int32) + o for r, o in zip(rows, offsets)])
+    owner = np.repeat(np.arange(len(rows)), n_sentences)
     share = counts[1] / (counts[0] + counts[1])
     weights = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9)) / len(y)
-    return fit(ids, starts, owner, y, weights, words)
+    return fit(word, sentence, owner, y, weights, words)
 
 
 def spans(text: str, model: Model, least: float) -> str:
