@@ -65,32 +65,33 @@ def epoch_to_timestamp(v: Column) -> Column:
 
 
 def int_array(a: Column) -> Column:
-    """ARRAY<STRING> → ARRAY<INT>: elements parsed, NULLs (and unparsable) dropped."""
-    return F.filter(F.transform(a, lambda x: to_int(x)), lambda x: x.isNotNull())
+    """ARRAY<VARIANT> → ARRAY<INT>: numbers by value, texts parsed as integers; NULLs (and unparsable) dropped."""
+    return F.filter(F.transform(a, lambda x: coerce_variant(x, T.IntegerType())), lambda x: x.isNotNull())
 
 
-def string_array(a: Column) -> Column:
-    """String arrays keep their NULL elements."""
-    return a
+def bad_ints(a: Column) -> Column:
+    """Whether an element that isn't null is no integer: a list, an object or a text such as 'x' or '3.7'."""
+    bad = F.exists(a, lambda x: x.isNotNull() & ~F.is_variant_null(x) & coerce_variant(x, T.IntegerType()).isNull())
+    return F.coalesce(bad, F.lit(False))
 
 
-# Python-literal `None` between list delimiters (not inside words such as 'None of').
-_NONE_TOKEN = r"(?<=[\[,]\s{0,4})None(?=\s{0,4}[,\]])"
+# Quoted spans, or what stands between them.
+_SPANS = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++"""
 
 
 def parse_list(s: Column, element: T.DataType) -> Column:
     """List-literal text (``[1, 2]``, ``['a', None]``) → typed array; empty,
-    ``[]``-less or unparsable text → NULL; NULL elements dropped (R13)."""
-    norm = F.regexp_replace(F.trim(s), _NONE_TOKEN, "null")
+    ``[]``-less or unparsable text → NULL, as is a list with an element of another type; NULL elements
+    dropped (R13).  ``None`` is read as NULL outside quoted text only."""
+    spans = F.regexp_extract_all(F.trim(s), F.lit(_SPANS), F.lit(0))
+    norm = F.array_join(F.transform(spans, lambda x: F.when(x.substr(1, 1).isin("'", '"'), x).otherwise(
+        F.regexp_replace(x, r"\bNone\b", "null"))), "")
     looks_like_list = norm.startswith("[") & norm.endswith("]")
+    arr = F.from_json(norm, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"})
     if isinstance(element, T.StringType):
-        arr = F.from_json(norm, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"})
-        typed = arr
-    else:
-        arr = F.from_json(norm, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"})
-        typed = F.transform(arr, lambda x: coerce(x, element))
-    kept = F.filter(typed, lambda x: x.isNotNull())
-    return F.when(looks_like_list, kept)
+        return F.when(looks_like_list, F.filter(arr, lambda x: x.isNotNull()))
+    typed = F.transform(F.filter(arr, lambda x: x.isNotNull()), lambda x: coerce(x, element))
+    return F.when(looks_like_list & ~F.exists(typed, lambda x: x.isNull()), typed)
 
 
 # ---- typed JSON values (VARIANT) ------------------------------------------------

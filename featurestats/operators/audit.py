@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import exact_percentiles, runs
+from .ordered import exact_percentiles, peak_running_sum, runs
 
 
 def _resource_cols() -> list[F.Column]:
@@ -110,24 +110,37 @@ def estimate_join(audit: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def tenant_graduation(log: DataFrame, max_daily_queries: int = 50, max_p99_ms: float = 55000.0,
-                      max_scan_bytes: int = 10**12) -> DataFrame:
-    """Per-tenant signals against thresholds: queries per active day,
-    exact p99 duration (balanced prefix-sum percentile), scan volume."""
+def peak_concurrency(log: DataFrame, by=("tenant",)) -> DataFrame:
+    """The most queries that ran at one time, per group: +1 at a start, -1 at an end (ends first on ties; a query
+    takes a millisecond at least)."""
+    start = F.unix_millis("created_at")
+    end = start + F.greatest(F.coalesce(F.col("actual_duration_ms"), F.lit(1)), F.lit(1))
+    steps = log.select(*by, F.inline(F.array(F.struct(start.alias("at"), F.lit(1).alias("step")), F.struct(end.alias("at"), F.lit(-1).alias("step")))))
+    return peak_running_sum(steps, by, ["at", "step"], "step").withColumnRenamed("peak", "peak_queries")
+
+
+def tenant_graduation(log: DataFrame, events: DataFrame, rollups: DataFrame, max_events_per_s: float = 2000.0, max_queries: int = 15,
+                      max_p99_ms: float = 3000.0, max_rollups: int = 50, heavy_scan_bytes: int = 50 * 10**9, heavy_share: float = 0.1) -> DataFrame:
+    """Per-tenant signals against thresholds: event rate of the busiest minute (``events``: tenant, eventTime), queries
+    at one time, exact p99 duration, number of rollups (``rollups``: tenant, rollup), and the share of queries
+    that scan more than ``heavy_scan_bytes`` ("regularly": ``heavy_share`` of them).  A signal without data is NULL."""
     per = log.groupBy("tenant").agg(
         F.count(F.lit(1)).alias("n_queries"),
-        F.count_distinct(F.to_date("created_at")).alias("active_days"),
-        F.sum("actual_scan_bytes").alias("scan_bytes"),
-    )
-    p99 = exact_percentiles(log, ["tenant"], "actual_duration_ms", {"p99_ms": 0.99}).drop("n")
-    j = per.join(p99, "tenant")
-    rate = F.col("n_queries") / F.col("active_days")
-    return j.select(
-        "tenant", "n_queries", "active_days", rate.alias("queries_per_day"), "p99_ms", "scan_bytes",
-        ((rate > max_daily_queries) | (F.col("p99_ms") > max_p99_ms) | (F.col("scan_bytes") > max_scan_bytes)).alias(
-            "graduate"
-        ),
+        F.avg((F.col("actual_scan_bytes") > heavy_scan_bytes).cast("int")).alias("heavy_scan_share"),
     )
+    minutes = events.groupBy("tenant", F.window("eventTime", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    signals = [
+        minutes.groupBy("tenant").agg((F.max("n") / 60.0).alias("peak_events_per_s")),
+        peak_concurrency(log),
+        exact_percentiles(log, ["tenant"], "actual_duration_ms", {"p99_ms": 0.99}).drop("n"),
+        rollups.groupBy("tenant").agg(F.count_distinct("rollup").alias("n_rollups")),
+    ]
+    for s in signals:  # one row per tenant each
+        s = s.withColumnRenamed("tenant", "_t")
+        per = per.join(s, per["tenant"].eqNullSafe(s["_t"]), "left").drop("_t")
+    over = [F.col("peak_events_per_s") > max_events_per_s, F.col("peak_queries") > max_queries, F.col("p99_ms") > max_p99_ms,
+            F.col("n_rollups") > max_rollups, F.col("heavy_scan_share") >= heavy_share]
+    return per.select("*", F.exists(F.array(*[F.coalesce(o, F.lit(False)) for o in over]), lambda x: x).alias("graduate"))
 
 
 def rollup_hit_rate(audit: DataFrame) -> DataFrame:

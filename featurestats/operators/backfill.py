@@ -1,26 +1,35 @@
 """Historical backfill as Spark jobs.
 
 Both reference paths (per-file import, per-day column export) become *one*
-declarative job over all pending units: read → dedup → convert → dynamic
-partition overwrite → ledger.  Column batching is unnecessary (Parquet column
+declarative job over all pending units: read → dedup → convert → replace the units' own
+rows in the shared table (``store``) → ledger.  Column batching is unnecessary (Parquet column
 pruning) but ``stitch_slices`` reproduces it exactly when a source can only be
 exported in column slices.
 """
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import logging
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import coerce, epoch_to_timestamp, parse_list
 from ..functions.types import source_type
-from ..session import path_exists
-from .layout import PARTITION_COLS as PARTITION_KEYS, write_events
-from .prune import latest_state
+from ..session import checkpoint_root, hadoop_path, path_exists, work_path
+from .dedup import keep_last, row_order
+from .layout import LOAD_UNIT, with_layout_columns
+from .prune import latest_state, skip_done
+from .store import replace_units
+
+log = logging.getLogger(__name__)
 
 # Source column → event-table column renames.
 BASE_RENAMES = {
@@ -32,6 +41,7 @@ BASE_RENAMES = {
 }
 FLAG_SOURCE, FLAG_TARGET = "dv_isDetection", "fromUpdateAPI"
 TIME_COLUMNS = ("time", "timeInserted")
+EXPORT_MARKER = "ch-exporter-event_result"
 LEDGER_SCHEMA = "unit string, state string, rows long, updated_at timestamp"
 
 
@@ -101,35 +111,59 @@ def type_snapshot(df: DataFrame, declared, null_spellings=None) -> DataFrame:
     return df.select(*cols)
 
 
-def read_snapshots(spark: SparkSession, root: str, marker: str = "ch-exporter-event_result", names=None) -> DataFrame:
-    """Gzip CSV exports, header row, every column as text, quoted
-    newlines allowed; exports selected by name marker, or by an explicit list
-    of export ``names``.  Each gzip file is one task (not splittable), so
-    parallelism = number of files."""
-    reader = (
-        spark.read.option("header", "true")
-        .option("ignoreCorruptFiles", "true")  # an unreadable export yields no rows → FAILED, the run goes on
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .option("inferSchema", "false")
-        .option("basePath", root)
-    )
-    if names:
-        return reader.csv([f"{root.rstrip('/')}/snapshot={n}" for n in sorted(names)])
-    return reader.csv(f"{root.rstrip('/')}/snapshot=*{marker}*")
-
-
-def export_names(text: DataFrame) -> list[str]:
-    """Export (unit) names from the file listing alone — no data is read."""
-    import re
-    from urllib.parse import unquote
-
-    names = set()
-    for path in text.inputFiles():
-        m = re.search(r"snapshot=([^/]+)", path)
-        if m:
-            names.add(unquote(m.group(1)))
-    return sorted(names)
+def export_files(spark: SparkSession, root: str, marker: str = EXPORT_MARKER, names=None) -> dict[str, list[str]]:
+    """Export (unit) name -> its files, from the listing alone.  Exports are flat files
+    ``<name>.csv.gz`` or folders ``snapshot=<name>/``; chosen by name marker or by a list of ``names``."""
+    found: dict[str, list[str]] = {}
+    for pattern in ("*.csv.gz", "snapshot=*/*.csv*"):
+        fs, glob = hadoop_path(spark, f"{root.rstrip('/')}/{pattern}")
+        for status in fs.globStatus(glob) or []:
+            p = status.getPath()
+            folder = p.getParent().getName()
+            name = unquote(folder.partition("=")[2]) if folder.startswith("snapshot=") else p.getName().removesuffix(".csv.gz")
+            if (name in names) if names is not None else (marker in name):
+                found.setdefault(name, []).append(p.toString())
+    return {name: sorted(files) for name, files in sorted(found.items())}
+
+
+def header_of(spark: SparkSession, file: str) -> str:
+    """The header line of an export, from the beginning of the file."""
+    java = spark.sparkContext._jvm.java
+    fs, p = hadoop_path(spark, file)
+    stream = fs.open(p)
+    try:
+        data = java.util.zip.GZIPInputStream(stream) if file.endswith(".gz") else stream
+        return java.io.BufferedReader(java.io.InputStreamReader(data, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def read_snapshots(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame | None:
+    """S3: gzip CSV exports, header row, every column as text, quoted newlines allowed, tagged with the export's
+    name (``_export``).  Exports differ in their columns and in the columns' order, so those with the same header are
+    read together under that header, and the groups are united by name.  Each gzip file is one task (not
+    splittable).  An unreadable file fails the read."""
+    groups: dict[str, list[str]] = {}
+    for unit in files.values():
+        for f in unit:
+            groups.setdefault(header_of(spark, f), []).append(f)
+    out = None
+    for header, paths in sorted(groups.items()):
+        if not header:
+            continue
+        names = next(csv.reader([header]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = (
+            spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"')
+            .option("ignoreCorruptFiles", "false").csv(paths)
+            .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("_folder"),
+                    F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.csv\.gz)?$", 1).alias("_file"))
+        )
+        named = F.when(F.col("_folder").startswith("snapshot="), F.expr("url_decode(replace(substring(_folder, 10), '+', '%2B'))")).otherwise(
+            F.expr("url_decode(replace(_file, '+', '%2B'))"))
+        df = df.withColumn("_export", named).drop("_folder", "_file")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 # ---- ledger (B3) -------------------------------------------------------------
@@ -146,9 +180,14 @@ def append_ledger(spark: SparkSession, path: str, rows: DataFrame) -> None:
 
 
 def pending_units(spark: SparkSession, units, ledger_path: str) -> list[str]:
-    """Units not DONE (FAILED ones are retried).  Unit lists are small."""
-    done = {r.unit for r in latest_state(read_ledger(spark, ledger_path)).where("state = 'DONE'").collect()}
-    return [u for u in units if u not in done]
+    """Units not DONE (FAILED ones are retried), in their order.  The ledger is reduced by an anti-join;
+    the driver gets the pending units alone."""
+    units = list(units)
+    if not units:
+        return []
+    todo = skip_done(spark.createDataFrame([(u,) for u in units], "unit string"), read_ledger(spark, ledger_path))
+    left = {r.unit for r in todo.collect()}
+    return [u for u in units if u in left]
 
 
 def _now():
@@ -174,7 +213,8 @@ def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInse
 
     1. keys of the day rows → every version of those keys, *narrow*
        (keys + version columns only) → winning version per key;
-    2. the day rows (wide) semi-joined to the winners on key + version.
+    2. the day rows (wide) joined to the winners on key + version; of rows that share both, one stays, chosen by
+       the whole row.
 
     ``prefilter(df)`` may add partition predicates (e.g. derived event-day
     bounds, F2) to the day-row scan."""
@@ -193,11 +233,24 @@ def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInse
     versions = candidates.select(*keys, *ver).join(
         day_keys, [candidates[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi"
     )
-    winners = versions.groupBy(*keys).agg(F.max(F.struct(*ver)).alias("_v")).select(
-        *keys, *[F.col(f"_v.{c}").alias(c) for c in ver]
-    )
-    cond = [day[c].eqNullSafe(winners[c]) for c in keys + ver]
-    return day.join(winners, cond, "left_semi")
+    # n: rows that share a key's last version; more than one is a tie, decided by the whole row
+    winners = versions.groupBy(*keys, *ver).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.max(F.struct(*ver, "_n")).alias("_v")
+    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_v_{c}") for c in ver], F.col("_v._n").alias("_n"))
+    cond = [day[k].eqNullSafe(winners[f"_k_{k}"]) for k in keys] + [day[c].eqNullSafe(winners[f"_v_{c}"]) for c in ver]
+    last = day.join(winners, cond).select(*[day[c] for c in day.columns], "_n")
+    tied = keep_last(last.where("_n > 1").drop("_n").withColumn("_row", row_order(day.columns)), keys, ["_row"]).drop("_row")
+    return last.where("_n = 1").drop("_n").unionByName(tied)
+
+
+def superseded_days(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted") -> DataFrame:
+    """(unit) earlier insert days of keys that have a version on ``days``: a row of theirs is no longer the last."""
+    keys = list(spec.keys)
+    narrow = src.select(*keys, proc_col)
+    now = narrow.where(_insert_day_pred(days, proc_col)).groupBy(*keys).agg(F.max(proc_col).alias("_last"))
+    now = now.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last")
+    older = narrow.join(now, [narrow[k].eqNullSafe(now[f"_k_{k}"]) for k in keys]).where(F.col(proc_col) < F.col("_last"))
+    return older.select(F.date_format(F.timestamp_millis(proc_col), "yyyy-MM-dd").alias("unit")).distinct()
 
 
 def backfill_days(
@@ -205,11 +258,17 @@ def backfill_days(
     dry_run: bool = False,
 ) -> DataFrame:
     """B2: one job for all pending days.  Returns per-day counts.  ``dry_run``
-    writes nothing and marks nothing (the reference marked dry-run days DONE)."""
+    writes nothing and marks nothing (the reference marked dry-run days DONE).
+
+    A day is the unit ``day-<day>`` of the shared table; only rows of that unit are replaced.  Days done before whose
+    rows are superseded by a pending day are done again."""
     spec = spec or BackfillSpec()
     todo = pending_units(spark, [str(d) for d in days], ledger_path)
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
+    done = latest_state(read_ledger(spark, ledger_path)).where("state = 'DONE'").select("unit")
+    again = superseded_days(src, todo, spec).join(done, "unit", "left_semi")  # days: bounded by the table's age
+    todo = sorted({*todo, *(r.unit for r in again.collect())})
     rows = convert_rows(day_rows(src, todo, spec), spec)
     counts_of = lambda df: df.groupBy(F.date_format("processingTime", "yyyy-MM-dd").alias("unit")).agg(
         F.count(F.lit(1)).alias("rows")
@@ -217,61 +276,86 @@ def backfill_days(
     units = spark.createDataFrame([(u,) for u in todo], "unit string")
     if dry_run:
         return units.join(counts_of(rows), "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
-    write_events(rows, target, mode="overwrite")
-    written = spark.read.option("mergeSchema", "true").parquet(target).where(
-        F.date_format("processing_day", "yyyy-MM-dd").isin(todo)
-    )
-    counts = units.join(counts_of(written), "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
+    tags = [f"day-{u}" for u in todo]
+    replace_units(rows.withColumn(LOAD_UNIT, F.concat(F.lit("day-"), F.date_format("processingTime", "yyyy-MM-dd"))), target, tags)
+    counts = _mark(spark, _written_counts(spark, target, "day-", tags), units, ledger_path)
+    return counts
+
+
+def _written_counts(spark: SparkSession, target: str, prefix: str, tags) -> DataFrame:
+    """(unit, rows) of the units as written; partition columns only, so footers answer."""
+    if not path_exists(spark, target):
+        return spark.createDataFrame([], "unit string, rows long")
+    held = spark.read.option("mergeSchema", "true").parquet(target).where(F.col(LOAD_UNIT).isin(tags))
+    return held.groupBy(F.substring(LOAD_UNIT, len(prefix) + 1, 1000).alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _mark(spark: SparkSession, counts: DataFrame, units: DataFrame, ledger_path: str, empty: str = "DONE", failed=()) -> DataFrame:
+    """Append the ledger rows of a finished run; returns (unit, rows)."""
+    checkpoint_root(spark)
+    counts = units.join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
     counts = counts.checkpoint(eager=True)  # the ledger must not re-read a changing table
-    append_ledger(spark, ledger_path, counts.select("unit", F.lit("DONE").alias("state"), "rows", F.lit(_now()).alias("updated_at")))
+    state = F.when(F.col("unit").isin(list(failed)), "FAILED").when(F.col("rows") > 0, "DONE").otherwise(empty)
+    append_ledger(spark, ledger_path, counts.select("unit", state.alias("state"), "rows", F.lit(_now()).alias("updated_at")))
     return counts
 
 
 # ---- B1: file backfill -----------------------------------------------------------
+def _stage(spark: SparkSession, files: dict[str, list[str]], typed, failed: list[str]) -> list[str]:
+    """Parse the exports once, into staging tables; a read that fails is halved until the unreadable export stands
+    alone, which goes to ``failed`` with none of its rows kept."""
+    path = work_path(spark, "exports")
+    try:
+        text = read_snapshots(spark, files)
+        if text is None:
+            return []
+        typed(text).write.parquet(path)
+        return [path]
+    except (PySparkException, Py4JError) as e:
+        if len(files) == 1:
+            log.warning("export %s can't be read: %s", next(iter(files)), str(e)[:300])
+            failed.extend(files)
+            return []
+        names = list(files)
+        half = len(names) // 2
+        return [p for part in (names[:half], names[half:]) for p in _stage(spark, {n: files[n] for n in part}, typed, failed)]
+
+
 def backfill_files(
     spark: SparkSession, root: str, declared, target: str, ledger_path: str,
-    spec: BackfillSpec | None = None, dry_run: bool = False, null_spellings=None,
+    spec: BackfillSpec | None = None, dry_run: bool = False, null_spellings=None, names=None,
 ) -> DataFrame:
-    """B1: every pending export in one job; unit = export (file) name.
-
-    Exports and table partitions do not line up (one export spans several
-    days, one day gets several exports), so a plain overwrite could drop rows
-    of exports done earlier and a plain append duplicates rows when a run is
-    retried.  Each row therefore carries ``_source_file``; the partitions the
-    pending exports touch are rebuilt from (their rows in the table that came
-    from *other* exports) + (the pending rows), staged through a checkpoint,
-    then dynamically overwritten.  Re-running is idempotent.  An export that
-    yields no rows is recorded FAILED and retried next time."""
+    """B1: every pending export; unit = export (file) name, of all exports or of ``names``.
+
+    The pending exports are parsed once into a staging table, which counts, and the final write, are taken from.  An
+    export is the unit ``file-<name>`` of the shared table: its rows replace only its own earlier rows, so
+    re-running is idempotent and neither other exports nor live rows of the same day are touched.  An export
+    that can't be read or yields no rows is recorded FAILED, with no rows, and retried next time."""
     spec = spec or BackfillSpec()
-    text = read_snapshots(spark, root)
-    units_all = export_names(text)
-    todo = pending_units(spark, units_all, ledger_path)
+    declared = declared_types(declared)
+    files = export_files(spark, root, names=names)
+    todo = pending_units(spark, files, ledger_path)
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
-    text = text.where(F.col("snapshot").isin(todo))
-    rows = convert_rows(type_snapshot(text, declared, null_spellings), spec).withColumnRenamed(
-        "snapshot", "_source_file"
-    )
-    counts = rows.groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
+
+    def typed(text: DataFrame) -> DataFrame:
+        rows = convert_rows(type_snapshot(text, declared, null_spellings), spec)
+        rows = rows.withColumn(LOAD_UNIT, F.concat(F.lit("file-"), "_export")).withColumnRenamed("_export", "_source_file")
+        return with_layout_columns(rows)
+
+    failed: list[str] = []
+    staged = _stage(spark, {n: files[n] for n in todo}, typed, failed)
     units = spark.createDataFrame([(u,) for u in todo], "unit string")
-    counts = units.join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
+    tags = [f"file-{u}" for u in todo]
+    if not staged:
+        none = spark.createDataFrame([], "unit string, rows long")
+        return none if dry_run else _mark(spark, none, units, ledger_path, empty="FAILED", failed=failed)
+    rows = spark.read.option("mergeSchema", "true").parquet(*staged)
+    counts = rows.groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
     if dry_run:
-        return counts
-    rows = rows.withColumn("processing_day", F.to_date("processingTime"))
-    existing = spark.read.option("mergeSchema", "true").parquet(target) if path_exists(spark, target) else None
-    if existing is not None:
-        touched = rows.select(*PARTITION_KEYS).distinct()
-        keep = existing.join(touched, list(PARTITION_KEYS), "left_semi").where(~F.col("_source_file").isin(todo))
-        rows = rows.unionByName(keep, allowMissingColumns=True)
-    staged = rows.checkpoint(eager=True)  # never overwrite a path the plan still reads
-    write_events(staged, target, mode="overwrite")
-    counts = counts.checkpoint(eager=True)
-    append_ledger(
-        spark, ledger_path,
-        counts.select("unit", F.when(F.col("rows") > 0, "DONE").otherwise("FAILED").alias("state"), "rows",
-                      F.lit(_now()).alias("updated_at")),
-    )
-    return counts
+        return units.join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
+    replace_units(rows, target, tags)
+    return _mark(spark, counts, units, ledger_path, empty="FAILED", failed=failed)
 
 
 # ---- R15: column slices --------------------------------------------------------------

@@ -1,10 +1,10 @@
 """Deduplication.
 
-Keep-last by key is a ``groupBy(keys).agg(max_by(struct(rest), struct(version)))``:
-a hash aggregate with map-side partial aggregation, so a key that holds a
-third of the table collapses inside each map task before the shuffle, and no
-sort of whole groups is needed.  The version must be a total order: pass a
-tie-breaker (file name, row hash) as the last version column.
+Keep-last by key is a ``groupBy(keys).agg(max_by(struct(rest), struct(version)))``
+with map-side partial aggregation, so a key that holds a third of the table
+collapses inside each map task before the shuffle.  Spark runs it as a sort
+aggregate, as the buffer holds a struct with text.  The version must be a total
+order: pass a tie-breaker (file name, row hash) as the last version column.
 """
 
 from __future__ import annotations
@@ -31,14 +31,22 @@ def keep_last(df: DataFrame, keys, version_cols) -> DataFrame:
 
 def keep_last_two_phase(df: DataFrame, keys, version_cols) -> DataFrame:
     """Variant for very wide rows: find the winning (key, version) on the narrow
-    projection first, then semi-join the wide rows to it.  Requires the
-    version to be unique per key (include a tie-breaker)."""
+    projection first, then join the wide rows to it.  Of rows that share key and
+    version one stays, chosen by the whole row, so there is one row per key."""
     keys, version_cols = list(keys), list(version_cols)
-    winners = df.select(*keys, *version_cols).groupBy(*keys).agg(
-        F.max(F.struct(*version_cols)).alias("_v")
-    ).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in version_cols])
-    cond = [df[c].eqNullSafe(winners[c]) for c in keys + version_cols]
-    return df.join(winners, cond, "left_semi")
+    winners = df.select(*keys, *version_cols).groupBy(*keys, *version_cols).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.max(F.struct(*version_cols, "_n")).alias("_v")
+    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_v_{c}") for c in version_cols], F.col("_v._n").alias("_n"))
+    cond = [df[k].eqNullSafe(winners[f"_k_{k}"]) for k in keys] + [df[c].eqNullSafe(winners[f"_v_{c}"]) for c in version_cols]
+    last = df.join(winners, cond).select(*[df[c] for c in df.columns], "_n")
+    tied = last.where("_n > 1").drop("_n").withColumn("_row", row_order(df.columns))
+    return last.where("_n = 1").drop("_n").unionByName(keep_last(tied, keys, ["_row"]).drop("_row"))
+
+
+def row_order(columns) -> F.Column:
+    """A total order of rows that differ at all, for ties of keys and versions."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    return F.struct(F.xxhash64(whole).alias("h"), whole.alias("row"))
 
 
 def duplicate_profile(df: DataFrame, keys) -> DataFrame:

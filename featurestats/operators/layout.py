@@ -8,14 +8,20 @@ eventId inside each file; zstd; bloom filters on eventId and userId.
 from __future__ import annotations
 
 import datetime as dt
+import json
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import hadoop_path, path_exists
+
 PARTITION_COLS = ("processing_day", "eventType")
 SORT_COLS = ("eventType", "eventTime", "eventId")
 BLOOM_COLS = ("eventId", "userId")
+#: Which writer a row comes from (see ``store``): the last partition level of a shared table.
+LOAD_UNIT = "_load_unit"
 
 
 def with_layout_columns(df: DataFrame, proc_col: str = "processingTime") -> DataFrame:
@@ -35,10 +41,18 @@ def write_events(df: DataFrame, path: str, mode: str = "overwrite", max_records_
     small ones, so one huge event type never lands in a single writer task."""
     if "processing_day" not in df.columns:
         df = with_layout_columns(df)
+    by = partition_columns(df)
+    event_writer(df.hint("rebalance", *by).sortWithinPartitions(*SORT_COLS), mode, max_records_per_file).partitionBy(*by).parquet(path)
+
+
+def partition_columns(df: DataFrame) -> list[str]:
+    return [*PARTITION_COLS, LOAD_UNIT] if LOAD_UNIT in df.columns else [*PARTITION_COLS]
+
+
+def event_writer(df: DataFrame, mode: str, max_records_per_file: int = 5_000_000):
+    """The writer properties of every event file, compacted ones included."""
     w = (
-        df.hint("rebalance", *PARTITION_COLS)
-        .sortWithinPartitions(*SORT_COLS)
-        .write.mode(mode)
+        df.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", str(max_records_per_file))
@@ -49,7 +63,7 @@ def write_events(df: DataFrame, path: str, mode: str = "overwrite", max_records_
             # (a fixed default costs 1 MB per column per file, even for tiny files)
             w = (w.option(f"parquet.bloom.filter.enabled#{c}", "true")
                  .option("parquet.bloom.filter.adaptive.enabled", "true"))
-    w.partitionBy(*PARTITION_COLS).parquet(path)
+    return w
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -84,73 +98,89 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
 REPORT_SCHEMA = "files_before long, files_after long, rows_before long, rows_after long, rows_match boolean"
 
 
-def compact(spark: SparkSession, path: str, partition_filter: str | None = None, target_file_bytes: int = 256 << 20) -> DataFrame:
-    """Rewrite the selected partitions into files of about
-    ``target_file_bytes``, sorted, with a row-count check *before* the swap.
-
-    The fragmented input is read once: rows are clustered by the partition
-    columns with a REBALANCE hint (AQE cuts a hot partition into several
-    ~target-size tasks and packs small ones together — no sampling pass),
-    sorted, and written to a staging folder next to the table while the
-    row count is observed in the writing stage.  The staged count (Parquet footers only)
-    must match; then the staged files — already clustered and sorted — are
-    copied into the table partitions with a dynamic overwrite, no shuffle.
-    Returns a one-row report."""
-    from pyspark.sql import Observation
+def _journal(path: str) -> str:
+    return path.rstrip("/") + "__compaction"
+
+
+def finish_compaction(spark: SparkSession, path: str) -> bool:
+    """Carry out what the journal of a compaction says, if there is one: move the staged files into the table
+    (renames, no data is copied), delete the files they replace, then the staging folder and the journal.  Each step
+    may be repeated, so a crash at any point is mended by the next call."""
+    if not path_exists(spark, _journal(path)):
+        return False
+    entries = [json.loads(r[0]) for r in spark.read.text(_journal(path)).collect()]  # one row for each file
+    for e in entries:
+        if e["kind"] == "move":
+            fs, source = hadoop_path(spark, e["from"])
+            if fs.exists(source):
+                target = hadoop_path(spark, e["to"])[1]
+                fs.mkdirs(target.getParent())
+                if not fs.rename(source, target):
+                    raise RuntimeError(f"compaction: {e['from']} could not be moved")
+    for e in entries:
+        if e["kind"] in ("delete", "staging"):
+            fs, old = hadoop_path(spark, e["path"])
+            fs.delete(old, True)
+    fs, journal = hadoop_path(spark, _journal(path))
+    fs.delete(journal, True)
+    return True
 
+
+def compact(spark: SparkSession, path: str, partition_filter: str | None = None, target_file_bytes: int = 256 << 20) -> DataFrame:
+    """Rewrite the files of the selected partitions into files of about ``target_file_bytes``, sorted, with a
+    row-count check *before* the swap.
+
+    The files are listed once and exactly these are read, written once to a staging folder (REBALANCE: AQE cuts a hot
+    partition into several ~target-size tasks and packs small ones together) with the table's writer properties, moved
+    into place by rename and then deleted.  Files appended meanwhile are in neither list and stay.  The journal makes
+    the swap restartable.  Returns a one-row report."""
+    finish_compaction(spark, path)
     src = read_events(spark, path)
-    if partition_filter:
-        src = src.where(partition_filter)
-    def n_files(df: DataFrame) -> int:
-        if partition_filter:  # inputFiles() ignores filters: count the selected partitions' files
-            return df.select(F.col("_metadata.file_path")).distinct().count()
-        return len(df.inputFiles())  # from the file listing, no I/O
-
-    files_before = n_files(src)
-    order = [*PARTITION_COLS, *SORT_COLS]
+    chosen = src.where(partition_filter) if partition_filter else src
+    # file_path alone: no column is read, other partitions are pruned
+    files = sorted(r[0] for r in chosen.select(F.col("_metadata.file_path")).distinct().collect())
+    if not files:
+        return spark.createDataFrame([(0, 0, 0, 0, True)], REPORT_SCHEMA)
+    fixed = spark.read.option("basePath", path).schema(src.schema).parquet(*files)
     staging = path.rstrip("/") + f"__compact_{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
+    by = partition_columns(src)
     obs = Observation("compaction_input")
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     previous = spark.conf.get(key, None)
     spark.conf.set(key, str(target_file_bytes))
     try:
-        (
-            src.hint("rebalance", *PARTITION_COLS)
+        rows = (
+            fixed.hint("rebalance", *by)
             # observed in the writing (result) stage: counted once per partition even
             # when a lost shuffle makes Spark re-run the map stage
             .observe(obs, F.count(F.lit(1)).alias("rows"))
-            .sortWithinPartitions(*order)
-            .write.mode("overwrite")
-            .option("compression", "zstd")
-            .partitionBy(*PARTITION_COLS)
-            .parquet(staging)
+            .sortWithinPartitions(*by, *SORT_COLS)
         )
+        event_writer(rows, "overwrite").partitionBy(*by).parquet(staging)
     finally:
         if previous is None:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, previous)
     rows_before = int(obs.get.get("rows", 0))
-    staged = read_events(spark, staging)
-    rows_staged = staged.count()
+    staged = spark.read.schema(src.schema).parquet(staging)
+    rows_staged = staged.count()  # from footers
     if rows_staged != rows_before:
+        fs, target = hadoop_path(spark, staging)
+        fs.delete(target, True)
         raise RuntimeError(f"compaction row mismatch: {rows_before} vs {rows_staged}; table untouched")
-    if rows_before == 0:
-        return spark.createDataFrame([(files_before, files_before, 0, 0, True)], REPORT_SCHEMA)
-    (
-        staged.select(*src.columns)
-        .sortWithinPartitions(*order)  # already in this order: keeps the writer from re-sorting
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy(*PARTITION_COLS)
-        .parquet(path)
-    )
-    after = read_events(spark, path)
-    if partition_filter:
-        after = after.where(partition_filter)
-    files_after, rows_after = n_files(after), after.count()
-    return spark.createDataFrame([(files_before, files_after, rows_before, rows_after, rows_before == rows_after)], REPORT_SCHEMA)
+    new = sorted(staged.inputFiles())
+    inside = lambda f: path.rstrip("/") + "/" + f.rsplit("/" + staging.rsplit("/", 1)[1] + "/", 1)[1]
+    entries = [{"kind": "move", "from": _plain(f), "to": _plain(inside(f))} for f in new]
+    entries += [{"kind": "delete", "path": _plain(f)} for f in files] + [{"kind": "staging", "path": staging}]
+    spark.createDataFrame([(json.dumps(e),) for e in entries], "value string").coalesce(1).write.text(_journal(path))
+    finish_compaction(spark, path)
+    return spark.createDataFrame([(len(files), len(new), rows_before, rows_staged, rows_before == rows_staged)], REPORT_SCHEMA)
+
+
+def _plain(uri: str) -> str:
+    """The path a file URI (percent-encoded) stands for."""
+    return unquote(uri) if uri.startswith(("file:", "hdfs:", "viewfs:", "s3")) else uri
 
 
 def expired_partitions(df: DataFrame, as_of, keep_days: int, day_col: str = "processing_day") -> DataFrame:

@@ -32,6 +32,13 @@ def _slices(df: DataFrame, order_cols, n_slices: int | None) -> DataFrame:
     return df.repartitionByRange(n, *order_cols).withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
 
 
+def _join_groups(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, where a NULL group is a group like any other."""
+    keys = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [left[c].eqNullSafe(keys[f"_r_{c}"]) for c in on]
+    return left.join(keys, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def exact_percentiles(df: DataFrame, group_cols, value_col: str, quantiles: dict, n_slices: int | None = None):
     """Exact percentiles per group. ``quantiles`` maps output name → q in [0, 1].
 
@@ -56,7 +63,7 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str, quantiles: dict
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_ptot").over(w_all).alias("n"),
     )
-    ranked = local.join(offs, ["_slice", *g]).select(
+    ranked = _join_groups(local, offs, ["_slice", *g]).select(
         *g,
         "_v",
         "n",
@@ -105,7 +112,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
         )
     )
     sizes = sliced.groupBy("_slice", *g).agg(F.count(F.lit(1)).alias("_size"))
-    pieces = pieces.join(sizes, ["_slice", *g])
+    pieces = _join_groups(pieces, sizes, ["_slice", *g])
     # Stitch pieces that touch slice borders.  Per (slice, group): head = flagged
     # prefix piece, tail = flagged suffix piece (the same piece when the slice is
     # all flagged).  Slice j continues slice j-1 (previous slice holding the
@@ -116,7 +123,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
         F.max(F.when(F.col("_last_rn") == F.col("_size"), F.col("_len"))).alias("_tail"),
     )
     ws = Window.partitionBy(*g).orderBy("_slice")  # one row per slice of a group: small
-    info = sizes.join(heads_tails, ["_slice", *g], "left")
+    info = _join_groups(sizes, heads_tails, ["_slice", *g], "left")
     info = info.withColumn("_cont", F.col("_head").isNotNull() & F.lag("_tail").over(ws).isNotNull())
     info = info.withColumn("_full", F.coalesce(F.col("_head") == F.col("_size"), F.lit(False)))
     info = info.withColumn(
@@ -125,7 +132,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
             ws.rowsBetween(Window.unboundedPreceding, 0)
         ),
     ).withColumn("_prev_chain", F.lag("_chain").over(ws))
-    keyed = pieces.join(info.select("_slice", *g, "_cont", "_chain", "_prev_chain"), ["_slice", *g]).withColumn(
+    keyed = _join_groups(pieces, info.select("_slice", *g, "_cont", "_chain", "_prev_chain"), ["_slice", *g]).withColumn(
         "_k",
         F.when(F.col("_last_rn") == F.col("_size"), F.col("_chain")).when(
             (F.col("_first_rn") == 1) & F.col("_cont"), F.col("_prev_chain")
@@ -142,3 +149,17 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
     return out.where(F.col("_len") >= min_len).select(
         *g, "run_start", "run_end", F.col("_len").cast("bigint").alias("run_len")
     )
+
+
+def peak_running_sum(df: DataFrame, group_cols, order_cols, value_col: str, n_slices: int | None = None) -> DataFrame:
+    """The largest running sum of ``value_col`` per group in the order of ``order_cols``.
+
+    Output: *group_cols, peak.  Slices give their sum and their own peak; a slice's peak counts from the sum of the
+    group's earlier slices."""
+    g, o = list(group_cols), list(order_cols)
+    sliced = _slices(df.select(*g, *o, F.col(value_col).alias("_x")), [*g, *o], n_slices)
+    w = Window.partitionBy("_slice", *g).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    per = sliced.withColumn("_run", F.sum("_x").over(w)).groupBy("_slice", *g).agg(F.sum("_x").alias("_sum"), F.max("_run").alias("_peak"))
+    before = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    return per.withColumn("_off", F.coalesce(F.sum("_sum").over(before), F.lit(0))).groupBy(*g).agg(
+        F.max(F.col("_off") + F.col("_peak")).alias("peak"))

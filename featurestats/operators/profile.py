@@ -35,22 +35,21 @@ def partition_profile(df: DataFrame, col: str = "processingTime", fmt: str = "yy
 
 
 def reconcile_counts(src: DataFrame, src_day: F.Column, tgt: DataFrame, tgt_day: F.Column) -> DataFrame:
-    """Per-day source vs target counts (full outer join of two small
+    """Per-day source vs target counts (one union of two small
     per-day tables), with the difference and a match flag."""
     a = src.groupBy(src_day.alias("day")).agg(F.count(F.lit(1)).alias("source_rows"))
     b = tgt.groupBy(tgt_day.alias("day")).agg(F.count(F.lit(1)).alias("target_rows"))
-    j = a.join(b, "day", "full_outer")
-    s, t = F.coalesce("source_rows", F.lit(0)), F.coalesce("target_rows", F.lit(0))
+    both = a.withColumn("target_rows", F.lit(0)).unionByName(b.withColumn("source_rows", F.lit(0)))
+    j = both.groupBy("day").agg(F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
+    s, t = F.col("source_rows"), F.col("target_rows")  # rows without a day are a group too
     return j.select("day", s.alias("source_rows"), t.alias("target_rows"), (t - s).alias("diff"), (s == t).alias("match"))
 
 
 def reconcile_keys(src: DataFrame, tgt: DataFrame, keys) -> DataFrame:
     """T6 at key level: keys only in the source / only in the target."""
-    a = src.select(*keys).distinct()
-    b = tgt.select(*keys).distinct()
-    only_src = a.join(b, list(keys), "left_anti").select(F.lit("source_only").alias("side"), *keys)
-    only_tgt = b.join(a, list(keys), "left_anti").select(F.lit("target_only").alias("side"), *keys)
-    return only_src.unionByName(only_tgt)
+    both = src.select(*keys, F.lit(1).alias("_side")).unionByName(tgt.select(*keys, F.lit(2).alias("_side")))
+    seen = both.groupBy(*keys).agg(F.bit_or("_side").alias("_side")).where("_side < 3")  # NULL keys match NULL keys
+    return seen.select(F.when(F.col("_side") == 1, "source_only").otherwise("target_only").alias("side"), *keys)
 
 
 def column_drift(src: DataFrame, tgt: DataFrame) -> DataFrame:

@@ -79,6 +79,14 @@ def pruning_parity(pruned: DataFrame, full: DataFrame) -> DataFrame:
     ).select("pruned_count", "full_count", (F.col("pruned_count") == F.col("full_count")).alias("parity"))
 
 
+def parity_by_day(df: DataFrame, proc_day: Column, event_day: Column, slack_days: int) -> DataFrame:
+    """F3 for every day in one pass: rows whose event partition is within ``slack_days`` of the processing day (those a
+    pruned read finds) against all rows of the day."""
+    near = event_day.between(F.date_sub(proc_day, slack_days), F.date_add(proc_day, slack_days))
+    days = df.groupBy(proc_day.alias("day")).agg(F.count_if(near).alias("pruned_count"), F.count(F.lit(1)).alias("full_count"))
+    return days.select("day", "pruned_count", "full_count", (F.col("pruned_count") == F.col("full_count")).alias("parity"))
+
+
 def skip_done(units: DataFrame, ledger: DataFrame, unit_col: str = "unit") -> DataFrame:
     """units without a DONE entry in the ledger (latest state wins)."""
     done = latest_state(ledger, unit_col).where(F.col("state") == "DONE").select(unit_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import coerce_variant, epoch_to_timestamp, int_array, to_boolean, to_int
+from ..functions.coerce import bad_ints, coerce_variant, epoch_to_timestamp, int_array, to_boolean, to_int
 from ..functions.types import stream_type
 
 # The fixed columns of the event table, in order, with types.
@@ -36,14 +36,17 @@ FIXED_COLUMNS = [
 ]
 
 # Fixed part of the message schema: scalars as text (numbers and numeric
-# strings both parse), arrays of text.
+# strings both parse), rule lists of any values, action lists of text.  A field of another JSON
+# type reads as NULL and the record's other fields are kept (partial results).
 FIXED_MESSAGE_FIELDS = [
     T.StructField(n, T.StringType())
     for n in (
         "eventId", "eventType", "userId", "time", "eventTime", "processTime", "processingTime",
         "reEvaluateEntity", "originId", "originCategory", "fromUpdateAPI",
     )
-] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("rules", "actions", "trialRules", "trialActions")]
+] + [T.StructField(n, T.ArrayType(T.VariantType())) for n in ("rules", "trialRules")] + [
+    T.StructField(n, T.ArrayType(T.StringType())) for n in ("actions", "trialActions")
+]
 
 # Generic schema: maps of text values (nested values become JSON text).  Used
 # where the *set* of ids matters (unresolved-id audit); resolution uses the
@@ -53,7 +56,6 @@ MESSAGE_SCHEMA = T.StructType(
     + [T.StructField(n, T.MapType(T.StringType(), T.StringType())) for n in ("featureMap", "eventFields")]
     + [T.StructField("_corrupt", T.StringType())]
 )
-TOP_FIELDS = [f.name for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt"]
 
 
 def message_schema(plan: "SchemaPlan | None") -> T.StructType:
@@ -181,22 +183,25 @@ def bad_fixed_fields(j: str = "j") -> F.Column:
     """A present fixed field that does not parse: processing time, originId, or
     a non-null rule id that is not a number (the reference fails such records)."""
     c = lambda n: F.col(f"{j}.{n}")
-    bad_rules = lambda a: F.coalesce(
-        F.exists(a, lambda x: x.isNotNull() & to_int(x).isNull()), F.lit(False)
-    )
     return (
         _bad_time(F.coalesce(c("processTime"), c("processingTime")))
         | (c("originId").isNotNull() & to_int(c("originId")).isNull())
-        | bad_rules(c("rules"))
-        | bad_rules(c("trialRules"))
+        | bad_ints(c("rules"))
+        | bad_ints(c("trialRules"))
     )
 
 
+def not_an_object(j: str = "j", raw: str = "raw_value") -> F.Column:
+    """Malformed JSON, or JSON that is no object.  Only records that the parser flagged are looked at again: the rest
+    of them are objects with a field of another JSON type, which reads as NULL (R8)."""
+    whole = F.try_parse_json(F.col(raw))
+    return F.col(f"{j}._corrupt").isNotNull() & (whole.isNull() | ~F.ltrim(F.col(raw)).startswith("{"))
+
+
 def is_quarantined(j: str = "j") -> F.Column:
-    """Records that are not JSON objects, have a field of the wrong JSON type,
-    or whose event time or another fixed field does not parse."""
+    """Records that are not JSON objects, or whose event time or another fixed field does not parse."""
     c = lambda n: F.col(f"{j}.{n}")
-    return c("_corrupt").isNotNull() | _bad_time(F.coalesce(c("time"), c("eventTime"))) | bad_fixed_fields(j)
+    return not_an_object(j) | _bad_time(F.coalesce(c("time"), c("eventTime"))) | bad_fixed_fields(j)
 
 
 def resolve(parsed: DataFrame, plan: SchemaPlan) -> DataFrame:
@@ -212,11 +217,9 @@ def resolve_messages(raw: DataFrame, plan: SchemaPlan, value_col: str = "value")
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Rejected records with a reason."""
-    present = F.greatest(*[F.col(f"j.{n}").isNotNull().cast("int") for n in TOP_FIELDS]) == 1
     return parsed.where(is_quarantined()).select(
         "raw_value",
-        F.when(~present, "not_an_object")
-        .when(F.col("j._corrupt").isNotNull(), "field_type_mismatch")
+        F.when(not_an_object(), "not_an_object")
         .when(_bad_time(F.coalesce(F.col("j.time"), F.col("j.eventTime"))), "bad_event_time")
         .otherwise("bad_fixed_field")
         .alias("reason"),

@@ -209,6 +209,8 @@ r AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events
 )"""
+# a message object whose rules are no list: the record is kept with NULL rules
+EDGE = "event_id % 1000 = 5"
 SQL["resolve_fixed"] = f"""WITH {RES}
 SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType, CAST(user_id AS VARCHAR) AS userId,
   CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS event_ms,
@@ -217,7 +219,8 @@ SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType, CAST(user_
   CAST(to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS VARCHAR) AS actions,
   (event_id % 11 = 0) AS fromUpdateAPI,
   CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS originId
-FROM r"""
+FROM r
+UNION ALL SELECT 'x' || event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE {EDGE}"""
 SQL["resolve_features"] = f"""WITH {RES}
 SELECT CAST(event_id AS VARCHAR) AS eventId,
   (['US', 'CN', 'NA', 'DE'])[CAST(user_id % 4 AS INTEGER) + 1] AS country,
@@ -230,10 +233,12 @@ SELECT CAST(event_id AS VARCHAR) AS eventId,
   event_type AS legacy_note,
   CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id,
   event_id AS txn_ref
-FROM r"""
+FROM r
+UNION ALL SELECT 'x' || event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE {EDGE}"""
 SQL["resolve_event_fields_override"] = f"""WITH {RES}
 SELECT account_id IS NULL AS account_missing, count(*) AS n, CAST(sum(account_id) AS BIGINT) AS account_sum
-FROM (SELECT CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id FROM r)
+FROM (SELECT CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id FROM r
+      UNION ALL SELECT NULL FROM r WHERE {EDGE})
 GROUP BY ALL"""
 SQL["resolve_coercions"] = f"""WITH {RES},
 c AS (
@@ -241,7 +246,8 @@ c AS (
          CASE WHEN event_id % 100 = 14 THEN CAST('NaN' AS FLOAT) ELSE CAST(value AS FLOAT) END AS amount_f,
          CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS score,
          CASE WHEN event_id % 100 = 12 THEN false ELSE event_id % 2 = 0 END AS is_even
-  FROM r)
+  FROM r
+  UNION ALL SELECT NULL, NULL, NULL, NULL FROM r WHERE {EDGE})
 SELECT count(*) AS n, count(amount) AS amount_present, round(sum(amount), 4) AS amount_sum,
        count(*) FILTER (WHERE isnan(amount_f)) AS amount_f_nan, count(amount_f) AS amount_f_present,
        count(score) AS score_present, CAST(sum(score) AS BIGINT) AS score_sum,
@@ -250,20 +256,21 @@ FROM c"""
 SQL["resolve_epoch"] = f"""WITH {RES},
 m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'ms' END AS unit,
         CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000000) * 1000 ELSE epoch_us(ts) // 1000 END AS ms
-      FROM r)
+      FROM r
+      UNION ALL SELECT 'ms', NULL FROM r WHERE {EDGE})
 SELECT unit, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, CAST(sum(ms % 1000) AS BIGINT) AS sum_ms_part FROM m GROUP BY unit"""
 SQL["resolve_arrays"] = f"""WITH {RES}
 SELECT CAST(to_json([CAST(event_id % 13 AS INTEGER), CAST(event_id % 5 AS INTEGER)]) AS VARCHAR) AS rules,
   CAST(to_json([CASE WHEN event_id % 7 = 0 THEN 'block' ELSE 'pass' END, NULL]) AS VARCHAR) AS actions, count(*) AS n
-FROM r GROUP BY ALL"""
+FROM r GROUP BY ALL
+UNION ALL SELECT NULL, NULL, count(*) FROM r WHERE {EDGE} HAVING count(*) > 0"""
 SQL["unresolved_features"] = f"""WITH {RES}
 SELECT '30' AS feature_id, count(k) AS n_events FROM r
 UNION ALL SELECT '99', count(*) FROM r"""
 SQL["resolve_quarantine"] = """
 SELECT CASE event_id % 1000 WHEN 1 THEN 'not json ' || event_id WHEN 2 THEN '[' || event_id || ']'
-         WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE '{"eventId":"x' || event_id || '","rules":"nope"}' END AS raw_value,
-       CASE WHEN event_id % 1000 = 5 THEN 'field_type_mismatch' ELSE 'not_an_object' END AS reason
-FROM events WHERE event_id % 1000 IN (1, 2, 3, 5)"""
+         ELSE CAST(event_id AS VARCHAR) END AS raw_value, 'not_an_object' AS reason
+FROM events WHERE event_id % 1000 IN (1, 2, 3)"""
 SQL["stream_resolve"] = f"""WITH {RES}
 SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType,
   (['US', 'CN', 'NA', 'DE'])[CAST(user_id % 4 AS INTEGER) + 1] AS country,
@@ -271,9 +278,17 @@ SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType,
   CAST(CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS BIGINT) AS score,
   CAST(CASE WHEN event_id % 4 <> 0 THEN user_id ELSE k END AS BIGINT) AS account_id,
   strftime(CAST(ts + to_hours(CAST((event_id * 7) % 37 - 1 AS BIGINT)) AS DATE), '%Y-%m-%d') AS processing_day
-FROM r"""
-SQL["stream_dedup"] = """
-SELECT event_type AS eventType, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type"""
+FROM r
+UNION ALL SELECT 'x' || event_id, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE {EDGE}"""
+SQL["stream_dedup"] = f"""
+SELECT event_type AS eventType, count(*) AS n, count(DISTINCT event_id) AS n_ids
+FROM (SELECT event_type, event_id FROM events UNION ALL SELECT NULL, event_id FROM events WHERE {EDGE}) GROUP BY event_type"""
+SQL["stream_restart_new_checkpoint"] = SQL["stream_dedup"]
+SQL["stream_quarantine"] = SQL["resolve_quarantine"]
+SQL["stream_two_batches_type_change"] = f"""WITH {RES}
+SELECT event_type AS eventType, count(*) AS n, count(score) AS n_score, CAST(sum(score) AS DOUBLE) AS score_sum
+FROM (SELECT event_type, CASE WHEN event_id % 100 = 12 THEN NULL ELSE k END AS score FROM r
+      UNION ALL SELECT NULL, NULL FROM r WHERE {EDGE}) GROUP BY event_type"""
 
 # ---- backfill source (A4) ----------------------------------------------------
 SRC = EVENT_ROWS_DUP + """,
@@ -341,8 +356,8 @@ SELECT eventType, count(*) AS n FROM src
 WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-11')
 GROUP BY eventType"""
 SQL["prune_parity"] = f"""WITH {SRC}
-SELECT count(*) AS pruned_count, count(*) AS full_count, true AS parity FROM src
-WHERE timeInserted >= epoch_ms(TIMESTAMP '2024-01-10') AND timeInserted < epoch_ms(TIMESTAMP '2024-01-17')"""
+SELECT strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d') AS day, count(*) AS pruned_count,
+       count(*) AS full_count, true AS parity FROM src GROUP BY ALL"""
 SQL["distinct_months"] = "SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period FROM orders"
 
 # ---- layout and profiles ---------------------------------------------------------
@@ -409,8 +424,7 @@ SQL["column_drift"] = _drift_sql()
 SQL["file_profile"] = "SELECT count(*) AS n_rows, true AS has_files FROM events"
 SQL["refresh_non_empty"] = f"""WITH {EVENT_ROWS},{EVENT_RESULT}
 SELECT count(*) AS n, count(*) > 0 AS ok FROM (
-  SELECT DISTINCT {ACTIVITY_CASE} FROM event_result
-  WHERE eventTime >= TIMESTAMP '2024-01-30' AND eventTime < TIMESTAMP '2024-01-31')"""
+  SELECT DISTINCT CAST(eventTime AS DATE), {ACTIVITY_CASE} FROM event_result)"""
 
 # ---- audit (A7) and execution log (A8) from orders ------------------------------
 AUDIT = """
@@ -487,12 +501,20 @@ SELECT a.queryId AS query_id, l.query_type, a.scanBytes, l.l1_estimate_bytes,
        round(l.l1_estimate_bytes / a.scanBytes, 4) AS l1_over_actual
 FROM audit a LEFT JOIN log l ON a.queryId = l.query_id"""
 SQL["audit_tenant_graduation"] = f"""WITH {LOG},
-t AS (SELECT tenant, count(*) AS n_queries, count(DISTINCT CAST(created_at AS DATE)) AS active_days,
-             CAST(sum(actual_scan_bytes) AS BIGINT) AS scan_bytes, quantile_cont(actual_duration_ms, 0.99) AS p99_ms
-      FROM log GROUP BY tenant)
-SELECT tenant, n_queries, active_days, round(n_queries / active_days, 4) AS queries_per_day, round(p99_ms, 4) AS p99_ms,
-       scan_bytes, (n_queries / active_days > 50 OR p99_ms > 55000.0 OR scan_bytes > 1000000000000) AS graduate
-FROM t"""
+t AS (SELECT tenant, count(*) AS n_queries, avg(CAST(actual_scan_bytes > 50000000000 AS INTEGER)) AS heavy_scan_share,
+             quantile_cont(actual_duration_ms, 0.99) AS p99_ms FROM log GROUP BY tenant),
+steps AS (SELECT tenant, epoch_ms(created_at) AS t_ms, 1 AS step FROM log
+          UNION ALL SELECT tenant, epoch_ms(created_at) + greatest(actual_duration_ms, 1), -1 FROM log),
+run AS (SELECT tenant, sum(step) OVER (PARTITION BY tenant ORDER BY t_ms, step ROWS UNBOUNDED PRECEDING) AS n FROM steps),
+c AS (SELECT tenant, CAST(max(n) AS BIGINT) AS peak_queries FROM run GROUP BY tenant),
+ev AS (SELECT 'tenant_' || (user_id % 7) AS tenant, date_trunc('minute', ts) AS m, event_type FROM events),
+e AS (SELECT tenant, max(n) / 60.0 AS peak_events_per_s FROM (SELECT tenant, m, count(*) AS n FROM ev GROUP BY ALL) GROUP BY tenant),
+u AS (SELECT tenant, count(DISTINCT event_type) AS n_rollups FROM ev GROUP BY tenant)
+SELECT tenant, n_queries, round(heavy_scan_share, 4) AS heavy_scan_share, round(peak_events_per_s, 4) AS peak_events_per_s,
+       peak_queries, round(p99_ms, 4) AS p99_ms, n_rollups,
+       (coalesce(peak_events_per_s > 2000, false) OR peak_queries > 15 OR p99_ms > 3000 OR coalesce(n_rollups > 50, false)
+        OR heavy_scan_share >= 0.1) AS graduate
+FROM t LEFT JOIN c USING (tenant) LEFT JOIN e USING (tenant) LEFT JOIN u USING (tenant)"""
 SQL["audit_rollup_hit_rate"] = f"""WITH {AUDIT}
 SELECT strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS day, count(*) AS n,
        round(avg(CAST(hitMvs <> '' AS INTEGER)), 4) AS hit_rate,
@@ -501,7 +523,7 @@ FROM audit WHERE isQuery = 1 GROUP BY ALL"""
 
 SQL["sql_catalog_query"] = with_events("""
 SELECT eventType, count(*) AS n, count(*) FILTER (WHERE list_contains(actions, 'block')) AS n_blocked
-FROM event_result WHERE eventTime >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY eventType""")
+FROM event_result GROUP BY eventType""")
 SQL["cube_tenant_filter"] = SQL["cube_window_stats"]
 SQL["cube_feature_rollup"] = with_events(f"""
 SELECT 'mv_acme_activity_txn_amount' AS rollup, 'acme' AS tenant,
@@ -549,3 +571,32 @@ FROM x GROUP BY feature, segment_value"""
 SQL["retention_apply"] = with_events(f"""
 SELECT {_PDAY} AS processing_day, count(*) AS n_rows FROM event_result
 WHERE CAST(processingTime AS DATE) >= DATE '2024-01-11' GROUP BY ALL""")
+SQL["backfill_into_live_table"] = f"""WITH {SRC}
+SELECT 'live' AS writer, count(*) AS n, count(DISTINCT event_id) AS n_ids, CAST(0 AS BIGINT) AS n_origin FROM events
+UNION ALL SELECT 'day', count(*), count(DISTINCT eventId), count(origin_id) FROM dedup
+UNION ALL SELECT 'file', count(*), count(DISTINCT eventId), count(origin_id) FROM src"""
+SQL["backfill_mixed_headers"] = f"""WITH {RES}
+SELECT CAST(event_id AS VARCHAR) AS eventId, event_type AS eventType, round(value, 4) AS txn_amount, CAST(k AS BIGINT) AS score,
+       round(CASE WHEN event_id % 3 = 2 THEN k / 100.0 END, 4) AS risk, epoch_us(ts) // 1000 AS event_ms FROM r"""
+SQL["backfill_corrupt_export"] = """
+SELECT 'part' || (event_id % 3) AS part, CASE WHEN event_id % 3 = 1 THEN 'FAILED' ELSE 'DONE' END AS state,
+       CASE WHEN event_id % 3 = 1 THEN 0 ELSE count(*) END AS "rows", CASE WHEN event_id % 3 = 1 THEN 0 ELSE count(*) END AS table_rows
+FROM events GROUP BY event_id % 3"""
+SQL["backfill_supersede_rerun"] = f"""WITH {SRC}
+SELECT strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d') AS processing_day, count(*) AS n, count(DISTINCT eventId) AS n_ids
+FROM dedup GROUP BY ALL"""
+SQL["dedup_tie"] = f"""WITH {SRC}
+SELECT eventType, count(*) AS n, count(DISTINCT eventId) AS n_ids, max(timeInserted) AS last_ms FROM dedup GROUP BY eventType"""
+SQL["cube_refresh_emptied_day"] = with_events("""
+SELECT strftime(CAST(eventTime AS DATE), '%Y-%m-%d') AS stat_date, count(*) AS n_rows FROM event_result
+WHERE eventTime < TIMESTAMP '2024-01-16' GROUP BY ALL""")
+SQL["cube_rebuild_twice"] = with_events(f"""
+SELECT {ACTIVITY_CASE} AS segment_value, count(*) AS n_rows, count(DISTINCT CAST(eventTime AS DATE)) AS n_states
+FROM event_result GROUP BY ALL""")
+SQL["cube_refresh_error_status"] = with_events("""
+SELECT count(DISTINCT CAST(eventTime AS DATE)) AS expected_days, CAST(20 AS BIGINT) AS active_days,
+       count(DISTINCT CAST(eventTime AS DATE)) - 20 AS error_days, CAST(0 AS BIGINT) AS missing_days, 'ERROR' AS status FROM event_result""")
+SQL["cube_null_segment"] = with_events("""
+SELECT nullif(country, 'NA') AS country, count(txn_amount) AS n, round(quantile_cont(txn_amount, 0.5), 4) AS p50,
+       round(quantile_cont(txn_amount, 0.99), 4) AS p99, count(*) AS n_rows
+FROM event_result GROUP BY nullif(country, 'NA')""")

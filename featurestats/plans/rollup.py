@@ -6,15 +6,16 @@ scan and one (partial-aggregated) shuffle instead of one job per feature.
 The per-feature rollups of the reference (``mv_{tenant}_{dim}_{feature}``)
 are projections of that table (``feature_rollup``).
 
-Storage is Parquet partitioned by ``stat_date``; a refresh rewrites only the
-day partitions it recomputes (dynamic partition overwrite), so it is
-idempotent.  A small status ledger (one row per refreshed day) is appended
+Storage is Parquet partitioned by ``stat_month``; a refresh rewrites the months
+of the days it recomputes (dynamic partition overwrite) and keeps their other
+days, so it is idempotent.  A small status ledger (one row per refreshed day) is appended
 *after* the data write; re-running a refresh is safe.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.measures import state_exprs, state_name, states_for
-from ..session import path_exists
-from .cube import Cube
+from ..session import hadoop_path, path_exists
+from .cube import Cube, validate
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -167,11 +168,40 @@ class RollupTable:
     def ledger_path(self) -> str:
         return self.path.rstrip("/") + "__status"
 
-    def refresh(self, fact: DataFrame, days) -> None:
-        """Recompute the given event days (C5/C7); idempotent."""
+    def rows_outside(self, fact: DataFrame, days) -> int:
+        """Rows of these event days in processing days that ``proc_slack`` leaves out (narrow scan, not pruned)."""
+        if self.proc_slack is None or "processing_day" not in fact.columns:
+            return 0
+        inside = F.coalesce(processing_day_bounds(days, *self.proc_slack), F.lit(False))
+        return fact.where(time_in_days(self.cube.time_col, days)).where(~inside).count()
+
+    def refresh(self, fact: DataFrame, days, check_slack: bool = True) -> None:
+        """Recompute the given event days (C5/C7); idempotent.  The definition is validated first (C14); a
+        refresh that fails is recorded as ERROR with its message (C15) and raised.  ``check_slack=False`` skips the
+        count of rows that ``proc_slack`` would miss, for tables whose gap is checked elsewhere."""
         days = sorted(set(days))
         if not days:
             return
+        # Before the scan: what arrives while it runs counts as newer and stays pending.
+        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        try:
+            checked = validate(self.cube, fact)
+            if not checked.ok:
+                raise ValueError("; ".join(checked.errors))
+            if check_slack and (missed := self.rows_outside(fact, days)):
+                raise ValueError(f"proc_slack {self.proc_slack} would miss {missed} rows")
+            self._refresh(fact, days, stamp)
+        except Exception as e:
+            self.mark_error(days, str(e)[:1000])
+            raise
+
+    def drop(self) -> None:
+        """Delete the rollup's table and its ledger (its cube or feature is gone)."""
+        for path in (self.path, self.ledger_path):
+            fs, target = hadoop_path(self.spark, path)
+            fs.delete(target, True)
+
+    def _refresh(self, fact: DataFrame, days, stamp: dt.datetime) -> None:
         fresh = build_states(fact, self.cube, days, self.proc_slack)
         months = sorted({month_of(d) for d in days})
         if path_exists(self.spark, self.path):
@@ -193,10 +223,13 @@ class RollupTable:
             .partitionBy("stat_month")
             .parquet(self.path)
         )
-        written = staged.where(date_in_days("stat_date", days)).groupBy("stat_date").agg(
-            F.count(F.lit(1)).alias("n_rows")
-        )
-        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        # A dynamic overwrite doesn't touch a month that has no rows left.
+        held = {r.stat_month for r in staged.select("stat_month").distinct().collect()}
+        for month in set(months) - held:
+            fs, target = hadoop_path(self.spark, f"{self.path.rstrip('/')}/stat_month={month}")
+            fs.delete(target, True)
+        mine = date_in_days("stat_date", days) & (F.col("tenant") == F.lit(self.cube.tenant))
+        written = staged.where(mine).groupBy("stat_date").agg(F.count(F.lit(1)).alias("n_rows"))
         day_df = self.spark.createDataFrame([(d,) for d in days], "stat_date date")
         ledger_rows = day_df.join(written, "stat_date", "left").select(
             F.lit(self.ledger_key).alias("rollup"),
@@ -206,7 +239,7 @@ class RollupTable:
             F.lit(stamp).cast("timestamp").alias("refreshed_at"),
             F.lit(None).cast("string").alias("error_message"),
         )
-        ledger_rows.coalesce(1).write.mode("append").parquet(self.ledger_path)
+        ledger_rows.repartition(1).write.mode("append").parquet(self.ledger_path)
 
     def pending_days(self, affected: DataFrame) -> list[dt.date]:
         """Event days with arrivals newer than their last refresh.  ``affected``
@@ -242,6 +275,7 @@ class RollupTable:
         the window from ``fact`` (see ``plans.stats.window_stats``)."""
         from .stats import window_stats
 
+        kw.setdefault("proc_slack", self.proc_slack)
         return window_stats(fact, self.cube, as_of, window_days, rollup=self.states(),
                             rollup_days=self.active_days(), **kw)
 
@@ -269,7 +303,7 @@ class RollupTable:
         columns are scanned from the fact table and their states joined onto
         the stored ones; removed features → a projection of the stored states."""
         action = plan_rebuild(self.cube, new_cube)
-        fresh = RollupTable(self.spark, new_cube, self.path.rstrip("/") + f"__{action}", self.proc_slack)
+        fresh = RollupTable(self.spark, new_cube, f"{self.path.rstrip('/')}__{action}-{uuid.uuid4().hex[:8]}", self.proc_slack)
         keys = ["tenant", "stat_date", "segment_value"]
         if action == "full":
             days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
@@ -292,7 +326,7 @@ class RollupTable:
         self.ledger().where(F.col("status") == "ACTIVE").select(
             F.lit(fresh.ledger_key).alias("rollup"), "stat_date", "status", "n_rows",
             F.lit(stamp).cast("timestamp").alias("refreshed_at"), "error_message",
-        ).coalesce(1).write.mode("append").parquet(fresh.ledger_path)
+        ).repartition(1).write.mode("append").parquet(fresh.ledger_path)
         return fresh
 
 

@@ -132,13 +132,3 @@ def window_stats(
         "feature", "segment_value", *cube.measures, "active_days", "actual_days", "window_days", "coverage",
         "coverage_status", "source"
     )
-
-
-def raw_window_aggregate(fact: DataFrame, cube: Cube, lo, hi, measure_col: str) -> DataFrame:
-    """The plain raw fallback of the reference (C11): ``sum(measure)`` by segment
-    over ``lo <= time < hi``, straight from the fact table."""
-    return (
-        fact.where((F.col(cube.time_col) >= F.lit(lo)) & (F.col(cube.time_col) < F.lit(hi)))
-        .groupBy(cube.dimension.segment().alias("segment_value"))
-        .agg(F.sum(F.col(measure_col).cast("double")).alias("sum_val"), F.count(F.lit(1)).alias("n_rows"))
-    )

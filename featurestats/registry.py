@@ -50,6 +50,13 @@ def _days(fact: DataFrame, time_col: str = "eventTime") -> list[dt.date]:
 
 
 # ---- cube rollups and window statistics (P3) -------------------------------
+def _stored(spark, fact: DataFrame, cube: Cube, days) -> RollupTable:
+    """A rollup of ``cube`` written and refreshed for ``days``."""
+    table = RollupTable(spark, cube, work_path(spark, f"rollup_{cube.name}"))
+    table.refresh(fact, days)
+    return table
+
+
 @query
 def cube_rollup_daily(spark, sf_dir):
     """One-pass daily states for two features of the activity cube."""
@@ -62,26 +69,21 @@ def cube_rollup_daily(spark, sf_dir):
 def cube_window_stats(spark, sf_dir):
     """30-day window merged from daily states, coverage COMPLETE."""
     fact = event_table(spark, sf_dir)
-    rollup = build_states(fact, ACTIVITY_CUBE)
-    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=rollup, rollup_days=_days(fact))
+    return _stored(spark, fact, ACTIVITY_CUBE, _days(fact)).stats(fact, AS_OF, 30)
 
 
 @query
 def cube_partial_coverage(spark, sf_dir):
     """Rollup covers 20 of 30 days and raw fallback is off → PARTIAL."""
     fact = event_table(spark, sf_dir)
-    days = JAN[:20]
-    rollup = build_states(fact, ACTIVITY_CUBE, days)
-    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=rollup, rollup_days=days, max_raw_days=0)
+    return _stored(spark, fact, ACTIVITY_CUBE, JAN[:20]).stats(fact, AS_OF, 30, max_raw_days=0)
 
 
 @query
 def cube_hybrid_stats(spark, sf_dir):
     """20 rollup days + 10 raw days merged; equal to the direct aggregate."""
     fact = event_table(spark, sf_dir)
-    days = JAN[:20]
-    rollup = build_states(fact, ACTIVITY_CUBE, days)
-    return window_stats(fact, ACTIVITY_CUBE, AS_OF, 30, rollup=rollup, rollup_days=days)
+    return _stored(spark, fact, ACTIVITY_CUBE, JAN[:20]).stats(fact, AS_OF, 30)
 
 
 @query
@@ -289,11 +291,15 @@ def action_daily_rollup(spark, sf_dir):
 
 @query
 def block_rate_via_rollup(spark, sf_dir):
-    """Q1 answered from the daily action rollup (re-aggregating day rows)."""
-    daily = _action_daily(event_table(spark, sf_dir))
-    return daily.groupBy("eventType").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked")).select(
-        "eventType", "n", "n_blocked", (F.col("n_blocked") / F.col("n")).alias("block_rate")
-    )
+    """Q1 answered from a stored daily action rollup, refreshed twice for overlapping days."""
+    fact = event_table(spark, sf_dir).withColumn("blocked", blocked().cast("double"))
+    cube = Cube("action_daily", Dimension("type", "eventType", type="column", tenant="acme"), ("blocked",), ("count", "sum"), tenant="acme")
+    days = _days(fact)
+    table = _stored(spark, fact, cube, days[:20])
+    table.refresh(fact, days[15:])
+    return table.states().groupBy(F.col("segment_value").alias("eventType")).agg(
+        F.sum("n_rows").alias("n"), F.sum("blocked__sum_val").cast("bigint").alias("n_blocked")
+    ).select("eventType", "n", "n_blocked", (F.col("n_blocked") / F.col("n")).alias("block_rate"))
 
 
 @query
@@ -375,7 +381,7 @@ def resolve_coercions(spark, sf_dir):
 def resolve_epoch(spark, sf_dir):
     """Epoch seconds vs milliseconds by the 10^12 threshold, per unit."""
     r = _resolved(spark, sf_dir)
-    unit = F.when(F.col("eventId").cast("bigint") % 3 == 0, "s").otherwise("ms")
+    unit = F.when(F.col("eventId").try_cast("bigint") % 3 == 0, "s").otherwise("ms")
     return r.groupBy(unit.alias("unit")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.unix_millis("eventTime")).alias("min_ms"),
@@ -421,10 +427,10 @@ def _stream_table(spark, sf_dir, duplicates: bool, return_path: bool = False):
     if duplicates:  # an at-least-once source redelivers some messages
         again = msgs.where(F.get_json_object("value", "$.eventId").try_cast("bigint") % 50 == 0)
         msgs = msgs.unionByName(again)
-    msgs.repartition(4).write.text(src)
+    msgs.write.text(src)
     table, ckpt = work_path(spark, "stream_table"), work_path(spark, "stream_ckpt")
     meta = MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
-    q = start_ingest(spark, src, table, ckpt, meta, dedup_watermark="36 hours" if duplicates else None,
+    q = start_ingest(spark, src, table, ckpt, meta, dedup_delay="36 hours" if duplicates else None,
                      trigger={"availableNow": True})
     q.awaitTermination()
     if return_path:
@@ -557,7 +563,7 @@ def backfill_parse_lists(spark, sf_dir):
     root = write_snapshots(spark, sf_dir, work_path(spark, "snapshots"))
     target, ledger = work_path(spark, "bf_files"), work_path(spark, "bf_files_ledger")
     backfill_files(spark, root, snapshot_types(spark), target, ledger)  # declared types as a (name, type) table
-    t = spark.read.parquet(target)
+    t = spark.read.option("mergeSchema", "true").parquet(target)
     return t.select("eventId", "rules", "actions", "trialRules", "trialActions", "country", "score", "note", "created",
                     F.unix_millis("processingTime").alias("proc_ms"))
 
@@ -581,7 +587,7 @@ def backfill_stitch_slices(spark, sf_dir):
 def _event_day_table(spark, sf_dir):
     src = _src(spark, sf_dir)
     path = work_path(spark, "src_by_event_day")
-    src.repartition("event_day").write.partitionBy("event_day").parquet(path)
+    src.hint("rebalance", "event_day").write.partitionBy("event_day").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -599,16 +605,10 @@ def prune_correlated(spark, sf_dir):
 
 @query
 def prune_parity(spark, sf_dir):
-    """pruned count = unpruned count for every insert day."""
-    from .operators.prune import pruning_parity, with_event_partition_bounds
+    """for every insert day, the rows in the event-day partitions that F2 derives = all its rows."""
+    from .operators.prune import parity_by_day
 
-    t = _event_day_table(spark, sf_dir)
-    lo, hi = "2024-01-10", "2024-01-17"
-    pruned = with_event_partition_bounds(t, lo, hi, proc_col="timeInserted", event_part_col="event_day",
-                                         slack_days=2, period="day", proc_is_epoch_ms=True)
-    lo_ms, hi_ms = 1704844800000, 1705449600000
-    full = t.where((F.col("timeInserted") >= lo_ms) & (F.col("timeInserted") < hi_ms))
-    return pruning_parity(pruned, full)
+    return parity_by_day(_event_day_table(spark, sf_dir), F.to_date(F.timestamp_millis("timeInserted")), F.to_date(F.col("event_day").cast("string"), "yyyyMMdd"), 2)
 
 
 @query
@@ -669,7 +669,7 @@ def compact_preserves_rows(spark, sf_dir):
     path = work_path(spark, "compact")
     # an append-heavy history: 4 small appends
     for part in range(4):
-        (fact.where(F.abs(F.xxhash64("eventId")) % 4 == part).repartition(3).write.mode("append")
+        (fact.where(F.abs(F.xxhash64("eventId")) % 4 == part).repartition(F.xxhash64("eventId") % 64).write.mode("append")
          .partitionBy("processing_day", "eventType").parquet(path))
     before_sum = read_events(spark, path).agg(F.sum("txn_amount")).first()[0]
     rep = compact(spark, path, target_file_bytes=256 << 20)
@@ -748,7 +748,7 @@ def refresh_non_empty(spark, sf_dir):
 
     fact = event_table(spark, sf_dir)
     table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_check"))
-    table.refresh(fact, JAN[-1:])
+    table.refresh(fact, _days(fact))
     return non_empty(table.states())
 
 
@@ -826,10 +826,12 @@ def audit_estimate_join(spark, sf_dir):
 
 @query
 def audit_tenant_graduation(spark, sf_dir):
-    """Per-tenant load signals against thresholds (exact p99)."""
+    """Per-tenant signals: event rate of the busiest minute, queries at one time, exact p99, rollups, scan per query."""
     from .operators.audit import tenant_graduation
 
-    return tenant_graduation(_log(spark, sf_dir))
+    events = event_table(spark, sf_dir).withColumn("tenant", F.concat(F.lit("tenant_"), F.col("userId").cast("bigint") % 7))
+    rollups = events.select("tenant", F.concat(F.lit("mv_"), "eventType").alias("rollup")).distinct()
+    return tenant_graduation(_log(spark, sf_dir), events, rollups)
 
 
 @query
@@ -847,7 +849,7 @@ def sql_catalog_query(spark, sf_dir):
     event_table(spark, sf_dir).createOrReplaceTempView("event_result")
     return spark.sql(
         "SELECT eventType, count(*) AS n, count_if(array_contains(actions, 'block')) AS n_blocked "
-        "FROM event_result WHERE eventTime >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY eventType"
+        "FROM event_result GROUP BY eventType"
     )
 
 
@@ -926,7 +928,7 @@ def cube_lineitem_windows(spark, sf_dir):
 
     li = read_table(spark, sf_dir, "lineitem")
     days = [SHIP_AS_OF - dt.timedelta(days=i) for i in range(1, 181)]
-    states = build_states(li, SHIPPING_CUBE, days).persist()
+    states = _stored(spark, li, SHIPPING_CUBE, days).states()
     out = None
     for n in (30, 90, 180):
         w = window_stats(li, SHIPPING_CUBE, SHIP_AS_OF, n, rollup=states, rollup_days=days)
@@ -959,3 +961,189 @@ def retention_apply(spark, sf_dir):
     path, _ = _written_events(spark, sf_dir)
     apply_retention(spark, path, "2024-01-31", 20, dry_run=False)
     return read_events(spark, path).groupBy("processing_day").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- one event table for every writer -------------------------------------------
+@query
+def backfill_into_live_table(spark, sf_dir):
+    """B1 + B2 + S7 on one table: streamed rows, a day backfill (run twice) and a file backfill; each keeps its own rows."""
+    from .operators.backfill import BackfillSpec, backfill_days, backfill_files
+    from .operators.store import append_live, read_table
+    from .sources.snapshots import snapshot_types, write_snapshots
+
+    table = work_path(spark, "shared_table")
+    append_live(event_table(spark, sf_dir), table)
+    src = _src(spark, sf_dir)
+    for run in range(2):  # the second ledger knows nothing: the same days are replaced
+        backfill_days(spark, src, _proc_days(src), table, work_path(spark, "shared_days"), BackfillSpec(primary_key_to_user="pk"))
+    root = write_snapshots(spark, sf_dir, work_path(spark, "shared_snapshots"))
+    backfill_files(spark, root, snapshot_types(spark), table, work_path(spark, "shared_files"))
+    t = read_table(spark, table)
+    return t.groupBy(F.split("_load_unit", "-")[0].alias("writer")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"), F.count("originId").alias("n_origin"))
+
+
+@query
+def backfill_mixed_headers(spark, sf_dir):
+    """Flat ``.csv.gz`` exports whose columns are ordered differently, one with a column more."""
+    from .operators.backfill import backfill_files
+    from .sources.snapshots import write_flat_exports
+
+    root = write_flat_exports(spark, sf_dir, work_path(spark, "flat_exports"))
+    target = work_path(spark, "flat_table")
+    declared = {"eventId": "String", "eventType": "String", "time": "UInt64", "timeInserted": "UInt64", "txn_amount": "Float64", "score": "Int32", "risk": "Float64"}
+    backfill_files(spark, root, declared, target, work_path(spark, "flat_ledger"))
+    t = spark.read.option("mergeSchema", "true").parquet(target)
+    return t.select("eventId", "eventType", "txn_amount", "score", "risk", F.unix_millis("eventTime").alias("event_ms"))
+
+
+@query
+def backfill_corrupt_export(spark, sf_dir):
+    """B1: a truncated gzip export is FAILED with no rows kept; the others are DONE."""
+    from .operators.backfill import backfill_files, read_ledger
+    from .operators.prune import latest_state
+    from .sources.snapshots import truncate_export, write_flat_exports
+
+    root = write_flat_exports(spark, sf_dir, work_path(spark, "bad_exports"))
+    truncate_export(spark, root, "part1")
+    target, ledger = work_path(spark, "bad_table"), work_path(spark, "bad_ledger")
+    declared = {"eventId": "String", "eventType": "String", "time": "UInt64", "timeInserted": "UInt64", "txn_amount": "Float64", "score": "Int32", "risk": "Float64"}
+    backfill_files(spark, root, declared, target, ledger)
+    held = spark.read.option("mergeSchema", "true").parquet(target).groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("table_rows"))
+    return latest_state(read_ledger(spark, ledger)).join(held, "unit", "left").select(
+        F.regexp_extract("unit", "part[0-9]", 0).alias("part"), "state", "rows", F.coalesce("table_rows", F.lit(0)).alias("table_rows"))
+
+
+@query
+def backfill_supersede_rerun(spark, sf_dir):
+    """D1 + B2: days done before later versions arrived are done again; the table equals a backfill from scratch."""
+    from .operators.backfill import BackfillSpec, backfill_days
+
+    src = _src(spark, sf_dir)
+    days = _proc_days(src)
+    table, ledger = work_path(spark, "supersede"), work_path(spark, "supersede_ledger")
+    cut = F.unix_millis(F.lit(dt.datetime.fromisoformat(days[15])).cast("timestamp"))
+    backfill_days(spark, src.where(F.col("timeInserted") < cut), days[:15], table, ledger, BackfillSpec())
+    backfill_days(spark, src, days[15:], table, ledger, BackfillSpec())
+    return spark.read.parquet(table).groupBy("processing_day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"))
+
+
+@query
+def dedup_tie(spark, sf_dir):
+    """Rows that tie in key and version leave exactly one."""
+    from .operators.dedup import keep_last_two_phase
+
+    src = _src(spark, sf_dir)
+    tied = src.unionByName(src.withColumn("score", F.col("score") + 1))
+    one = keep_last_two_phase(tied, KEYS, ["timeInserted"])
+    return one.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"), F.max("timeInserted").alias("last_ms"))
+
+
+# ---- streams lose nothing --------------------------------------------------------
+def _ingest(spark, messages: DataFrame, table: str, meta=None):
+    from .sources.messages import attribute_meta, feature_meta
+    from .streaming.stream import MetadataCache, start_ingest
+
+    src = work_path(spark, "ingest_src")
+    messages.write.text(src)
+    meta = meta or MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
+    start_ingest(spark, src, table, work_path(spark, "ingest_ckpt"), meta, trigger={"availableNow": True}).awaitTermination()
+
+
+@query
+def stream_restart_new_checkpoint(spark, sf_dir):
+    """A second query with a new checkpoint, whose batch ids begin at 0 again, adds its rows to the same table."""
+    from .sources.messages import raw_messages
+
+    msgs = raw_messages(spark, sf_dir).where(F.col("value").isNotNull())
+    half = F.abs(F.xxhash64("value")) % 2
+    table = work_path(spark, "restart_table")
+    for k in range(2):
+        _ingest(spark, msgs.where(half == k), table)
+    t = spark.read.option("mergeSchema", "true").parquet(table)
+    return t.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"))
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """R9 in the stream: rejected messages are kept with a reason."""
+    from .sources.messages import raw_messages
+    from .streaming.stream import quarantine_path
+
+    table = work_path(spark, "quarantine_table")
+    _ingest(spark, raw_messages(spark, sf_dir).where(F.col("value").isNotNull()), table)
+    return spark.read.parquet(quarantine_path(table)).select("raw_value", "reason")
+
+
+@query
+def stream_two_batches_type_change(spark, sf_dir):
+    """R10 + S10: a feature's declared type changes from Integer to Double between two runs; the table stays readable and
+    holds both runs' values."""
+    from .operators.store import read_table
+    from .sources.messages import ATTRIBUTES, FEATURES, raw_messages
+    from .streaming.stream import MetadataCache
+
+    msgs = raw_messages(spark, sf_dir).where(F.col("value").isNotNull())
+    half = F.abs(F.xxhash64("value")) % 2
+    table = work_path(spark, "types_table")
+    for k, kind in enumerate(("Integer", "Double")):
+        rows = [(i, n, kind if n == "score" else t, s) for i, n, t, s in FEATURES]
+        meta = MetadataCache(lambda rows=rows: (spark.createDataFrame(rows, "id int, name string, return_type string, status string"),
+                                                spark.createDataFrame(ATTRIBUTES, "id int, name string, type string")))
+        _ingest(spark, msgs.where(half == k), table, meta)
+    t = read_table(spark, table)
+    return t.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_score"), F.sum("score").cast("double").alias("score_sum"))
+
+
+# ---- rollups tell the truth -------------------------------------------------------
+@query
+def cube_refresh_emptied_day(spark, sf_dir):
+    """Days whose rows are gone lose their states, also when their whole month is empty."""
+    fact = event_table(spark, sf_dir)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_emptied"))
+    feb = fact.limit(0)
+    later = fact.withColumn("eventTime", F.col("eventTime") + F.make_dt_interval(days=F.lit(31)))
+    days = _days(fact)
+    table.refresh(fact.unionByName(later), days + [d + dt.timedelta(days=31) for d in days])
+    table.refresh(fact.where(F.col("eventTime") < F.lit(dt.datetime(2024, 1, 16))).unionByName(feb), days + [d + dt.timedelta(days=31) for d in days])
+    return table.states().groupBy("stat_date").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query
+def cube_rebuild_twice(spark, sf_dir):
+    """Two full rebuilds with different measures, each in a table of its own."""
+    fact = event_table(spark, sf_dir)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_twice"))
+    table.refresh(fact, _days(fact))
+    less = Cube("activity_cube", ACTIVITY, ACTIVITY_CUBE.features, ("count", "sum"), tenant="acme")
+    table.rebuild(fact, less)
+    again = table.rebuild(fact, Cube("activity_cube", ACTIVITY, ACTIVITY_CUBE.features, ("count", "sum", "min"), tenant="acme"))
+    return again.states().groupBy("segment_value").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_states"))
+
+
+@query
+def cube_refresh_error_status(spark, sf_dir):
+    """C14 + C15: a refresh with an invalid definition fails and its days are recorded as ERROR."""
+    from .plans.rollup import rollup_status
+
+    fact = event_table(spark, sf_dir)
+    days = _days(fact)
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_error"))
+    table.refresh(fact, days[:20])
+    try:
+        table.refresh(fact.drop("score"), days[20:])
+    except ValueError:
+        pass
+    return rollup_status(table.ledger(), days).select("expected_days", "active_days", "error_days", "missing_days", "status")
+
+
+@query
+def cube_null_segment(spark, sf_dir):
+    """M7 + C2: a NULL segment is a segment, in merged states and in exact percentiles."""
+    from .operators.ordered import exact_percentiles
+
+    fact = event_table(spark, sf_dir).withColumn("country", F.when(F.col("country") != "NA", F.col("country")))
+    exact = exact_percentiles(fact, ["country"], "txn_amount", {"p50": 0.5, "p99": 0.99})
+    cube = Cube("by_country", Dimension("country", "country", type="column", tenant="acme"), ("txn_amount",), ("count", "sum"), tenant="acme")
+    states = build_states(fact, cube).groupBy("segment_value").agg(F.sum("n_rows").alias("n_rows"))
+    return exact.join(states, exact["country"].eqNullSafe(states["segment_value"])).select("country", "n", "p50", "p99", "n_rows")

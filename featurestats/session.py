@@ -65,6 +65,8 @@ def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) ->
         "spark.sql.files.openCostInBytes": str(8 << 20),
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.compression.codec": "zstd",
+        # the default of 128 keys falls back to a sort aggregate for day x segment sketch states
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -88,6 +90,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="featurestats-ckpt-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -97,8 +101,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/featurestats/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) on the JVM side; works for every scheme Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table folder exists (Hadoop file system of the path)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)

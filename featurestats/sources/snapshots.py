@@ -126,3 +126,44 @@ def write_snapshots(spark: SparkSession, sf_dir: str, root: str) -> str:
 
 def snapshot_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SNAPSHOT_TYPES, "name string, type string")
+
+
+def write_flat_exports(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Three flat exports ``raw__<marker>-<n>-part<k>.csv.gz`` that share the events among them: the second has
+    its columns in another order, the third a column more."""
+    from ..session import hadoop_path
+
+    src = source_table(spark, sf_dir, with_duplicates=False)
+    part = F.col("eventId").cast("bigint") % 3
+    rows = src.select("eventId", "eventType", *[F.col(c).cast("string").alias(c) for c in ("time", "timeInserted", "txn_amount", "score")])
+    orders = [
+        ["eventId", "eventType", "time", "timeInserted", "txn_amount", "score"],
+        ["score", "timeInserted", "eventId", "txn_amount", "time", "eventType"],
+        ["eventId", "eventType", "time", "timeInserted", "score", "txn_amount", "risk"],
+    ]
+    fs, folder = hadoop_path(spark, root)
+    fs.mkdirs(folder)
+    for k, names in enumerate(orders):
+        own = rows.where(part == k).withColumn("risk", (F.col("score").cast("int") / 100).cast("string"))
+        made = f"{root}__part{k}"
+        # an exporter writes one file for each export
+        own.select(*names).repartition(1).write.option("header", "true").option("compression", "gzip").csv(made)
+        fs, glob = hadoop_path(spark, f"{made}/*.csv.gz")
+        written = fs.globStatus(glob)[0].getPath()
+        fs.rename(written, hadoop_path(spark, f"{root}/raw__{SNAPSHOT_MARKER}-{1704067200000 + k}-part{k}.csv.gz")[1])
+    return root
+
+
+def truncate_export(spark: SparkSession, root: str, part: str) -> None:
+    """Cut the last third off an export, as a broken transfer leaves it."""
+    from ..session import hadoop_path
+
+    fs, glob = hadoop_path(spark, f"{root}/*{part}.csv.gz")
+    path = fs.globStatus(glob)[0].getPath()
+    size = int(fs.getFileStatus(path).getLen() * 2 / 3)
+    stream = fs.open(path)
+    data = bytes(stream.readNBytes(size))
+    stream.close()
+    out = fs.create(path, True)
+    out.write(data)
+    out.close()

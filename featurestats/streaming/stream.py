@@ -1,25 +1,27 @@
 """Structured Streaming ingestion.
 
-``readStream`` (Kafka in production; a text-file stream here) → parse →
-optional at-least-once dedup by ``eventId`` within a watermark → per
-micro-batch resolution against the *current* metadata → partitioned append.
+``readStream`` (Kafka, or text files) → optional at-least-once dedup by
+``eventId`` → per micro-batch resolution against the *current* metadata →
+append to the shared event table (``operators.store``).
 
 The wide schema depends on metadata that can change while the stream runs,
-so the projection is built inside ``foreachBatch``: metadata is reloaded at
+so messages are parsed inside ``foreachBatch``: metadata is reloaded at
 the start of every batch (each trigger is a 10-minute commit interval in
-production), the last good metadata is kept when a reload fails, and the
-table schema widens by name (``mergeSchema`` on read).
-
-Batches are recorded in a small ledger after their data is written; a batch
-id already in the ledger is skipped when Spark replays it after a restart.
-Rows carry ``_ingest_batch``: a replayed batch whose rows are already in the
-table (crash between the data commit and the ledger row) is not written
-again, so a replay never duplicates rows.
+production), the last good metadata is kept when a reload fails, rows are
+fitted to the table's types, and the table widens by name.
+
+Nothing is lost: rejected messages go to ``<table>__quarantine`` with a reason.
+Batches are recorded in a ledger after their data is written, by the id of the
+streaming query (which lives in its checkpoint) and the batch id, so another
+checkpoint's batches are never taken for done.  Rows carry ``_ingest_batch``: a
+replayed batch whose rows are already in the table (crash between the data
+commit and the ledger row) is not written again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -27,11 +29,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.resolve import SchemaPlan, parse_messages, plan_from_meta, quarantine, resolve
+from ..operators.store import append_live
 from ..session import path_exists
-from ..operators.resolve import SchemaPlan, is_quarantined, parse_messages, plan_from_meta, resolve
 
 log = logging.getLogger(__name__)
-FIXED_ONLY = SchemaPlan([], [])  # stream-level parse: fixed fields only (feature maps as empty structs)
 
 
 def _signature(plan: SchemaPlan):
@@ -65,7 +67,7 @@ class MetadataCache:
 
 
 def message_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """S1 stand-in: one message per line from files arriving in ``source_dir``."""
+    """S1 from files: one message per line from files arriving in ``source_dir``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -84,103 +86,100 @@ def kafka_message_stream(spark: SparkSession, bootstrap: str, topic: str, max_of
     return reader.load().select(F.col("value").cast("string").alias("value"))
 
 
-def dedup_stream(parsed: DataFrame, watermark: str = "36 hours") -> DataFrame:
-    """D3: drop redelivered events (same eventId) within the watermark; the
-    delay bound is the measured arrival gap (max ~36 h)."""
-    from ..functions.coerce import epoch_to_timestamp
+def dedup_stream(messages: DataFrame, delay: str) -> DataFrame:
+    """D3: drop messages redelivered (same eventId) within ``delay`` of each other's arrival.
 
-    keyed = parsed.where(~is_quarantined()).withColumn("_event_id", F.col("j.eventId")).withColumn(
-        "_proc_time", epoch_to_timestamp(F.coalesce(F.col("j.processTime"), F.col("j.processingTime")))
+    The watermark is on the arrival time, which never runs behind, so no message is ever dropped as late.
+    Messages without an eventId, unparsable ones included, pass."""
+    keyed = messages.withColumn("_arrived", F.current_timestamp()).withColumn(
+        "_event_id", F.coalesce(F.get_json_object("value", "$.eventId"), F.expr("uuid()"))
     )
-    return keyed.withWatermark("_proc_time", watermark).dropDuplicatesWithinWatermark(["_event_id"])
+    return keyed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["_event_id"]).select("value")
 
 
-def resolve_batch(batch: DataFrame, plan: SchemaPlan, batch_id: int) -> DataFrame:
-    """The stream parsed only the fixed fields; features are parsed here with
-    the schema of the current metadata version.  Rows carry their batch id."""
-    raw = batch.select(F.col("raw_value").alias("value"))
-    return (
-        resolve(parse_messages(raw, plan=plan), plan)
-        .withColumn("processing_day", F.to_date("processingTime"))
-        .withColumn("_ingest_batch", F.lit(batch_id).cast("bigint"))
-    )
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's id, which its checkpoint keeps across restarts."""
+    return json.loads(spark.read.text(checkpoint.rstrip("/") + "/metadata").first()[0])["id"]
 
 
-def batch_committed(spark: SparkSession, table_path: str, out: DataFrame, batch_id: int) -> bool:
-    """Whether rows of ``batch_id`` are already in the table (a crash after the
-    data commit but before the ledger row).  Probes only the processing-day
-    partitions the batch touches; min/max stats on ``_ingest_batch`` skip
-    other files."""
-    if not path_exists(spark, table_path):
-        return False
-    days = [r[0] for r in out.select("processing_day").distinct().collect()]  # a micro-batch spans few days
-    if not days:
+def resolve_batch(batch: DataFrame, plan: SchemaPlan, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected messages) of a micro-batch, parsed with the current metadata; both carry the batch's tag."""
+    parsed = parse_messages(batch, plan=plan)
+    rows = resolve(parsed, plan).withColumn("processing_day", F.to_date("processingTime"))
+    return rows.withColumn("_ingest_batch", F.lit(tag)), quarantine(parsed).withColumn("_ingest_batch", F.lit(tag))
+
+
+def batch_committed(spark: SparkSession, path: str, tag: str, days: list | None = None) -> bool:
+    """Whether rows of the batch are already in the table (a crash after the data commit but before the ledger row).
+    With ``days`` only these processing days are probed; min/max stats on ``_ingest_batch`` skip other files."""
+    if not path_exists(spark, path):
         return False
-    table = spark.read.parquet(table_path)
+    table = spark.read.option("mergeSchema", "true").parquet(path)
     if "_ingest_batch" not in table.columns:
         return False
-    probe = table.where(F.col("processing_day").isin(days) & (F.col("_ingest_batch") == batch_id))
-    return probe.limit(1).count() > 0
+    if days is not None:
+        known = [d for d in days if d is not None]
+        table = table.where(F.col("processing_day").isin(known) | (F.col("processing_day").isNull() if len(known) < len(days) else F.lit(False)))
+    return not table.where(F.col("_ingest_batch") == tag).isEmpty()
 
 
-def affected_path(table_path: str) -> str:
-    return table_path.rstrip("/") + "__affected"
+def quarantine_path(table_path: str) -> str:
+    return table_path.rstrip("/") + "__quarantine"
 
 
-def write_batch(out: DataFrame, table_path: str) -> None:
-    """Append one resolved micro-batch in the table layout."""
-    (
-        out.hint("rebalance", "processing_day", "eventType")
-        .sortWithinPartitions("eventType", "eventTime", "eventId")
-        .write.mode("append")
-        .partitionBy("processing_day", "eventType")
-        .parquet(table_path)
-    )
+def affected_path(table_path: str) -> str:
+    return table_path.rstrip("/") + "__affected"
 
 
 def start_ingest(
     spark: SparkSession,
-    source_dir: str,
+    source: str | DataFrame,
     table_path: str,
     checkpoint: str,
     metadata: MetadataCache,
-    dedup_watermark: str | None = "36 hours",
+    dedup_delay: str | None = None,
     trigger: dict | None = None,
 ):
-    """Start the ingest query; ``trigger`` defaults to 10-minute commits."""
-    parsed = parse_messages(message_stream(spark, source_dir), plan=FIXED_ONLY)
-    if dedup_watermark and not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
-        # dedup state = event ids of the last 36 h: keep it off the JVM heap
-        spark.conf.set(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
-    if dedup_watermark:
-        parsed = dedup_stream(parsed, dedup_watermark)
+    """Start the ingest query.  ``source``: a folder of text files, or a streaming DataFrame with a text column
+    ``value`` (``kafka_message_stream``).  ``dedup_delay`` turns dedup on.  ``trigger`` defaults to 10-minute commits."""
+    messages = message_stream(spark, source) if isinstance(source, str) else source
+    messages = messages.select("value")
+    if dedup_delay:
+        if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
+            # dedup state = event ids of the delay: keep it off the JVM heap
+            spark.conf.set(
+                "spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            )
+        messages = dedup_stream(messages, dedup_delay)
     ledger_path = table_path.rstrip("/") + "__batches"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        done = path_exists(spark, ledger_path) and (
-            spark.read.parquet(ledger_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        )
-        if done:
+        query = query_id(spark, checkpoint)
+        tag = f"{query}:{batch_id}"
+        if path_exists(spark, ledger_path) and not spark.read.parquet(ledger_path).where(
+                (F.col("query_id") == query) & (F.col("batch_id") == batch_id)).isEmpty():
             return
         plan = metadata.refresh()
-        out = resolve_batch(batch, plan, batch_id).persist()
+        batch = batch.persist()
         try:
-            if not batch_committed(spark, table_path, out, batch_id):
-                write_batch(out, table_path)
+            out, rejected = resolve_batch(batch, plan, tag)
+            if not batch_committed(spark, quarantine_path(table_path), tag):
+                rejected.write.mode("append").parquet(quarantine_path(table_path))
+            days = [r[0] for r in out.select("processing_day").distinct().collect()]  # a micro-batch spans few days
+            if days and not batch_committed(spark, table_path, tag, days):
+                append_live(out, table_path)
             stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
             # Event days this batch touched (late rows included), for refresh_pending
-            out.select(F.to_date("eventTime").alias("stat_date")).distinct().select(
-                F.lit(batch_id).cast("bigint").alias("batch_id"), "stat_date", F.lit(stamp).alias("arrived_at")
+            out.where("eventTime IS NOT NULL").select(F.to_date("eventTime").alias("stat_date")).distinct().select(
+                F.lit(tag).alias("batch"), "stat_date", F.lit(stamp).alias("arrived_at")
             ).coalesce(1).write.mode("append").parquet(affected_path(table_path))
         finally:
-            out.unpersist()
+            batch.unpersist()
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        spark.createDataFrame([(batch_id, plan.version, stamp)], "batch_id long, meta_version int, committed_at timestamp") \
-            .write.mode("append").parquet(ledger_path)
+        spark.createDataFrame([(query, batch_id, plan.version, stamp)], "query_id string, batch_id long, meta_version int, committed_at timestamp") \
+            .coalesce(1).write.mode("append").parquet(ledger_path)
 
-    writer = parsed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "10 minutes"}))
     return writer.start()

@@ -1,8 +1,9 @@
 """Audit analytics and profiles on hand-written rows."""
 
 import datetime as dt
+import random
 
-from featurestats.operators.audit import deviation_streaks, failed_queries, retry_alerts, tenant_graduation, top_cpu
+from featurestats.operators.audit import deviation_streaks, failed_queries, peak_concurrency, retry_alerts, tenant_graduation, top_cpu
 from featurestats.operators.profile import arrival_gap_profile, column_drift, hourly_profile, reconcile_counts
 from featurestats.operators.prune import event_partition_values, with_event_partition_bounds
 
@@ -32,8 +33,23 @@ def test_retry_alerts_and_graduation(spark):
     log = _log(spark, [False] * 60)
     alerts = retry_alerts(log, per_week=2).collect()
     assert [(a.retry_reason, a.n) for a in alerts] == [("OOM", 5)]
-    g = tenant_graduation(log, max_daily_queries=50).first()
-    assert g.n_queries == 60 and g.active_days == 1 and g.graduate is True
+    events = spark.createDataFrame([("t1", T0 + dt.timedelta(seconds=i)) for i in range(90)], "tenant string, eventTime timestamp")
+    rollups = spark.createDataFrame([("t1", f"mv_{i}") for i in range(3)], "tenant string, rollup string")
+    g = tenant_graduation(log, events, rollups).first()
+    assert g.n_queries == 60 and g.n_rollups == 3 and g.peak_events_per_s == 1.0
+    assert g.graduate is bool(g.peak_queries > 15 or g.p99_ms > 3000)
+    assert tenant_graduation(log, events, rollups, max_rollups=2).first().graduate is True
+
+
+def test_peak_concurrency_against_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), T0 + dt.timedelta(seconds=rnd.randint(0, 40)), rnd.choice([0, 500, 4000, 9000, None])) for _ in range(200)]
+    log = spark.createDataFrame(rows, "tenant string, created_at timestamp, actual_duration_ms long")
+    want = {}
+    for tenant in ("a", "b", None):
+        spans = [(int(t.timestamp() * 1000), int(t.timestamp() * 1000) + max(1 if d is None else d, 1)) for n, t, d in rows if n == tenant]
+        want[tenant] = max(sum(a <= at < b for a, b in spans) for at, _ in spans)
+    assert {r.tenant: r.peak_queries for r in peak_concurrency(log).collect()} == want
 
 
 def test_top_and_failed(spark):

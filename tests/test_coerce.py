@@ -69,3 +69,10 @@ def test_type_maps():
     assert source_type("Nullable(Array(String))") == T.ArrayType(T.StringType())
     assert source_type("Array(Int32)") == T.ArrayType(T.IntegerType())
     assert source_type("DateTime") == T.StringType() and source_type("Decimal(10, 2)") == T.StringType()
+
+
+def test_parse_list_elements_and_blanks(spark):
+    ints = _one(spark, lambda s: parse_list(s, T.IntegerType()), ["[1,        None]", "[1, 'x']", "['3', 4]"])
+    assert ints == [[1], None, [3, 4]]
+    strs = _one(spark, lambda s: parse_list(s, T.StringType()), ["['x, None, y']", "['a', None,    \"None\"]"])
+    assert strs == [["x, None, y"], ["a", "None"]]

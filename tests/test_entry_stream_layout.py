@@ -2,16 +2,18 @@
 
 import datetime as dt
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as E
 from featurestats.operators.layout import align, compact, evolve, expired_partitions, read_events, write_events
 from featurestats.operators.resolve import parse_messages, plan_from_meta, resolve
-from featurestats.session import work_path
+from featurestats.session import path_exists, work_path
 from featurestats.sources.fixtures import event_table
 from featurestats.sources.messages import attribute_meta, feature_meta, raw_messages
-from featurestats.streaming.stream import MetadataCache, start_ingest
+from featurestats.streaming.stream import MetadataCache, quarantine_path, start_ingest
 
 from conftest import SF_SMALL
 
@@ -43,8 +45,7 @@ def test_stream_equals_batch(spark):
         return feature_meta(spark), attribute_meta(spark)
 
     meta = MetadataCache(loader)
-    q = start_ingest(spark, src, table, ckpt, meta, dedup_watermark=None,
-                     trigger={"availableNow": True})
+    q = start_ingest(spark, src, table, ckpt, meta, trigger={"availableNow": True})
     q.awaitTermination()
     streamed = spark.read.parquet(table).select("eventId", "txn_amount", "account_id")
     plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
@@ -78,21 +79,31 @@ def test_compaction_keeps_rows_and_retention(spark):
     assert all(r.processing_day < dt.date(2024, 1, 11) for r in exp) and sum(r.n_rows for r in exp) > 0
 
 
-def test_stream_replay_after_crash_does_not_duplicate(spark):
+def test_stream_replay_after_crash_does_not_duplicate(spark, monkeypatch):
     """Batch 0 was committed to the table but its ledger row was lost: the
     replayed batch 0 must not be written twice."""
-    from featurestats.operators.resolve import parse_messages as pm
-    from featurestats.streaming.stream import FIXED_ONLY, resolve_batch, write_batch
+    from featurestats.streaming import stream
 
     src = work_path(spark, "t_replay_src")
     raw_messages(spark, SF_SMALL).where(F.col("value").isNotNull()).coalesce(1).write.text(src)
     table, ckpt = work_path(spark, "t_replay"), work_path(spark, "t_replay_ckpt")
-    plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
-    first = pm(spark.read.text(src), plan=FIXED_ONLY)
-    write_batch(resolve_batch(first, plan, 0), table)  # "crash" here: data committed, no ledger row
     meta = MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
-    q = start_ingest(spark, src, table, ckpt, meta, dedup_watermark=None, trigger={"availableNow": True})
-    q.awaitTermination()
+    path_of, crashes = stream.affected_path, []
+
+    def crash_once(p):
+        if not crashes:
+            crashes.append(p)
+            raise RuntimeError("crash after the data commit")
+        return path_of(p)
+
+    monkeypatch.setattr(stream, "affected_path", crash_once)
+    with pytest.raises(Exception, match="crash after"):
+        start_ingest(spark, src, table, ckpt, meta, trigger={"availableNow": True}).awaitTermination()
+    n = spark.read.parquet(table).count()
+    assert n > 0
+    start_ingest(spark, src, table, ckpt, meta, trigger={"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(table).count() == n
+    assert spark.read.parquet(quarantine_path(table)).groupBy("raw_value").count().where("count > 1").isEmpty()
     t = spark.read.parquet(table)
     assert t.count() == t.select("eventId").distinct().count() > 0
 
@@ -108,7 +119,7 @@ def test_stream_feeds_pending_rollup_refresh(spark):
     raw_messages(spark, SF_SMALL).where(F.col("value").isNotNull()).repartition(2).write.text(src)
     table, ckpt = work_path(spark, "t_pend"), work_path(spark, "t_pend_ckpt")
     meta = MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
-    start_ingest(spark, src, table, ckpt, meta, dedup_watermark=None, trigger={"availableNow": True}).awaitTermination()
+    start_ingest(spark, src, table, ckpt, meta, trigger={"availableNow": True}).awaitTermination()
     events = spark.read.parquet(table)
     cube = Cube("c", Dimension("t", "eventType", type="column"), ("txn_amount",), ("count", "sum"))
     rollup = RollupTable(spark, cube, work_path(spark, "t_pend_rollup"))
@@ -117,7 +128,7 @@ def test_stream_feeds_pending_rollup_refresh(spark):
     assert len(days) == 30
     assert rollup.pending_days(affected) == []  # nothing new arrived
     got = {r.segment_value: (r["count"], round(r["sum"], 6)) for r in rollup.stats(events, dt.date(2024, 1, 31), 30).collect()}
-    direct = events.groupBy("eventType").agg(F.count("txn_amount"), F.sum("txn_amount")).collect()
+    direct = events.where("eventTime IS NOT NULL").groupBy("eventType").agg(F.count("txn_amount"), F.sum("txn_amount")).collect()
     assert got == {r[0]: (r[1], round(r[2], 6)) for r in direct}
 
 
@@ -150,3 +161,46 @@ def test_apply_retention_drops_only_expired_days(spark):
     after = read_events(spark, path)
     assert after.count() == before - expired_rows
     assert after.where(F.col("processing_day") < F.lit(dt.date(2024, 1, 11))).count() == 0
+
+
+def test_compaction_keeps_concurrent_appends_and_leaves_nothing(spark, monkeypatch):
+    import glob
+
+    from featurestats.operators import layout
+
+    fact = event_table(spark, SF_SMALL)
+    path = work_path(spark, "t_compact_append").removeprefix("file:")
+    for part in range(2):
+        write_events(fact.where(F.abs(F.xxhash64("eventId")) % 3 == part), path, mode="append")
+    finish = layout.finish_compaction
+
+    def append_between(spark_, path_):
+        if path_exists(spark_, path_ + "__compaction"):  # staged, not yet swapped
+            write_events(fact.where(F.abs(F.xxhash64("eventId")) % 3 == 2), path_, mode="append")
+        return finish(spark_, path_)
+
+    monkeypatch.setattr(layout, "finish_compaction", append_between)
+    assert layout.compact(spark, path).first().rows_match
+    assert read_events(spark, path).count() == fact.count()
+    assert not glob.glob(path + "__compact*")
+    footer = pq.ParquetFile(glob.glob(path + "/*/*/*.parquet")[0]).metadata.row_group(0)
+    ids = next(footer.column(i) for i in range(footer.num_columns) if footer.column(i).path_in_schema == "eventId")
+    assert ids.compression == "ZSTD"
+
+
+def test_correlated_pruning_reaches_the_scan(spark):
+    from featurestats.plans.cube import Cube, Dimension
+    from featurestats.plans.rollup import RollupTable
+
+    path = work_path(spark, "t_prune")
+    write_events(event_table(spark, SF_SMALL), path)
+    cube = Cube("c", Dimension("t", "eventType", type="column"), ("txn_amount",), ("count", "sum"))
+    stats = RollupTable(spark, cube, work_path(spark, "t_prune_rollup"), proc_slack=(1, 2)).stats(read_events(spark, path), dt.date(2024, 1, 31), 7)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(processing_day" in plan
+    too_narrow = RollupTable(spark, cube, work_path(spark, "t_slack"), proc_slack=(0, 0))
+    with pytest.raises(ValueError, match="would miss"):
+        too_narrow.refresh(read_events(spark, path), [dt.date(2024, 1, 10)])
+    assert [r.status for r in too_narrow.ledger().collect()] == ["ERROR"]
+    too_narrow.drop()
+    assert too_narrow.ledger().isEmpty()

@@ -15,20 +15,22 @@ FEATURES = [
 ]
 ATTRS = [(4, "acct", "String"), (18, "ref", "String")]
 MSGS = [
-    '{"eventId":"e1","eventType":"transaction","userId":"u42","time":1774597200000,"processTime":1774597201,'
-    '"rules":[1,null,"2"],"actions":["block",null],"featureMap":{"8":299.99,"7":"US","99":"x","9":1,"10":"3.7",'
-    '"11":"hello","12":5,"13":"clash","14":7,"15":["a",null]},"eventFields":{"4":"123","18":"txn_1"}}',
-    '{"eventId":"e2","eventType":"login","time":"1774597200","featureMap":{},"eventFields":{}}',
-    '{"eventId":"e3","eventTime":1774597200000,"processingTime":1774597300000,"featureMap":{"8":"NaN","9":"true",'
+    '{"eventId":"e1","eventType":"transfer","userId":"k-9","time":1700001234000,"processTime":1700001235,'
+    '"rules":[1,null,"2"],"actions":["block",null],"featureMap":{"8":41.5,"7":"PT","99":"x","9":1,"10":"3.7",'
+    '"11":"hello","12":5,"13":"clash","14":7,"15":["a",null]},"eventFields":{"4":"123","18":"ref-77"}}',
+    '{"eventId":"e2","eventType":"login","time":"1700001234","featureMap":{},"eventFields":{}}',
+    '{"eventId":"e3","eventTime":1700001234000,"processingTime":1700001334000,"featureMap":{"8":"NaN","9":"true",'
     '"14":9},"eventFields":{}}',
     "not json",
     "[1, 2]",
     "42",
     '{"eventId":"e4","rules":"nope"}',
     '{"eventId":"e5","time":"soon"}',
-    '{"eventId":"e6","time":1774597200,"originId":"abc"}',
-    '{"eventId":"e7","time":1774597200,"rules":[1,"x"]}',
-    '{"eventId":"e8","time":1774597200,"processTime":"later"}',
+    '{"eventId":"e6","time":1700001234,"originId":"abc"}',
+    '{"eventId":"e7","time":1700001234,"rules":[1,"x"]}',
+    '{"eventId":"e9","rules":[1.9,"4"],"actions":7,"featureMap":[],"eventFields":"none"}',
+    '{"eventId":"e10","time":1700001234,"rules":["3.7"]}',
+    '{"eventId":"e8","time":1700001234,"processTime":"later"}',
     None,
 ]
 
@@ -49,19 +51,21 @@ def test_build_schema_order_and_collisions():
 def test_resolve_values(spark):
     plan = build_schema(FEATURES, ATTRS)
     rows = {r.eventId: r for r in resolve(parse_messages(_df(spark), plan=plan), plan).collect()}
-    assert set(rows) == {"e1", "e2", "e3"}
+    assert set(rows) == {"e1", "e2", "e3", "e4", "e9"}
+    # fields of another JSON type read as NULL, the record is kept; a number truncates, its text must be an integer
+    assert rows["e4"].rules is None and rows["e9"].rules == [1, 4] and rows["e9"].actions is None and rows["e9"].amount is None
     e1 = rows["e1"]
-    assert e1.eventType == "transaction" and e1.userId == "u42"
+    assert e1.eventType == "transfer" and e1.userId == "k-9"
     assert e1.rules == [1, 2] and e1.actions == ["block", None]
     # "10":"3.7" is a string: not an integer literal → NULL (a number 3.7 would truncate to 3)
-    assert e1.amount == 299.99 and e1.country == "US" and e1.flag is False and e1.n is None
-    assert e1.note == "hello" and e1.acct == 123 and e1.ref == "txn_1" and e1.tags == '["a",null]'
-    assert e1.eventTime.timestamp() * 1000 == 1774597200000
+    assert e1.amount == 41.5 and e1.country == "PT" and e1.flag is False and e1.n is None
+    assert e1.note == "hello" and e1.acct == 123 and e1.ref == "ref-77" and e1.tags == '["a",null]'
+    assert e1.eventTime.timestamp() * 1000 == 1700001234000
     e2 = rows["e2"]
-    assert e2.eventTime.timestamp() == 1774597200 and e2.amount is None and e2.rules is None
+    assert e2.eventTime.timestamp() == 1700001234 and e2.amount is None and e2.rules is None
     e3 = rows["e3"]
     assert e3.amount is None and e3.flag is True and e3.acct == 9
-    assert e3.processingTime.timestamp() * 1000 == 1774597300000
+    assert e3.processingTime.timestamp() * 1000 == 1700001334000
 
 
 def test_quarantine_reasons(spark):
@@ -70,11 +74,11 @@ def test_quarantine_reasons(spark):
         "not json": "not_an_object",
         "[1, 2]": "not_an_object",
         "42": "not_an_object",
-        '{"eventId":"e4","rules":"nope"}': "field_type_mismatch",
+        '{"eventId":"e10","time":1700001234,"rules":["3.7"]}': "bad_fixed_field",
         '{"eventId":"e5","time":"soon"}': "bad_event_time",
-        '{"eventId":"e6","time":1774597200,"originId":"abc"}': "bad_fixed_field",
-        '{"eventId":"e7","time":1774597200,"rules":[1,"x"]}': "bad_fixed_field",
-        '{"eventId":"e8","time":1774597200,"processTime":"later"}': "bad_fixed_field",
+        '{"eventId":"e6","time":1700001234,"originId":"abc"}': "bad_fixed_field",
+        '{"eventId":"e7","time":1700001234,"rules":[1,"x"]}': "bad_fixed_field",
+        '{"eventId":"e8","time":1700001234,"processTime":"later"}': "bad_fixed_field",
     }
 
 
