@@ -12,7 +12,7 @@ from featurestats.plans.stats import plan_days, window_stats
 from featurestats.session import work_path
 from featurestats.sources.fixtures import event_table
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 DIM = Dimension("kind", "CASE WHEN eventType = 'purchase' THEN 'buy' ELSE 'other' END")
 EXACT = ("count", "sum", "min", "max", "mean", "std", "missing_count")

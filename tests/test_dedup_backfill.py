@@ -12,7 +12,7 @@ from featurestats.operators.prune import latest_state
 from featurestats.session import work_path
 from featurestats.sources.snapshots import SNAPSHOT_TYPES, source_table, write_snapshots
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _sorted(df, cols):

@@ -15,7 +15,7 @@ from featurestats.sources.fixtures import event_table
 from featurestats.sources.messages import attribute_meta, feature_meta, raw_messages
 from featurestats.streaming.stream import MetadataCache, quarantine_path, start_ingest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_entry_runs(spark):
