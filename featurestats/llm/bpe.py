@@ -13,6 +13,7 @@ Rows pass one to one (repeated rows and null ids stay); extra columns are not re
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -222,11 +223,17 @@ class Coder:
         return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def worker_coder(path: str) -> Coder:
+    """One coder in each Python worker: tasks that follow find its words."""
+    return Coder(path)
+
+
 def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Per document: the number of ids, the SHA-256 of the ids and of the text decoded from them."""
 
     def make():
-        coder = Coder(vocab_path)
+        coder = worker_coder(vocab_path)
 
         def step(batch: pa.RecordBatch):
             n, ids_sha, text_sha = [], [], []
@@ -245,7 +252,7 @@ def tokenize_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Per document its ids, as training reads them; ``round_trip``: decoding them gave the text again."""
 
     def make():
-        coder = Coder(vocab_path)
+        coder = worker_coder(vocab_path)
 
         def step(batch: pa.RecordBatch):
             ids, same = [], []

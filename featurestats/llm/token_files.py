@@ -2,9 +2,10 @@
 
 Texts are range-partitioned by doc_id, encoded in that order with the tokenizers library and written by Spark's own
 Parquet writer, whose commit protocol survives lost executors.  The writer settings (``WRITER``) give delta-packed
-integers (dictionary off for the ids, on for strings), row groups of a fixed size, small pages and page indexes, so a
-reader can take the metadata columns alone, or the ids of a range of documents, without the rest.  ``first_token`` is
-the offset within the file; a file's own offset is the number of ids in the files of smaller doc_ids.
+integers (no dictionaries: ids have too many values for one), row groups of a fixed size, small pages and page indexes, so a
+reader can take the metadata columns alone (``read_metadata``), or the ids of a range of documents (``read_range``), without
+the rest.  ``first_token`` is the offset within the file; a file's own offset is the number of ids in the files of smaller
+doc_ids.
 
 Results: a null or empty text gives the end id alone.  Null doc_ids stand first; ties stand in the order of their
 texts; repeated rows stay.  An empty table gives no rows.  Extra columns are not read.
@@ -12,6 +13,7 @@ texts; repeated rows stay.  An empty table gives no rows.  Extra columns are not
 
 from __future__ import annotations
 
+import functools
 import zlib
 from array import array
 
@@ -35,14 +37,12 @@ WRITER = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",  # the grain of the page indexes
 }
-#: Bytes of table files for one output file.
-PART_BYTES = 32 << 20
 
 
 class LibraryCoder:
     """The tokenizers library with a bounded cache of words (exact: see ``units``)."""
 
-    def __init__(self, path: str, end_id: int, cache_words: int = 300_000):
+    def __init__(self, path: str, end_id: int, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -73,11 +73,18 @@ class LibraryCoder:
         return [ids + self.end for a, b in chunks(texts) for ids in self.words(texts[a:b])]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_coder(path: str, end_id: int) -> LibraryCoder:
+    """One coder in each Python worker: tasks that follow find its words."""
+    return LibraryCoder(path, end_id)
+
+
 def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, n_files: int | None = None) -> None:
-    """Write the token files of ``docs`` under ``path``, in ascending doc_id order."""
+    """Write the token files of ``docs`` under ``path``, in ascending doc_id order: ``n_files`` of them, or as many as
+    there are shuffle partitions."""
 
     def make():
-        coder, total = LibraryCoder(vocab_path, end_id), 0
+        coder, total = worker_coder(vocab_path, end_id), 0
 
         def step(batch: pa.RecordBatch):
             nonlocal total
@@ -98,6 +105,17 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, n
     scan(ordered, make, FILE).write.options(**WRITER).mode("overwrite").parquet(path)
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, first_token and n_tokens of all documents; the ids stay unread."""
+    return spark.read.schema(FILE).parquet(path).select("doc_id", "first_token", "n_tokens")
+
+
+def read_range(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """doc_id, n_tokens and ids of documents from ``low`` to below ``high``: files and pages outside are skipped."""
+    return (spark.read.schema(FILE).parquet(path).where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+            .select("doc_id", "n_tokens", "ids"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: where its ids start in the whole, how many there are, and their CRC-32."""
 

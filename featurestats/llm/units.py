@@ -46,8 +46,8 @@ def no_sure_cut(last: str) -> bool:
 
 
 class UnitCache:
-    """word -> encoded bytes, in two generations of at most ``limit`` words each: when the young one is full it becomes
-    the old one, from which words still in use are taken back.
+    """word -> encoded bytes, in two generations: when the young one holds over ``limit`` words it becomes the old
+    one, from which words still in use are taken back.  It grows by the words of one chunk beyond that at most.
 
     ``encode_units(list of unit texts) -> list of bytes`` fills it; ``encode_whole(text) -> bytes`` takes the
     texts that can't be cut surely."""
@@ -61,21 +61,37 @@ class UnitCache:
         self.unsafe: re.Pattern | None = None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Encode a bounded chunk of texts: first all new words of the chunk at once, then text by text."""
-        split = [split_units(t, self.special) for t in texts]
-        distinct = set().union(*(ws for ws in split if ws))
-        missing = list(distinct.difference(self.known))
-        if len(self.known) + len(missing) > self.limit:
-            self.old, self.known, missing = self.known, {}, list(distinct)
+        """Encode a bounded chunk of texts: words are looked up once; those not found are encoded together."""
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        look_up, split, holes, missing = self.known.get, [], [], set()
+        for text in texts:
+            words = split_units(text, self.special)
+            found = list(map(look_up, words)) if words is not None else None
+            gaps = [i for i, ids in enumerate(found) if ids is None] if found and None in found else []
+            missing.update([words[i] for i in gaps])
+            split.append((words, found))
+            holes.append(gaps)
         if missing:
-            old = self.old
-            kept = [w for w in missing if w in old]
-            self.known.update(zip(kept, map(old.__getitem__, kept)))
-            new = [w for w in missing if w not in old] if kept else missing
-            if new:
-                self.known.update(zip(new, self.encode_units([unit_text(w) for w in new])))
-                self._look_at(new)
-        return [self._join(t, ws) for t, ws in zip(texts, split)]
+            self._learn(missing)
+        known, out = self.known, []
+        for text, (words, found), gaps in zip(texts, split, holes):
+            if words is None or self.unsafe and self.unsafe.search(text):
+                out.append(self.encode_whole(text) if text else b"")
+                continue
+            for i in gaps:
+                found[i] = known[words[i]]
+            out.append(b"".join(found))
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        old = self.old
+        new = [w for w in missing if w not in old]
+        if len(new) < len(missing):
+            self.known.update((w, old[w]) for w in missing if w in old)
+        if new:
+            self.known.update(zip(new, self.encode_units([unit_text(w) for w in new])))
+            self._look_at(new)
 
     def _look_at(self, words: list[str]) -> None:
         last = {w[-2] if w[-1] == " " else w[-1] for w in words}
@@ -86,8 +102,3 @@ class UnitCache:
             signs, white = ("".join(re.escape(c) for c in sorted(self.no_mark) if c.isspace() == w) for w in (False, True))
             parts = [f"[{cs}][{marks}]" for cs, marks in ((signs, ".,"), (white, " \n.,")) if cs]
             self.unsafe = re.compile("|".join(parts))
-
-    def _join(self, text: str, words: list[str] | None) -> bytes:
-        if words is None or self.unsafe and self.unsafe.search(text):
-            return self.encode_whole(text) if text else b""
-        return b"".join(map(self.known.__getitem__, words))

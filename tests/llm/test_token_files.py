@@ -37,3 +37,31 @@ def test_file_format(spark, docs, tmp_path):
         assert "DELTA_BINARY_PACKED" in ids.encodings and ids.has_offset_index and ids.has_column_index
     plan = spark.read.parquet(path).where("doc_id = 5").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,5)" in plan
+
+
+def test_selective_reads(spark, docs, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs, path, PATH, n_files=4)
+    ids = {r["doc_id"]: r["ids"] for r in token_files.read_range(spark, path, 20, 40).collect()}
+    library = Tokenizer.from_file(PATH)
+    assert ids == {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+                   for r in docs.where("doc_id >= 20 AND doc_id < 40").collect()}
+    part = token_files.read_range(spark, path, 20, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,20)" in part and "LessThan(doc_id,40)" in part
+    known = token_files.read_metadata(spark, path)
+    assert "ids" not in known._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert known.count() == docs.count()
+
+
+def test_one_coder_for_each_worker():
+    assert token_files.worker_coder(PATH, 0) is token_files.worker_coder(PATH, 0)
+
+
+def test_words_in_two_generations():
+    """A cache of few words gives the same ids as the library: words go and come back."""
+    library, coder = Tokenizer.from_file(PATH), token_files.LibraryCoder(PATH, 0, cache_words=5)
+    texts = ["one two three, four five.", "six seven eight\nnine ten", "one six two. seven", "", "a  b", "one two three, four five."]
+    for _ in range(3):
+        for t in texts:
+            want = [*library.encode(t, add_special_tokens=False).ids, 0]
+            assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == want
