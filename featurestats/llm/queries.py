@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, personal, phrases, secrets, simhash, tiling, token_files, toxicity, warc
+from . import bpe, langid, lexical, merkle, nearest, personal, phrases, secrets, simhash, tiling, token_files, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.json"
@@ -66,9 +67,25 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: leaf, subroot, root and proof of all documents, and what tampered leaves fold to."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the 20 highest-scoring documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: the 5 highest inner products of every 50th vector with all others."""
+    return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity_mil, op2_token_parquet, op3_pii_weak, op4_simhash_gray, op5_warc_revisit, op6_bpe_forced, op7_lang_rank,
-              op8_secret_cnn, op9_decontam_tiling, op10_phrase_fingerprint)
+              op8_secret_cnn, op9_decontam_tiling, op10_phrase_fingerprint, op11_merkle_manifest, op12_lexical_pipeline, op13_pivot_topk)
 }
-SQL: dict[str, str] = {"op5_warc_revisit": warc.SQL}
+SQL: dict[str, str] = {
+    "op5_warc_revisit": warc.SQL, "op11_merkle_manifest": merkle.SQL, "op12_lexical_pipeline": lexical.SQL, "op13_pivot_topk": nearest.SQL}
