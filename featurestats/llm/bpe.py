@@ -4,7 +4,7 @@ A BPE merge only ever makes vocabulary tokens.  A pair of bytes that stands side
 therefore never be merged over: it is a certain cut.  ``Vocabulary.inside`` is the 256 x 256 table of pairs that do occur.
 A text is cut where the pre-tokenizer cuts; each piece is cut again at every pair missing from the table; the fragments
 are merged independently (lowest rank first, leftmost on ties) and their ids concatenated.  Fragments and words repeat,
-so both are cached, with a bound.  The word cache cuts before blanks, line feeds, full stops and commas, where the
+so words are cached, with a bound.  The word cache cuts before blanks, line feeds, full stops and commas, where the
 pre-tokenizer surely cuts (``units``).
 
 Results: a null or empty text has no ids and decodes to ''.  The special token's string in a text becomes its one id.
@@ -17,13 +17,14 @@ import functools
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, scan, texts_of
-from .units import LAST_SURE_LETTER, MARKS, UnitCache
+from .common import scan, texts_of
+from .units import LAST_SURE_LETTER, MARKS, UnitCache, chunks_of
 
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id bigint, lang string, source string, n_chars bigint, n_tokens bigint, ids array<int>, round_trip boolean"
@@ -214,10 +215,16 @@ class Coder:
         end = np.array([self.vocab.special[self.special]], "<u4").tobytes()
         return end.join(self.encode_units([part])[0] if part else b"" for part in text.split(self.special))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.vocab.by_words:
-            return [self.encode_whole(t) for t in texts]
-        return [ids for a, b in chunks(texts) for ids in self.words(texts[a:b])]
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (nulls as '')."""
+        for chunk in chunks_of(texts):
+            if not self.vocab.by_words:
+                yield from map(self.encode_whole, chunk.to_pylist())
+                continue
+            ids, counts = self.words(chunk)
+            ends = np.cumsum(counts)
+            for a, b in zip((ends - counts).tolist(), ends.tolist()):
+                yield ids[a:b].tobytes()
 
     def decode(self, ids: bytes) -> str:
         return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
@@ -237,7 +244,7 @@ def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             n, ids_sha, text_sha = [], [], []
-            for ids in coder.encode(texts_of(batch)):
+            for ids in coder.encode(batch.column(1)):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
@@ -256,8 +263,7 @@ def tokenize_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             ids, same = [], []
-            texts = texts_of(batch)
-            for text, x in zip(texts, coder.encode(texts)):
+            for text, x in zip(texts_of(batch), coder.encode(batch.column(4))):
                 ids.append(np.frombuffer(x, "<i4"))
                 same.append(coder.decode(x) == text)
             return [batch.column(0), batch.column(1), batch.column(2), batch.column(3), [len(x) for x in ids], ids, same]

@@ -24,8 +24,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import chunks, scan, shared_folder, texts_of
-from .units import LAST_SURE_LETTER, UnitCache
+from .common import scan, shared_folder
+from .units import LAST_SURE_LETTER, UnitCache, chunks_of
 
 FILE = "doc_id bigint, first_token bigint, n_tokens bigint, ids array<int>"
 OUT = "doc_id bigint, first_token bigint, n_tokens bigint, ids_crc32 bigint, file string"
@@ -47,7 +47,7 @@ class LibraryCoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end = end_id
         special = next((t.content for t in self.library.get_added_tokens_decoder().values()), None)
         self.words = UnitCache(self.encode_units, self.encode_whole, cache_words, special)
         self.sure = chr(LAST_SURE_LETTER)
@@ -55,22 +55,27 @@ class LibraryCoder:
         self.line_feed = self.encode_whole("\n")
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        out, tokenize, stand_ins = [], self.model.tokenize, self.stand_ins
+        out, tokenize, stand_ins, sure = [], self.model.tokenize, self.stand_ins, self.sure
         for u in units:
             head, rest = (self.line_feed, u[1:]) if u[0] == "\n" and len(u) > 1 else (b"", u)
             word = rest[1:] if rest[0] == " " else rest
-            if word.isalpha() and (word.isascii() or max(word) <= self.sure):  # one piece of the pre-tokenizer
+            if word.isalpha() and (word.isascii() or max(word) <= sure):  # one piece of the pre-tokenizer
                 piece = rest.encode().decode("latin-1").translate(stand_ins)
                 out.append(head + array("I", [t.id for t in tokenize(piece)]).tobytes())
             else:
-                out.append(array("I", self.library.encode(u, add_special_tokens=False).ids).tobytes())
+                out.append(self.encode_whole(u))
         return out
 
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [ids + self.end for a, b in chunks(texts) for ids in self.words(texts[a:b])]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id after them; number of ids of each text)."""
+        parts = []
+        for chunk in chunks_of(texts):
+            ids, counts = self.words(chunk)
+            parts.append((np.insert(ids, np.cumsum(counts), self.end), counts + 1))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
 
 @functools.lru_cache(maxsize=1)
@@ -88,14 +93,12 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, n
 
         def step(batch: pa.RecordBatch):
             nonlocal total
-            ids = coder.encode(texts_of(batch))
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, sizes = coder.encode(batch.column(1))
             ends = np.cumsum(sizes)
             first = total + ends - sizes
             total += int(sizes.sum())
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            return [batch.column(0), pa.array(first), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat)]
+            return [batch.column(0), pa.array(first), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))]
 
         return step
 

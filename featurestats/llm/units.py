@@ -6,43 +6,53 @@ The pre-tokenizer of the byte-level vocabularies matches runs of letters, of dig
 * before a blank or line feed that follows anything but white space, and
 * before a full stop or comma that follows a letter or digit,
 
-and the pieces encoded alone give the tokens of the whole.  ``split_units`` makes these cuts with ``str.replace`` and
-``str.split`` and tells where it can't vouch for one; such texts are encoded whole.
+and the pieces encoded alone give the tokens of the whole.  ``irregular`` finds the texts where some blank or mark stands
+elsewhere; those are encoded whole.  The others are cut, and their distinct words found, by Arrow's own functions; Python
+sees each distinct word of a chunk once.
 """
 
 from __future__ import annotations
 
-import re
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARKS = ("\n", ".", ",")
-#: Pairs around a mark or blank where a cut would not be safe.
-UNSAFE = ("  ", " \n", "\n ", "\n\n", " .", " ,", "\n.", "\n,", "..", ".,", ",.", ",,")
 LAST_SURE_LETTER = 0x24F  # beyond it, Unicode versions may differ on what a letter is
+#: Stands before the first word of a text, which has no blank before it.
+FIRST = "\x01"
 
 
-def split_units(text: str, special: str | None = None) -> list[str] | None:
-    """The words of ``text`` cut before blanks, line feeds, full stops and commas, or None if irregular.
+def _class(code_points) -> str:
+    return "".join(f"\\x{{{c:x}}}" for c in code_points)
 
-    The first word stands as it is with a trailing blank; a later word that begins with a mark is a unit itself and
-    any other one is a unit with a blank before it (see ``unit_text``)."""
-    if not text or text[0] in " \n.," or text[-1] == " " or any(p in text for p in UNSAFE):
-        return None
-    if special and special in text:
-        return None
-    words = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
-    words[0] += " "
-    return words
 
+#: Letters and digits after which a full stop or comma may be cut off; white space after which nothing may.
+SURE = _class(c for c in range(LAST_SURE_LETTER + 1) if chr(c).isalpha() or chr(c) in "0123456789")
+WHITE = _class(c for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+IRREGULAR = rf"\A[ \n.,]| \z|[ \n][ \n]|[^{SURE}][.,]|[{WHITE}][ \n]|{FIRST}"
 
-def unit_text(word: str) -> str:
-    if word[-1] == " ":
-        return word[:-1]
-    return word if word[0] in MARKS else " " + word
+
+def irregular(texts: pa.Array, special: str | None = None) -> np.ndarray:
+    """Which texts can't be cut surely everywhere (empty ones included)."""
+    found = pc.match_substring_regex(texts, IRREGULAR)
+    if special:
+        found = pc.or_(found, pc.match_substring(texts, special))
+    return pc.or_(found, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
 
 
-def no_sure_cut(last: str) -> bool:
-    """Whether a full stop or comma may not be cut off after this character: it is no sure letter or digit."""
-    return not ((last.isalpha() and ord(last) <= LAST_SURE_LETTER) or last in "0123456789")
+def split_units(texts: pa.Array) -> pa.ListArray:
+    """The words of regular texts, cut before blanks (which go), line feeds, full stops and commas."""
+    out = pc.binary_join_element_wise(FIRST, texts, "")
+    for mark in MARKS:
+        out = pc.replace_substring(out, mark, " " + mark)
+    return pc.split_pattern(out, " ")
+
+
+def unit_text(word: str) -> str:
+    if word[0] == FIRST:
+        return word[1:]
+    return word if word[0] in MARKS else " " + word
 
 
 class UnitCache:
@@ -50,55 +60,67 @@ class UnitCache:
     one, from which words still in use are taken back.  It grows by the words of one chunk beyond that at most.
 
     ``encode_units(list of unit texts) -> list of bytes`` fills it; ``encode_whole(text) -> bytes`` takes the
-    texts that can't be cut surely."""
+    texts that can't be cut surely.  Ids are little-endian 32-bit integers."""
 
     def __init__(self, encode_units, encode_whole, limit: int = 300_000, special: str | None = None):
         self.encode_units, self.encode_whole, self.limit, self.special = encode_units, encode_whole, limit, special
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        #: Last characters of words seen so far that aren't followed by a sure cut, and a pattern of such places.
-        self.no_mark: set[str] = set()
-        self.unsafe: re.Pattern | None = None
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Encode a bounded chunk of texts: words are looked up once; those not found are encoded together."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text) of a bounded chunk of texts without nulls."""
+        odd = irregular(texts, self.special)
+        if not odd.any():
+            return self._regular(texts)
+        flat, sizes = self._regular(texts.filter(pa.array(~odd)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = sizes
+        whole = [np.frombuffer(self.encode_whole(t), "<u4") if t else np.zeros(0, "<u4") for t in texts.filter(pa.array(odd)).to_pylist()]
+        counts[odd] = [len(x) for x in whole]
+        ends = np.cumsum(counts)
+        out = np.zeros(int(counts.sum()), "<u4")
+        out[np.repeat((ends - counts)[~odd] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(flat))] = flat
+        for end, ids in zip(ends[odd].tolist(), whole):
+            out[end - len(ids):end] = ids
+        return out, counts
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = split_units(texts)
+        coded = lists.values.dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        each = size[word]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(start[word] - ends[:-1], each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(found), "<u4")[at], np.diff(ends[lists.offsets.to_numpy()])
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.old, self.known = self.known, {}
-        look_up, split, holes, missing = self.known.get, [], [], set()
-        for text in texts:
-            words = split_units(text, self.special)
-            found = list(map(look_up, words)) if words is not None else None
-            gaps = [i for i, ids in enumerate(found) if ids is None] if found and None in found else []
-            missing.update([words[i] for i in gaps])
-            split.append((words, found))
-            holes.append(gaps)
-        if missing:
-            self._learn(missing)
-        known, out = self.known, []
-        for text, (words, found), gaps in zip(texts, split, holes):
-            if words is None or self.unsafe and self.unsafe.search(text):
-                out.append(self.encode_whole(text) if text else b"")
-                continue
-            for i in gaps:
-                found[i] = known[words[i]]
-            out.append(b"".join(found))
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        old = self.old
-        new = [w for w in missing if w not in old]
-        if len(new) < len(missing):
+        found = list(map(self.known.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            missing, old = [words[i] for i in gaps], self.old
             self.known.update((w, old[w]) for w in missing if w in old)
-        if new:
-            self.known.update(zip(new, self.encode_units([unit_text(w) for w in new])))
-            self._look_at(new)
-
-    def _look_at(self, words: list[str]) -> None:
-        last = {w[-2] if w[-1] == " " else w[-1] for w in words}
-        found = {c for c in last if no_sure_cut(c)} - self.no_mark
-        if found:
-            self.no_mark |= found
-            # After white space nothing may be cut off, after other signs no full stop or comma.
-            signs, white = ("".join(re.escape(c) for c in sorted(self.no_mark) if c.isspace() == w) for w in (False, True))
-            parts = [f"[{cs}][{marks}]" for cs, marks in ((signs, ".,"), (white, " \n.,")) if cs]
-            self.unsafe = re.compile("|".join(parts))
+            new = [w for w in missing if w not in old]
+            if new:
+                self.known.update(zip(new, self.encode_units([unit_text(w) for w in new])))
+            for i in gaps:
+                found[i] = self.known[words[i]]
+        return found
+
+
+def chunks_of(texts: pa.Array, limit: int = 8 << 20):
+    """Pieces of an array of texts (nulls as '') of about ``limit`` bytes; a longer text is taken alone."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop

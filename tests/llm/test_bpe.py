@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from featurestats.llm import bpe
-from featurestats.llm.units import split_units, unit_text
+from featurestats.llm.units import irregular, split_units, unit_text
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = [" ", "  ", "\n", ".", ",", "a", "B", "é", "'s", "'", "!", "$", "1", "½", "\t", "\x1c", "\xa0", "日", "م", "🙂", "<|endoftext|>", "²", "the", "abababab"]
@@ -29,7 +30,7 @@ def test_equals_the_library(docs, edge_docs, no_docs):
 def test_random_texts():
     library, coder, draw = Tokenizer.from_file(PATH), bpe.Coder(PATH, cache_words=50), random.Random(1)
     texts = ["".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 14))) for _ in range(4000)]
-    for text, ids in zip(texts, coder.encode(texts)):
+    for text, ids in zip(texts, coder.encode(pa.array(texts))):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
         assert coder.decode(ids) == text
 
@@ -44,10 +45,11 @@ def test_forced_cuts():
 
 
 def test_units_join_to_the_text():
-    for text in ("a b.c, d\nE f", "x", "a\nb"):
-        assert "".join(map(unit_text, split_units(text))) == text
-    for text in ("", " a", "a  b", "a ", "a\n\nb", "a..b"):
-        assert split_units(text) is None
+    for text in ("a b.c, d\nE f", "x", "a\nb", "é. ﬁ x\n"):
+        assert not irregular(pa.array([text]))[0]
+        assert "".join(map(unit_text, split_units(pa.array([text]))[0].as_py())) == text
+    odd = ["", " a", "a  b", "a ", "a\n\nb", "a..b", "a!.", "\u0416.", "a\t b", "x\xa0\ny", ".a", "a\x01b", "a <|e|> b"]
+    assert irregular(pa.array(odd), "<|e|>").all()
 
 
 def test_tokens_round_trip(edge_docs):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -64,4 +65,7 @@ def test_words_in_two_generations():
     for _ in range(3):
         for t in texts:
             want = [*library.encode(t, add_special_tokens=False).ids, 0]
-            assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == want
+            ids, sizes = coder.encode(pa.array([t]))
+            assert ids.tolist() == want and sizes.tolist() == [len(want)]
+    ids, sizes = coder.encode(pa.array([*texts, None]))
+    assert ids.tolist() == [x for t in [*texts, ""] for x in [*library.encode(t, add_special_tokens=False).ids, 0]]
