@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 from ..functions.coerce import coerce, epoch_to_timestamp, parse_list
 from ..functions.types import source_type
 from ..session import checkpoint_root, hadoop_path, path_exists, work_path
-from .dedup import keep_last, row_order
-from .layout import LOAD_UNIT, with_layout_columns
+from .dedup import join_winners, winners_of
+from .key_index import KEY, KeyIndex, insert_day, insert_days, key_of
+from .layout import read_events, with_layout_columns
 from .prune import latest_state, skip_done
+from .schema_log import LOAD_UNIT, align, evolve
 from .store import replace_units
 
 log = logging.getLogger(__name__)
@@ -52,9 +54,6 @@ class BackfillSpec:
     renames: dict = field(default_factory=lambda: dict(BASE_RENAMES))
     primary_key_to_user: str | None = None  # e.g. "pk" → userId
     invert_flag: bool = True
-    # None = exact: every stored version of a key is considered.  N = later
-    # versions arrive within N days of the exported day (bounds the narrow scan).
-    version_slack_days: int | None = None
 
 
 def invert_flag(c: F.Column) -> F.Column:
@@ -195,71 +194,55 @@ def _now():
 
 
 # ---- B2: day backfill ----------------------------------------------------------
-def _insert_day_pred(days, proc_col: str) -> F.Column:
-    pred = None
-    for d in sorted(days):
-        lo = int(dt.datetime.combine(dt.date.fromisoformat(d), dt.time(), dt.timezone.utc).timestamp() * 1000)
-        p = (F.col(proc_col) >= lo) & (F.col(proc_col) < lo + 86_400_000)
-        pred = p if pred is None else pred | p
-    return pred if pred is not None else F.lit(False)
-
-
-def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted", prefilter=None) -> DataFrame:
+def day_rows(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted", prefilter=None, index: KeyIndex | None = None) -> DataFrame:
     """Rows inserted on ``days`` that are the *latest* version of their key.
 
     Dedup happens before the day filter semantically (a row superseded on a
     later day must not be exported on its earlier day) but is executed in two
     phases so that wide columns are read only for the exported days:
 
-    1. keys of the day rows → every version of those keys, *narrow*
-       (keys + version columns only) → winning version per key;
+    1. the winning version of each key of the day rows, *narrow*: from every version of those keys in the source, or,
+       with ``index``, from the key index (which has been given the days), so that the history is not read;
     2. the day rows (wide) joined to the winners on key + version; of rows that share both, one stays, chosen by
        the whole row.
 
     ``prefilter(df)`` may add partition predicates (e.g. derived event-day
     bounds, F2) to the day-row scan."""
     keys, ver = list(spec.keys), list(spec.version_cols)
-    day = src.where(_insert_day_pred(days, proc_col))
+    day = src.where(insert_days(days, proc_col))
     if prefilter is not None:
         day = prefilter(day)
+    if index is not None:
+        # Rows that share key and version are of the day: the narrow day rows tell how many there are.
+        last = index.winners(days)
+        own = day.select(*keys, *ver, key_of(keys).alias(KEY), F.struct(*ver).alias("_dv"))
+        own = own.join(last, (own[KEY] == last[KEY]) & own["_dv"].eqNullSafe(last["_v"])).select(*keys, *ver)
+        return join_winners(day, winners_of(own, keys, ver), keys, ver)
     day_keys = day.select(*keys).distinct()
-    candidates = src
-    if spec.version_slack_days is not None:
-        first = min(dt.date.fromisoformat(d) for d in days)
-        last = max(dt.date.fromisoformat(d) for d in days) + dt.timedelta(days=1 + spec.version_slack_days)
-        lo = int(dt.datetime.combine(first, dt.time(), dt.timezone.utc).timestamp() * 1000)
-        hi = int(dt.datetime.combine(last, dt.time(), dt.timezone.utc).timestamp() * 1000)
-        candidates = src.where((F.col(proc_col) >= lo) & (F.col(proc_col) < hi))
-    versions = candidates.select(*keys, *ver).join(
-        day_keys, [candidates[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi"
-    )
-    # n: rows that share a key's last version; more than one is a tie, decided by the whole row
-    winners = versions.groupBy(*keys, *ver).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
-        F.max(F.struct(*ver, "_n")).alias("_v")
-    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_v_{c}") for c in ver], F.col("_v._n").alias("_n"))
-    cond = [day[k].eqNullSafe(winners[f"_k_{k}"]) for k in keys] + [day[c].eqNullSafe(winners[f"_v_{c}"]) for c in ver]
-    last = day.join(winners, cond).select(*[day[c] for c in day.columns], "_n")
-    tied = keep_last(last.where("_n > 1").drop("_n").withColumn("_row", row_order(day.columns)), keys, ["_row"]).drop("_row")
-    return last.where("_n = 1").drop("_n").unionByName(tied)
+    versions = src.select(*keys, *ver).join(day_keys, [src[k].eqNullSafe(day_keys[k]) for k in keys], "left_semi")
+    return join_winners(day, winners_of(versions, keys, ver), keys, ver)
 
 
 def superseded_days(src: DataFrame, days, spec: BackfillSpec, proc_col: str = "timeInserted") -> DataFrame:
     """(unit) earlier insert days of keys that have a version on ``days``: a row of theirs is no longer the last."""
     keys = list(spec.keys)
     narrow = src.select(*keys, proc_col)
-    now = narrow.where(_insert_day_pred(days, proc_col)).groupBy(*keys).agg(F.max(proc_col).alias("_last"))
+    now = narrow.where(insert_days(days, proc_col)).groupBy(*keys).agg(F.max(proc_col).alias("_last"))
     now = now.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last")
     older = narrow.join(now, [narrow[k].eqNullSafe(now[f"_k_{k}"]) for k in keys]).where(F.col(proc_col) < F.col("_last"))
-    return older.select(F.date_format(F.timestamp_millis(proc_col), "yyyy-MM-dd").alias("unit")).distinct()
+    return older.select(insert_day(proc_col).alias("unit")).distinct()
 
 
 def backfill_days(
     spark: SparkSession, src: DataFrame, days, target: str, ledger_path: str, spec: BackfillSpec | None = None,
-    dry_run: bool = False,
+    dry_run: bool = False, index: KeyIndex | None = None,
 ) -> DataFrame:
     """B2: one job for all pending days.  Returns per-day counts.  ``dry_run``
     writes nothing and marks nothing (the reference marked dry-run days DONE).
 
+    ``index``: a ``KeyIndex`` of the source.  The pending days are added to it, and the run reads them and the index
+    alone, whatever the length of the history.
+
     A day is the unit ``day-<day>`` of the shared table; only rows of that unit are replaced.  Days done before whose
     rows are superseded by a pending day are done again."""
     spec = spec or BackfillSpec()
@@ -267,9 +250,12 @@ def backfill_days(
     if not todo:
         return spark.createDataFrame([], "unit string, rows long")
     done = latest_state(read_ledger(spark, ledger_path)).where("state = 'DONE'").select("unit")
-    again = superseded_days(src, todo, spec).join(done, "unit", "left_semi")  # days: bounded by the table's age
+    if index is not None:
+        index.add(src, todo)  # also in a dry run: the index says nothing of the target
+    older = superseded_days(src, todo, spec) if index is None else index.superseded(todo)
+    again = older.join(done, "unit", "left_semi")  # days: bounded by the table's age
     todo = sorted({*todo, *(r.unit for r in again.collect())})
-    rows = convert_rows(day_rows(src, todo, spec), spec)
+    rows = convert_rows(day_rows(src, todo, spec, index=index), spec)
     counts_of = lambda df: df.groupBy(F.date_format("processingTime", "yyyy-MM-dd").alias("unit")).agg(
         F.count(F.lit(1)).alias("rows")
     )
@@ -277,7 +263,8 @@ def backfill_days(
     if dry_run:
         return units.join(counts_of(rows), "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
     tags = [f"day-{u}" for u in todo]
-    replace_units(rows.withColumn(LOAD_UNIT, F.concat(F.lit("day-"), F.date_format("processingTime", "yyyy-MM-dd"))), target, tags)
+    replace_units(rows.withColumn(LOAD_UNIT, F.concat(F.lit("day-"), F.date_format("processingTime", "yyyy-MM-dd"))), target, tags,
+                  [dt.date.fromisoformat(u) for u in todo])
     counts = _mark(spark, _written_counts(spark, target, "day-", tags), units, ledger_path)
     return counts
 
@@ -286,7 +273,7 @@ def _written_counts(spark: SparkSession, target: str, prefix: str, tags) -> Data
     """(unit, rows) of the units as written; partition columns only, so footers answer."""
     if not path_exists(spark, target):
         return spark.createDataFrame([], "unit string, rows long")
-    held = spark.read.option("mergeSchema", "true").parquet(target).where(F.col(LOAD_UNIT).isin(tags))
+    held = read_events(spark, target).where(F.col(LOAD_UNIT).isin(tags))
     return held.groupBy(F.substring(LOAD_UNIT, len(prefix) + 1, 1000).alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -350,11 +337,16 @@ def backfill_files(
     if not staged:
         none = spark.createDataFrame([], "unit string, rows long")
         return none if dry_run else _mark(spark, none, units, ledger_path, empty="FAILED", failed=failed)
-    rows = spark.read.option("mergeSchema", "true").parquet(*staged)
+    parts, schema = [spark.read.parquet(p) for p in staged], T.StructType([])
+    for part in parts:
+        schema = evolve(schema, part.schema)[0]
+    rows = align(parts[0], schema)
+    for part in parts[1:]:
+        rows = rows.unionByName(align(part, schema))
     counts = rows.groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
     if dry_run:
         return units.join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows"))
-    replace_units(rows, target, tags)
+    replace_units(rows, target, tags, [r[0] for r in rows.select("processing_day").distinct().collect()])
     return _mark(spark, counts, units, ledger_path, empty="FAILED", failed=failed)
 
 

@@ -9,9 +9,11 @@ order: pass a tie-breaker (file name, row hash) as the last version column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import work_path
+
 
 def keep_last(df: DataFrame, keys, version_cols) -> DataFrame:
     """One row per key: the row with the greatest ``struct(version_cols)``."""
@@ -32,21 +34,43 @@ def keep_last(df: DataFrame, keys, version_cols) -> DataFrame:
 def keep_last_two_phase(df: DataFrame, keys, version_cols) -> DataFrame:
     """Variant for very wide rows: find the winning (key, version) on the narrow
     projection first, then join the wide rows to it.  Of rows that share key and
-    version one stays, chosen by the whole row, so there is one row per key."""
+    version the greatest stays (``row_order``), so there is one row per key."""
+    keys, version_cols = list(keys), list(version_cols)
+    return join_winners(df, winners_of(df, keys, version_cols), keys, version_cols)
+
+
+def winners_of(versions: DataFrame, keys, version_cols) -> DataFrame:
+    """(_k_<key>, _v_<version>, _n) of the last version of each key; _n rows share it."""
     keys, version_cols = list(keys), list(version_cols)
-    winners = df.select(*keys, *version_cols).groupBy(*keys, *version_cols).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
-        F.max(F.struct(*version_cols, "_n")).alias("_v")
-    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_v_{c}") for c in version_cols], F.col("_v._n").alias("_n"))
+    counted = versions.select(*keys, *version_cols).groupBy(*keys, *version_cols).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*keys).agg(F.max(F.struct(*version_cols, "_n")).alias("_v")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_v_{c}") for c in version_cols], F.col("_v._n").alias("_n"))
+
+
+def join_winners(df: DataFrame, winners: DataFrame, keys, version_cols) -> DataFrame:
+    """The wide rows of the winners.  These, narrow, are written first, which tells whether any are tied: only then is there
+    a second join, of the tied rows alone."""
+    spark, seen = df.sparkSession, Observation()
+    path = work_path(spark, "winners")
+    winners.observe(seen, F.coalesce(F.max("_n"), F.lit(0)).alias("most")).write.parquet(path)
+    winners = spark.read.schema(winners.schema).parquet(path)
     cond = [df[k].eqNullSafe(winners[f"_k_{k}"]) for k in keys] + [df[c].eqNullSafe(winners[f"_v_{c}"]) for c in version_cols]
-    last = df.join(winners, cond).select(*[df[c] for c in df.columns], "_n")
-    tied = last.where("_n > 1").drop("_n").withColumn("_row", row_order(df.columns))
-    return last.where("_n = 1").drop("_n").unionByName(keep_last(tied, keys, ["_row"]).drop("_row"))
+    wide = [df[c] for c in df.columns]
+    if seen.get["most"] < 2:
+        return df.join(winners, cond).select(*wide)
+    tied = df.join(winners.where("_n > 1"), cond).select(*wide)
+    tied = keep_last(tied.withColumn("_row", row_order(tied)), keys, ["_row"]).drop("_row")
+    return df.join(winners.where("_n = 1"), cond).select(*wide).unionByName(tied)
 
 
-def row_order(columns) -> F.Column:
-    """A total order of rows that differ at all, for ties of keys and versions."""
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
-    return F.struct(F.xxhash64(whole).alias("h"), whole.alias("row"))
+def row_order(df: DataFrame) -> F.Column:
+    """A total order of rows that differ at all, for ties of keys and versions: column by column in the order of their
+    names, NULL first.  (Maps and variants, which have no order, go by their JSON.)"""
+    ordered = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        ordered.append((F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c).alias(f.name))
+    return F.struct(*ordered)
 
 
 def duplicate_profile(df: DataFrame, keys) -> DataFrame:

@@ -32,24 +32,19 @@ def _slices(df: DataFrame, order_cols, n_slices: int | None) -> DataFrame:
     return df.repartitionByRange(n, *order_cols).withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
 
 
-def _join_groups(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join on columns of the same names, where a NULL group is a group like any other."""
+    if how == "left_semi":
+        right = right.select(*on).distinct()
     keys = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = [left[c].eqNullSafe(keys[f"_r_{c}"]) for c in on]
     return left.join(keys, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-def exact_percentiles(df: DataFrame, group_cols, value_col: str, quantiles: dict, n_slices: int | None = None):
-    """Exact percentiles per group. ``quantiles`` maps output name → q in [0, 1].
-
-    Output: *group_cols, n, <name>... (NULL when the group has no values)."""
+def value_ranks(counts: DataFrame, group_cols, n_slices: int | None = None) -> DataFrame:
+    """Per value of a group (``counts``: *group_cols, _v, _c rows have it): n of the group, _lo and _hi, the value's ranks
+    from 0 as [_lo, _hi)."""
     g = list(group_cols)
-    counts = (
-        df.where(F.col(value_col).isNotNull())
-        .select(*g, F.col(value_col).cast("double").alias("_v"))
-        .groupBy(*g, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))  # partial-aggregated: duplicates collapse map-side
-    )
     sliced = _slices(counts, [*g, "_v"], n_slices)
     w_local = Window.partitionBy("_slice", *g).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_local", F.sum("_c").over(w_local))
@@ -63,13 +58,27 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str, quantiles: dict
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_ptot").over(w_all).alias("n"),
     )
-    ranked = _join_groups(local, offs, ["_slice", *g]).select(
+    return join_groups(local, offs, ["_slice", *g]).select(
         *g,
         "_v",
         "n",
         (F.col("_off") + F.col("_local") - F.col("_c")).alias("_lo"),  # first 0-based rank of this value
         (F.col("_off") + F.col("_local")).alias("_hi"),  # one past its last rank
     )
+
+
+def exact_percentiles(df: DataFrame, group_cols, value_col: str, quantiles: dict, n_slices: int | None = None):
+    """Exact percentiles per group. ``quantiles`` maps output name → q in [0, 1].
+
+    Output: *group_cols, n, <name>... (NULL when the group has no values)."""
+    g = list(group_cols)
+    counts = (
+        df.where(F.col(value_col).isNotNull())
+        .select(*g, F.col(value_col).cast("double").alias("_v"))
+        .groupBy(*g, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))  # partial-aggregated: duplicates collapse map-side
+    )
+    ranked = value_ranks(counts, g, n_slices)
     aggs, finals = [], []
     hit_any = None
     for name, q in quantiles.items():
@@ -112,7 +121,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
         )
     )
     sizes = sliced.groupBy("_slice", *g).agg(F.count(F.lit(1)).alias("_size"))
-    pieces = _join_groups(pieces, sizes, ["_slice", *g])
+    pieces = join_groups(pieces, sizes, ["_slice", *g])
     # Stitch pieces that touch slice borders.  Per (slice, group): head = flagged
     # prefix piece, tail = flagged suffix piece (the same piece when the slice is
     # all flagged).  Slice j continues slice j-1 (previous slice holding the
@@ -123,7 +132,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
         F.max(F.when(F.col("_last_rn") == F.col("_size"), F.col("_len"))).alias("_tail"),
     )
     ws = Window.partitionBy(*g).orderBy("_slice")  # one row per slice of a group: small
-    info = _join_groups(sizes, heads_tails, ["_slice", *g], "left")
+    info = join_groups(sizes, heads_tails, ["_slice", *g], "left")
     info = info.withColumn("_cont", F.col("_head").isNotNull() & F.lag("_tail").over(ws).isNotNull())
     info = info.withColumn("_full", F.coalesce(F.col("_head") == F.col("_size"), F.lit(False)))
     info = info.withColumn(
@@ -132,7 +141,7 @@ def runs(df: DataFrame, group_cols, order_cols, flag: F.Column, min_len: int = 1
             ws.rowsBetween(Window.unboundedPreceding, 0)
         ),
     ).withColumn("_prev_chain", F.lag("_chain").over(ws))
-    keyed = _join_groups(pieces, info.select("_slice", *g, "_cont", "_chain", "_prev_chain"), ["_slice", *g]).withColumn(
+    keyed = join_groups(pieces, info.select("_slice", *g, "_cont", "_chain", "_prev_chain"), ["_slice", *g]).withColumn(
         "_k",
         F.when(F.col("_last_rn") == F.col("_size"), F.col("_chain")).when(
             (F.col("_first_rn") == 1) & F.col("_cont"), F.col("_prev_chain")

@@ -600,3 +600,49 @@ SQL["cube_null_segment"] = with_events("""
 SELECT nullif(country, 'NA') AS country, count(txn_amount) AS n, round(quantile_cont(txn_amount, 0.5), 4) AS p50,
        round(quantile_cont(txn_amount, 0.99), 4) AS p99, count(*) AS n_rows
 FROM event_result GROUP BY nullif(country, 'NA')""")
+
+# ---- arrival index, schema log ----------------------------------------------
+SQL["cube_index_pruned"] = SQL["cube_raw_fallback"]
+SQL["cube_stale_day"] = SQL["cube_hybrid_stats"]
+SQL["cube_stale_partial"] = _exact_stats(f"eventTime >= {JAN(11)} AND eventTime < {JAN_END}", 20, 30, "PARTIAL", "rollup")
+SQL["cube_stale_refresh"] = SQL["cube_window_stats"].replace(
+    "SELECT feature, segment_value, count(x)", "SELECT CAST(10 AS BIGINT) AS n_refreshed, feature, segment_value, count(x)")
+SQL["cube_rebuild_null_time"] = SQL["cube_rebuild"].replace("FROM event_result WHERE", "FROM event_result WHERE CAST(eventId AS BIGINT) % 41 <> 0 AND")
+_STATES = """SELECT '{0}' AS definition, strftime(CAST(eventTime AS DATE), '%Y-%m-%d') AS stat_date, {1} AS segment_value, count(*) AS n_rows,
+  count(txn_amount) AS n_amount, round(sum(txn_amount), 4) AS amount FROM event_result GROUP BY ALL"""
+SQL["cube_rebuild_states"] = with_events(
+    _STATES.format("old", ACTIVITY_CASE) + "\nUNION ALL\n"
+    + _STATES.format("new", "CASE WHEN eventType = 'purchase' THEN 'buyer' ELSE 'other' END"))
+SQL["schema_log_evolve"] = with_events("""
+SELECT u."column", u.type, u.version, u.n_values FROM (
+  SELECT count(*) AS n, count(txn_amount) AS amount, count(score) FILTER (WHERE CAST(eventId AS BIGINT) % 4 IN (1, 2)) AS score,
+    count(score) FILTER (WHERE CAST(eventId AS BIGINT) % 4 = 2) AS risk, count(score) FILTER (WHERE CAST(eventId AS BIGINT) % 4 = 3) AS text
+  FROM event_result) s,
+LATERAL (VALUES ('eventId', 'string', CAST(1 AS BIGINT), s.n), ('txn_amount', 'double', 1, s.amount), ('score', 'int', 2, s.score),
+  ('risk', 'double', 3, s.risk), ('score__string', 'string', 4, s.text)) u("column", type, version, n_values)""")
+SQL["backfill_key_index"] = f"""WITH {SRC}
+SELECT strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d') AS processing_day, count(*) AS n, count(DISTINCT eventId) AS n_ids,
+  round(sum(txn_amount), 4) AS amount
+FROM dedup GROUP BY ALL"""
+SQL["backfill_tie"] = f"""WITH {SRC}
+SELECT eventId, timeInserted AS proc_ms, CAST(k + 1 AS BIGINT) AS score FROM dedup JOIN ev0 USING (event_id)"""
+SQL["compact_bins"] = with_events("""
+SELECT count(*) AS n_rows, count(DISTINCT eventId) AS n_ids, round(sum(txn_amount), 4) AS amount, true AS packed, true AS large_files_stay,
+  CAST(0 AS BIGINT) AS files_rewritten_again FROM event_result""")
+SQL["reconcile_values"] = f"""WITH {SRC}
+SELECT strftime(CAST(make_timestamp(timeInserted * 1000) AS DATE), '%Y-%m-%d') AS day, eventId, CAST(1 AS BIGINT) AS source_n,
+  CAST(CASE event_id % 500 WHEN 7 THEN 0 WHEN 11 THEN 2 ELSE 1 END AS BIGINT) AS target_n,
+  CASE event_id % 500 WHEN 7 THEN 'missing' WHEN 11 THEN 'count' ELSE 'value' END AS status,
+  CASE event_id % 500 WHEN 3 THEN 'txn_amount' END AS changed
+FROM dedup WHERE event_id % 500 IN (3, 7, 11)"""
+SQL["cube_bitmap_distinct"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN, features=('txn_amount', 'score', 'userId'))}\n"
+    "SELECT feature, segment_value, count(DISTINCT x) AS distinct_count FROM long GROUP BY feature, segment_value")
+SQL["cube_guided_percentiles"] = (
+    f"WITH {EVENT_ROWS},{EVENT_RESULT}{_long(_WIN)}\n"
+    "SELECT feature, segment_value, q.measure, count(x) AS n, round(any_value(CASE q.measure WHEN 'p50' THEN p50 WHEN 'p90' THEN p90\n"
+    "  WHEN 'p95' THEN p95 ELSE p99 END), 4) AS value\n"
+    "FROM long JOIN (SELECT feature, segment_value, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90,\n"
+    "  quantile_cont(x, 0.95) AS p95, quantile_cont(x, 0.99) AS p99 FROM long GROUP BY ALL) USING (feature, segment_value),\n"
+    "  (VALUES ('p50'), ('p90'), ('p95'), ('p99')) q(measure)\n"
+    "WHERE x IS NOT NULL GROUP BY feature, segment_value, q.measure")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.measures import state_exprs, state_name, states_for
+from ..operators.arrivals import ArrivalIndex, date_in_days, day_ranges
 from ..session import hadoop_path, path_exists
 from .cube import Cube, validate
 
@@ -34,21 +35,12 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("n_rows", T.LongType()),
         T.StructField("refreshed_at", T.TimestampType()),
         T.StructField("error_message", T.StringType()),
+        # what the arrival index said of the day when its refresh began (NULL: not settled, or no index)
+        T.StructField("token", T.LongType()),
     ]
 )
 
 
-def day_ranges(days) -> list[tuple[dt.date, dt.date]]:
-    """Collapse a set of dates into half-open [lo, hi) ranges of consecutive days."""
-    out: list[list[dt.date]] = []
-    for d in sorted(set(days)):
-        if out and out[-1][1] == d:
-            out[-1][1] = d + dt.timedelta(days=1)
-        else:
-            out.append([d, d + dt.timedelta(days=1)])
-    return [(a, b) for a, b in out]
-
-
 def time_in_days(col: str, days) -> F.Column:
     """Range predicate(s) on a timestamp column covering whole days.
 
@@ -66,32 +58,20 @@ def time_in_days(col: str, days) -> F.Column:
     return pred
 
 
-def processing_day_bounds(days, slack_before: int, slack_after: int, col: str = "processing_day") -> F.Column:
-    """Partition predicate on the processing-day column for event ``days``:
-    a row of event day d arrives within [d - slack_before, d + slack_after]."""
-    ranges = day_ranges(days)
-    pred = None
-    for lo, hi in ranges:
-        p = (F.col(col) >= F.lit(lo - dt.timedelta(days=slack_before))) & (
-            F.col(col) < F.lit(hi + dt.timedelta(days=slack_after))
-        )
-        pred = p if pred is None else (pred | p)
-    return pred if pred is not None else F.lit(False)
-
-
-def build_states(fact: DataFrame, cube: Cube, days=None, proc_slack: tuple[int, int] | None = None) -> DataFrame:
+def build_states(fact: DataFrame, cube: Cube, days=None, arrivals: ArrivalIndex | None = None) -> DataFrame:
     """Daily states for all target features of ``cube`` (C3/C4 one-pass).
 
-    ``proc_slack=(before, after)`` adds a processing-day partition predicate
-    (tables partitioned by ``processing_day``) so that only partitions that
-    can hold the event days are listed and read; it must cover the measured
-    arrival gap (``arrival_gap_profile``), else late rows are missed.
+    ``arrivals``, the table's arrival index, adds a processing-day partition
+    predicate: exactly the partitions that hold the event days are listed and
+    read, however late a row came.
 
     Columns: tenant, stat_date, segment_value, n_rows, <feature>__<state>..."""
     if days is not None:
         fact = fact.where(time_in_days(cube.time_col, days))
-        if proc_slack is not None and "processing_day" in fact.columns:
-            fact = fact.where(processing_day_bounds(days, *proc_slack))
+        if arrivals is not None and "processing_day" in fact.columns:
+            if arrivals.time_col != cube.time_col:
+                raise ValueError(f"the arrival index is by {arrivals.time_col}, the cube by {cube.time_col}")
+            fact = fact.where(arrivals.holds(days))
     states = states_for(cube.measures)
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for f in cube.features:
@@ -129,13 +109,8 @@ def affected_days(fact: DataFrame, proc_lo, proc_hi, time_col: str = "eventTime"
     return arrived.select(F.to_date(F.col(time_col)).alias("stat_date")).distinct()
 
 
-def date_in_days(col: str, days) -> F.Column:
-    """Range predicate(s) on a DATE column for a set of days (pushable)."""
-    pred = None
-    for lo, hi in day_ranges(days):
-        p = (F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))
-        pred = p if pred is None else (pred | p)
-    return pred if pred is not None else F.lit(False)
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
 def month_of(d: dt.date) -> str:
@@ -157,7 +132,7 @@ class RollupTable:
     spark: SparkSession
     cube: Cube
     path: str
-    proc_slack: tuple[int, int] | None = None  # see build_states
+    arrivals: ArrivalIndex | None = None  # of the event table: exact pruning, and which stored days are stale
 
     @property
     def ledger_key(self) -> str:
@@ -168,29 +143,20 @@ class RollupTable:
     def ledger_path(self) -> str:
         return self.path.rstrip("/") + "__status"
 
-    def rows_outside(self, fact: DataFrame, days) -> int:
-        """Rows of these event days in processing days that ``proc_slack`` leaves out (narrow scan, not pruned)."""
-        if self.proc_slack is None or "processing_day" not in fact.columns:
-            return 0
-        inside = F.coalesce(processing_day_bounds(days, *self.proc_slack), F.lit(False))
-        return fact.where(time_in_days(self.cube.time_col, days)).where(~inside).count()
-
-    def refresh(self, fact: DataFrame, days, check_slack: bool = True) -> None:
+    def refresh(self, fact: DataFrame, days) -> None:
         """Recompute the given event days (C5/C7); idempotent.  The definition is validated first (C14); a
-        refresh that fails is recorded as ERROR with its message (C15) and raised.  ``check_slack=False`` skips the
-        count of rows that ``proc_slack`` would miss, for tables whose gap is checked elsewhere."""
-        days = sorted(set(days))
+        refresh that fails is recorded as ERROR with its message (C15) and raised."""
+        days = sorted({d for d in days if d is not None})
         if not days:
             return
-        # Before the scan: what arrives while it runs counts as newer and stays pending.
-        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        # Before the scan: what arrives while it runs counts as newer and stays pending, or stale.
+        stamp = _now()
         try:
+            tokens = self.arrivals.day_tokens() if self.arrivals else {}
             checked = validate(self.cube, fact)
             if not checked.ok:
                 raise ValueError("; ".join(checked.errors))
-            if check_slack and (missed := self.rows_outside(fact, days)):
-                raise ValueError(f"proc_slack {self.proc_slack} would miss {missed} rows")
-            self._refresh(fact, days, stamp)
+            self._refresh(fact, days, stamp, tokens)
         except Exception as e:
             self.mark_error(days, str(e)[:1000])
             raise
@@ -201,8 +167,8 @@ class RollupTable:
             fs, target = hadoop_path(self.spark, path)
             fs.delete(target, True)
 
-    def _refresh(self, fact: DataFrame, days, stamp: dt.datetime) -> None:
-        fresh = build_states(fact, self.cube, days, self.proc_slack)
+    def _refresh(self, fact: DataFrame, days, stamp: dt.datetime, tokens: dict) -> None:
+        fresh = build_states(fact, self.cube, days, self.arrivals)
         months = sorted({month_of(d) for d in days})
         if path_exists(self.spark, self.path):
             kept = (
@@ -230,7 +196,8 @@ class RollupTable:
             fs.delete(target, True)
         mine = date_in_days("stat_date", days) & (F.col("tenant") == F.lit(self.cube.tenant))
         written = staged.where(mine).groupBy("stat_date").agg(F.count(F.lit(1)).alias("n_rows"))
-        day_df = self.spark.createDataFrame([(d,) for d in days], "stat_date date")
+        # A day that the index lacks has no rows; it is settled too.
+        day_df = self.spark.createDataFrame([(d, tokens.get(d, 0) if self.arrivals else None) for d in days], "stat_date date, token bigint")
         ledger_rows = day_df.join(written, "stat_date", "left").select(
             F.lit(self.ledger_key).alias("rollup"),
             "stat_date",
@@ -238,6 +205,7 @@ class RollupTable:
             F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
             F.lit(stamp).cast("timestamp").alias("refreshed_at"),
             F.lit(None).cast("string").alias("error_message"),
+            "token",
         )
         ledger_rows.repartition(1).write.mode("append").parquet(self.ledger_path)
 
@@ -260,8 +228,8 @@ class RollupTable:
         return days
 
     def mark_error(self, days, message: str) -> None:
-        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        rows = [(self.ledger_key, d, "ERROR", 0, stamp, message) for d in sorted(set(days))]
+        stamp = _now()
+        rows = [(self.ledger_key, d, "ERROR", 0, stamp, message, None) for d in sorted(set(days))]
         self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.ledger_path)
 
     def states(self) -> DataFrame | None:
@@ -270,14 +238,38 @@ class RollupTable:
             return None
         return self.spark.read.parquet(self.path)
 
-    def stats(self, fact: DataFrame | None, as_of, window_days: int = 30, **kw) -> DataFrame:
-        """C10 serve choice: refreshed (ACTIVE) days from this rollup, the rest of
-        the window from ``fact`` (see ``plans.stats.window_stats``)."""
+    def stats(self, fact: DataFrame | None, as_of, window_days: int = 30, affected: DataFrame | None = None, **kw) -> DataFrame:
+        """C10 serve choice: refreshed (ACTIVE) days that aren't stale from this rollup, the rest of
+        the window from ``fact`` (see ``plans.stats.window_stats``).  Without ``fact`` stale days are not covered, so
+        the answer is PARTIAL.  ``affected``: days with arrivals, as the stream logs them (see ``pending_days``), where
+        there is no arrival index."""
         from .stats import window_stats
 
-        kw.setdefault("proc_slack", self.proc_slack)
+        stale = self.stale_days(affected)
+        if fact is None and stale:
+            kw["max_raw_days"] = 0
         return window_stats(fact, self.cube, as_of, window_days, rollup=self.states(),
-                            rollup_days=self.active_days(), **kw)
+                            rollup_days=[d for d in self.active_days() if d not in stale], arrivals=self.arrivals, **kw)
+
+    def stale_days(self, affected: DataFrame | None = None) -> set[dt.date]:
+        """Stored days whose rows have changed since their last refresh, or are being changed."""
+        stale: set[dt.date] = set()
+        if affected is not None:
+            stale |= set(self.pending_days(affected))
+        if self.arrivals is not None:
+            now = self.arrivals.day_tokens()
+            for r in self.ledger().where(F.col("status") == "ACTIVE").select("stat_date", "token").collect():
+                if r.token is None or now.get(r.stat_date, 0) != r.token:
+                    stale.add(r.stat_date)
+        return stale
+
+    def refresh_stale(self, fact: DataFrame) -> list[dt.date]:
+        """C5 + C6 by the arrival index: refresh the stored days that are stale and the event days not stored yet."""
+        if self.arrivals is None:
+            raise ValueError("refresh_stale needs the table's arrival index")
+        days = sorted(self.stale_days() | (set(self.arrivals.event_days()) - set(self.active_days())))
+        self.refresh(fact, days)
+        return days
 
     def ledger(self) -> DataFrame:
         """Latest status per day (later refreshes win)."""
@@ -287,7 +279,7 @@ class RollupTable:
         return raw.groupBy("rollup", "stat_date").agg(
             *[
                 F.max_by(F.col(c), F.struct("refreshed_at", "status")).alias(c)
-                for c in ("status", "n_rows", "refreshed_at", "error_message")
+                for c in ("status", "n_rows", "refreshed_at", "error_message", "token")
             ]
         )
 
@@ -296,6 +288,14 @@ class RollupTable:
         rows = self.ledger().where(F.col("status") == "ACTIVE").select("stat_date").collect()
         return sorted(r.stat_date for r in rows)
 
+    def event_days(self, fact: DataFrame) -> list[dt.date]:
+        """All event days of the table: from the arrival index, else by a scan of one column.  Rows whose event time is
+        NULL (it could not be parsed) belong to no day."""
+        if self.arrivals is not None:
+            return self.arrivals.event_days()
+        day = F.to_date(F.col(self.cube.time_col)).alias("stat_date")
+        return sorted(r.stat_date for r in fact.select(day).where("stat_date IS NOT NULL").distinct().collect())
+
     def rebuild(self, fact: DataFrame, new_cube: Cube) -> "RollupTable":
         """Apply a definition change into a fresh table (the old one keeps
         serving until callers switch).  Dimension or measure change → every
@@ -303,12 +303,12 @@ class RollupTable:
         columns are scanned from the fact table and their states joined onto
         the stored ones; removed features → a projection of the stored states."""
         action = plan_rebuild(self.cube, new_cube)
-        fresh = RollupTable(self.spark, new_cube, f"{self.path.rstrip('/')}__{action}-{uuid.uuid4().hex[:8]}", self.proc_slack)
+        fresh = RollupTable(self.spark, new_cube, f"{self.path.rstrip('/')}__{action}-{uuid.uuid4().hex[:8]}", self.arrivals)
         keys = ["tenant", "stat_date", "segment_value"]
         if action == "full":
-            days = [r.stat_date for r in fact.select(F.to_date(F.col(new_cube.time_col)).alias("stat_date")).distinct().collect()]
-            fresh.refresh(fact, days)
+            fresh.refresh(fact, self.event_days(fact))
             return fresh
+        self.refresh(fact, self.stale_days())  # stored and newly scanned states must see the same rows
         states = self.states()
         keep = [c for c in states.columns if c in keys or c == "n_rows"
                 or c.split("__", 1)[0] in new_cube.features]
@@ -318,14 +318,13 @@ class RollupTable:
             days = self.active_days()
             extra_cube = Cube(new_cube.name, new_cube.dimension, tuple(added), new_cube.measures, new_cube.tenant,
                               new_cube.time_col)
-            extra = build_states(fact, extra_cube, days, self.proc_slack).drop("n_rows")
+            extra = build_states(fact, extra_cube, days, self.arrivals).drop("n_rows")
             out = out.join(extra, keys, "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
         out = out.drop("stat_month").withColumn("stat_month", F.date_format("stat_date", "yyyy-MM"))
         out.hint("rebalance", "stat_month").write.mode("overwrite").partitionBy("stat_month").parquet(fresh.path)
-        stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         self.ledger().where(F.col("status") == "ACTIVE").select(
             F.lit(fresh.ledger_key).alias("rollup"), "stat_date", "status", "n_rows",
-            F.lit(stamp).cast("timestamp").alias("refreshed_at"), "error_message",
+            F.lit(_now()).cast("timestamp").alias("refreshed_at"), "error_message", "token",
         ).repartition(1).write.mode("append").parquet(fresh.ledger_path)
         return fresh
 

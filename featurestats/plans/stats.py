@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import final_exprs, merge_exprs, states_for
+from ..operators.arrivals import ArrivalIndex, date_in_days
 from .cube import Cube
-from .rollup import build_states, date_in_days
+from .rollup import build_states
 
 LONG_TYPES = {
     "count": "bigint",
@@ -75,8 +76,9 @@ def window_stats(
     max_raw_days: int | None = None,
     reference_mode: bool = False,
     long_form: bool = True,
-    proc_slack: tuple[int, int] | None = None,
+    arrivals: ArrivalIndex | None = None,
 ) -> DataFrame:
+    """See the module; ``arrivals``, the event table's arrival index, prunes raw days to the partitions that hold them."""
     if rollup is None:
         rollup_days = ()  # nothing stored to read: every day of the window is raw
     window, rollup_part, raw_part = plan_days(as_of, window_days, rollup_days, max_raw_days, reference_mode)
@@ -90,7 +92,7 @@ def window_stats(
     if raw_part:
         if fact is None:
             raise ValueError("raw days requested but no fact table given")
-        parts.append(build_states(fact, cube, raw_part, proc_slack))
+        parts.append(build_states(fact, cube, raw_part, arrivals))
     if not parts:
         raise ValueError("empty window")
     states = parts[0]

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.arrivals import ArrivalIndex
+from .operators.layout import read_events
 from .plans.cube import Cube, Dimension
 from .plans.rollup import RollupTable, build_states
 from .plans.stats import window_stats
@@ -46,7 +48,7 @@ JAN = [dt.date(2024, 1, d) for d in range(1, 31)]
 
 def _days(fact: DataFrame, time_col: str = "eventTime") -> list[dt.date]:
     """Distinct event days (one row per day; bounded by the table's age in days)."""
-    return sorted(r[0] for r in fact.select(F.to_date(time_col)).distinct().collect())
+    return sorted(r[0] for r in fact.select(F.to_date(time_col)).distinct().collect() if r[0] is not None)
 
 
 # ---- cube rollups and window statistics (P3) -------------------------------
@@ -222,15 +224,17 @@ def cube_late_refresh(spark, sf_dir):
                         rollup_days=table.active_days())
 
 
+BUYER = Dimension("buyer", "CASE WHEN eventType = 'purchase' THEN 'buyer' ELSE 'other' END", tenant="acme")
+
+
 @query
 def cube_rebuild(spark, sf_dir):
     """The dimension expression changes → every day is recomputed into a
     fresh rollup under the new definition."""
     fact = event_table(spark, sf_dir)
     table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_rebuild"))
-    table.refresh(fact, JAN[:10])
-    new_dim = Dimension("buyer", "CASE WHEN eventType = 'purchase' THEN 'buyer' ELSE 'other' END", tenant="acme")
-    new_cube = Cube("activity_cube", new_dim, ACTIVITY_CUBE.features, EXACT, tenant="acme")
+    table.refresh(fact, _days(fact))
+    new_cube = Cube("activity_cube", BUYER, ACTIVITY_CUBE.features, EXACT, tenant="acme")
     fresh = table.rebuild(fact, new_cube)
     return window_stats(fact, new_cube, AS_OF, 30, rollup=fresh.states(), rollup_days=fresh.active_days())
 
@@ -435,7 +439,7 @@ def _stream_table(spark, sf_dir, duplicates: bool, return_path: bool = False):
     q.awaitTermination()
     if return_path:
         return table
-    return spark.read.option("mergeSchema", "true").parquet(table)
+    return read_events(spark, table)
 
 
 @query
@@ -563,7 +567,7 @@ def backfill_parse_lists(spark, sf_dir):
     root = write_snapshots(spark, sf_dir, work_path(spark, "snapshots"))
     target, ledger = work_path(spark, "bf_files"), work_path(spark, "bf_files_ledger")
     backfill_files(spark, root, snapshot_types(spark), target, ledger)  # declared types as a (name, type) table
-    t = spark.read.option("mergeSchema", "true").parquet(target)
+    t = read_events(spark, target)
     return t.select("eventId", "rules", "actions", "trialRules", "trialActions", "country", "score", "note", "created",
                     F.unix_millis("processingTime").alias("proc_ms"))
 
@@ -622,7 +626,7 @@ def distinct_months(spark, sf_dir):
 
 # ---- layout, maintenance, profiles (P4) ------------------------------------
 def _written_events(spark, sf_dir, files_per_partition: int = 1):
-    from .operators.layout import read_events, write_events
+    from .operators.layout import write_events
 
     path = work_path(spark, "events_table")
     write_events(event_table(spark, sf_dir), path)
@@ -641,7 +645,8 @@ def layout_write_read(spark, sf_dir):
 @query
 def schema_evolve(spark, sf_dir):
     """A second load adds columns; the table widens by name, old rows read NULL."""
-    from .operators.layout import align, evolve, read_events, write_events
+    from .operators.layout import write_events
+    from .operators.schema_log import align, evolve
 
     fact = event_table(spark, sf_dir)
     path = work_path(spark, "evolve")
@@ -663,7 +668,7 @@ def schema_evolve(spark, sf_dir):
 @query
 def compact_preserves_rows(spark, sf_dir):
     """Many small files per partition → compacted; rows identical, fewer files."""
-    from .operators.layout import compact, read_events
+    from .operators.layout import compact
 
     fact = event_table(spark, sf_dir).withColumn("processing_day", F.to_date("processingTime"))
     path = work_path(spark, "compact")
@@ -671,15 +676,39 @@ def compact_preserves_rows(spark, sf_dir):
     for part in range(4):
         (fact.where(F.abs(F.xxhash64("eventId")) % 4 == part).repartition(F.xxhash64("eventId") % 64).write.mode("append")
          .partitionBy("processing_day", "eventType").parquet(path))
-    before_sum = read_events(spark, path).agg(F.sum("txn_amount")).first()[0]
+    total = lambda: read_events(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("txn_amount").alias("amount")).first()
+    before = total()
     rep = compact(spark, path, target_file_bytes=256 << 20)
-    after_sum = read_events(spark, path).agg(F.sum("txn_amount")).first()[0]
+    after = total()
     return rep.select(
-        "rows_before", "rows_after", "rows_match", (F.col("files_after") < F.col("files_before")).alias("fewer_files"),
-        F.lit(abs((before_sum or 0) - (after_sum or 0)) < 1e-6).alias("sums_match"),
+        F.lit(before.n).alias("rows_before"), F.lit(after.n).alias("rows_after"), (F.col("rows_match") & F.lit(before.n == after.n)).alias("rows_match"),
+        (F.col("files_after") < F.col("files_before")).alias("fewer_files"),
+        F.lit(abs((before.amount or 0) - (after.amount or 0)) < 1e-6).alias("sums_match"),
     )
 
 
+@query
+def compact_bins(spark, sf_dir):
+    """Small files are packed into bins by size; files of the target size stay, and a second run rewrites nothing."""
+    from .operators.layout import compact, table_files, write_events
+
+    fact = event_table(spark, sf_dir)
+    path = work_path(spark, "bins")
+    part = F.abs(F.xxhash64("eventId")) % 4
+    for k in range(4):
+        write_events(fact.where(part == k), path, mode="append")
+    # The largest quarter of the files counts as having the target size.
+    target = table_files(spark, path).agg(F.percentile("length", F.lit(0.75)).cast("bigint")).first()[0]
+    large = {r.path for r in table_files(spark, path).where(F.col("length") >= target).collect()}
+    first = compact(spark, path, target_file_bytes=target).first()
+    kept = {r.path for r in table_files(spark, path).collect()}
+    again = compact(spark, path, target_file_bytes=1).first()
+    t = read_events(spark, path)
+    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("eventId").alias("n_ids"), F.sum("txn_amount").alias("amount")).select(
+        "*", F.lit(first.rows_match and first.files_after < first.files_before).alias("packed"), F.lit(large <= kept).alias("large_files_stay"),
+        F.lit(again.files_before).cast("bigint").alias("files_rewritten_again"))
+
+
 @query
 def retention_expired(spark, sf_dir):
     """Day partitions older than 20 days before 2024-01-31."""
@@ -878,10 +907,12 @@ def cube_feature_rollup(spark, sf_dir):
 @query
 def cube_raw_pruned(spark, sf_dir):
     """C11 + F2 on the stored event table: the raw fallback of the last 7 days
-    reads only processing-day partitions that can hold them (slack 1 day
-    before, 2 after: the fixture's arrival gap is -1 h to 35 h)."""
-    _, stored = _written_events(spark, sf_dir)
-    return window_stats(stored, ACTIVITY_CUBE, AS_OF, 90, max_raw_days=7, proc_slack=(1, 2))
+    reads only the processing-day partitions that hold them, by an arrival index
+    built from the table."""
+    path, stored = _written_events(spark, sf_dir)
+    index = ArrivalIndex(spark, path)
+    index.build(stored)
+    return window_stats(stored, ACTIVITY_CUBE, AS_OF, 90, max_raw_days=7, arrivals=index)
 
 
 @query
@@ -956,7 +987,7 @@ def stream_pending_refresh(spark, sf_dir):
 def retention_apply(spark, sf_dir):
     """T2 drop: day partitions older than 20 days before 2024-01-31 are
     deleted; the remaining partitions are read back per day."""
-    from .operators.layout import apply_retention, read_events
+    from .operators.layout import apply_retention
 
     path, _ = _written_events(spark, sf_dir)
     apply_retention(spark, path, "2024-01-31", 20, dry_run=False)
@@ -993,7 +1024,7 @@ def backfill_mixed_headers(spark, sf_dir):
     target = work_path(spark, "flat_table")
     declared = {"eventId": "String", "eventType": "String", "time": "UInt64", "timeInserted": "UInt64", "txn_amount": "Float64", "score": "Int32", "risk": "Float64"}
     backfill_files(spark, root, declared, target, work_path(spark, "flat_ledger"))
-    t = spark.read.option("mergeSchema", "true").parquet(target)
+    t = read_events(spark, target)
     return t.select("eventId", "eventType", "txn_amount", "score", "risk", F.unix_millis("eventTime").alias("event_ms"))
 
 
@@ -1009,7 +1040,7 @@ def backfill_corrupt_export(spark, sf_dir):
     target, ledger = work_path(spark, "bad_table"), work_path(spark, "bad_ledger")
     declared = {"eventId": "String", "eventType": "String", "time": "UInt64", "timeInserted": "UInt64", "txn_amount": "Float64", "score": "Int32", "risk": "Float64"}
     backfill_files(spark, root, declared, target, ledger)
-    held = spark.read.option("mergeSchema", "true").parquet(target).groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("table_rows"))
+    held = read_events(spark, target).groupBy(F.col("_source_file").alias("unit")).agg(F.count(F.lit(1)).alias("table_rows"))
     return latest_state(read_ledger(spark, ledger)).join(held, "unit", "left").select(
         F.regexp_extract("unit", "part[0-9]", 0).alias("part"), "state", "rows", F.coalesce("table_rows", F.lit(0)).alias("table_rows"))
 
@@ -1060,7 +1091,7 @@ def stream_restart_new_checkpoint(spark, sf_dir):
     table = work_path(spark, "restart_table")
     for k in range(2):
         _ingest(spark, msgs.where(half == k), table)
-    t = spark.read.option("mergeSchema", "true").parquet(table)
+    t = read_events(spark, table)
     return t.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"))
 
 
@@ -1147,3 +1178,181 @@ def cube_null_segment(spark, sf_dir):
     cube = Cube("by_country", Dimension("country", "country", type="column", tenant="acme"), ("txn_amount",), ("count", "sum"), tenant="acme")
     states = build_states(fact, cube).groupBy("segment_value").agg(F.sum("n_rows").alias("n_rows"))
     return exact.join(states, exact["country"].eqNullSafe(states["segment_value"])).select("country", "n", "p50", "p99", "n_rows")
+
+
+# ---- late rows: the arrival index -------------------------------------------------
+def _late_table(spark, fact: DataFrame, late: F.Column) -> tuple[str, ArrivalIndex]:
+    """The event table by two appends: the rows that are not late, then those that are, 30 days later than they were."""
+    from .operators.store import append_live
+
+    table = work_path(spark, "late_table")
+    append_live(fact.where(~late), table)
+    append_live(fact.where(late).withColumn("processingTime", F.col("processingTime") + F.make_dt_interval(days=F.lit(30))), table)
+    return table, ArrivalIndex(spark, table)
+
+
+@query
+def cube_index_pruned(spark, sf_dir):
+    """F2 + C11: raw days of a table some of whose rows came 30 days late; the arrival index names exactly the partitions
+    that hold the window, so the answer is the unpruned one."""
+    table, index = _late_table(spark, event_table(spark, sf_dir), F.col("eventId").cast("bigint") % 97 == 0)
+    return window_stats(read_events(spark, table), ACTIVITY_CUBE, AS_OF, 30, arrivals=index)
+
+
+def _stale_rollup(spark, sf_dir) -> tuple[DataFrame, RollupTable]:
+    """A rollup refreshed before late rows of 1 to 10 January arrived."""
+    from .operators.store import append_live
+
+    fact = event_table(spark, sf_dir)
+    late = (F.col("eventId").cast("bigint") % 5 == 0) & (F.col("eventTime") < F.lit(dt.datetime(2024, 1, 11)))
+    table = work_path(spark, "stale_table")
+    append_live(fact.where(~late), table)
+    rollup = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_stale"), ArrivalIndex(spark, table))
+    rollup.refresh_stale(read_events(spark, table))
+    append_live(fact.where(late), table)
+    return read_events(spark, table), rollup
+
+
+@query
+def cube_stale_day(spark, sf_dir):
+    """Stored days whose rows changed since their refresh are taken from the raw table; the answer is complete."""
+    events, rollup = _stale_rollup(spark, sf_dir)
+    return rollup.stats(events, AS_OF, 30)
+
+
+@query
+def cube_stale_partial(spark, sf_dir):
+    """C10 + C9: without the raw table stale days are not covered, and the answer says so."""
+    _, rollup = _stale_rollup(spark, sf_dir)
+    return rollup.stats(None, AS_OF, 30)
+
+
+@query
+def cube_stale_refresh(spark, sf_dir):
+    """C5/C6 by the arrival index: exactly the stale days are refreshed, and the rollup serves the window alone again."""
+    events, rollup = _stale_rollup(spark, sf_dir)
+    refreshed = rollup.refresh_stale(events)
+    return rollup.stats(events, AS_OF, 30).withColumn("n_refreshed", F.lit(len(refreshed)).cast("bigint"))
+
+
+@query
+def cube_rebuild_null_time(spark, sf_dir):
+    """C13 + R6: a rebuild of a table with rows whose event time is NULL; they belong to no day."""
+    fact = event_table(spark, sf_dir)
+    fact = fact.withColumn("eventTime", F.when(F.col("eventId").cast("bigint") % 41 != 0, F.col("eventTime")))
+    table = RollupTable(spark, ACTIVITY_CUBE, work_path(spark, "rollup_null_time"))
+    table.refresh(fact, _days(fact))
+    new_cube = Cube("activity_cube", BUYER, ACTIVITY_CUBE.features, EXACT, tenant="acme")
+    fresh = table.rebuild(fact, new_cube)
+    return window_stats(fact, new_cube, AS_OF, 30, rollup=fresh.states(), rollup_days=fresh.active_days())
+
+
+@query
+def cube_rebuild_states(spark, sf_dir):
+    """Old and new daily states side by side after the dimension changed, over all days of the table."""
+    fact = event_table(spark, sf_dir)
+    table = _stored(spark, fact, ACTIVITY_CUBE, _days(fact))
+    fresh = table.rebuild(fact, Cube("activity_cube", BUYER, ACTIVITY_CUBE.features, EXACT, tenant="acme"))
+    columns = ["stat_date", "segment_value", "n_rows", F.col("txn_amount__cnt").alias("n_amount"), F.col("txn_amount__sum_val").alias("amount")]
+    return table.states().select(F.lit("old").alias("definition"), *columns).unionByName(
+        fresh.states().select(F.lit("new").alias("definition"), *columns))
+
+
+# ---- the schema log ---------------------------------------------------------------
+@query
+def schema_log_evolve(spark, sf_dir):
+    """The versions of the event table's schema as its writers widened it, with the values of each column: a
+    column that comes later, one that comes last, and one whose type changes to one that doesn't fit."""
+    from .operators.layout import write_events
+    from .operators.schema_log import schema_history
+
+    fact = event_table(spark, sf_dir)
+    part = F.col("eventId").cast("bigint") % 4
+    table = work_path(spark, "schema_log")
+    write_events(fact.where(part == 0).drop("score"), table)
+    write_events(fact.where(part == 1), table, mode="append")
+    write_events(fact.where(part == 2).withColumn("risk", F.col("score") / 100.0), table, mode="append")
+    write_events(fact.where(part == 3).withColumn("score", F.concat(F.lit("s"), "score")), table, mode="append")
+    t = read_events(spark, table)
+    watched = ["eventId", "txn_amount", "score", "risk", "score__string"]
+    filled = t.agg(*[F.count(c).alias(c) for c in watched]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in watched])))
+    return filled.join(schema_history(spark, table), "column").select("column", "type", "version", "n_values")
+
+
+# ---- day backfill by a key index ----------------------------------------------------
+@query
+def backfill_key_index(spark, sf_dir):
+    """B2 + D1: the history in one run, then day by day for the last five, each run reading its day and the key index (which
+    is compacted once); later versions redo earlier days; the table equals a backfill from scratch."""
+    from .operators.backfill import BackfillSpec, backfill_days
+    from .operators.key_index import KeyIndex
+
+    src = _src(spark, sf_dir)
+    days = _proc_days(src)
+    table, ledger = work_path(spark, "by_index"), work_path(spark, "by_index_ledger")
+    index = KeyIndex(spark, work_path(spark, "key_index"), buckets=8)
+    for part in (days[:-5], *([d] for d in days[-5:])):
+        backfill_days(spark, src, part, table, ledger, BackfillSpec(), index=index)
+        if part == [days[-3]]:
+            index.compact()
+    return read_events(spark, table).groupBy("processing_day").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("eventId").alias("n_ids"), F.sum("txn_amount").alias("amount"))
+
+
+@query
+def backfill_tie(spark, sf_dir):
+    """D1 + B2 over the whole source with tied rows: two rows that share key and version and differ in one value leave the
+    greater one."""
+    from .operators.backfill import BackfillSpec, backfill_days
+
+    src = _src(spark, sf_dir)
+    tied = src.unionByName(src.withColumn("score", F.col("score") + 1))
+    table = work_path(spark, "tied")
+    backfill_days(spark, tied, _proc_days(src), table, work_path(spark, "tied_ledger"), BackfillSpec())
+    return read_events(spark, table).select("eventId", F.unix_millis("processingTime").alias("proc_ms"), "score")
+
+
+# ---- reconciliation by values --------------------------------------------------------
+@query
+def reconcile_values(spark, sf_dir):
+    """T6 value level: a backfilled table with a changed value, a lost row and a doubled row in every few hundred; the hash
+    tree finds exactly these."""
+    from .operators.dedup import keep_last
+    from .operators.reconcile import reconcile_values as rv
+
+    src = keep_last(_src(spark, sf_dir), KEYS, ["timeInserted"])
+    path = work_path(spark, "migrated")
+    k = F.col("eventId").cast("bigint") % 500
+    wrong = src.withColumn("txn_amount", F.when(k == 3, F.coalesce("txn_amount", F.lit(0.0)) + 1).otherwise(F.col("txn_amount")))
+    wrong.where(k != 7).unionByName(src.where(k == 11)).write.parquet(path)
+    day = lambda c: F.to_date(F.timestamp_millis(c))
+    values = ["timeInserted", "dv_isDetection", "origin_id", "origin_category", "txn_amount"]
+    return rv(src, day("timeInserted"), spark.read.parquet(path), day("timeInserted"), KEYS, values).select(
+        "day", "eventId", "source_n", "target_n", "status", "changed")
+
+
+# ---- exact measures from states ----------------------------------------------------
+@query
+def cube_bitmap_distinct(spark, sf_dir):
+    """M8: exact distinct counts over 90 days from daily bitmaps, refreshed in two overlapping runs."""
+    from .plans.distinct import BitmapRollup
+
+    fact = event_table(spark, sf_dir)
+    cube = Cube("activity_bits", ACTIVITY, ("txn_amount", "score", "userId"), ("distinct_count",), tenant="acme")
+    table = BitmapRollup(spark, cube, work_path(spark, "bitmaps"))
+    days = _days(fact)
+    table.refresh(fact, days[:20])
+    table.refresh(fact, days[15:])
+    return table.distinct([AS_OF - dt.timedelta(days=k) for k in range(1, 91)])
+
+
+@query
+def cube_guided_percentiles(spark, sf_dir):
+    """M7: exact percentiles of a window, from the bands that the stored sketches give."""
+    from .plans.percentiles import window_percentiles
+
+    fact = event_table(spark, sf_dir)
+    cube = Cube("activity_bands", ACTIVITY, ("txn_amount", "score"), ("count", "p50", "p90", "p95", "p99"), tenant="acme")
+    table = _stored(spark, fact, cube, JAN)
+    return window_percentiles(fact, cube, table.states(), JAN).select("feature", "segment_value", "measure", "n", "value")

@@ -29,6 +29,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.arrivals import LIVE, ArrivalIndex
+from ..operators.layout import read_events
 from ..operators.resolve import SchemaPlan, parse_messages, plan_from_meta, quarantine, resolve
 from ..operators.store import append_live
 from ..session import path_exists
@@ -114,7 +116,7 @@ def batch_committed(spark: SparkSession, path: str, tag: str, days: list | None
     With ``days`` only these processing days are probed; min/max stats on ``_ingest_batch`` skip other files."""
     if not path_exists(spark, path):
         return False
-    table = spark.read.option("mergeSchema", "true").parquet(path)
+    table = read_events(spark, path)
     if "_ingest_batch" not in table.columns:
         return False
     if days is not None:
@@ -166,14 +168,18 @@ def start_ingest(
             out, rejected = resolve_batch(batch, plan, tag)
             if not batch_committed(spark, quarantine_path(table_path), tag):
                 rejected.write.mode("append").parquet(quarantine_path(table_path))
-            days = [r[0] for r in out.select("processing_day").distinct().collect()]  # a micro-batch spans few days
-            if days and not batch_committed(spark, table_path, tag, days):
-                append_live(out, table_path)
+            # One pass tells the days; a micro-batch spans few.
+            counts = out.groupBy("processing_day", F.to_date("eventTime").alias("event_day")).agg(F.count(F.lit(1)).alias("n_rows")).collect()
+            days = list({r.processing_day for r in counts})
+            if days and batch_committed(spark, table_path, tag, days):
+                ArrivalIndex(spark, table_path).mark(tag, [LIVE])
+            elif days:
+                append_live(out, table_path, tag, spark.createDataFrame(counts, "processing_day date, event_day date, n_rows bigint"))
             stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
             # Event days this batch touched (late rows included), for refresh_pending
-            out.where("eventTime IS NOT NULL").select(F.to_date("eventTime").alias("stat_date")).distinct().select(
-                F.lit(tag).alias("batch"), "stat_date", F.lit(stamp).alias("arrived_at")
-            ).coalesce(1).write.mode("append").parquet(affected_path(table_path))
+            touched = sorted({r.event_day for r in counts if r.event_day is not None})
+            spark.createDataFrame([(tag, d, stamp) for d in touched], "batch string, stat_date date, arrived_at timestamp") \
+                .coalesce(1).write.mode("append").parquet(affected_path(table_path))
         finally:
             batch.unpersist()
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

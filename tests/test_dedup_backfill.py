@@ -82,10 +82,83 @@ def test_stitch_slices_equals_wide(spark):
     assert _sorted(st, cols) == _sorted(wide, cols)
 
 
-def test_version_slack_matches_exact_when_wide_enough(spark):
-    from featurestats.operators.backfill import BackfillSpec, day_rows
+def _backfilled(spark, src, parts, index=None):
+    from featurestats.operators.backfill import BackfillSpec, backfill_days
+    from featurestats.operators.layout import read_events
+
+    table, ledger = work_path(spark, "t_bf"), work_path(spark, "t_bf_ledger")
+    for days in parts:
+        backfill_days(spark, src, days, table, ledger, BackfillSpec(), index=index)
+    t = read_events(spark, table)
+    return sorted((tuple(r) for r in t.select(*sorted(t.columns)).collect()), key=repr)
+
+
+def _days_of(src):
+    return sorted(r[0] for r in src.select(F.date_format(F.timestamp_millis("timeInserted"), "yyyy-MM-dd")).distinct().collect())
+
+
+def test_key_index_equals_a_backfill_from_scratch(spark):
+    """Days in any split, NULL keys, versions on later days, tied rows, a compaction in between, a day added twice."""
+    from featurestats.operators.key_index import KeyIndex
+
+    src = source_table(spark, SF_SMALL)
+    src = src.withColumn("pk", F.when(F.col("eventId").cast("int") % 9 != 0, F.col("pk")))
+    src = src.unionByName(src.where("eventId = '7'").withColumn("score", F.lit(999)))
+    path = work_path(spark, "t_index_src")
+    src.write.parquet(path)
+    src = spark.read.parquet(path)
+    days = _days_of(src)
+    scratch = _backfilled(spark, src, [days])
+    for parts in ([days[:20], *([d] for d in days[20:])], [days[10:], days[:10]]):
+        index = KeyIndex(spark, work_path(spark, "t_index"), buckets=4)
+        assert _backfilled(spark, src, parts[:1], index) != scratch
+        index.compact()
+        index._append(index.rows().limit(5), index._generation())  # as a run that died before its ledger row
+        assert _backfilled(spark, src, parts, KeyIndex(spark, index.path, buckets=4)) == scratch
+
+
+def test_key_index_side_is_not_shuffled(spark):
+    from featurestats.operators.key_index import KEY, KeyIndex
+
+    src = source_table(spark, SF_SMALL)
+    index = KeyIndex(spark, work_path(spark, "t_plan"), buckets=4)
+    days = _days_of(src)
+    assert index.add(src, days[:10]) == days[:10] and index.add(src, days[:12]) == days[10:12]
+    winners = index.winners(days[11:12])
+    plan = winners._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    own = src.where("timeInserted > 0").selectExpr("to_json(struct(pk, eventId, time, eventType)) AS " + KEY)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = own.join(winners, KEY)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined.count("Exchange hashpartitioning") == 1  # the day's side
+
+
+def test_key_index_over_several_sessions(spark):
+    """The catalog entry belongs to a session, the files and the ledger do not."""
+    from featurestats.operators.key_index import KeyIndex
 
     src = source_table(spark, SF_SMALL)
-    exact = _sorted(day_rows(src, ["2024-01-10"], BackfillSpec()), ["eventId", "timeInserted"])
-    slack = _sorted(day_rows(src, ["2024-01-10"], BackfillSpec(version_slack_days=2)), ["eventId", "timeInserted"])
-    assert exact == slack and len(exact) > 0
+    index = KeyIndex(spark, work_path(spark, "t_sessions"), buckets=4)
+    assert index.rows() is None and index.days() == set()
+    days = _days_of(src)
+    index.add(src, days[:3])
+    spark.sql(f"DROP TABLE {index._table(0)}")
+    again = KeyIndex(spark, index.path, buckets=4)
+    n = again.rows().count()
+    assert again.add(src, days[:4]) == [days[3]] and again.rows().count() > n and again.days() == set(days[:4])
+
+
+def test_ties_go_to_the_greatest_row(spark):
+    from featurestats.operators.dedup import keep_last_two_phase
+
+    rows = [(1, 5, "a", None), (1, 5, "b", 1), (1, 4, "z", 9), (2, 5, "x", 1), (None, 1, "p", 1), (None, 1, "p", 2), (3, None, "q", 1)]
+    df = spark.createDataFrame(rows, "k int, v int, a string, b int")
+    assert sorted(map(tuple, keep_last_two_phase(df, ["k"], ["v"]).collect()), key=repr) == sorted(
+        [(1, 5, "b", 1), (2, 5, "x", 1), (None, 1, "p", 2), (3, None, "q", 1)], key=repr)
+    plain = df.where("k = 2 OR k = 3")
+    plan = keep_last_two_phase(plain, ["k"], ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # nothing is tied: one wide join
+    assert keep_last_two_phase(df.limit(0), ["k"], ["v"]).count() == 0

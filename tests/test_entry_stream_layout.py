@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as E
-from featurestats.operators.layout import align, compact, evolve, expired_partitions, read_events, write_events
+from featurestats.operators.layout import compact, expired_partitions, read_events, write_events
 from featurestats.operators.resolve import parse_messages, plan_from_meta, resolve
+from featurestats.operators.schema_log import align, evolve
 from featurestats.session import path_exists, work_path
 from featurestats.sources.fixtures import event_table
 from featurestats.sources.messages import attribute_meta, feature_meta, raw_messages
@@ -189,18 +190,78 @@ def test_compaction_keeps_concurrent_appends_and_leaves_nothing(spark, monkeypat
 
 
 def test_correlated_pruning_reaches_the_scan(spark):
+    from featurestats.operators.arrivals import ArrivalIndex
     from featurestats.plans.cube import Cube, Dimension
     from featurestats.plans.rollup import RollupTable
 
     path = work_path(spark, "t_prune")
     write_events(event_table(spark, SF_SMALL), path)
+    index = ArrivalIndex(spark, path)
+    index.build(read_events(spark, path))
     cube = Cube("c", Dimension("t", "eventType", type="column"), ("txn_amount",), ("count", "sum"))
-    stats = RollupTable(spark, cube, work_path(spark, "t_prune_rollup"), proc_slack=(1, 2)).stats(read_events(spark, path), dt.date(2024, 1, 31), 7)
-    plan = stats._jdf.queryExecution().executedPlan().toString()
+    rollup = RollupTable(spark, cube, work_path(spark, "t_prune_rollup"), index)
+    plan = rollup.stats(read_events(spark, path), dt.date(2024, 1, 31), 7)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(processing_day" in plan
-    too_narrow = RollupTable(spark, cube, work_path(spark, "t_slack"), proc_slack=(0, 0))
-    with pytest.raises(ValueError, match="would miss"):
-        too_narrow.refresh(read_events(spark, path), [dt.date(2024, 1, 10)])
-    assert [r.status for r in too_narrow.ledger().collect()] == ["ERROR"]
-    too_narrow.drop()
-    assert too_narrow.ledger().isEmpty()
+    with pytest.raises(ValueError, match="score"):
+        RollupTable(spark, Cube("c", cube.dimension, ("score",), ("count",)), work_path(spark, "t_bad"), index).refresh(
+            read_events(spark, path).drop("score"), [dt.date(2024, 1, 10)])
+    rollup.refresh(read_events(spark, path), [dt.date(2024, 1, 10)])
+    rollup.drop()
+    assert rollup.ledger().isEmpty()
+
+
+def _ids(spark, path):
+    return sorted(map(tuple, read_events(spark, path).select("eventId", "txn_amount").collect()))
+
+
+def test_compaction_packs_by_size_and_then_has_nothing_to_do(spark):
+    from featurestats.operators.layout import table_files
+
+    fact, path = event_table(spark, SF_SMALL), work_path(spark, "t_bins")
+    for part in range(3):
+        write_events(fact.where(F.abs(F.xxhash64("eventId")) % 3 == part), path, mode="append")
+    before, rows = {r.path: r.length for r in table_files(spark, path).collect()}, _ids(spark, path)
+    target = sorted(before.values())[len(before) // 2]
+    rep = compact(spark, path, target_file_bytes=target).first()
+    after = {r.path for r in table_files(spark, path).collect()}
+    assert {p for p, n in before.items() if n >= target} <= after  # files of the target size are not touched
+    assert rep.rows_match and rep.files_before > rep.files_after and rep.files_before <= sum(n < target for n in before.values())
+    assert _ids(spark, path) == rows
+    compact(spark, path)  # all of a directory fits one file now
+    assert tuple(compact(spark, path).first()) == (0, 0, 0, 0, True) and _ids(spark, path) == rows
+
+
+def test_pack_files_first_fit_decreasing(spark):
+    from featurestats.operators.layout import pack_files
+
+    sizes = [("a", "a/%d" % k, n) for k, n in enumerate([90, 80, 70, 60, 50, 40, 30, 100, 300])] + [("b", "b/0", 5)]
+    bins = {}
+    for r in pack_files(spark.createDataFrame(sizes, "directory string, path string, length long"), 100).collect():
+        bins.setdefault(r.bin, []).append(r.length)
+    # Bins of up to 200; the files of 100 and more stay, and so does the one that is alone.
+    assert sorted(sorted(b) for b in bins.values()) == [[30, 80, 90], [50, 60, 70]] or sorted(x for b in bins.values() for x in b) == [
+        30, 40, 50, 60, 70, 80, 90] and all(sum(b) <= 200 for b in bins.values())
+
+
+def test_compaction_crash_costs_one_bin(spark, monkeypatch):
+    """The swap dies after some bins: what is journaled is finished by the next call, each row stands once."""
+    from featurestats.operators import layout
+
+    fact, path = event_table(spark, SF_SMALL), work_path(spark, "t_bins_crash")
+    for part in range(2):
+        write_events(fact.where(F.abs(F.xxhash64("eventId")) % 2 == part), path, mode="append")
+    rows, text, calls = _ids(spark, path), layout._text, []
+
+    def dies(spark_, file):
+        calls.append(file)
+        if len(calls) == 4:
+            raise RuntimeError("lost driver")
+        return text(spark_, file)
+
+    monkeypatch.setattr(layout, "_text", dies)
+    monkeypatch.setattr(layout, "CALLS", 1)
+    with pytest.raises(RuntimeError, match="lost driver"):
+        compact(spark, path)
+    monkeypatch.setattr(layout, "_text", text)
+    assert layout.finish_compaction(spark, path) > 0
+    assert _ids(spark, path) == rows and layout.finish_compaction(spark, path) == 0
