@@ -104,7 +104,11 @@ def upgrade_alerts(log: DataFrame, per_day: int = 5, path: str = "ADHOC_HEAVY")
 def estimate_join(audit: DataFrame, log: DataFrame) -> DataFrame:
     """Audit actuals beside the logged estimates (left join on query id)."""
     a = audit.select(F.col("queryId").alias("query_id"), "scanBytes", "cpuCostNs", "memCostBytes")
-    return a.join(log.select("query_id", "l1_estimate_bytes", "l2_estimate_bytes", "query_type"), "query_id", "left").select(
+    return estimate_columns(a.join(log.select("query_id", "l1_estimate_bytes", "l2_estimate_bytes", "query_type"), "query_id", "left"))
+
+
+def estimate_columns(joined: DataFrame) -> DataFrame:
+    return joined.select(
         "query_id", "query_type", "scanBytes", "l1_estimate_bytes",
         F.try_divide(F.col("l1_estimate_bytes").cast("double"), F.col("scanBytes")).alias("l1_over_actual"),
     )

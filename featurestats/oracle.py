@@ -646,3 +646,7 @@ SQL["cube_guided_percentiles"] = (
     "  quantile_cont(x, 0.95) AS p95, quantile_cont(x, 0.99) AS p99 FROM long GROUP BY ALL) USING (feature, segment_value),\n"
     "  (VALUES ('p50'), ('p90'), ('p95'), ('p99')) q(measure)\n"
     "WHERE x IS NOT NULL GROUP BY feature, segment_value, q.measure")
+SQL["cube_dyadic_windows"] = "\nUNION ALL\n".join(f"({_ship_window(n)})" for n in (180, 730))
+SQL["cube_rebuild_coarser"] = SQL["cube_window_stats"]
+SQL["stream_alerts"] = f"SELECT *, CAST(1 AS BIGINT) AS late_rows FROM ({SQL['audit_frequency_alerts']}\n)"
+SQL["stream_estimate_join"] = SQL["audit_estimate_join"]

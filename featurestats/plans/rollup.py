@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.measures import state_exprs, state_name, states_for
+from ..functions.measures import merge_exprs, state_exprs, state_name, states_for
 from ..operators.arrivals import ArrivalIndex, date_in_days, day_ranges
-from ..session import hadoop_path, path_exists
+from ..session import hadoop_path, path_exists, work_path
 from .cube import Cube, validate
 
 LEDGER_SCHEMA = T.StructType(
@@ -299,15 +299,24 @@ class RollupTable:
     def rebuild(self, fact: DataFrame, new_cube: Cube) -> "RollupTable":
         """Apply a definition change into a fresh table (the old one keeps
         serving until callers switch).  Dimension or measure change → every
-        day of every feature is recomputed; added features → only their
+        day of every feature is recomputed, unless the new segments are unions of old ones: then their states are merged
+        and no fact row is read but for that test (``coarser``); added features → only their
         columns are scanned from the fact table and their states joined onto
         the stored ones; removed features → a projection of the stored states."""
         action = plan_rebuild(self.cube, new_cube)
+        if action == "full" and (mapping := self.coarser(fact, new_cube)) is not None:
+            action = "coarser"
         fresh = RollupTable(self.spark, new_cube, f"{self.path.rstrip('/')}__{action}-{uuid.uuid4().hex[:8]}", self.arrivals)
         keys = ["tenant", "stat_date", "segment_value"]
         if action == "full":
             fresh.refresh(fact, self.event_days(fact))
             return fresh
+        if action == "coarser":
+            stale = self.stale_days()
+            self._derive(fresh, mapping, sorted(stale))
+            have = set(self.active_days()) - stale
+            fresh.refresh(fact, [d for d in self.event_days(fact) if d not in have])
+            return fresh
         self.refresh(fact, self.stale_days())  # stored and newly scanned states must see the same rows
         states = self.states()
         keep = [c for c in states.columns if c in keys or c == "n_rows"
@@ -320,13 +329,46 @@ class RollupTable:
                               new_cube.time_col)
             extra = build_states(fact, extra_cube, days, self.arrivals).drop("n_rows")
             out = out.join(extra, keys, "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+        self._store(fresh, out)
+        return fresh
+
+    def coarser(self, fact: DataFrame, new_cube: Cube) -> DataFrame | None:
+        """(segment_value, new_segment) if the new definition only changes the dimension to one whose segment is a function of
+        the old one, with measures and features the stored states have; else None.
+
+        One aggregate over the dimensions' own columns tells: a row for each old segment, with the least and the greatest
+        new one."""
+        old = self.cube
+        fits = set(new_cube.measures) <= set(old.measures) and set(new_cube.features) <= set(old.features) and new_cube.time_col == old.time_col
+        if not fits or new_cube.tenant != old.tenant or not path_exists(self.spark, self.path):
+            return None
+        # NULL is a segment too: it is told from text by its place in the struct.
+        new = F.struct(new_cube.dimension.segment().isNull().alias("none"), new_cube.dimension.segment().alias("s"))
+        pairs = fact.where(F.col(old.time_col).isNotNull()).select(old.dimension.segment().alias("segment_value"), new.alias("n"))
+        pairs = pairs.groupBy("segment_value").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        path = work_path(self.spark, "segments")
+        pairs.write.parquet(path)
+        pairs = self.spark.read.schema(pairs.schema).parquet(path)
+        if not pairs.where(~F.col("low").eqNullSafe(F.col("high"))).isEmpty():
+            return None
+        return pairs.select("segment_value", F.col("low.s").alias("new_segment"))
+
+    def _derive(self, fresh: "RollupTable", mapping: DataFrame, stale) -> None:
+        """States of a coarser dimension, merged from the stored ones but those of stale days."""
+        names, states = states_for(fresh.cube.measures), self.states()
+        states = states.where((F.col("tenant") == F.lit(self.cube.tenant)) & ~date_in_days("stat_date", stale))
+        m = mapping.withColumnRenamed("segment_value", "_old")
+        merged = states.join(m, states["segment_value"].eqNullSafe(m["_old"])).groupBy("tenant", "stat_date", F.col("new_segment").alias("segment_value")).agg(
+            F.sum("n_rows").alias("n_rows"), *[e for f in fresh.cube.features for e in merge_exprs(f, names)])
+        self._store(fresh, merged, stale)
+
+    def _store(self, fresh: "RollupTable", out: DataFrame, without=()) -> None:
+        """Write the states of a rebuilt rollup, and its ledger: the days that are ACTIVE here."""
         out = out.drop("stat_month").withColumn("stat_month", F.date_format("stat_date", "yyyy-MM"))
         out.hint("rebalance", "stat_month").write.mode("overwrite").partitionBy("stat_month").parquet(fresh.path)
-        self.ledger().where(F.col("status") == "ACTIVE").select(
-            F.lit(fresh.ledger_key).alias("rollup"), "stat_date", "status", "n_rows",
-            F.lit(_now()).cast("timestamp").alias("refreshed_at"), "error_message", "token",
+        self.ledger().where(~date_in_days("stat_date", without)).where(F.col("status") == "ACTIVE").select(
+            F.lit(fresh.ledger_key).alias("rollup"), "stat_date", "status", "n_rows", "refreshed_at", "error_message", "token",
         ).repartition(1).write.mode("append").parquet(fresh.ledger_path)
-        return fresh
 
 
 def plan_rebuild(old: Cube, new: Cube) -> str:

@@ -92,24 +92,35 @@ def window_stats(
     if raw_part:
         if fact is None:
             raise ValueError("raw days requested but no fact table given")
-        parts.append(build_states(fact, cube, raw_part, arrivals))
+        parts.append(raw_states(fact, cube, raw_part, arrivals))
     if not parts:
         raise ValueError("empty window")
     states = parts[0]
     for p in parts[1:]:
         states = states.unionByName(p)
     source = "hybrid" if (rollup_part and raw_part) else ("rollup" if rollup_part else "raw")
-    covered = len(rollup_part) + len(raw_part)
-    st_names = states_for(cube.measures)
     # states hold one row per (stat_date, segment) and the rollup and raw parts cover
     # disjoint days, so counting rows counts active days — a single aggregation
     # instead of a distinct-count (which adds an Expand and a second shuffle)
-    aggs = [F.count(F.lit(1)).alias("active_days")]
+    states = states.withColumn("active_days", F.lit(1))
+    return finish_states(states, cube, window_days, None if reference_mode else len(rollup_part) + len(raw_part), source, long_form)
+
+
+def raw_states(fact: DataFrame, cube: Cube, days, arrivals: ArrivalIndex | None) -> DataFrame:
+    """States of raw days (C11)."""
+    return build_states(fact, cube, days, arrivals)
+
+
+def finish_states(states: DataFrame, cube: Cube, window_days: int, covered: int | None, source: str, long_form: bool = True) -> DataFrame:
+    """Merge states (with ``active_days`` each) by segment and finalise them.  ``covered``: days covered for all segments;
+    None: each segment's active days (the reference's rule)."""
+    st_names = states_for(cube.measures)
+    aggs = [F.sum("active_days").alias("active_days")]
     for f in cube.features:
         aggs += merge_exprs(f, st_names)
     merged = states.groupBy("segment_value").agg(*aggs)
 
-    actual = F.col("active_days") if reference_mode else F.lit(covered)
+    actual = F.col("active_days") if covered is None else F.lit(covered)
     meta = [
         F.col("active_days").cast("bigint").alias("active_days"),
         actual.cast("bigint").alias("actual_days"),

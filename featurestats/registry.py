@@ -1356,3 +1356,68 @@ def cube_guided_percentiles(spark, sf_dir):
     cube = Cube("activity_bands", ACTIVITY, ("txn_amount", "score"), ("count", "p50", "p90", "p95", "p99"), tenant="acme")
     table = _stored(spark, fact, cube, JAN)
     return window_percentiles(fact, cube, table.states(), JAN).select("feature", "segment_value", "measure", "n", "value")
+
+
+# ---- long windows, coarser dimensions --------------------------------------------
+@query
+def cube_dyadic_windows(spark, sf_dir):
+    """180- and 730-day windows over lineitem from the dyadic tree of day blocks, after one day was refreshed again."""
+    from .plans.dyadic import DyadicRollup
+    from .sources.tables import read_table
+
+    li = read_table(spark, sf_dir, "lineitem")
+    table = DyadicRollup(spark, SHIPPING_CUBE, work_path(spark, "dyadic"))
+    days = [SHIP_AS_OF - dt.timedelta(days=i) for i in range(1, 731)]
+    table.refresh(li, days)
+    table.refresh(li, [days[100]])
+    return table.stats(None, SHIP_AS_OF, 180).unionByName(table.stats(None, SHIP_AS_OF, 730))
+
+
+@query
+def cube_rebuild_coarser(spark, sf_dir):
+    """A dimension whose segments are unions of the old ones is merged from the stored states."""
+    fact = event_table(spark, sf_dir)
+    by_type = Cube("activity_cube", Dimension("type", "eventType", type="column", tenant="acme"), ACTIVITY_CUBE.features, EXACT, tenant="acme")
+    table = _stored(spark, fact, by_type, _days(fact))
+    return table.rebuild(fact, ACTIVITY_CUBE).stats(None, AS_OF, 30)
+
+
+# ---- audit analytics on streams ----------------------------------------------------
+def _as_stream(spark, parts: list[DataFrame], name: str) -> DataFrame:
+    """The parts as a stream of files, one for each micro-batch."""
+    path = work_path(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+def _halves(df: DataFrame, time_col: str) -> list[DataFrame]:
+    middle = df.agg(F.percentile(F.unix_millis(time_col), F.lit(0.5)).cast("bigint")).first()[0] or 0
+    return [df.where(F.unix_millis(time_col) < middle), df.where(F.unix_millis(time_col) >= middle)]
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """A6 on a stream: the log in two micro-batches, the second of which also brings a row of a window long closed; the
+    alerts are those of the batch query, and the late row is counted apart."""
+    from .streaming.alerts import late_rows, read_alerts, start_alerts
+
+    log = _log(spark, sf_dir)
+    old, new = _halves(log, "created_at")
+    late = log.where("is_retry AND routing_path <> 'ADHOC_HEAVY'").orderBy("created_at", "id").limit(1)
+    path = work_path(spark, "alerts")
+    start_alerts(_as_stream(spark, [old, new.unionByName(late)], "log_stream"), path, work_path(spark, "alerts_ckpt"), trigger={"availableNow": True}).awaitTermination()
+    n_late = late_rows(spark, path).agg(F.coalesce(F.sum("n_late"), F.lit(0)))
+    return read_alerts(spark, path).withColumn("late_rows", F.lit(n_late.first()[0]))
+
+
+@query
+def stream_estimate_join(spark, sf_dir):
+    """A7 on streams: audit and log rows joined within an hour of each other, with watermarks on both sides."""
+    from .streaming.alerts import start_estimates
+
+    audit, log = (_as_stream(spark, _halves(df, c), name) for df, c, name in (
+        (_audit(spark, sf_dir), "timestamp", "audit_stream"), (_log(spark, sf_dir), "created_at", "log_stream")))
+    path = work_path(spark, "estimates")
+    start_estimates(audit, log, path, work_path(spark, "estimates_ckpt"), trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(path)
