@@ -224,7 +224,8 @@ SLACK = 1e-9
 def upper_bound(q_norm, q_dot, gap, norm, hi, least):
     """The largest product that the triangle inequality allows (columns or arrays)."""
     by_gap, by_pivot = (q_norm * q_norm + norm * norm - gap * gap) / 2, q_dot + q_norm * hi
-    return least(by_gap, by_pivot) + SLACK * (q_norm * q_norm + norm * norm + hi * hi) + SLACK
+    bound = least(by_gap, by_pivot) + SLACK * (q_norm * q_norm + norm * norm + hi * hi) + SLACK
+    return -least(-bound, 0 * bound - float(LEAST))  # scores stop at the end of a long, too
 
 
 def compare(work: DataFrame, pivots: dict[int, np.ndarray], top: int) -> DataFrame:
