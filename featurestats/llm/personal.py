@@ -1,7 +1,7 @@
 """Operator 3: personal data by weak supervision.
 
-Candidates are the base matches (email, ip, card, phone), the matches that fail their check, and looser forms (masked
-addresses, numbers within longer runs or without a plus, IPv6).  Five labelers vote on each: yes, no or nothing.
+Candidates are the base matches (email, ip, card, phone), the matches that fail their check, and looser forms (masked and
+spelled-out addresses, numbers within longer runs, without a plus or in national form, IPv6, shortened too).  Five labelers vote on each: yes, no or nothing.
 
 * pattern: the base match holds or fails;
 * gazetteer: known top-level domains, country codes, issuer digits, reserved addresses;
@@ -50,6 +50,9 @@ MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1
 NUMBER = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 GROUPED = re.compile(r"(?<![\w-])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\w-])")
 IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+", re.IGNORECASE | re.ASCII)
+SHORT_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
+NATIONAL = re.compile(r"(?<![\w+.-])\(?0[1-9][0-9]{0,3}\)?(?:[\x20/-][0-9]{2,8}){1,4}(?![\w-])")
 DIGIT = re.compile("[0-9]")
 
 # Gazetteers and context words.
@@ -67,7 +70,7 @@ AGAINST = ("version", "isbn", "order", "invoice", "serial", "part no", "section"
 LABELERS = 5
 CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int,x:array<float>>>"
 ROWS = f"doc_id bigint, found {CANDIDATE}"
-OUT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+OUT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
 
 
 def luhn(digits: str) -> bool:
@@ -114,8 +117,13 @@ def loose_matches(text: str) -> list[tuple[int, int, int]]:
     low = text.lower()
     if any(k in low for k in ("[at]", "(at)")):
         out += [(0, *m.span()) for m in MASKED.finditer(text)]
+    if " at " in low and " dot " in low:
+        out += [(0, *m.span()) for m in SPELLED.finditer(text)]
+    if "::" in text:
+        out += [(1, *m.span()) for m in SHORT_IPV6.finditer(text) if m.group().count(":") < 8]
     if DIGIT.search(text):
         out += [(3, *m.span()) for m in NUMBER.finditer(text)]
+        out += [(3, *m.span()) for m in NATIONAL.finditer(text) if 9 <= len(only_digits(m.group())) <= 12]
         out += [(2, *m.span()) for m in GROUPED.finditer(text) if luhn(only_digits(m.group()))]
         if text.count(":") >= 7:
             out += [(1, *m.span()) for m in IPV6.finditer(text)]
@@ -137,7 +145,8 @@ def votes_of(text: str, kind: int, start: int, end: int, holds: bool | None) ->
         gazetteer = 1 if digits.startswith(ISSUERS) else -1
         shape = 1 if len(digits) in (14, 15, 16) else -1
     else:
-        gazetteer = (1 if digits.startswith(COUNTRY_CODES) else -1) if value[0] == "+" else 0
+        trunk = 1 if digits[0] == "0" and digits[1] != "0" else 0
+        gazetteer = (1 if digits.startswith(COUNTRY_CODES) else -1) if value[0] == "+" else trunk
         shape = 1 if 9 <= len(digits) <= 13 else -1
     before = text[max(0, start - CONTEXT):start].lower()
     context = -1 if any(w in before for w in AGAINST) else 1 if any(w in before for w in FOR[name]) else 0
@@ -274,8 +283,8 @@ def find_personal(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
                         added.append((f["start"], f["kind"], f["end"]))
                         taken.append(added[-1])
                 n = [sum(k == kind for _, k, _ in base) for kind in range(4)]
-                out.append((*n, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(taken), len(added)))
-            return [batch.column(0), *([r[k] for r in out] for k in range(7))]
+                out.append((*n, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(taken), len(added), len(taken)))
+            return [batch.column(0), *([r[k] for r in out] for k in range(8))]
 
         return step
 

@@ -60,3 +60,37 @@ def test_em_finds_the_bad_labeler():
     found = personal.estimate(counts)
     right = [found.table[2, 1, k, 1] for k in range(5)]
     assert abs(found.prior[2] - 0.6) < 0.05 and abs(right[0] - 0.95) < 0.03 and abs(right[4] - 0.5) < 0.06
+
+
+def planted(draw):
+    host = lambda: draw.choice(["example", "mailbox", "uni-koeln"]) + "." + draw.choice(["com", "org", "de"])
+    name, four = (lambda: draw.choice(["anna", "jorge", "li.wei", "k_meier"])), (lambda: f"{draw.randrange(4096, 65536):x}")
+    return {
+        "bracketed": lambda: f"{name()} [at] {host()}", "dotted": lambda: f"{name()}(at){host().replace('.', ' (dot) ')}", "spelled": lambda: f"{name()} at {host().replace('.', ' dot ')}",
+        "ipv6": lambda: ":".join(four() for _ in range(8)), "short ipv6": lambda: f"{four()}:{four()}::{four()}",
+        "brackets": lambda: f"({draw.randrange(200, 999)}) {draw.randrange(200, 999)}-{draw.randrange(1000, 9999)}", "dashes": lambda: f"{draw.randrange(200, 999)}-555-{draw.randrange(1000, 9999)}",
+        "national": lambda: f"0{draw.randrange(30, 999)} {draw.randrange(1000000, 99999999)}", "pairs": lambda: f"0{draw.randrange(1, 8)}" + "".join(f" {draw.randrange(100):02d}" for _ in range(4)),
+        "-version": lambda: f"version {draw.randrange(9)}.{draw.randrange(9)}.{draw.randrange(99)}", "-order": lambda: f"order {draw.randrange(10**5)}-{draw.randrange(999)}",
+        "-time": lambda: f"{draw.randrange(24):02d}:{draw.randrange(60):02d}:{draw.randrange(60):02d}", "-date": lambda: f"2024-0{draw.randrange(1, 9)}-1{draw.randrange(9)}",
+        "-meet": lambda: f"{name()} at {draw.choice(['home', 'noon'])} and so on", "-std": lambda: "std::vector of dot at",
+    }
+
+
+def test_forms_that_no_base_pattern_matches(spark):
+    draw, rows = random.Random(4), []
+    some = "thaner stioner andhe ertion hathe onstion edre inghan".split()
+    for form, make in planted(draw).items():
+        for _ in range(50):
+            before, value = " ".join(draw.choices(some, k=9)) + " ", make()
+            rows.append((form, before + value + " " + " ".join(draw.choices(some, k=6)), len(before), len(before) + len(value)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = personal.find_personal(docs.unionByName(spark.createDataFrame([(10_000 + k, r[1]) for k, r in enumerate(rows)], "doc_id bigint, text string")))
+    got = {r["doc_id"]: r for r in found.collect()}
+    hits, n = {}, {}
+    for k, (form, text, a, b) in enumerate(rows):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[10_000 + k]["spans"].split(",") if s]
+        n[form], hits[form] = n.get(form, 0) + 1, hits.get(form, 0) + any(s < b and a < e for s, e in spans)
+        assert got[10_000 + k]["n_spans"] == len(spans)
+    assert all(hits[f] >= 0.9 * n[f] for f in n if f[0] != "-"), hits
+    assert not any(hits[f] for f in n if f[0] == "-"), hits
+    assert sum(r["n_added"] for i, r in got.items() if i < 10_000) <= 0.01 * docs.count()
