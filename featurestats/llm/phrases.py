@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ SKETCH = 64
 LOWEST = 2
 CHUNK = 1 << 19
 PARTS_PER_TASK = 4
+#: Ranges of ids at most: a task streams through its range, so a longer one takes time, not memory.
+MAX_PARTS = 1 << 16
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 _MULTIPLIER = np.random.default_rng(10).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,21 +171,25 @@ class Stream:
         ]
 
 
-def _part(bounds: list[int]) -> "F.Column":
-    """The number of bounds up to doc_id, by a coarse step and a fine one; 0 for a null id."""
-    step = max(1, int(len(bounds) ** 0.5))
-    array = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs))
-    up_to = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
-    coarse = up_to(array(bounds[::step]))
-    fine = F.array(*(array(bounds[k:k + step]) for k in range(0, len(bounds), step)))
-    return F.when(F.col("doc_id").isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * step + up_to(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+def _places(bounds: list[int]):
+    """A function of ids: twice the number of bounds up to an id, and one more if it is a bound.  The bounds, at most
+    ``MAX_PARTS``, are sent to the tasks as an array."""
+    held = np.array(bounds, np.int64)
+
+    @F.pandas_udf("bigint")
+    def place(ids: pd.Series) -> pd.Series:
+        x = ids.to_numpy(np.int64)
+        k = np.searchsorted(held, x, "right")
+        return pd.Series(2 * k + ((k > 0) & (held[np.maximum(k - 1, 0)] == x)))
+
+    return place
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame | None:
     """(part, follows, doc_id, text), dealt and sorted by part; the last rows of a part, marked ``follows``,
     are those that come next in the order.  None if there are no rows."""
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS_PER_TASK
+    n = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS_PER_TASK, MAX_PARTS)
     known = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("at"), F.min("doc_id").alias("low"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
     if not known["all"]:
         return None
@@ -192,11 +199,13 @@ def with_neighbours(docs: DataFrame) -> DataFrame | None:
     if nulls and known["n"]:
         bounds = [known["low"], *bounds]
     last = len(bounds)
-    part = _part(bounds) if bounds else F.lit(0)
+    # Where a row stands; a null id before all.
+    rows = rows.withColumn("_place", F.when(F.col("doc_id").isNotNull(), _places(bounds)(F.coalesce("doc_id", F.lit(0)))).otherwise(0) if bounds else F.lit(0))
+    part = F.shiftright("_place", 1).cast("int")
     is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == known["low"]
-    opens = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
+    opens = F.col("_place").bitwiseAND(1) == 1
     places = F.array(F.struct(part.alias("part"), F.lit(False).alias("follows")))
-    places = F.when(F.coalesce(opens, F.lit(False)), F.concat(places, F.array(F.struct((part - 1).alias("part"), F.lit(True).alias("follows"))))).otherwise(places)
+    places = F.when(opens, F.concat(places, F.array(F.struct((part - 1).alias("part"), F.lit(True).alias("follows"))))).otherwise(places)
     places = F.when(is_first, F.concat(places, F.array(F.struct(F.lit(last).alias("part"), F.lit(True).alias("follows"))))).otherwise(places)
     dealt = rows.select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "p.follows", "doc_id", "text")
     return dealt.repartition("part").sortWithinPartitions("part", "follows", "doc_id", "text")
