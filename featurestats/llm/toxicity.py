@@ -5,7 +5,8 @@ A document is a bag of sentences.  Each sentence has a logistic score over its w
 labels are used for training: the gradient of the document's log-likelihood reaches each sentence through the noisy-or.
 
 Training rows are drawn by a hash of the id, at most about ``TRAIN_ROWS`` of each label, among labelled rows that aren't
-held out and have at most ``TRAIN_CHARS`` characters; weights restore the labels' shares in the corpus.  The
+held out, long ones like others; weights restore the labels' shares in the corpus.  The driver holds their known words, at
+most about ``TRAIN_WORDS``: were there more, the draw would be smaller.  The
 vocabulary is the ``WORDS`` words and stems whose document frequencies differ most between the labels, by ``MIN_Z`` standard errors
 at least (counted by Spark).
 
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, scan, texts_of
+from .common import chunks, fold, materialize, scan, texts_of
 
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 20_000
+TRAIN_WORDS = 20_000_000
 WORDS = 5000
 MIN_DOCS = 4
 MIN_Z = 3.0
@@ -120,7 +121,8 @@ def known_words(text: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndarra
     return ids[own].astype(np.int32), np.stack([place, place])[own].astype(np.int32), int(filled.sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int = 1, per_label: int = TRAIN_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int = 1, per_label: int = TRAIN_ROWS,
+          max_words: int = TRAIN_WORDS) -> Model | None:
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
              .where(fold("doc_id", fold_mod) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -129,8 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int =
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = F.when(F.col("toxic") == 1, F.lit(int((1 << 30) * min(1, per_label / counts[1])))).otherwise(F.lit(int((1 << 30) * min(1, per_label / counts[0]))))
     drawn = known.where(draw < limit)  # about 2 * per_label rows of 12 bytes
-    texts = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text").between(1, TRAIN_CHARS))
-             .join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]))
+    # Written once: the documents are read for it once, and of rows that repeat an id always the same is learned from.
+    texts = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)
+             .join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("doc_id", "row.*"))
+    texts = materialize(texts, "toxicity-rows")
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -159,8 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int =
 
         return step
 
-    # The known words alone, 8 bytes each, of a bounded number of bounded texts.
-    rows = scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, words binary, places binary, sentences int").collect()
+    # The known words alone, 8 bytes each.
+    found = materialize(scan(texts.select("doc_id", "toxic", "text"), make_bags, "doc_id bigint, toxic int, words binary, places binary, sentences int"), "toxicity-bags")
+    held = found.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
+    if held > max_words:
+        found = found.where(F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_words / held))
+    rows = found.collect()
+    if len({r["toxic"] for r in rows}) < 2:
+        return None
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])
     n_sentences = np.array([r["sentences"] for r in rows])

@@ -43,3 +43,21 @@ def test_edges(spark, edge_docs, no_docs):
         assert toxicity.train(docs, some) is None
     assert {r["score"] for r in toxicity.score(edge_docs, None).collect()} == {0.0}
     assert toxicity.train(no_docs, labels) is None and toxicity.score(no_docs, None).count() == 0
+
+
+def test_long_rows_train_like_others(spark):
+    """One label stands on long rows alone, and long clean documents are left alone; a smaller bound draws fewer rows."""
+    import random
+
+    draw = random.Random(1)
+    words = [a + b for a in "ba lo mi tu re ka".split() for b in "den sta rin gol wes".split()]
+    plain = lambda n: ". ".join(" ".join(draw.choice(words) for _ in range(8)) for _ in range(n))
+    rows = [(k, plain(600 if k % 2 else 3) + (". you vile rotten scum" if k % 4 == 1 else "") + ". " + plain(2)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 1)) for k in range(240)], "doc_id bigint, toxic int")
+    assert max(len(t) for _, t in rows) > 20_000
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    held = [k for k in got if got[k]["held_out"]]
+    assert all(got[k]["predicted"] == int(k % 4 == 1) for k in held) and len(held) > 40
+    few = toxicity.train(docs, labels, max_words=200)
+    assert few is None or len(few.weights) > 2
