@@ -148,6 +148,16 @@ class ArrivalIndex:
             rows = rows.where(F.col("processing_day") < F.lit(processing_hi))
         return sorted(r[0] for r in rows.select("event_day").distinct().collect())
 
+    def events_between(self, processing_lo, processing_hi) -> tuple[list[dt.date], bool]:
+        """The event days of rows that arrived on processing days [lo, hi), and whether some have none.  A write under way
+        whose rows are not counted yet is refused: its event days are unknown."""
+        e = self.entries().where(F.col("processing_day").isNull() | (F.col("processing_day") >= F.lit(processing_lo)) & (F.col("processing_day") < F.lit(processing_hi)))
+        found = e.select("known", "processing_day", "event_day").distinct().collect()
+        if any(not r.known for r in found):
+            raise ValueError("a write under way may add rows to these processing days")
+        mine = [r.event_day for r in found if r.processing_day is not None]
+        return sorted({d for d in mine if d is not None}), None in mine
+
     def tokens(self) -> DataFrame:
         """(event_day, token, n_rows): a day's token changes with every write of its rows; NULL while one is under way."""
         e = self.entries()

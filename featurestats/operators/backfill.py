@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import io
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -125,32 +127,46 @@ def export_files(spark: SparkSession, root: str, marker: str = EXPORT_MARKER, na
     return {name: sorted(files) for name, files in sorted(found.items())}
 
 
+#: Headers that are read at a time.
+HEADERS = 32
+
+
 def header_of(spark: SparkSession, file: str) -> str:
-    """The header line of an export, from the beginning of the file."""
+    """The header of an export, from the beginning of the file: its first line, and more while a quoted name goes on."""
     java = spark.sparkContext._jvm.java
     fs, p = hadoop_path(spark, file)
     stream = fs.open(p)
     try:
         data = java.util.zip.GZIPInputStream(stream) if file.endswith(".gz") else stream
-        return java.io.BufferedReader(java.io.InputStreamReader(data, "UTF-8")).readLine() or ""
+        reader = java.io.BufferedReader(java.io.InputStreamReader(data, "UTF-8"))
+        header = reader.readLine() or ""
+        while header.count('"') % 2 and (line := reader.readLine()) is not None:
+            header += "\n" + line
+        return header
     finally:
         stream.close()
 
 
+def headers_of(spark: SparkSession, files: list[str]) -> list[str]:
+    """The headers of many exports; the calls wait for the store, so many are under way at a time."""
+    with ThreadPoolExecutor(HEADERS) as pool:
+        return list(pool.map(lambda f: header_of(spark, f), files))
+
+
 def read_snapshots(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame | None:
     """S3: gzip CSV exports, header row, every column as text, quoted newlines allowed, tagged with the export's
     name (``_export``).  Exports differ in their columns and in the columns' order, so those with the same header are
     read together under that header, and the groups are united by name.  Each gzip file is one task (not
     splittable).  An unreadable file fails the read."""
     groups: dict[str, list[str]] = {}
-    for unit in files.values():
-        for f in unit:
-            groups.setdefault(header_of(spark, f), []).append(f)
+    every = [f for unit in files.values() for f in unit]
+    for f, header in zip(every, headers_of(spark, every)):
+        groups.setdefault(header, []).append(f)
     out = None
     for header, paths in sorted(groups.items()):
         if not header:
             continue
-        names = next(csv.reader([header]))
+        names = next(csv.reader(io.StringIO(header)))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = (
             spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"')

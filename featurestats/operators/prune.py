@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrivals import ArrivalIndex
+
 
 def _ts(d) -> dt.datetime:
     if isinstance(d, dt.datetime):
@@ -47,21 +49,30 @@ def with_event_partition_bounds(
     slack_days: int = 7,
     period: str = "month",
     proc_is_epoch_ms: bool = False,
+    arrivals: ArrivalIndex | None = None,
 ) -> DataFrame:
     """filter on processing time, plus a predicate on the *event* partition
     column derived from the processing range widened by ``slack_days``.  Event
     time trails processing time by a bounded gap, so no matching row lives
     outside those partitions and Spark prunes the others (``PartitionFilters``
     in the plan).  ``slack_days`` must cover the measured arrival gap
-    (``arrival_gap_profile``)."""
-    parts = event_partition_values(lo, hi, slack_days, period)
+    (``arrival_gap_profile``); with ``arrivals``, an arrival index of the rows, the event days are exactly those that the
+    range holds, and no gap is assumed."""
+    if arrivals is None:
+        parts, part = event_partition_values(lo, hi, slack_days, period), F.col(event_part_col).cast("string")
+        held = part.isin(parts)
+    else:
+        days, undated = arrivals.events_between(_ts(lo).date(), (_ts(hi) - dt.timedelta(microseconds=1)).date() + dt.timedelta(days=1))
+        form = "%Y%m%d" if period == "day" else "%Y%m"
+        held = F.col(event_part_col).cast("string").isin(sorted({d.strftime(form) for d in days}))
+        held = held | F.col(event_part_col).isNull() if undated else held
     if proc_is_epoch_ms:
         lo_ms = int(_ts(lo).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
         hi_ms = int(_ts(hi).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
         proc_pred = (F.col(proc_col) >= lo_ms) & (F.col(proc_col) < hi_ms)
     else:
         proc_pred = time_range(proc_col, lo, hi)
-    return df.where(F.col(event_part_col).cast("string").isin(parts) & proc_pred)
+    return df.where(held & proc_pred)
 
 
 def distinct_periods(df: DataFrame, col: str, fmt: str = "yyyyMM") -> DataFrame:

@@ -650,3 +650,6 @@ SQL["cube_dyadic_windows"] = "\nUNION ALL\n".join(f"({_ship_window(n)})" for n i
 SQL["cube_rebuild_coarser"] = SQL["cube_window_stats"]
 SQL["stream_alerts"] = f"SELECT *, CAST(1 AS BIGINT) AS late_rows FROM ({SQL['audit_frequency_alerts']}\n)"
 SQL["stream_estimate_join"] = SQL["audit_estimate_join"]
+SQL["prune_indexed"] = f"""WITH {SRC}
+SELECT eventType, count(*) AS n FROM (SELECT eventType, timeInserted + CASE WHEN event_id % 97 = 0 THEN 2592000000 ELSE 0 END AS moment FROM src)
+WHERE moment >= epoch_ms(TIMESTAMP '2024-02-05') AND moment < epoch_ms(TIMESTAMP '2024-02-06') GROUP BY eventType"""

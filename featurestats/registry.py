@@ -1421,3 +1421,20 @@ def stream_estimate_join(spark, sf_dir):
     path = work_path(spark, "estimates")
     start_estimates(audit, log, path, work_path(spark, "estimates_ckpt"), trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(path)
+
+
+@query
+def prune_indexed(spark, sf_dir):
+    """F2 without a slack: the event-day partitions of an insert day by an arrival index of the source, some of whose rows came
+    30 days late."""
+    from .operators.prune import with_event_partition_bounds
+
+    src = _src(spark, sf_dir)
+    late = F.when(F.col("eventId").cast("bigint") % 97 == 0, F.lit(30 * 86_400_000)).otherwise(F.lit(0))
+    path = work_path(spark, "late_by_event_day")
+    src.withColumn("timeInserted", F.col("timeInserted") + late).hint("rebalance", "event_day").write.partitionBy("event_day").parquet(path)
+    t = spark.read.parquet(path)
+    index = ArrivalIndex(spark, path)
+    index.build(t.select(F.timestamp_millis("time").alias("eventTime"), F.to_date(F.timestamp_millis("timeInserted")).alias("processing_day")))
+    p = with_event_partition_bounds(t, "2024-02-05", "2024-02-06", proc_col="timeInserted", event_part_col="event_day", period="day", proc_is_epoch_ms=True, arrivals=index)
+    return p.groupBy("eventType").agg(F.count(F.lit(1)).alias("n"))

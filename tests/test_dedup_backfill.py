@@ -162,3 +162,31 @@ def test_ties_go_to_the_greatest_row(spark):
     plan = keep_last_two_phase(plain, ["k"], ["v"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # nothing is tied: one wide join
     assert keep_last_two_phase(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_headers_with_quoted_line_breaks(spark, tmp_path):
+    import gzip
+
+    from featurestats.operators.backfill import read_snapshots
+
+    for k, header in enumerate(('id,"two\nlines",x', 'id,"a ""b""",x', "id,two,x")):
+        with gzip.open(tmp_path / f"e{k}.csv.gz", "wt") as f:
+            f.write(f'{header}\n{k},"p\nq",r\n')
+    df = read_snapshots(spark, {f"e{k}": [f"file://{tmp_path}/e{k}.csv.gz"] for k in range(3)})
+    assert set(df.columns) == {"id", "two\nlines", 'a "b"', "two", "x", "_export"}
+    assert sorted((r["id"], r["x"], r["_export"]) for r in df.collect()) == [(str(k), "r", f"e{k}") for k in range(3)]
+
+
+def test_event_days_of_an_insert_range_by_the_index(spark):
+    from featurestats.operators.arrivals import ArrivalIndex
+    from featurestats.operators.prune import with_event_partition_bounds
+
+    rows = [(1, "2024-01-05", 1), (2, "2023-11-01", 1), (3, None, 1), (4, "2024-01-05", 2)]
+    df = spark.createDataFrame(rows, "id int, d string, p int").select(
+        "id", F.to_timestamp("d").alias("eventTime"), F.regexp_replace("d", "-", "").alias("event_day"),
+        F.expr("timestampadd(DAY, p, TIMESTAMP '2024-01-04 12:00:00')").alias("processingTime"))
+    index = ArrivalIndex(spark, work_path(spark, "t_events_between"))
+    index.build(df.withColumn("processing_day", F.to_date("processingTime")))
+    got = with_event_partition_bounds(df, "2024-01-05", "2024-01-06", period="day", event_part_col="event_day", arrivals=index)
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3]
+    assert sorted(r.id for r in with_event_partition_bounds(df, "2024-01-06", "2024-01-07", period="day", event_part_col="event_day", arrivals=index).collect()) == [4]
