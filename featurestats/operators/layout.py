@@ -84,8 +84,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 REPORT_SCHEMA = "files_before long, files_after long, rows_before long, rows_after long, rows_match boolean"
 FILES = "directory string, path string, length long"
-#: Bins that one job rewrites, and file system calls that run at a time.
-ROUND, CALLS = 256, 16
+#: Bins, and files in them, that one job rewrites (one bin at least); file system calls that run at a time.
+ROUND, ROUND_FILES, CALLS = 256, 20_000, 16
 
 
 def _journals(path: str) -> str:
@@ -171,12 +171,14 @@ def compact(spark: SparkSession, path: str, partition_filter: str | None = None,
     finish_compaction(spark, path)
     schema = read_events(spark, path).schema
     chosen = materialized(pack_files(table_files(spark, path, partition_filter), target_file_bytes), "bins")
-    numbered = chosen.select("bin").distinct().orderBy("bin").collect()  # a name for each bin, not for each file
-    names = [r.bin for r in numbered]
-    totals = [0, 0, 0, 0]
-    for k in range(0, len(names), ROUND):
-        done = _rewrite(spark, path, schema, chosen, names[k:k + ROUND], target_file_bytes)
-        totals = [a + b for a, b in zip(totals, done)]
+    bins = chosen.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # a row for each bin, not for each file
+    totals, names, files = [0, 0, 0, 0], [], 0
+    for k, r in enumerate(bins):
+        names.append(r.bin)
+        files += r.n
+        if len(names) == ROUND or files >= ROUND_FILES or k == len(bins) - 1:
+            done = _rewrite(spark, path, schema, chosen, names, target_file_bytes)
+            totals, names, files = [a + b for a, b in zip(totals, done)], [], 0
     return spark.createDataFrame([(*totals, totals[2] == totals[3])], REPORT_SCHEMA)
 
 
