@@ -175,7 +175,7 @@ class Vocabulary:
 class Coder:
     """Encoder and decoder with a bounded cache; ids travel as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.vocab = Vocabulary(path)

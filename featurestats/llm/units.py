@@ -88,15 +88,19 @@ class UnitCache:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lists = split_units(texts)
-        coded = lists.values.dictionary_encode()
+        coded, of_text = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        del lists
         found = self._look_up(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
+        # 32 bits do: a chunk is bounded, and so is a text.
+        size = (np.fromiter(map(len, found), np.int32, len(found)) // 4).astype(np.int32)
+        start = np.cumsum(size, dtype=np.int32) - size
         word = coded.indices.to_numpy()
         each = size[word]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(start[word] - ends[:-1], each) + np.arange(ends[-1])
-        return np.frombuffer(b"".join(found), "<u4")[at], np.diff(ends[lists.offsets.to_numpy()])
+        ends = np.zeros(len(word) + 1, np.int32)
+        np.cumsum(each, out=ends[1:])
+        at = np.repeat(start[word] - ends[:-1], each)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.frombuffer(b"".join(found), "<u4")[at], np.diff(ends[of_text]).astype(np.int64)
 
     def _look_up(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
@@ -114,7 +118,7 @@ class UnitCache:
         return found
 
 
-def chunks_of(texts: pa.Array, limit: int = 8 << 20):
+def chunks_of(texts: pa.Array, limit: int = 6 << 20):
     """Pieces of an array of texts (nulls as '') of about ``limit`` bytes; a longer text is taken alone."""
     texts = texts.fill_null("")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
