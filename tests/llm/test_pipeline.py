@@ -2,6 +2,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from featurestats.llm.common import materialize
 from featurestats.llm import langid, secrets, simhash, tiling
 
 
@@ -48,5 +49,42 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert "op5_warc_revisit" in entry.oracle_sql() and "pipeline" not in entry.oracle_sql()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in (5, 11, 12, 13)} == {n.split("_")[0] for n in entry.oracle_sql() if n.startswith("op")} and "pipeline" not in entry.oracle_sql()
+
+
+def _through(spark, docs, sf_dir="/root/testdata/sf0.001"):
+    """The rows after each stage, every plan run to its end."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"t-{name}")
+        out.append((name, docs.collect()))
+    return out
+
+
+def test_edges_through_all_stages(spark, edge_docs, no_docs):
+    """Nulls, empty and long texts, ties and repeated rows go through every stage, with defined results."""
+    stages = dict(_through(spark, edge_docs))
+    kept = {r["doc_id"] for r in stages["language"]}
+    assert not kept & {1, 2, 3, 4, 12}  # no letter: no language
+    assert {6, 8, 13} <= kept
+    six = [r for r in stages["near_duplicates"] if r["doc_id"] in (6, 7)]
+    assert {r["doc_id"] for r in six} == {6}  # of equal texts the smallest id stays
+    last = stages["encode"]
+    assert all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in last)
+    assert len(last) == len(stages["secrets"]) and 13 in {r["doc_id"] for r in last}
+    texts = {r["doc_id"]: r["text"] for r in stages["secrets"]}
+    assert texts[13] == "[assign] mail me a@b.co"
+    assert [len(rows) for _, rows in _through(spark, no_docs)] == [0] * len(corpus_pipeline.STAGES)
+
+
+def test_an_added_span_is_redacted_in_the_pipeline(spark):
+    """A vendor key, which no base pattern matches, and a clean document that must stay."""
+    key = "sk_live_" + "aZ3kQ9xT7bLm2VcR8nYp4WsD"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = [(900_001, f"thaner stioner andhe the ertion hathe onstion {key} and edre inghan of the report", "en", "s", 1), (900_002, "the thaner stioner andhe ertion hathe onstion edre of it", "en", "s", 1)]
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    stages = dict(_through(spark, both, "/root/testdata/sf0.01"))
+    texts = {r["doc_id"]: r["text"] for r in stages["secrets"]}
+    assert key not in texts[900_001] and "[assign]" in texts[900_001] and texts[900_002] == more[1][1]
+    assert {900_001, 900_002} <= {r["doc_id"] for r in stages["encode"]}
