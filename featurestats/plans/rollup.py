@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +133,7 @@ class RollupTable:
     cube: Cube
     path: str
     arrivals: ArrivalIndex | None = None  # of the event table: exact pruning, and which stored days are stale
+    _schema: T.StructType | None = field(default=None, init=False, repr=False)
 
     @property
     def ledger_key(self) -> str:
@@ -236,7 +237,9 @@ class RollupTable:
         """Stored daily states; None before the first refresh."""
         if not path_exists(self.spark, self.path):
             return None
-        return self.spark.read.parquet(self.path)
+        if self._schema is None:  # found in a footer once, not at every call
+            self._schema = self.spark.read.parquet(self.path).schema
+        return self.spark.read.schema(self._schema).parquet(self.path)
 
     def stats(self, fact: DataFrame | None, as_of, window_days: int = 30, affected: DataFrame | None = None, **kw) -> DataFrame:
         """C10 serve choice: refreshed (ACTIVE) days that aren't stale from this rollup, the rest of
