@@ -38,11 +38,14 @@ WRITER = {
     "parquet.page.row.count.limit": "2000",  # the grain of the page indexes
 }
 
+#: Texts that are cut and looked up at once: a word costs Python time once for each chunk.
+CHUNK_BYTES = 8 << 20
+
 
 class LibraryCoder:
     """The tokenizers library with a bounded cache of words (exact: see ``units``)."""
 
-    def __init__(self, path: str, end_id: int, cache_words: int = 300_000):
+    def __init__(self, path: str, end_id: int, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -72,7 +75,7 @@ class LibraryCoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id after them; number of ids of each text)."""
         parts = []
-        for chunk in chunks_of(texts):
+        for chunk in chunks_of(texts, CHUNK_BYTES):
             ids, counts = self.words(chunk)
             parts.append((np.insert(ids, np.cumsum(counts), self.end), counts + 1))
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
