@@ -30,6 +30,8 @@ OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id bigint, lang string, source string, n_chars bigint, n_tokens bigint, ids array<int>, round_trip boolean"
 
 
+#: Documents whose texts and ids are held at a time.
+ROWS = 2000
 #: Fragments beyond this many bytes are merged one by one with a heap.
 LONG = 96
 SURE_LETTER = chr(LAST_SURE_LETTER)
@@ -252,7 +254,7 @@ def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
 
         return step
 
-    return scan(docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text"), make, OUT)
+    return scan(docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text"), make, OUT, ROWS)
 
 
 def tokenize_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -262,13 +264,16 @@ def tokenize_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
         coder = worker_coder(vocab_path)
 
         def step(batch: pa.RecordBatch):
-            ids, same = [], []
+            ids, sizes, same = [], [], []
             for text, x in zip(texts_of(batch), coder.encode(batch.column(4))):
-                ids.append(np.frombuffer(x, "<i4"))
+                ids.append(x)
+                sizes.append(len(x) // 4)
                 same.append(coder.decode(x) == text)
-            return [batch.column(0), batch.column(1), batch.column(2), batch.column(3), [len(x) for x in ids], ids, same]
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            return [*batch.columns[:4], sizes, pa.ListArray.from_arrays(pa.array(ends), flat), same]
 
         return step
 
     columns = ["CAST(doc_id AS BIGINT) doc_id", "lang", "source", "CAST(n_chars AS BIGINT) n_chars", "text"]
-    return scan(docs.selectExpr(*columns), make, TOKENS)
+    return scan(docs.selectExpr(*columns), make, TOKENS, ROWS)

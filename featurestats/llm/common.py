@@ -31,21 +31,23 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def scan(df: DataFrame, make: Callable, ddl: str | StructType) -> DataFrame:
+def scan(df: DataFrame, make: Callable, ddl: str | StructType, rows: int | None = None) -> DataFrame:
     """mapInArrow with one state per task.
 
     ``make()`` is called once in each task and returns a function from a
-    RecordBatch to a list of columns (in the order of ``ddl``), or None for no rows."""
+    RecordBatch to a list of columns (in the order of ``ddl``), or None for no rows.
+    ``rows``: it gets so many at a time, where a batch of Spark's would be too much to hold with its results."""
     schema = schema_of(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            columns = step(batch)
-            if columns is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        for whole in batches:
+            for k in range(0, len(whole), rows or len(whole)) if len(whole) else ():
+                columns = step(whole.slice(k, rows) if rows else whole)
+                if columns is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

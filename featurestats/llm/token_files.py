@@ -38,6 +38,8 @@ WRITER = {
     "parquet.page.row.count.limit": "2000",  # the grain of the page indexes
 }
 
+#: Documents whose texts and ids are held at a time.
+ROWS = 3000
 #: Texts that are cut and looked up at once: a word costs Python time once for each chunk.
 CHUNK_BYTES = 8 << 20
 
@@ -108,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, n
     n = n_files or docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = (docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
                .repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "text"))
-    scan(ordered, make, FILE).write.options(**WRITER).mode("overwrite").parquet(path)
+    scan(ordered, make, FILE, ROWS).write.options(**WRITER).mode("overwrite").parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
