@@ -31,7 +31,7 @@ TOKENS = "doc_id bigint, lang string, source string, n_chars bigint, n_tokens bi
 
 
 #: Documents whose texts and ids are held at a time.
-ROWS = 2000
+ROWS = 1000
 #: Fragments beyond this many bytes are merged one by one with a heap.
 LONG = 96
 SURE_LETTER = chr(LAST_SURE_LETTER)
@@ -177,7 +177,7 @@ class Vocabulary:
 class Coder:
     """Encoder and decoder with a bounded cache; ids travel as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 120_000):
         from tokenizers import Tokenizer
 
         self.vocab = Vocabulary(path)
@@ -219,7 +219,7 @@ class Coder:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (nulls as '')."""
-        for chunk in chunks_of(texts):
+        for chunk in chunks_of(texts, 4 << 20):
             if not self.vocab.by_words:
                 yield from map(self.encode_whole, chunk.to_pylist())
                 continue
