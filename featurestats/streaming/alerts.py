@@ -2,8 +2,9 @@
 
 Alerts: each log row counts in the windows of the alerts it may raise.  Counts are kept per (alert, detail, window) as
 state, updated with every micro-batch and dropped once the watermark has passed the window.  Rows that come after that
-are late: they change no alert, and are counted apart.  A hot window is dealt over ``SALTS`` groups, whose counts the
-reader adds up.
+are late: they change no alert, and are counted apart.  A hot window is dealt over ``SALTS`` parts, whose counts the
+reader adds up.  The parts of all windows are dealt over ``BUCKETS`` state groups, so that the number of groups, each of
+which costs a call of Python, doesn't grow with the windows.  Rows without a time are in no window.
 
 Estimates: an interval join of the two streams with watermarks on both sides; an audit row without an estimate comes out,
 with NULLs, once no estimate can come any more.
@@ -11,6 +12,8 @@ with NULLs, once no estimate can come any more.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +25,9 @@ from ..operators.audit import estimate_columns
 
 WEEK, DAY = 7 * 86_400_000, 86_400_000
 SALTS = 16
+BUCKETS = 256
+GROUP = ("alert", "detail", "window_ms", "end_ms", "salt")
+END = GROUP.index("end_ms")
 ARRIVED = "_arrived"
 COUNTS = "alert string, detail string, window_ms bigint, salt int, n bigint, late bigint"
 
@@ -35,23 +41,32 @@ def alert_rows(log: DataFrame, path: str = "ADHOC_HEAVY") -> DataFrame:
     retry = F.when(F.col("is_retry"), kind("retry", F.col("retry_reason"), WEEK))
     upgrade = F.when(F.col("routing_path") == path, kind("upgrade", F.lit(path), DAY))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    return log.select(*[c for c in log.columns if c == ARRIVED], salt, F.inline(F.array_compact(F.array(retry, upgrade))))
+    return log.where("created_at IS NOT NULL").select(*[c for c in log.columns if c == ARRIVED], salt, F.inline(F.array_compact(F.array(retry, upgrade))))
 
 
 def _count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    alert, detail, window_ms, end_ms, salt = key
-    if state.hasTimedOut:
+    """Counts of a bucket's windows.  Its state holds those that are open, as JSON rows of GROUP and n."""
+    closed = state.getCurrentWatermarkMs()
+    held = {tuple(row[:-1]): row[-1] for row in json.loads(state.get[0])} if state.exists else {}
+    new = Counter()
+    if not state.hasTimedOut:
+        for p in parts:
+            new.update(zip(*(p[c].tolist() for c in GROUP)))
+    out = []
+    for group, n in new.items():
+        if group[END] <= closed:
+            out.append((*group, held.get(group, 0), n))
+        else:
+            held[group] = held.get(group, 0) + n
+            out.append((*group, held[group], 0))
+    held = {group: n for group, n in held.items() if group[END] > closed}
+    if held:
+        state.update((json.dumps([[*group, n] for group, n in held.items()]),))
+        state.setTimeoutTimestamp(min(group[END] for group in held))
+    elif state.exists:
         state.remove()
-        return
-    new = sum(len(p) for p in parts)
-    n, late = (state.get[0] if state.exists else 0), 0
-    if end_ms <= state.getCurrentWatermarkMs():
-        late = new
-    else:
-        n += new
-        state.update((n,))
-        state.setTimeoutTimestamp(int(end_ms))
-    yield pd.DataFrame({"alert": [alert], "detail": [detail], "window_ms": [window_ms], "salt": [salt], "n": [n], "late": [late]})
+    if out:
+        yield pd.DataFrame(out, columns=[*GROUP, "n", "late"]).drop(columns="end_ms")
 
 
 def start_alerts(log: DataFrame, path: str, checkpoint: str, delay: str = "1 day", trigger: dict | None = None):
@@ -59,11 +74,12 @@ def start_alerts(log: DataFrame, path: str, checkpoint: str, delay: str = "1 day
     # Late rows must reach the state function, which counts them.  So the column whose old rows Spark drops is the time of
     # arrival, which never lags; the watermark, the lesser of both, is still that of the rows' own time.
     rows = alert_rows(log.withWatermark("created_at", delay).withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, "0 seconds"))
-    counts = rows.groupBy("alert", "detail", "window_ms", "end_ms", "salt").applyInPandasWithState(
-        _count, COUNTS, "n bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64(*GROUP), F.lit(BUCKETS)).cast("int")
+    counts = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _count, COUNTS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     # Two watermarks in one branch are refused where several stateful operators may follow each other; here is one.

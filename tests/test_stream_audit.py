@@ -68,3 +68,24 @@ def test_estimates_join_and_outer_rows_come_once(spark):
     want = estimate_join(spark.createDataFrame(audits, AUDIT), spark.createDataFrame([x for x in logs if x[0] != 5], LOG))
     assert rows_of(got) == rows_of(want) and got.count() == 9
     assert rows_of(got.where("l1_estimate_bytes IS NULL").select("scanBytes")) == [(103,), (105,), (5,)]
+
+
+def test_alert_state_groups_do_not_grow_with_the_windows(spark):
+    from featurestats.streaming.alerts import BUCKETS
+
+    rows = [entry(k, day(k // 6), None, "ADHOC_HEAVY") for k in range(6 * 400)] + [entry(9000, None, "OOM", "ADHOC_HEAVY")]
+    src, path, ckpt = (work_path(spark, n) for n in ("t_many", "t_many_alerts", "t_many_ckpt"))
+    query = start_alerts(as_stream(spark, src, LOG, rows), path, ckpt, trigger=NOW)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= BUCKETS
+    assert rows_of(read_alerts(spark, path)) == rows_of(batch_alerts(spark.createDataFrame(rows, LOG))) and not late_rows(spark, path).collect()
+
+
+def test_halves_part_at_the_median(spark):
+    from featurestats.registry import _halves
+
+    rows = [(k, day(k * k % 37, k % 24)) for k in range(30)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, at timestamp")
+    middle = df.agg(F.percentile(F.unix_millis("at"), F.lit(0.5)).cast("bigint")).first()[0]
+    old, new = _halves(df, "at")
+    assert rows_of(old) == rows_of(df.where(F.unix_millis("at") < middle)) and rows_of(new) == rows_of(df.where(F.unix_millis("at") >= middle))
