@@ -171,8 +171,9 @@ def read_snapshots(spark: SparkSession, files: dict[str, list[str]]) -> DataFram
         df = (
             spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"')
             .option("ignoreCorruptFiles", "false").csv(paths)
-            .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("_folder"),
-                    F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.csv\.gz)?$", 1).alias("_file"))
+            .select("*", F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1).alias("_folder"),
+                    F.substring_index("_metadata.file_path", "/", -1).alias("_file"))
+            .withColumn("_file", F.when(F.endswith("_file", F.lit(".csv.gz")), F.expr("left(_file, length(_file) - 7)")).otherwise(F.col("_file")))
         )
         named = F.when(F.col("_folder").startswith("snapshot="), F.expr("url_decode(replace(substring(_folder, 10), '+', '%2B'))")).otherwise(
             F.expr("url_decode(replace(_file, '+', '%2B'))"))
@@ -304,24 +305,39 @@ def _mark(spark: SparkSession, counts: DataFrame, units: DataFrame, ledger_path:
 
 
 # ---- B1: file backfill -----------------------------------------------------------
-def _stage(spark: SparkSession, files: dict[str, list[str]], typed, failed: list[str]) -> list[str]:
-    """Parse the exports once, into staging tables; a read that fails is halved until the unreadable export stands
-    alone, which goes to ``failed`` with none of its rows kept."""
-    path = work_path(spark, "exports")
+#: Rows of a staged file at most: an export is read by one task, what comes after by many.
+STAGED_ROWS = 250_000
+#: Exports that are read at a time, each by a job of its own, once the read of all has failed.
+READS = 8
+
+
+def _staged(df: DataFrame) -> str:
+    path = work_path(df.sparkSession, "exports")
+    df.write.option("maxRecordsPerFile", STAGED_ROWS).parquet(path)
+    return path
+
+
+def _stage(spark: SparkSession, files: dict[str, list[str]], failed: list[str]) -> list[str]:
+    """The exports' text, read once, in staging tables.  If that read fails, each export is read by itself, so that an
+    unreadable one costs no other a further read; it goes to ``failed`` with none of its rows kept."""
     try:
         text = read_snapshots(spark, files)
-        if text is None:
-            return []
-        typed(text).write.parquet(path)
-        return [path]
+        return [] if text is None else [_staged(text)]
     except (PySparkException, Py4JError) as e:
         if len(files) == 1:
             log.warning("export %s can't be read: %s", next(iter(files)), str(e)[:300])
             failed.extend(files)
             return []
-        names = list(files)
-        half = len(names) // 2
-        return [p for part in (names[:half], names[half:]) for p in _stage(spark, {n: files[n] for n in part}, typed, failed)]
+        with ThreadPoolExecutor(READS) as pool:
+            return [p for part in pool.map(lambda n: _stage(spark, {n: files[n]}, failed), files) for p in part]
+
+
+def _typed(spark: SparkSession, staged: list[str], typed) -> list[str]:
+    """The staged text made typed rows, by many tasks; tables with the same columns together."""
+    same: dict[tuple, list[str]] = {}
+    for path in staged:
+        same.setdefault(tuple(sorted(spark.read.parquet(path).columns)), []).append(path)
+    return [_staged(typed(spark.read.parquet(*paths))) for paths in same.values()]
 
 
 def backfill_files(
@@ -330,7 +346,8 @@ def backfill_files(
 ) -> DataFrame:
     """B1: every pending export; unit = export (file) name, of all exports or of ``names``.
 
-    The pending exports are parsed once into a staging table, which counts, and the final write, are taken from.  An
+    The pending exports are read once into a staging table, as text, which becomes another one of typed rows; counts, and
+    the final write, are taken from that.  An
     export is the unit ``file-<name>`` of the shared table: its rows replace only its own earlier rows, so
     re-running is idempotent and neither other exports nor live rows of the same day are touched.  An export
     that can't be read or yields no rows is recorded FAILED, with no rows, and retried next time."""
@@ -347,7 +364,7 @@ def backfill_files(
         return with_layout_columns(rows)
 
     failed: list[str] = []
-    staged = _stage(spark, {n: files[n] for n in todo}, typed, failed)
+    staged = _typed(spark, _stage(spark, {n: files[n] for n in todo}, failed), typed)
     units = spark.createDataFrame([(u,) for u in todo], "unit string")
     tags = [f"file-{u}" for u in todo]
     if not staged:

@@ -9,7 +9,7 @@ from featurestats.operators.backfill import (
 )
 from featurestats.operators.dedup import duplicate_profile, keep_last, keep_last_two_phase
 from featurestats.operators.prune import latest_state
-from featurestats.session import work_path
+from featurestats.session import hadoop_path, work_path
 from featurestats.sources.snapshots import SNAPSHOT_TYPES, source_table, write_snapshots
 
 from paths import SF_SMALL
@@ -190,3 +190,29 @@ def test_event_days_of_an_insert_range_by_the_index(spark):
     got = with_event_partition_bounds(df, "2024-01-05", "2024-01-06", period="day", event_part_col="event_day", arrivals=index)
     assert sorted(r.id for r in got.collect()) == [1, 2, 3]
     assert sorted(r.id for r in with_event_partition_bounds(df, "2024-01-06", "2024-01-07", period="day", event_part_col="event_day", arrivals=index).collect()) == [4]
+
+
+def test_an_unreadable_export_is_read_twice_at_most(spark, monkeypatch):
+    import gzip
+
+    from featurestats.operators import backfill
+    from featurestats.operators.layout import read_events
+
+    root = work_path(spark, "t_exports")
+    fs, folder = hadoop_path(spark, root)
+    fs.mkdirs(folder)
+    body = "eventId,eventType,time,timeInserted,score\n" + "".join(f"{k},t{k % 3},1704067200000,1704067200000,{k}\n" for k in range(5000))
+    for n in range(8):
+        data = gzip.compress(body.encode())
+        stream = fs.create(hadoop_path(spark, f"{root}/raw__ch-exporter-event_result-{n}-x.csv.gz")[1], True)
+        stream.write(bytearray(data[:len(data) * 2 // 3] if n == 5 else data))
+        stream.close()
+    reads, whole = [], backfill.read_snapshots
+    monkeypatch.setattr(backfill, "read_snapshots", lambda spark, files: (reads.extend(files), whole(spark, files))[1])
+    table, ledger = work_path(spark, "t_export_table"), work_path(spark, "t_export_ledger")
+    declared = {"eventId": "String", "eventType": "String", "time": "UInt64", "timeInserted": "UInt64", "score": "Int32"}
+    backfill.backfill_files(spark, root, declared, table, ledger)
+    assert max(reads.count(name) for name in reads) == 2
+    state = {r.unit: (r.state, r.rows) for r in backfill.read_ledger(spark, ledger).collect()}
+    assert len(state) == 8 and [(u, v) for u, v in state.items() if v != ("DONE", 5000)] == [("raw__ch-exporter-event_result-5-x", ("FAILED", 0))]
+    assert read_events(spark, table).count() == 7 * 5000
