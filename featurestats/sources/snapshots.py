@@ -161,7 +161,9 @@ def truncate_export(spark: SparkSession, root: str, part: str) -> None:
     fs, glob = hadoop_path(spark, f"{root}/*{part}.csv.gz")
     path = fs.globStatus(glob)[0].getPath()
     size = int(fs.getFileStatus(path).getLen() * 2 / 3)
-    cut = path.suffix(".cut")
-    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(path), fs.create(cut, True), size, True)
-    fs.delete(path, False)
-    fs.rename(cut, path)
+    stream = fs.open(path)
+    data = bytes(stream.readNBytes(size))
+    stream.close()
+    out = fs.create(path, True)
+    out.write(data)
+    out.close()
