@@ -5,9 +5,10 @@ hold a digit and a letter, less what base findings cover (what is left of a run
 length), and failing matches with a digit and a letter.  The network reads each candidate with the characters around it.  It learns from
 labelled findings: base findings are secrets; near misses (long numbers, long plain words, failing matches that touch neither a base
 finding nor a candidate run) are not; other candidates are not labelled.  A long finding is read by several windows, all of one
-label.  At most about ``TRAIN_ROWS`` windows of each label are drawn by a hash for training, from a long finding no more than from a short one
-once there are that many; a quarter
-of them calibrates the score and sets the highest threshold that still recalls ``RECALL`` of the secrets; a precision under
+label.  All of them are learnt from: Spark keeps the windows in shards of about ``TRAIN_ROWS`` of each label, each with as many
+rewritten ones, tasks train on their shards, and the means of their networks begin the next round.  Equal windows count once.  A
+quarter, by a hash, is kept from training; all of it calibrates the score and, with the rewritten secrets as networks see them that were
+trained without their form, sets the highest threshold that still recalls ``RECALL`` of the secrets; a precision under
 ``FLOOR`` there is warned of.  Candidates at or over it are added; their kind follows their shape (hex, access, else assign).
 
 One pass over the texts writes a row for each document with its findings to the shared checkpoint folder; training and
@@ -28,11 +29,13 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .charcnn import BEFORE, STEP, WIDTH, CharCnn, encode_window
-from .common import materialize, scan, texts_of
+from .charcnn import BEFORE, STEP, WIDTH, CharCnn, balanced, encode_window
+from .common import materialize, scan, schema_of, texts_of
 
 # The patterns of the base findings.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,14 +43,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
+PLAIN = 3  # in place of a kind: a long plain word
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 WORD = re.compile(r"[^\W\d_]{12,}")
-TRAIN_ROWS = 2000
+#: Windows of each label, and plain words, that a shard has, about.
+TRAIN_ROWS, WORD_ROWS = 2000, 100_000
+#: Rounds of training: each goes over a shard's windows once, and over the next part of its plain words.
+ROUNDS = 12
+#: What a plain word weighs: there are many, and they are easy.
+WORD_WEIGHT = 1 / 64
+#: Logits are counted in steps of this fraction.
+BINS = 1024
 RECALL = 0.98
-#: Rewritten windows of each label, about.
-REWRITTEN = 1600
+#: Rewritten windows of each label for a window of ``TRAIN_ROWS``, and by default.
+REWRITTEN_SHARE, REWRITTEN = 0.8, 1600
 FORMS = ("value", "short", "base62", "upper", "marked", "vendor")
 FLOOR = 0.5
 FINDING = "array<struct<label:int,open:boolean,kind:int,start:int,end:int,length:int,codes:binary>>"
@@ -125,8 +136,8 @@ def findings(text: str) -> tuple[list, list]:
                 continue
             runs.append((s, e))
             rows += [(None, True, kind_of(text[a:b]), a, b) for a, b in parts if any(c.isalnum() for c in text[a:b])]
-        # Plain words stand for all that is no candidate; a hash draws a few.
-        rows += [(0, False, 0, *m.span()) for m in WORD.finditer(text) if hash_of(m.group()) % 64 == 0]
+        # Plain words stand for all that is no candidate.
+        rows += [(0, False, PLAIN, *m.span()) for m in WORD.finditer(text)]
     held = unite(taken + runs)
     for s, e in missed:
         left, value = outside(s, e, held), text[s:e]
@@ -141,10 +152,6 @@ def findings(text: str) -> tuple[list, list]:
     return [{"kind": k, "start": s, "end": e} for s, k, e in base], out
 
 
-def hash_of(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
-
-
 def extract(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch):
@@ -156,32 +163,132 @@ def extract(docs: DataFrame) -> DataFrame:
     return scan(docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text"), make, ROWS)
 
 
-def as_arrays(rows) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer(b"".join(bytes(r["codes"]) for r in rows), np.uint8).reshape(-1, WIDTH).astype(np.int64)
-    return codes, np.array([r["length"] for r in rows], np.int64)
+def as_arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """codes (bytes as they are), then the other columns."""
+    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    return codes, *(batch.column(n).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(n).to_numpy()
+                    for n in batch.schema.names if n != "codes")
 
 
-def train(rows: DataFrame, per_label: int = TRAIN_ROWS, recall: float = RECALL, floor: float = FLOOR) -> CharCnn | None:
-    """A calibrated network from the labelled findings of ``rows``; None if a label is missing."""
-    found = rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*").where("label IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return None
+SHARDS = "shard int, label int, length int, word boolean, held boolean, form int, codes binary"
+
+
+def labelled_windows(rows: DataFrame) -> DataFrame:
+    """The windows of all labelled findings, equal ones once; a hash keeps a quarter of them from training."""
+    found = rows.select(F.explode("findings").alias("f")).select("f.*").where("label IS NOT NULL")
     n = F.greatest(F.ceil(F.col("length") / STEP), F.lit(1)).cast("int")
     at = f"least(k * {STEP}, greatest(length - {STEP}, 0))"
-    found = found.withColumn("n", n).selectExpr("label", "length", "codes", "n", "explode(sequence(0, n - 1)) k")
-    found = found.selectExpr("label", "n", f"least(length - {at}, {WIDTH - BEFORE}) length", f"substring(codes, {at} + 1, {WIDTH}) codes")
-    # Equal windows draw alike, so a drawn row is taken once.
-    draw = F.pmod(F.xxhash64("codes"), F.lit(1 << 30))
-    limit = F.when(F.col("label") == 1, F.lit(per_label / counts[1])).otherwise(F.lit(per_label / counts[0]))
-    drawn = found.where(draw < F.least(limit / F.col("n"), F.lit(1.0)) * (1 << 30)).select("label", "length", "codes", draw.alias("draw")).distinct()
-    sample = sorted(drawn.collect(), key=lambda r: (r["draw"], r["label"], r["length"], bytes(r["codes"])))
-    codes, lengths = as_arrays(sample)
-    labels = np.array([r["label"] for r in sample], np.float64)
-    held = np.arange(len(sample)) % 4 == 0
-    if min(labels[held].sum(), (1 - labels[held]).sum(), labels[~held].sum(), (1 - labels[~held]).sum()) < 1:
+    found = found.withColumn("n", n).selectExpr("label", "length", "codes", f"kind = {PLAIN} word", "explode(sequence(0, n - 1)) k")
+    found = found.selectExpr("label", f"least(length - {at}, {WIDTH - BEFORE}) length", "word", f"substring(codes, {at} + 1, {WIDTH}) codes").distinct()
+    return found.selectExpr("label", "length", "word", "pmod(xxhash64(codes), 4) = 0 held", "codes")
+
+
+def with_rewritten(windows: DataFrame, shards: int, per_label: int) -> DataFrame:
+    """The windows in shards, each with windows made from its own."""
+    arrow = to_arrow_schema(schema_of(SHARDS))
+
+    def run(batches):
+        batches = list(batches)
+        if not sum(map(len, batches)):
+            return
+        codes, label, length, word, held = as_arrays(pa.Table.from_batches(batches))
+        mine = rewritten(codes, length, label, max(int((label == 1).sum()), int(REWRITTEN_SHARE * per_label)))
+        more, more_length, more_label, form = mine
+        n, k = len(label), len(more_label)
+        columns = [np.full(n + k, TaskContext.get().partitionId()), np.concatenate([label, more_label]), np.concatenate([length, more_length]),
+                   np.concatenate([word, np.zeros(k, bool)]), np.concatenate([held, np.arange(k) % 4 == 0]),
+                   np.concatenate([np.where(word | (label == 0), -1, len(FORMS)), form]), [c.tobytes() for c in [*codes, *more.astype(np.uint8)]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int32) if k in (0, 1, 2, 5) else c, type=f.type)
+                                          for k, (c, f) in enumerate(zip(columns, arrow))], schema=arrow)
+
+    spread = windows.repartition(shards, "codes").sortWithinPartitions("codes", "label", "length", "word")
+    return spread.mapInArrow(run, schema_of(SHARDS))
+
+
+def shards_of(batches) -> dict[int, tuple[np.ndarray, ...]]:
+    """shard -> (codes, label, length, word, held, form) of a task's rows."""
+    batches = [b for b in batches if len(b)]
+    if not batches:
+        return {}
+    codes, shard, *rest = as_arrays(pa.Table.from_batches(batches))
+    return {int(s): tuple(c[shard == s] for c in (codes, *rest)) for s in np.unique(shard)}
+
+
+def train_round(shards: DataFrame, states: list[np.ndarray], turn: int) -> list[np.ndarray]:
+    """The networks after a round: each shard trains them from the same state on its own rows, and the means of the results, by
+    rows, are the next state.  A task adds up its shards'.  Network k does not see windows of form k; the last one sees all."""
+
+    def run(batches):
+        total, rows = [np.zeros_like(s) for s in states], [0] * len(states)
+        for shard, (codes, label, length, word, held, form) in sorted(shards_of(batches).items()):
+            rng = np.random.default_rng((8, shard, turn))
+            words = np.flatnonzero(word & ~held)
+            part = np.random.default_rng((8, shard)).permutation(len(words)) % ROUNDS == turn
+            use = np.concatenate([np.flatnonzero(~word & ~held), words[part]])
+            x, size, y, kind = codes[use].astype(np.int64), length[use], label[use] * 1.0, form[use]
+            weight = np.where(word[use], ROUNDS * WORD_WEIGHT, 1.0)
+            for k, state in enumerate(states):
+                mine = rng.permutation(np.flatnonzero(kind != k) if k < len(FORMS) else len(use))
+                weights = np.zeros(len(use))
+                weights[mine] = balanced(y[mine], weight[mine])
+                total[k] += len(mine) * CharCnn().load(state).epoch(x, size, y, weights, mine).state()
+                rows[k] += len(mine)
+        if any(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in range(len(rows))], pa.int32()), pa.array(rows, pa.int64()),
+                                              pa.array([t.tobytes() for t in total], pa.binary())], names=["net", "n", "state"])
+
+    sums, counts = [np.zeros_like(s) for s in states], [0] * len(states)
+    for r in shards.mapInArrow(run, "net int, n bigint, state binary").collect():
+        sums[r["net"]] += np.frombuffer(r["state"])
+        counts[r["net"]] += r["n"]
+    return [s / n if n else old for s, n, old in zip(sums, counts, states)]
+
+
+def counted_logits(shards: DataFrame, states: list[np.ndarray]) -> dict[tuple[int, bool], tuple[np.ndarray, ...]]:
+    """(network, unseen) -> (logits, labels, counts): of the rows kept from training that it would have seen, and of all of the
+    form that it has not seen.  Logits are rounded down to 1 / ``BINS``, so that any number of rows gives few numbers."""
+
+    def run(batches):
+        for _, (codes, label, length, word, held, form) in sorted(shards_of(batches).items()):
+            for k, state in enumerate(states):
+                net = CharCnn().load(state)
+                for unseen in (False, True):
+                    use = np.flatnonzero(form == k if unseen else held & ((form != k) | (k == len(FORMS))))
+                    if unseen and k == len(FORMS) or not len(use):
+                        continue
+                    at = np.concatenate([np.floor(net.logits(codes[p].astype(np.int64), length[p]) * BINS) for p in np.array_split(use, 1 + len(use) // 4096)])
+                    keys, where = np.unique(np.stack([at.astype(np.int64), label[use]]), axis=1, return_inverse=True)
+                    n = np.bincount(where.ravel(), np.where(word[use], WORD_WEIGHT, 1.0))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array([unseen] * len(n)), pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), pa.array(n)],
+                                                     names=["net", "unseen", "at", "label", "n"])
+
+    found = shards.mapInArrow(run, "net int, unseen boolean, at bigint, label int, n double").groupBy("net", "unseen", "at", "label").agg(F.sum("n").alias("n"))
+    out: dict[tuple[int, bool], list] = {}
+    for r in sorted(found.collect()):
+        out.setdefault((r["net"], r["unseen"]), []).append((r["at"] / BINS, r["label"], r["n"]))
+    return {k: tuple(np.array(c, np.float64) for c in zip(*v)) for k, v in out.items()}
+
+
+def train(rows: DataFrame, per_label: int = TRAIN_ROWS, recall: float = RECALL, floor: float = FLOOR) -> CharCnn | None:
+    """A calibrated network from all labelled findings of ``rows``, in shards of about ``per_label`` windows of each label; None if a
+    label is missing.  The threshold is from networks that had not seen the form they score."""
+    windows = materialize(labelled_windows(rows), "secret-windows")
+    counts = {(r["label"], r["held"], r["word"]): r["count"] for r in windows.groupBy("label", "held", "word").count().collect()}
+    if any(not sum(n for k, n in counts.items() if k[:2] == (label, held)) for label in (0, 1) for held in (False, True)):
         return None
-    return fit_by_kinds(codes, lengths, labels, held, recall, floor)
+    of_kind = [sum(n for k, n in counts.items() if (k[0], k[2]) == kind) for kind in ((1, False), (0, False), (0, True))]
+    n_shards = max(-(-max(of_kind[:2]) // per_label), -(-of_kind[2] // WORD_ROWS))
+    shards = materialize(with_rewritten(windows, n_shards, per_label), "secret-shards")
+    states = [CharCnn().state() for _ in range(len(FORMS) + 1)]
+    for turn in range(ROUNDS):
+        states = train_round(shards, states, turn)
+    found = counted_logits(shards, states)
+    nets = [CharCnn().load(s).platt(*found[k, False]) for k, s in enumerate(states)]
+    model = nets[-1]
+    logit, label, n = found[len(FORMS), False]
+    score, unseen = model.calibrated(logit), [(net.calibrated(found[k, True][0]), found[k, True][2]) for k, net in enumerate(nets) if (k, True) in found]
+    hits, n_hits = (np.concatenate(c) for c in zip(*unseen)) if unseen else (score[label == 1], n[label == 1])
+    return model.constrain(hits, score[label == 0], recall, floor, n_hits, n[label == 0])
 
 
 def decoded(codes: bytes) -> str:
@@ -239,7 +346,7 @@ def plain_form(words: list[str], draw: random.Random) -> str:
 
 
 def rewritten(codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n: int = REWRITTEN, seed: int = 8):
-    """(codes, lengths, labels, form) of windows made from drawn ones; form -1: no secret."""
+    """(codes, lengths, labels, form) of windows made from these; form -1: no secret."""
     draw = random.Random(seed)
     texts = [decoded(c) for c in codes.astype(np.uint8)]
     values = []
@@ -254,8 +361,9 @@ def rewritten(codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n: int
     contexts = [(keyword.sub("text", t[:BEFORE]).replace("=", " ").replace(":", " "), t[BEFORE + int(k):]) for t, k in zip(texts, lengths)]
     words = sorted({w for before, after in contexts for w in re.findall("[A-Za-z]{3,}", before + " " + after)}) or ["text"]
     rows = []
-    for k in range(n if values else 0):
-        rows.append((1.0, k % len(FORMS), secret_form(FORMS[k % len(FORMS)], draw.choice(values), words, draw)))
+    draw.shuffle(values)
+    for k in range(n if values else 0):  # every value, and again up to n
+        rows.append((1.0, k % len(FORMS), secret_form(FORMS[k % len(FORMS)], values[k % len(values)], words, draw)))
     rows += [(0.0, -1, form) for _ in range(n) if len(form := plain_form(words, draw)) >= 16]
     out = []
     for label, form, run in rows:
@@ -267,27 +375,6 @@ def rewritten(codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n: int
     return tuple(np.array(c) for c in zip(*out))
 
 
-def fit_by_kinds(codes, lengths, labels, held, recall: float, floor: float) -> CharCnn:
-    """The network of all kinds, its threshold from networks that had not seen the kind they score."""
-    more, more_lengths, more_labels, form = rewritten(codes, lengths, labels)
-    x, size, y = np.concatenate([codes, more]), np.concatenate([lengths, more_lengths]), np.concatenate([labels, more_labels])
-    kind = np.concatenate([np.where(labels == 1, len(FORMS), -1), form])  # the findings as they stand are a kind too
-    part = np.concatenate([held, np.arange(len(more)) % 4 == 0])
-
-    def trained(mine: np.ndarray) -> CharCnn:
-        fit, check = mine & ~part, mine & part
-        return CharCnn().fit(x[fit], size[fit], y[fit]).calibrate(x[check], size[check], y[check], recall, 0.0)
-
-    unseen = []
-    for k in range(len(FORMS)):
-        if (kind == k).any():
-            unseen.append(trained(kind != k).score(x[kind == k], size[kind == k]))
-    model = trained(np.ones(len(x), bool))
-    if unseen:
-        model.constrain(np.concatenate(unseen), model.score(x[part & (y == 0)], size[part & (y == 0)]), recall, floor)
-    return model
-
-
 def join_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 

@@ -208,3 +208,26 @@ def test_calibration_does_not_run_away():
     net.calibrate(codes, np.full(200, 40), (np.arange(200) % 2 == 0) * 1.0, 0.98, 0.5)
     score = net.score(codes, np.full(200, 40))
     assert 0 < net.scale < 100 and score[::2].min() > 0.9 > 0.1 > score[1::2].max()
+
+
+def test_training_reads_every_labelled_finding(spark):
+    """Each window is in one shard, whatever their number, and weighs on the network; plain words are not drawn."""
+    docs = spark.createDataFrame([(k, f"a token={hashlib.sha256(str(k).encode()).hexdigest()[:30]} of considerations{k} and 12345678{k:010d}") for k in range(300)], "doc_id bigint, text string")
+    rows = secrets.extract(docs)
+    found = [(f["label"], bytes(f["codes"])[:charcnn.WIDTH]) for r in rows.collect() for f in r["findings"] if f["label"] is not None]
+    assert len(found) == 1200  # an assignment and the hexadecimal number in it, a word, a number
+    windows = secrets.labelled_windows(rows)
+    assert windows.where("word").count() == 300
+    shards = secrets.materialize(secrets.with_rewritten(windows, 6, 100), "t-shards")
+    own = shards.where(f"form = {len(secrets.FORMS)} OR label = 0").select("label", "codes", "held").collect()
+    assert set(found) <= {(r["label"], bytes(r["codes"])) for r in own}
+    assert shards.select("shard").distinct().count() == 6
+    start = [charcnn.CharCnn().state() for _ in range(len(secrets.FORMS) + 1)]
+    whole, less = secrets.train_round(shards, start, 0), secrets.train_round(shards.where("shard > 0"), start, 0)
+    assert all((a != b).any() for a, b in zip(whole, less))
+    # The mean of the shards' networks, by their rows.
+    alone = [secrets.train_round(shards.where(f"shard = {k}"), start, 0)[-1] for k in range(6)]
+    assert (np.min(alone, 0) - 1e-12 <= whole[-1]).all() and (whole[-1] <= np.max(alone, 0) + 1e-12).all()
+    counted = secrets.counted_logits(shards, start)
+    mine = shards.where("held").selectExpr(f"sum(IF(word, {secrets.WORD_WEIGHT}D, 1D)) n").first()[0]
+    assert abs(counted[len(secrets.FORMS), False][2].sum() - mine) < 1e-6
