@@ -29,7 +29,6 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -184,29 +183,29 @@ def labelled_windows(rows: DataFrame) -> DataFrame:
 
 
 def with_rewritten(windows: DataFrame, shards: int, per_label: int) -> DataFrame:
-    """The windows in shards, each with windows made from its own."""
+    """The windows in shards, each with windows made from its own.  A window's shard follows from its characters and the number of
+    shards alone, however many tasks or partitions Spark makes of them, so training grows with the windows only."""
     arrow = to_arrow_schema(schema_of(SHARDS))
 
     def run(batches):
-        batches = list(batches)
-        if not sum(map(len, batches)):
-            return
-        codes, label, length, word, held = as_arrays(pa.Table.from_batches(batches))
-        mine = rewritten(codes, length, label, max(int((label == 1).sum()), int(REWRITTEN_SHARE * per_label)))
-        more, more_length, more_label, form = mine
-        n, k = len(label), len(more_label)
-        columns = [np.full(n + k, TaskContext.get().partitionId()), np.concatenate([label, more_label]), np.concatenate([length, more_length]),
-                   np.concatenate([word, np.zeros(k, bool)]), np.concatenate([held, np.arange(k) % 4 == 0]),
-                   np.concatenate([np.where(word | (label == 0), -1, len(FORMS)), form]), [c.tobytes() for c in [*codes, *more.astype(np.uint8)]]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int32) if k in (0, 1, 2, 5) else c, type=f.type)
-                                          for k, (c, f) in enumerate(zip(columns, arrow))], schema=arrow)
-
-    spread = windows.repartition(shards, "codes").sortWithinPartitions("codes", "label", "length", "word")
+        for shard, (codes, label, length, word, held) in sorted(shards_of(batches).items()):
+            mine = rewritten(codes, length, label, max(int((label == 1).sum()), int(REWRITTEN_SHARE * per_label)))
+            more, more_length, more_label, form = mine
+            n, k = len(label), len(more_label)
+            columns = [np.full(n + k, shard), np.concatenate([label, more_label]), np.concatenate([length, more_length]),
+                       np.concatenate([word, np.zeros(k, bool)]), np.concatenate([held, np.arange(k) % 4 == 0]),
+                       np.concatenate([np.where(word | (label == 0), -1, len(FORMS)), form]), [c.tobytes() for c in [*codes, *more.astype(np.uint8)]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int32) if k in (0, 1, 2, 5) else c, type=f.type)
+                                              for k, (c, f) in enumerate(zip(columns, arrow))], schema=arrow)
+
+    dealt = windows.selectExpr(f"pmod(hash(codes), {shards}) shard", "label", "length", "word", "held", "codes")
+    # Bounds come from a sample: with two ranges for a shard none holds two shards, as it may with one.
+    spread = dealt.repartitionByRange(2 * shards, "shard").sortWithinPartitions("shard", "codes", "label", "length", "word")
     return spread.mapInArrow(run, schema_of(SHARDS))
 
 
 def shards_of(batches) -> dict[int, tuple[np.ndarray, ...]]:
-    """shard -> (codes, label, length, word, held, form) of a task's rows."""
+    """shard -> (codes, label, length, word, held, and form where it is known) of a task's rows."""
     batches = [b for b in batches if len(b)]
     if not batches:
         return {}

@@ -231,3 +231,15 @@ def test_training_reads_every_labelled_finding(spark):
     counted = secrets.counted_logits(shards, start)
     mine = shards.where("held").selectExpr(f"sum(IF(word, {secrets.WORD_WEIGHT}D, 1D)) n").first()[0]
     assert abs(counted[len(secrets.FORMS), False][2].sum() - mine) < 1e-6
+
+
+def test_shards_do_not_follow_the_number_of_partitions(spark, monkeypatch):
+    texts = [f"see token = {hashlib.sha256(bytes([k])).hexdigest()[:30]} and {10**17 + k} here" for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    windows = secrets.materialize(secrets.labelled_windows(secrets.extract(docs)), "t-dealt")
+    rows = sorted(tuple(r) for r in secrets.with_rewritten(windows, 3, 40).collect())
+    frame = type(windows)
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(frame, name, lambda self, n, *by, f=getattr(frame, name): f(self, max(n, 60), *by))
+    assert sorted(tuple(r) for r in secrets.with_rewritten(windows, 3, 40).collect()) == rows
+    assert {r[0] for r in rows} == {0, 1, 2}
