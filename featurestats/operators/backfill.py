@@ -19,7 +19,7 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ BASE_RENAMES = {
 FLAG_SOURCE, FLAG_TARGET = "dv_isDetection", "fromUpdateAPI"
 TIME_COLUMNS = ("time", "timeInserted")
 EXPORT_MARKER = "ch-exporter-event_result"
+#: Cells (a slice's rows times all slices' columns) that a task of ``stitch_slices`` puts together.
+STITCH_CELLS = 8_000_000
 LEDGER_SCHEMA = "unit string, state string, rows long, updated_at timestamp"
 
 
@@ -389,12 +391,21 @@ def stitch_slices(slices: list[DataFrame], keys) -> DataFrame:
     wide rows by key.  One union + one ``groupBy(keys)`` (a single shuffle for
     any number of slices) instead of a chain of joins; NULL keys match NULL
     keys as in ``<=>``.  Each non-key column lives in exactly one slice, so
-    ``first(ignorenulls)`` picks the only candidate."""
+    ``first(ignorenulls)`` picks the only candidate.
+
+    Each slice is written by a job of its own first, and counted: no task holds the sorts of several slices, and the
+    shuffle gets as many tasks as the wide rows need (``STITCH_CELLS``)."""
     keys = list(keys)
     value_cols = [c for s in slices for c in s.columns if c not in keys]
     if len(set(value_cols)) != len(value_cols):
         raise ValueError("a non-key column appears in more than one slice")
-    tagged = None
+    spark, tagged, n_rows = slices[0].sparkSession, None, 0
     for s in slices:
+        seen, path = Observation(), work_path(spark, "slice")
+        s.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        n_rows += seen.get["n"]
+        s = spark.read.schema(s.schema).parquet(path)
         tagged = s if tagged is None else tagged.unionByName(s, allowMissingColumns=True)
-    return tagged.groupBy(*keys).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in value_cols])
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * len(value_cols) // STITCH_CELLS))
+    dealt = tagged.repartition(n, *[F.col(f"`{k}`") for k in keys])
+    return dealt.groupBy(*keys).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in value_cols])

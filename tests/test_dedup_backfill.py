@@ -82,6 +82,19 @@ def test_stitch_slices_equals_wide(spark):
     assert _sorted(st, cols) == _sorted(wide, cols)
 
 
+def test_stitching_gets_more_tasks_with_more_cells(spark, monkeypatch):
+    from featurestats.operators import backfill
+
+    rows = [(None if k == 7 else f"k{k}", k) for k in range(200)]
+    slices = [spark.createDataFrame([(k, v + c) for k, v in rows], f"k string, c{c} long").repartition(2) for c in range(3)]
+    want = sorted([(k or "", v, v + 1, v + 2) for k, v in rows])
+    for cells, least in ((8_000_000, 4), (100, 18)):
+        monkeypatch.setattr(backfill, "STITCH_CELLS", cells)
+        out = stitch_slices(slices, ["k"])
+        assert out.rdd.getNumPartitions() == least
+        assert sorted((r[0] or "", *r[1:]) for r in out.collect()) == want
+
+
 def _backfilled(spark, src, parts, index=None):
     from featurestats.operators.backfill import BackfillSpec, backfill_days
     from featurestats.operators.layout import read_events
