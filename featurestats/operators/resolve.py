@@ -215,17 +215,35 @@ def resolve_messages(raw: DataFrame, plan: SchemaPlan, value_col: str = "value")
     return resolve(parse_messages(raw, value_col, plan), plan)
 
 
-def quarantine(parsed: DataFrame) -> DataFrame:
-    """Rejected records with a reason."""
-    return parsed.where(is_quarantined()).select(
-        "raw_value",
+def _reason() -> F.Column:
+    return (
         F.when(not_an_object(), "not_an_object")
         .when(_bad_time(F.coalesce(F.col("j.time"), F.col("j.eventTime"))), "bad_event_time")
         .otherwise("bad_fixed_field")
-        .alias("reason"),
+        .alias("reason")
     )
 
 
+def quarantine(parsed: DataFrame) -> DataFrame:
+    """Rejected records with a reason."""
+    return parsed.where(is_quarantined()).select("raw_value", _reason())
+
+
+def settle(parsed: DataFrame, plan: SchemaPlan) -> DataFrame:
+    """``resolve`` and ``quarantine`` in one projection, to be kept and read by ``resolved_of`` and ``rejected_of``: for each
+    record the wide typed row, and ``_rejected`` (its text and the reason) where it is no good one."""
+    rejected = F.when(is_quarantined(), F.struct("raw_value", _reason()))
+    return parsed.select(*_fixed_exprs(), *[_feature_expr(c) for c in plan.columns], rejected.alias("_rejected"))
+
+
+def resolved_of(settled: DataFrame) -> DataFrame:
+    return settled.where(F.col("_rejected").isNull()).drop("_rejected")
+
+
+def rejected_of(settled: DataFrame) -> DataFrame:
+    return settled.where(F.col("_rejected").isNotNull()).select("_rejected.raw_value", "_rejected.reason")
+
+
 def unresolved_features(parsed: DataFrame, feature_meta: DataFrame) -> DataFrame:
     """Audit (2.2.1): feature ids present in messages but not published, with
     the number of events carrying each.  The id list is partial-aggregated

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.arrivals import LIVE, ArrivalIndex
 from ..operators.layout import read_events
-from ..operators.resolve import SchemaPlan, parse_messages, plan_from_meta, quarantine, resolve
+from ..operators.resolve import SchemaPlan, parse_messages, plan_from_meta, rejected_of, resolved_of, settle
 from ..operators.store import append_live
 from ..session import path_exists
 
@@ -104,11 +104,10 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(checkpoint.rstrip("/") + "/metadata").first()[0])["id"]
 
 
-def resolve_batch(batch: DataFrame, plan: SchemaPlan, tag: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected messages) of a micro-batch, parsed with the current metadata; both carry the batch's tag."""
-    parsed = parse_messages(batch, plan=plan)
-    rows = resolve(parsed, plan).withColumn("processing_day", F.to_date("processingTime"))
-    return rows.withColumn("_ingest_batch", F.lit(tag)), quarantine(parsed).withColumn("_ingest_batch", F.lit(tag))
+def resolve_batch(settled: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected messages) of a settled micro-batch; both carry the batch's tag."""
+    rows = resolved_of(settled).withColumn("processing_day", F.to_date("processingTime"))
+    return rows.withColumn("_ingest_batch", F.lit(tag)), rejected_of(settled).withColumn("_ingest_batch", F.lit(tag))
 
 
 def batch_committed(spark: SparkSession, path: str, tag: str, days: list | None = None) -> bool:
@@ -163,9 +162,10 @@ def start_ingest(
                 (F.col("query_id") == query) & (F.col("batch_id") == batch_id)).isEmpty():
             return
         plan = metadata.refresh()
-        batch = batch.persist()
+        # Each message is parsed once, with the current metadata; typed rows take less room than their texts.
+        settled = settle(parse_messages(batch, plan=plan), plan).persist()
         try:
-            out, rejected = resolve_batch(batch, plan, tag)
+            out, rejected = resolve_batch(settled, tag)
             if not batch_committed(spark, quarantine_path(table_path), tag):
                 rejected.write.mode("append").parquet(quarantine_path(table_path))
             # One pass tells the days; a micro-batch spans few.
@@ -181,7 +181,7 @@ def start_ingest(
             spark.createDataFrame([(tag, d, stamp) for d in touched], "batch string, stat_date date, arrived_at timestamp") \
                 .coalesce(1).write.mode("append").parquet(affected_path(table_path))
         finally:
-            batch.unpersist()
+            settled.unpersist()
         stamp = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         spark.createDataFrame([(query, batch_id, plan.version, stamp)], "query_id string, batch_id long, meta_version int, committed_at timestamp") \
             .coalesce(1).write.mode("append").parquet(ledger_path)

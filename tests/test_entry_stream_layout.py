@@ -54,6 +54,39 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_parses_each_message_once(spark, monkeypatch):
+    """Rows, rejected messages and counts of a batch come of one reading of its messages."""
+    from featurestats.operators.resolve import quarantine
+    from featurestats.streaming import stream
+
+    texts = [f'{{"eventId":"{k}","eventType":"a","time":1704067200000,"processTime":1704067200000,"rules":[1]}}' for k in range(20)]
+    texts += ["", "{}", "[1]", "no json", "null", '{"eventId":"b","time":"x"}', '{"eventId":"c","originId":"q"}', '{"eventId":"d","rules":["z"]}', '{"eventId":"e","rules":"nope"}']
+    src = work_path(spark, "t_once_src")
+    messages = spark.createDataFrame([(t,) for t in texts], "value string")
+    messages.repartition(3).write.text(src)
+    parsed_rows = spark.sparkContext.accumulator(0)
+
+    def counted(batch, plan):
+        def run(batches):
+            for b in batches:
+                parsed_rows.add(len(b))
+                yield b
+
+        return parse_messages(batch.mapInArrow(run, batch.schema), plan=plan)
+
+    monkeypatch.setattr(stream, "parse_messages", counted)
+    table = work_path(spark, "t_once")
+    meta = MetadataCache(lambda: (feature_meta(spark), attribute_meta(spark)))
+    start_ingest(spark, src, table, work_path(spark, "t_once_ckpt"), meta, trigger={"availableNow": True}).awaitTermination()
+    assert parsed_rows.value == len(texts)
+    plan = plan_from_meta(feature_meta(spark), attribute_meta(spark))
+    parsed = parse_messages(messages, plan=plan)
+    key = lambda r: repr(tuple(r))
+    cols = resolve(parsed, plan).columns
+    assert sorted(read_events(spark, table).select(*cols).collect(), key=key) == sorted(resolve(parsed, plan).collect(), key=key)
+    assert sorted(spark.read.parquet(quarantine_path(table)).select("raw_value", "reason").collect()) == sorted(quarantine(parsed).collect())
+
+
 def test_evolve_align():
     a = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.StringType())])
     b = T.StructType([T.StructField("y", T.StringType()), T.StructField("z", T.DoubleType())])
