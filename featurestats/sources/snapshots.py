@@ -155,15 +155,21 @@ def write_flat_exports(spark: SparkSession, sf_dir: str, root: str) -> str:
 
 
 def truncate_export(spark: SparkSession, root: str, part: str) -> None:
-    """Cut the last third off an export, as a broken transfer leaves it."""
+    """Cut the last third off an export, as a broken transfer leaves it.  What stays is copied from stream to stream beside
+    the export and takes its place, so that the driver holds a buffer of it, whatever its size."""
     from ..session import hadoop_path
 
     fs, glob = hadoop_path(spark, f"{root}/*{part}.csv.gz")
     path = fs.globStatus(glob)[0].getPath()
     size = int(fs.getFileStatus(path).getLen() * 2 / 3)
-    stream = fs.open(path)
-    data = bytes(stream.readNBytes(size))
-    stream.close()
-    out = fs.create(path, True)
-    out.write(data)
-    out.close()
+    cut = path.suffix(".cut")
+    stream, out = fs.open(path), fs.create(cut, True)
+    try:
+        # not Hadoop's copyBytes: an int there is the size of the buffer, and the whole export would be copied
+        spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size)
+    finally:
+        stream.close()
+        out.close()
+    fs.delete(path, False)
+    if not fs.rename(cut, path):
+        raise RuntimeError(f"{cut.toString()} could not be moved")

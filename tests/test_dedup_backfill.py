@@ -229,3 +229,24 @@ def test_an_unreadable_export_is_read_twice_at_most(spark, monkeypatch):
     state = {r.unit: (r.state, r.rows) for r in backfill.read_ledger(spark, ledger).collect()}
     assert len(state) == 8 and [(u, v) for u, v in state.items() if v != ("DONE", 5000)] == [("raw__ch-exporter-event_result-5-x", ("FAILED", 0))]
     assert read_events(spark, table).count() == 7 * 5000
+
+
+def test_an_export_is_truncated_outside_the_driver_python(spark, tmp_path):
+    import os
+    import tracemalloc
+
+    from featurestats.sources.snapshots import truncate_export
+
+    exports = {f"raw__ch-exporter-event_result-{n}-part{n}.csv.gz": os.urandom(6_000_001) for n in range(3)}
+    for name, data in exports.items():
+        (tmp_path / name).write_bytes(data)
+    tracemalloc.start()
+    try:
+        truncate_export(spark, str(tmp_path), "part1")
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 1_000_000
+    # what is left is the beginning, nothing lies beside it but checksums, and the other exports are whole
+    exports["raw__ch-exporter-event_result-1-part1.csv.gz"] = exports["raw__ch-exporter-event_result-1-part1.csv.gz"][:4_000_000]
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == exports
